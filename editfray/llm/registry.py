@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from . import line_dedup, mixing
+from . import bpe, line_dedup, mixing, token_counts
 
 _MODULES = {
+    "op2_token_counts": token_counts,
     "op4_line_dedup": line_dedup,
     "op6_source_mixing": mixing,
+    "op8_byte_bpe": bpe,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
