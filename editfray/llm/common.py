@@ -10,6 +10,8 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..shipping import ship_package
+
 #: Characters that count as white space around lines and between words.
 BLANKS = " \t\n\x0b\f\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -83,6 +85,8 @@ def slices(batch, column: str, limit: int = 1 << 20) -> Iterator:
 def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text: str | None = None) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task; with `text`, on slices of bounded text."""
 
+    ship_package(df.sparkSession)
+
     def run(batches):
         f = make()
         for b in batches:
