@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, token_counts
+from . import bpe, line_dedup, mixing, ngram_join, token_counts
 
 _MODULES = {
     "op2_token_counts": token_counts,
     "op4_line_dedup": line_dedup,
+    "op5_ngram_join": ngram_join,
     "op6_source_mixing": mixing,
     "op8_byte_bpe": bpe,
 }

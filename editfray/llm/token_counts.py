@@ -165,8 +165,8 @@ def sample_edits(docs: DataFrame, every: int = 2000) -> DataFrame:
     n = F.char_length(F.coalesce(F.col("text"), F.lit("")))
     edit = lambda i: F.struct(
         (i * every + (F.crc32(F.col("doc_id").cast("string")) + i * 131) % every).cast("long").alias("pos"),
-        ((i * 7) % 23).cast("long").alias("drop"),
-        F.substring("text", (n - i * F.lit(every // 2) - F.lit(40)).cast("int"), (i % 29).cast("int")).alias("ins"),
+        ((i * 7 + 3) % 23).cast("long").alias("drop"),
+        F.substring("text", (n - i * F.lit(every // 2) - F.lit(40)).cast("int"), ((i + 5) % 29).cast("int")).alias("ins"),
     )
     return docs.withColumn("edits", F.transform(F.sequence(F.lit(0), F.floor(n / every).cast("int")), edit))
 
