@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import bpe, line_dedup, mixing, ngram_join, token_counts
+from . import bpe, embedding_dedup, line_dedup, mixing, ngram_join, token_counts
 
 _MODULES = {
+    "op1_embedding_dedup": embedding_dedup,
     "op2_token_counts": token_counts,
     "op4_line_dedup": line_dedup,
     "op5_ngram_join": ngram_join,
