@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, line_dedup, mixing, ngram_join, token_counts
+from . import bpe, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search
 
 _MODULES = {
     "op1_embedding_dedup": embedding_dedup,
@@ -11,6 +11,7 @@ _MODULES = {
     "op5_ngram_join": ngram_join,
     "op6_source_mixing": mixing,
     "op8_byte_bpe": bpe,
+    "op10_topk_search": topk_search,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
