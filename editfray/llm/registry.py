@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search
+from . import bpe, char_lm, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search
 
 _MODULES = {
     "op1_embedding_dedup": embedding_dedup,
@@ -10,6 +10,7 @@ _MODULES = {
     "op4_line_dedup": line_dedup,
     "op5_ngram_join": ngram_join,
     "op6_source_mixing": mixing,
+    "op7_language_id": char_lm,
     "op8_byte_bpe": bpe,
     "op10_topk_search": topk_search,
 }
