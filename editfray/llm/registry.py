@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, char_lm, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search
+from . import bpe, char_lm, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search, toxicity
 
 _MODULES = {
     "op1_embedding_dedup": embedding_dedup,
@@ -12,6 +12,7 @@ _MODULES = {
     "op6_source_mixing": mixing,
     "op7_language_id": char_lm,
     "op8_byte_bpe": bpe,
+    "op9_toxicity": toxicity,
     "op10_topk_search": topk_search,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
