@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import bpe, char_lm, embedding_dedup, line_dedup, mixing, ngram_join, token_counts, topk_search, toxicity
+from . import bpe, char_lm, embedding_dedup, html_text, line_dedup, mixing, ngram_join, token_counts, topk_search, toxicity
 
 _MODULES = {
     "op1_embedding_dedup": embedding_dedup,
     "op2_token_counts": token_counts,
+    "op3_html_text": html_text,
     "op4_line_dedup": line_dedup,
     "op5_ngram_join": ngram_join,
     "op6_source_mixing": mixing,
