@@ -82,7 +82,7 @@ def slices(batch, column: str, limit: int = 1 << 20) -> Iterator:
         yield batch.slice(start)
 
 
-def arrow_map(df: DataFrame, make: Callable[[], Callable], schema: str, text: str | None = None) -> DataFrame:
+def arrow_map(df: DataFrame, make: Callable[[], Callable], schema, text: str | None = None) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task; with `text`, on slices of bounded text."""
 
     ship_package(df.sparkSession)

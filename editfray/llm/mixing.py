@@ -105,9 +105,9 @@ def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, .
 
 
 def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs as often as the mix takes them, with the columns of docs: ids must be unique."""
-    taken = mix(docs, **how).where("taken > 0").select(F.col("doc_id").alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = docs.join(taken, F.col("doc_id") == F.col("__id"))
+    """The rows of docs, with their columns, as often as the mix takes them; rows that share an id as often as the most of them."""
+    taken = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    rows = docs.join(taken, F.col(how.get("id_col", "doc_id")) == F.col("__id"))
     return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -324,6 +324,22 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return arrow_map(kept, make, f"doc_id {kind}, score double, predicted int, " + ", ".join(f"{x} long" for x in names), "text")
 
 
+def clean_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
+    """The rows of docs, with all their columns, that the model doesn't hold toxic. Null texts stay."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def make():
+        m = shared.value
+
+        def f(batch):
+            x = _features(m.automaton, batch.column(text_col).to_pylist())
+            return batch.filter(pa.array(x @ m.weights[:4] + m.weights[4] < 0))
+
+        return f
+
+    return arrow_map(docs, make, docs.schema, text_col)
+
+
 def labelled_rows(docs: DataFrame, labels: DataFrame, sample: int = 40_000) -> DataFrame:
     """text and toxic of labelled rows of docs that may be learned from: those outside fold 0 of crc32 of the id.
 
