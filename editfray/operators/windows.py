@@ -81,7 +81,7 @@ def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
         human = ~F.col("user_is_bot")
         rows = parts.select(
             *PAGE, "rev_id", "ts", "at", F.count("*").over(over).alias("edits"), F.sum(human.cast("int")).over(over).alias("human"),
-            F.size(F.collect_set(F.when(human & (F.col("user_text") != ""), F.col("user_text"))).over(over)).alias("users"), F.sum("r").over(over).alias("reverts"),
+            F.size(F.collect_set(F.when(human & (F.col("user_text") != ""), F.col("user_text"))).over(over)).cast("long").alias("users"), F.sum("r").over(over).alias("reverts"),
             F.max(F.when(human, F.col("at"))).over(over).alias("last_human"),
         )
         step = max(3600, seconds)
@@ -99,13 +99,13 @@ def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
         # What happened in the five minutes before the last human edit of the window.
         frame = Window.partitionBy(*PAGE).orderBy("at").rangeBetween(-300_000_000, 0)
         if seconds <= 300:
-            rows = rows.withColumn("recent", (F.col("edits") + 4 * F.col("reverts")))
+            rows = rows.withColumn("recent", F.when(F.col("last_human").isNull(), 0).otherwise(F.col("edits") + 4 * F.col("reverts")))
         else:
             upto = parts.select(*PAGE, "at", F.sum(1 + 4 * F.col("r")).over(frame).alias("before"), F.sum(1 + 4 * F.col("r")).over(Window.partitionBy(*PAGE).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)).alias("upto")).dropDuplicates([*PAGE, "at"])
             last = upto.select(*PAGE, F.col("at").alias("last_human"), F.col("before").alias("l_before"), F.col("upto").alias("l_upto"))
             here = upto.select(*PAGE, "at", F.col("upto").alias("h_upto"))
             rows = rows.join(last, [*PAGE, "last_human"], "left").join(here, [*PAGE, "at"], "left")
-            rows = rows.withColumn("recent", F.coalesce(F.col("l_before") + F.col("h_upto") - F.col("l_upto"), F.lit(0)))
+            rows = rows.withColumn("recent", F.when(F.col("last_human").isNull(), 0).otherwise(F.least(F.col("edits") + 4 * F.col("reverts"), F.col("l_before") + F.col("h_upto") - F.col("l_upto"))))
         all_ = rows.join(tops, keys, "left").join(mutual, keys, "left").fillna(0, ["top_share", "pairs", "mutual"])
         score = live_score(LIVE_FACTORS[name], F.col("human"), F.col("users"), F.col("reverts"), F.col("top_share"), F.col("pairs"), F.col("mutual"), F.col("recent"))
         all_ = all_.withColumn("raw", score).select(
@@ -137,4 +137,4 @@ def last_per_page(df: DataFrame, n: int, *order) -> DataFrame:
 
 def sessions(edits: DataFrame, gap: str = "24 hours") -> DataFrame:
     """Sessions of a page's activity, the native counterpart of the episodes' reset."""
-    return edits.groupBy(*PAGE, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("edits"), F.count_distinct("user_text").alias("users")).select(*PAGE, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "edits", "users")
+    return edits.groupBy(*PAGE, F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("edits"), F.size(F.collect_set("user_text")).cast("long").alias("users")).select(*PAGE, F.col("s.start").alias("start"), F.col("s.end").alias("end"), "edits", "users")
