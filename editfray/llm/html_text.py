@@ -47,33 +47,41 @@ _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
 
-def _is_other(tag: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is marked as no part of an article."""
+HARD, SOFT = 2, 1
+
+
+def _other(tag: str, attributes: str, in_article: bool) -> int:
+    """How an element is marked as no part of an article: HARD by what it is, SOFT by its names (or as a form), 0 if not."""
+    if tag == "form":
+        return SOFT
     if tag in OTHER_TAGS or (tag == "header" and not in_article):
-        return True
+        return HARD
     if not attributes or tag in ("html", "body"):
-        return False
+        return 0
+    found = 0
     for name, value in _NAMES.findall(attributes):
         name, value = name.lower(), value.strip("\"'")
         if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return True
+            return HARD
         if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
+            return HARD
         if name == "role" and value.lower() in OTHER_ROLES:
-            return True
-        if name in ("class", "id") and tag not in ("article", "main", "h1") and any(x.lower() in OTHER_WORDS for x in _PART.findall(value)):
-            return True
-        if name in ("class", "id") and tag == "article" and {x.lower() for x in _PART.findall(value)} & {"comment", "related", "teaser", "sponsored", "ad", "promo"}:
-            return True
-    return False
+            return HARD
+        if name in ("class", "id") and tag not in ("main", "h1"):
+            parts = {x.lower() for x in _PART.findall(value)}
+            if parts & (OTHER_WORDS if tag != "article" else {"comment", "related", "teaser", "sponsored", "ad", "promo"}):
+                found = SOFT
+    return found
 
 
 class _Element:
-    __slots__ = ("article", "other", "parent", "path", "tag")
+    __slots__ = ("article", "hard", "parent", "path", "soft", "tag")
 
-    def __init__(self, tag: str, parent: _Element | None, other: bool):
+    def __init__(self, tag: str, parent: _Element | None, other: int):
         self.tag, self.parent = tag, parent
-        self.other = other or (parent is not None and parent.other)
+        self.hard = other == HARD or (parent is not None and parent.hard)
+        #: The marked elements around it, itself included, from the outside in.
+        self.soft: tuple[_Element, ...] = (*(parent.soft if parent is not None else ()), *((self,) if other == SOFT else ()))
         self.path = f"{parent.path}/{tag}" if parent else tag
         self.article = tag in ("article", "main") or (parent is not None and parent.article)
 
@@ -81,7 +89,7 @@ class _Element:
 def blocks(page: str) -> list[tuple[_Element, str, int]]:
     """Blocks in page order: their element, their text, and how much of it is links."""
     out: list[tuple[_Element, str, int]] = []
-    here = _Element("#", None, False)
+    here = _Element("#", None, 0)
     held: list[str] = []
     links = depth = 0
 
@@ -149,7 +157,7 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                     x = x.parent
                 if x is not None and x.tag in CLOSES[tag]:
                     here = x.parent
-            here, depth = _Element(tag, here, _is_other(tag, rest, here.article)), 0
+            here, depth = _Element(tag, here, _other(tag, rest, here.article)), 0
     add(page[at:])
     flush()
     return out
@@ -178,7 +186,17 @@ def core(found: list[tuple[_Element, str, int]]) -> list[int]:
 def extract(page: str | None) -> str:
     """The article's text: its blocks, joined by a line feed."""
     found = blocks(page or "")
-    plain = [x for x in found if not x[0].other]
+    shown = [x for x in found if not x[0].hard]
+    # A name that stands on a frame around the heading and most of the text says nothing about them ("has-sidebar").
+    held: dict[int, list] = {}
+    for e, text, _ in shown:
+        for x in e.soft:
+            h = held.setdefault(id(x), [0, False])
+            h[0] += len(text)
+            h[1] |= e.tag == "h1" or e.article
+    total = sum(len(text) for _, text, _ in shown)
+    frames = {k for k, (n, head) in held.items() if head and n > 0.6 * total}
+    plain = [x for x in shown if all(id(y) in frames for y in x[0].soft)]
     marked = [x for x in plain if x[0].article]
     if not marked and re.search(r"<(?:article|main)\b", page or "", re.I):
         # An article without text of its own, as far as its tags go.

@@ -1,0 +1,377 @@
+"""The training-data operators against brute force, on small tables with nulls, ties, repeats and long texts."""
+
+import hashlib
+import random
+import re
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from editfray.llm import bpe, char_lm, components, embedding_dedup, html_text, line_dedup, mixing, ngram_join, token_counts, topk_search, toxicity
+from editfray.llm.common import fold
+
+DOCS = "doc_id long, text string, lang string, source string, n_chars long, n_lines string"
+
+
+def docs(spark, texts, langs=None, sources=None, ids=None):
+    rows = [(ids[i] if ids else i, t, langs[i] if langs else "en", sources[i] if sources else "s", len(t or ""), "clash") for i, t in enumerate(texts)]
+    return spark.createDataFrame(rows, DOCS)
+
+
+def words(t):
+    return [re.sub("[A-Z]", lambda m: m[0].lower(), w) for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")]
+
+
+# 1. Embedding near-dedup
+
+
+def test_embedding_dedup_by_brute_force(spark):
+    rng = np.random.default_rng(1)
+    base = rng.standard_normal((40, 16))
+    x = np.concatenate([base, base[:20] + 0.08 * rng.standard_normal((20, 16)), base[:10] * 3, base[:1] + 0.02 * rng.standard_normal((60, 16))]).astype(np.float32)
+    label = [int(i) % 3 for i in range(len(x))]
+    rows = [(i, [float(v) for v in r], label[i]) for i, r in enumerate(x)]
+    rows += [(900, None, 0), (901, [0.0] * 16, 0), (902, [float("nan")] * 16, 0), (903, [None] * 16, 0), (904, rows[0][1], None), (905, [float("inf")] * 16, 1), (906, rows[0][1], label[0]), (907, [], 0)]
+    got = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    good = [r for r in rows if r[0] < 900 or r[0] == 906]
+    v = np.array([r[1] for r in good], dtype=np.float64)
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    link = (v @ v.T >= 0.93) & (np.array([r[2] for r in good])[:, None] == np.array([r[2] for r in good])[None, :])
+    np.fill_diagonal(link, False)
+    low = np.array([r[0] for r in good])
+    for _ in range(len(good)):
+        low = np.minimum(low, np.where(link, low[None, :], 1 << 60).min(axis=1))
+    assert len(got) == len(rows) and link.sum() > 500
+    for k, r in enumerate(good):
+        assert (got[r[0]]["n_links"], got[r[0]]["component_id"], got[r[0]]["kept"]) == (link[k].sum(), low[k], bool(low[k] == r[0]))
+    for i in (900, 901, 902, 903, 904, 905, 907):
+        assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
+    assert embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").limit(0)).count() == 0
+
+
+def test_a_bucket_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "TILE", 16)
+    rng = np.random.default_rng(2)
+    x = rng.standard_normal(12) + 0.05 * rng.standard_normal((70, 12))
+    rows = [(i, [float(v) for v in r], 1) for i, r in enumerate(x)]
+    got = embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()
+    assert {r["n_links"] for r in got} == {69} and {r["component_id"] for r in got} == {0}
+
+
+def test_the_plan_follows_the_theory():
+    near = embedding_dedup.meeting(np.sqrt(2 - 2 * 0.93))
+    k, tables = embedding_dedup.plan(10**6, 0.93, 0.01)
+    assert (1 - near**k) ** tables <= 0.01
+    rng = np.random.default_rng(3)
+    a, b = rng.standard_normal(20000), rng.uniform(0, 2, 20000)
+    assert np.mean(np.floor(b / 2) == np.floor((0.5 * a + b) / 2)) == pytest.approx(embedding_dedup.meeting(0.5), abs=0.02)
+
+
+# 2 and 8. Tokens
+
+TEXTS = ["It's a dog's life, they'll say.\n\n  Tabs\tand   runs ", "", None, "漢字かな交じり文" * 700, "é😀 " * 900, " " * 5000 + "x", "a" * 9000, "12345 " * 900 + "\n \n", "don't" * 1500, "word " * 3000]
+
+
+def reference_ids(text):
+    return bpe.codec(bpe.default_vocabulary())._bpe.encode_ordinary(text or "")
+
+
+@pytest.mark.parametrize("leaf", [7, 64, 4096])
+def test_bpe_round_trip(spark, monkeypatch, leaf):
+    monkeypatch.setattr(bpe, "LEAF", leaf)
+    c = bpe.codec(bpe.default_vocabulary())
+    for t in TEXTS:
+        ids = c.encode(t or "")
+        assert ids.tolist() == reference_ids(t) and c.decode(ids) == (t or "").encode()
+
+
+def test_bpe_query_columns(spark):
+    got = {r["doc_id"]: r for r in bpe.digests(docs(spark, TEXTS)).collect()}
+    for i, t in enumerate(TEXTS):
+        ids = np.array(reference_ids(t), dtype="<u4")
+        assert got[i]["n_tokens"] == len(ids) and got[i]["ids_sha256"] == hashlib.sha256(ids.tobytes()).hexdigest()
+        assert got[i]["decoded_sha256"] == hashlib.sha256((t or "").encode()).hexdigest()
+    assert bpe.digests(docs(spark, ["x"]).limit(0)).count() == 0
+
+
+def test_edited_counts_match_a_full_encoding(spark):
+    rng = random.Random(5)
+    c = bpe.codec(bpe.default_vocabulary())
+    for t in TEXTS * 3:
+        t = t or ""
+        tree = token_counts.CountTree(t, c, rng.choice([4, 40, 512]))
+        for _ in range(12):
+            at, drop, ins = rng.randint(-3, len(t) + 3), rng.choice([0, 1, 7, len(t)]), rng.choice(["", "x", " don't", "\n\n", "漢é "])
+            tree.edit(at, drop, ins)
+            at = min(max(at, 0), len(t))
+            t = t[:at] + ins + t[at + drop :]
+            assert tree.text == t and tree.tokens == len(c._bpe.encode_ordinary(t))
+
+
+def test_an_edit_encodes_little():
+    c = bpe.codec(bpe.default_vocabulary())
+    tree = token_counts.CountTree("some words of a long text " * 4000, c)
+    before = tree.encoded
+    tree.edit(50_000, 5, "others")
+    assert tree.encoded - before < 3000
+
+
+def test_edits_from_a_table(spark):
+    edits = spark.createDataFrame([(0, 2, 0, 0, ">> "), (0, 1, 4, 3, None), (9, 1, 0, 0, "x"), (1, 1, None, None, "new text")], "doc_id long, seq int, pos long, drop long, ins string")
+    got = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.with_edits(docs(spark, ["abc def ghi", None, "same"]), edits), with_text=True).collect()}
+    assert [got[i]["text_after"] for i in range(3)] == [">> abc  ghi", "new text", "same"]
+    assert all(got[i]["n_tokens_after"] == len(reference_ids(got[i]["text_after"])) for i in range(3)) and got[2]["n_encoded"] == 0
+
+
+def test_the_registered_edits_on_a_fixture(spark):
+    rows = token_counts.sample_edits(docs(spark, [t for t in TEXTS if t is not None] + ["Some words. " * 900]))
+    lists = {r["doc_id"]: (r["text"], r["edits"]) for r in rows.collect()}
+    for r in token_counts.edited_counts(rows).collect():
+        t, edits = lists[r["doc_id"]]
+        before = len(reference_ids(t))
+        for e in edits:
+            at = min(max(e["pos"], 0), len(t))
+            t = t[:at] + (e["ins"] or "") + t[at + e["drop"] :]
+        assert (r["n_tokens"], r["n_tokens_after"], r["n_chars_after"], r["n_edits"]) == (before, len(reference_ids(t)), len(t), len(edits))
+
+
+# 3. HTML
+
+
+def test_html_article():
+    page = """<html><head><title>t</title><style>p{}</style></head><body><header>Site, top</header><nav><a href=/>Home</a></nav><div class="cookie-notice">We use cookies, always.</div>
+    <div id=main-text><h1>Head &amp; line</h1><p>One,  two&nbsp;three &lt;x&gt;.<p>Short<script>var a="</p>";</script><div class="ad-box">Buy, now.</div><form>Mail: <input></form><ul><li>an item, good<li>more</ul></div>
+    <aside>Side</aside><div class="comments"><p>First! Great, thanks.</p></div><footer>End</footer></body></html>"""
+    assert html_text.extract(page) == "Head & line\nOne, two three <x>.\nShort\nan item, good\nmore"
+    assert html_text.extract(None) == html_text.extract("") == html_text.extract("<article></article><nav>menu</nav>") == ""
+    framed = "<div class='content has-sidebar'><form><h1>Head</h1><p>Text of the page, and more of it.</p><div class=sidebar>Side.</div></form></div>"
+    assert html_text.extract(framed) == "Head\nText of the page, and more of it."
+    assert html_text.extract("just 3 < 5 text") == "just 3 < 5 text"
+    assert html_text.extract("<p>" + "word, " * 100000) == ("word, " * 100000).strip()
+
+
+def test_html_table(spark):
+    pages = spark.createDataFrame([(1, "u", "<article><p>A b.</p></article>"), (1, "u", "<article><p>A b.</p></article>"), (None, None, None)], "page_id long, url string, html string")
+    got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.html_text(pages).collect())
+    assert got == [(0, "", 0), (1, "A b.", 4), (1, "A b.", 4)]
+
+
+# 4. Lines
+
+
+def test_line_dedup_by_brute_force(spark):
+    rng = random.Random(7)
+    pool = ["A line that many documents hold", " a LINE that many documents hold\t", "short", "Another long line of the pool here", "ÉTÉ a line with accents in it", ""]
+    texts = ["\n".join(rng.choice([*pool, f"own line number {i} of {rng.random()}"]) for _ in range(rng.randint(0, 9))) for i in range(60)] + [None, "x\n" * 3000 + pool[0]]
+    d = docs(spark, texts)
+    got = {r["doc_id"]: r for r in line_dedup.line_dedup(d).collect()}
+    key = lambda s: re.sub("[A-Z]", lambda m: m[0].lower(), s.strip(" \t\n\x0b\f\r"))
+    held = {}
+    for i, t in enumerate(texts):
+        for k in {key(s) for s in (t or "").split("\n")}:
+            held.setdefault(k, set()).add(i)
+    for i, t in enumerate(texts):
+        lines = (t or "").split("\n")
+        kept = [s for s in lines if len(key(s)) < 20 or len(held[key(s)]) < 3 or max(held[key(s)]) == i]
+        assert (got[i]["text"], got[i]["n_lines"], got[i]["n_dropped"]) == ("\n".join(kept), len(lines), len(lines) - len(kept))
+    twice = line_dedup.line_dedup(docs(spark, [pool[0]] * 5, ids=[1, 1, 2, 2, None]))
+    assert [r["n_dropped"] for r in twice.collect()] == [0] * 5
+    assert line_dedup.line_dedup(d.limit(0)).count() == 0
+
+
+# 5. Jaccard join
+
+
+def brute_components(texts, ids):
+    sets = []
+    for t in texts:
+        w = words(t)
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    low = list(ids)
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(texts)):
+            for j in range(i):
+                if sets[i] and sets[j] and low[i] != low[j] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                    low[i] = low[j] = min(low[i], low[j])
+                    changed = True
+    return [len(s) for s in sets], low
+
+
+@pytest.mark.parametrize("hot", [4096, 3])
+def test_ngram_join_by_brute_force(spark, monkeypatch, hot):
+    monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "TILE", 4)
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(300)]
+    texts = []
+    shared = " ".join(rng.choice(vocabulary) for _ in range(30))
+    for _ in range(10):
+        base = [rng.choice(vocabulary) for _ in range(rng.randint(6, 120))]
+        for k in range(5):
+            own = list(base)
+            for _ in range(rng.choice([0, 0, 1, 2, 3])):
+                own[rng.randrange(len(own))] = rng.choice(vocabulary)
+            texts.append(" ".join(own) + (f" {shared}" if k % 2 else ""))
+    # A chain: each links with the next, the ends don't.
+    chain = [f"c{i}" for i in range(80)]
+    texts += [" ".join(chain[i : i + 60]) for i in range(0, 20, 4)]
+    texts += ["", None, " \t", "one two", "One  TWO", "one two three", "x " * 2000]
+    ids = rng.sample(range(1000), len(texts))
+    got = {r["doc_id"]: r for r in ngram_join.ngram_join(docs(spark, texts, ids=ids)).collect()}
+    sizes, low = brute_components(texts, ids)
+    assert len(set(low)) < len(texts)
+    for k, i in enumerate(ids):
+        assert (got[i]["n_shingles"], got[i]["component_id"]) == (sizes[k], low[k]), texts[k]
+
+
+def test_ngram_join_of_nothing(spark):
+    assert ngram_join.ngram_join(docs(spark, ["x"]).limit(0)).count() == 0
+    assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, ["a b c d e f"] * 3, ids=[5, 5, 9])).collect()] == [(2, 5)] * 3
+
+
+def test_components_of_a_path(spark):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(40)] + [(100, 101), (7, 7)], "a long, b long")
+    assert {(r["id"], r["component"]) for r in components.components(edges).collect()} == {(i, 0) for i in range(41)} | {(100, 100), (101, 100)}
+
+
+# 6. Mixing
+
+
+def test_mixing(spark):
+    texts = [f"{'word ' * (i % 7 + 1)}" for i in range(300)] + [None, "", " \n ", " lead", "a b c"]
+    sources = ["a" if i % 3 == 0 else "b" if i % 50 else None for i in range(len(texts))]
+    d = docs(spark, texts, sources=sources)
+    one, two = (sorted(tuple(r) for r in mixing.mix(d).collect()) for _ in range(2))
+    assert one == two and len(one) == len(texts)
+    by = {}
+    for (i, size, total, target, taken) in one:
+        assert size == len(words(texts[i])) and 0 <= taken <= 2 * size and (size == 0 or taken % size == 0)
+        by.setdefault(sources[i], []).append((size, total, target, taken))
+    goal = 1.5 * sum(r[0] for rows in by.values() for r in rows)
+    assert sum(rows[0][2] for rows in by.values()) == pytest.approx(goal)
+    for rows in by.values():
+        assert abs(sum(r[3] for r in rows) - rows[0][2]) <= max(r[0] for r in rows) and rows[0][2] <= 2 * rows[0][1] + 1e-9
+    assert mixing.mix(d.limit(0)).count() == 0 and {r[1] for r in map(tuple, mixing.mix(docs(spark, [None, ""])).collect())} == {0}
+    assert sum(len(words(r["text"])) for r in mixing.mixed_rows(d).collect()) == sum(r[4] for r in one)
+
+
+def test_quality_weighs_the_draw():
+    # The share of draws in which the heavier of two keys comes first follows their weights.
+    rng = np.random.default_rng(0)
+    u, v = rng.uniform(size=100000), rng.uniform(size=100000)
+    assert np.mean(-np.log(u) / 1.0 < -np.log(v) / 0.5) == pytest.approx(2 / 3, abs=0.01)
+
+
+# 7. Language
+
+
+def test_language_id(spark):
+    rng = random.Random(3)
+    forms = {"en": "the of and with house river morning".split(), "de": "der die und mit haus fluss für über".split(), "fr": "le la les été très maison où garçon".split()}
+    texts, langs = [], []
+    for i in range(360):
+        lang = sorted(forms)[i % 3]
+        texts.append(" ".join(rng.choice(forms[lang]) for _ in range(12)))
+        langs.append(lang if i % 40 else None)
+    texts += [None, "", "12 34 !", "ЖЖЖ ЩЩЩ ЫЫЫ ЖЫЩ", "the house" * 3000]
+    langs += [None] * 5
+    got = {r["doc_id"]: r for r in char_lm.language_id(docs(spark, texts, langs)).collect()}
+    assert all(got[i]["held_out"] == (fold(i) == 0) for i in got)
+    held = [i for i in range(360) if fold(i) == 0]
+    assert np.mean([got[i]["lang_pred"] == sorted(forms)[i % 3] for i in held]) > 0.99
+    assert [got[360 + k]["lang_pred"] for k in range(3)] == ["und"] * 3 and got[360]["score"] == 0.0
+    assert got[363]["rejected"] and got[363]["lang_pred"] != "und" and got[364]["lang_pred"] == "en"
+    assert all(0 <= r["score"] <= 1 for r in got.values())
+    assert {r["lang_pred"] for r in char_lm.language_id(docs(spark, ["abc"], [None])).collect()} == {"und"}
+
+
+def test_models_are_distributions(spark):
+    d = docs(spark, ["abcab cab", "bca abc", "zz top"], ["x", "x", "y"]).select("lang", "text")
+    m = char_lm.train(d)
+    letters = [32, *map(ord, "abczto p".replace(" ", ""))]
+    history = char_lm.grams(*char_lm.letter_codes(["ab"]))[0][-2] >> np.uint64(0)
+    keys = np.array([(int(history) << 16 | c) & (1 << 64) - 1 for c in letters], dtype=np.uint64)
+    total = np.exp2(-m.look_up(keys).astype(float))[:, m.langs.index("x")].sum()
+    assert 0.7 < total <= 1.01
+
+
+# 9. Toxicity
+
+
+def edit_distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_automaton_against_edit_distance():
+    rng = random.Random(9)
+    lexicon = ["stupid", "moron", "morons", "idiot", "scum"]
+    a = toxicity.Automaton(lexicon, frozenset({"idiot"}))
+    made = []
+    for _ in range(4000):
+        s = rng.choice(lexicon)
+        for _ in range(rng.choice([0, 1, 1, 2])):
+            i = rng.randrange(len(s) + 1)
+            s = rng.choice([s[:i] + rng.choice("abmso") + s[i:], s[:i] + s[i + 1 :], s[:i] + rng.choice("stuz") + s[i + 1 :]])
+        made.append(s if len(s) > 1 else "ab")
+    at, word, edits = a.run(toxicity.words_of([" ".join(made)]))
+    got = {i: e for i, e in zip(at.tolist(), edits.tolist())}
+    for i, s in enumerate(made):
+        fits = [d for w in lexicon if (d := edit_distance(s, w)) <= (1 if len(w) >= 5 and w != "idiot" else 0)]
+        assert got.get(i) == (min(fits) if fits else None), s
+    assert len(word) == len(at)
+
+
+def test_toxicity_learns_and_catches(spark):
+    rng = random.Random(13)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}lo" for i in range(400)]
+    texts, toxic = [], []
+    for i in range(600):
+        own = [rng.choice(plain) for _ in range(40)]
+        bad = i % 6 == 0
+        if bad:
+            for w in rng.sample(["scoundrel", "nincompoop", "blockhead"], 2):
+                own.insert(rng.randrange(len(own)), w)
+        texts.append(" ".join(own))
+        toxic.append(int(bad))
+    texts += ["you scoundrel and n1ncompoop", "such a scoundrell, and a blokhead!", None, "", "plain words alone", "w " * 50000]
+    labels = spark.createDataFrame([(i, 1, t) for i, t in enumerate(toxic)] + [(None, 1, 1), (5, None, None)], "doc_id long, quality int, toxic int")
+    got = {r["doc_id"]: r for r in toxicity.toxicity(docs(spark, texts), labels).collect()}
+    assert all(got[i]["predicted"] == t for i, t in enumerate(toxic))
+    assert [got[600 + k]["predicted"] for k in range(6)] == [1, 1, 0, 0, 0, 0] and got[601]["misspelled"] == 2
+    assert all(0 <= r["score"] <= 1 and r["held_out"] == (fold(r["doc_id"]) == 0) for r in got.values())
+    quoted = toxicity._features(toxicity.Automaton(["scoundrel"]), ['They said "you scoundrel" to us.', "You scoundrel!"])
+    assert quoted.tolist() == [[0, 0, 1, 0], [1, 0, 0, 0]]
+    assert toxicity.toxicity(docs(spark, texts[:3]), labels.limit(0)).count() == 3
+
+
+# 10. Top-k
+
+
+@pytest.mark.parametrize("block", [8192, 16])
+def test_topk_by_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(topk_search, "BLOCK", block)
+    monkeypatch.setattr(topk_search, "FIRST", 5)
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((130, 8)).astype(np.float32)
+    x[50:60] = x[40]
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None), (220, [None] * 8), (240, [float("nan")] * 8), (3, rows_ := [float(v) for v in x[3]]), (260, [0.0] * 8)]
+    del rows_
+    got = {}
+    for r in topk_search.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20).collect():
+        got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
+    good = {i: np.floor(64 * np.array(v, dtype=np.float64)) for i, v in rows if v and all(y is not None and np.isfinite(y) for y in v)}
+    assert set(got) == {i for i in good if i % 20 == 0}
+    for q, found in got.items():
+        best = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:20]
+        assert sorted(found) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
+    assert topk_search.topk_search(few).count() == 2 and topk_search.topk_search(few.limit(0)).count() == 0
