@@ -108,7 +108,7 @@ def mutual_edges(spark, sf: str) -> DataFrame:
     return graph.mutual_edges(graph.effective_edges(graph.edge_counts(edges, PAGE)), PAGE)
 
 
-_RANKED_PAIRS = _WITH + ", p_counts AS (SELECT wiki, page_id, reverter_user AS src, reverted_user AS dst, count(*) AS n FROM d_reverts WHERE reverter_user <> reverted_user GROUP BY ALL HAVING count(*) >= 4)," + _MUTUAL.split("),\n", 1)[1].replace("p_mutual AS", "p_mutual AS", 1) + "," + _PAIR + """
+_RANKED_PAIRS = _WITH + ", p_counts AS (SELECT wiki, page_id, reverter_user AS src, reverted_user AS dst, count(*) AS n FROM d_reverts WHERE reverter_user <> reverted_user GROUP BY ALL HAVING count(*) >= 4)," + _MUTUAL.split("),\n", 1)[1] + "," + _PAIR + """
 SELECT m.wiki, m.page_id, pairs, mutual::BIGINT AS mutual, reverts::BIGINT AS reverts, round(best, 4) AS best, round(total, 4) AS total, ends,
   round(top / reverts, 4) AS top_share, round(strongest / reverts, 4) AS strongest_share, row_number() OVER (ORDER BY pairs DESC, mutual DESC, m.page_id)::INT AS rank
 FROM p_metrics m JOIN p_users u ON m.wiki = u.wiki AND m.page_id = u.page_id"""
