@@ -5,12 +5,13 @@
    share one of the first n - ceil(t n) + 1 shingles of each.
 2. Each set gets its size, a key for exact copies, a bitmap with a bit or so for each
    shingle, and its prefix. Copies meet in their smallest id.
-3. Sets that share a prefix shingle are tied to the smallest of them: a tree, not all
-   pairs. Sizes, then bitmaps bound the overlap from above; what passes is settled by
-   an exact intersection of sorted arrays. Hot shingles are tied in two levels.
+3. Sets that share a prefix shingle meet in the smallest of them, their hub. Each set is tied to
+   the hub it meets most often: a tree, not all pairs. Sizes, then bitmaps bound the
+   overlap from above; what passes is settled by an exact intersection of sorted arrays.
 4. Where sets that share a shingle are still in several components, those rows alone go
    into tiles of bounded size with their bitmaps, in the order of size, so that each row
-   meets only the band of sizes it can link with; survivors are settled exactly.
+   meets only the band of sizes it can link with, and only rows of other components. Rows of a
+   shingle's largest component meet the others, not each other. Survivors are settled exactly.
 """
 
 from __future__ import annotations
@@ -26,31 +27,44 @@ from .common import arrow_map, cut, drop_cut, slices, table
 from .components import components
 from .shingles import mix, shingle_hashes, shingle_sets
 
-#: Counters of the sketch: 2^20 of 8 bytes, summed on the way to the driver, and sent out as 1 MB of levels.
-SKETCH_BITS = 20
-_CHUNKS = 256
-#: Documents tied at one level, by the sketch.
+#: Counters of the sketch: 2^22, summed on the way to the driver (16 MB), and sent out as 4 MB of levels.
+SKETCH_BITS = 22
+_CHUNKS = 1024
+#: Levels for each doubling of a count.
+STEPS = 8
+#: Documents that meet in one group, by the sketch, and links of one hub in one group.
 HOT = 4096
 #: Rows on each side of a tile.
 TILE = 1024
-BITS_LEAST, BITS_MOST = 64, 1 << 16
+#: Bits of a bitmap: about two for each shingle. Tiles take bitmaps folded to the least; a pair that passes is held against the full ones.
+BITS_LEAST, BITS_MOST = 1024, 1 << 16
+
+
+def _pack(counts: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs, after a byte that tells how many."""
+    kind = next(k for k in (np.uint8, np.uint16, np.uint32, np.uint64) if counts.max() <= np.iinfo(k).max)
+    return bytes([np.dtype(kind).itemsize]) + counts.astype(kind).tobytes()
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype=f"<u{packed[0]}", offset=1).astype(np.uint64)
 
 
 def _sum_sketches(parts: DataFrame) -> np.ndarray:
-    """Sum rows of (chunk, part, counts binary) chunk by chunk, in two levels; 8 MB reach the driver."""
+    """Sum rows of (chunk, part, counts binary) chunk by chunk, in two levels; at most 32 MB reach the driver."""
 
-    def add(key, rows):
+    def add(rows):
         total = np.zeros((1 << SKETCH_BITS) // _CHUNKS, dtype=np.uint64)
         for x in rows.column("counts").to_pylist():
-            total += np.frombuffer(x, dtype=np.uint64)
-        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "part": rows.column("part").slice(0, 1).combine_chunks(), "counts": pa.array([total.tobytes()], pa.binary())})
+            total += _unpack(x)
+        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": rows.column("part").slice(0, 1), "counts": pa.array([_pack(total)], pa.binary())})
 
     schema = "chunk int, part int, counts binary"
-    by_part = parts.withColumn("part", F.col("part") % 64).groupBy("chunk", "part").applyInArrow(lambda key, rows: add(key, rows), schema)
-    found = by_part.drop("part").withColumn("part", F.lit(0)).groupBy("chunk").applyInArrow(lambda key, rows: add(key, rows), schema).collect()
+    by_part = parts.withColumn("part", F.col("part") % 16).groupBy("chunk", "part").applyInArrow(lambda key, rows: add(rows), schema)
+    found = by_part.withColumn("part", F.lit(0)).groupBy("chunk").applyInArrow(lambda key, rows: add(rows), schema).collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint64).reshape(_CHUNKS, -1)
     for row in found:
-        out[row["chunk"]] = np.frombuffer(row["counts"], dtype=np.uint64)
+        out[row["chunk"]] = _unpack(row["counts"])
     return out.reshape(-1)
 
 
@@ -59,26 +73,34 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        counts, seen = np.zeros(1 << SKETCH_BITS, dtype=np.uint64), False
-        part = 0
+        counts, seen, part = np.zeros(1 << SKETCH_BITS, dtype=np.int64), False, 0
+        held = []
         for b in batches:
             for s in slices(b, "text"):
                 hashes, _ = shingle_hashes(s.column("text"), words)
                 if len(hashes):
                     seen, part = True, int(hashes[0] & np.uint64(0x7FFFFFFF))
-                    counts += np.bincount((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int64), minlength=1 << SKETCH_BITS).astype(np.uint64)
+                    held.append((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
+                if sum(map(len, held)) > 1 << 20:
+                    counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
+                    held = []
+        if held:
+            counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
         if seen:
-            rows = counts.reshape(_CHUNKS, -1)
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array([x.tobytes() for x in rows], pa.binary())], ["chunk", "part", "counts"])
+            rows = [_pack(x) for x in counts.reshape(_CHUNKS, -1)]
+            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"])
 
     return _sum_sketches(docs.select("text").mapInArrow(run, "chunk int, part int, counts binary"))
 
 
-def _bitmap(own: np.ndarray) -> bytes:
-    bits = min(max(BITS_LEAST, 1 << max(0, (len(own) - 1).bit_length())), BITS_MOST)
-    at = np.zeros(bits, dtype=bool)
-    at[(own & np.uint64(bits - 1)).astype(np.int64)] = True
-    return np.packbits(at, bitorder="little").tobytes()
+def _bitmap(own: np.ndarray, bits: int) -> bytes:
+    """The parity of the number of shingles that fall on each bit: two bitmaps differ in no more bits than their sets in shingles."""
+    counts = np.bincount((own & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(np.uint8), bitorder="little").tobytes()
+
+
+def _bits_for(n: int) -> int:
+    return min(max(BITS_LEAST, 1 << (2 * n - 1).bit_length()), BITS_MOST)
 
 
 def _longs(values) -> pa.Array:
@@ -86,55 +108,52 @@ def _longs(values) -> pa.Array:
 
 
 def signatures(docs: DataFrame, levels, threshold: int, words: int) -> DataFrame:
-    """doc_id, n, k1, k2, bits and prefix (shingle, salts) of each row; levels is a broadcast of the order."""
+    """doc_id, n, k1, k2, bits, narrow (bits folded) and prefix (shingle, salts) of each row; levels is a broadcast of the order."""
 
     def make():
         order = levels.value
 
         def f(batch):
-            ns, k1s, k2s, bits, shingles, salts, ends = [], [], [], [], [], [], [0]
+            ns, k1s, k2s, bits, narrow, shingles, salts, ends = [], [], [], [], [], [], [], [0]
             for own in shingle_sets(batch.column("text"), words):
                 n = len(own)
                 ns.append(n)
                 k1s.append(own.sum(dtype=np.uint64))
                 k2s.append(np.bitwise_xor.reduce(mix(own ^ np.uint64(0x5851F42D4C957F2D))) if n else np.uint64(0))
-                bits.append(_bitmap(own) if n else b"")
+                bits.append(_bitmap(own, _bits_for(n)) if n else b"")
+                narrow.append(_bitmap(own, BITS_LEAST) if n else b"")
                 if n:
                     level = order[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[: n - (threshold * n + 99) // 100 + 1]
                     shingles.append(own[first])
-                    # 4 levels double the count.
-                    salts.append(np.maximum(1, np.exp2(level[first] / 4.0) / HOT).astype(np.int32))
+                    salts.append(np.maximum(1, np.exp2(level[first] / STEPS) / HOT).astype(np.int32))
                     ends.append(ends[-1] + len(first))
                 else:
                     ends.append(ends[-1])
             none = np.zeros(0, dtype=np.uint64)
             pairs = pa.StructArray.from_arrays([_longs(np.concatenate([none, *shingles])), pa.array(np.concatenate([none.astype(np.int32), *salts]), pa.int32())], ["shingle", "salts"])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), _longs(k1s), _longs(k2s), pa.array(bits, pa.binary()), prefix], ["doc_id", "n", "k1", "k2", "bits", "prefix"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), _longs(k1s), _longs(k2s), pa.array(bits, pa.binary()), pa.array(narrow, pa.binary()), prefix], ["doc_id", "n", "k1", "k2", "bits", "narrow", "prefix"])
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs, make, f"doc_id {kind}, n long, k1 long, k2 long, bits binary, prefix array<struct<shingle:long,salts:int>>", "text")
+    return arrow_map(docs, make, f"doc_id {kind}, n long, k1 long, k2 long, bits binary, narrow binary, prefix array<struct<shingle:long,salts:int>>", "text")
 
 
-def _fold(bits: list[bytes]) -> np.ndarray:
-    """Bitmaps as rows of 64-bit words, folded to the shortest of them. A power of two of bits each."""
-    least = min(map(len, bits))
-    out = np.empty((len(bits), least // 8), dtype=np.uint64)
-    for i, x in enumerate(bits):
-        row = np.frombuffer(x, dtype=np.uint64)
-        while len(row) * 8 > least:
-            row = row[: len(row) // 2] | row[len(row) // 2 :]
-        out[i] = row
-    return out
+def _apart(x: bytes, y: bytes) -> int:
+    """In how many bits two bitmaps differ, the longer folded to the shorter."""
+    p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
+    if len(p) < len(q):
+        p, q = q, p
+    while len(p) > len(q):
+        p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+    return int(np.bitwise_count(p ^ q).sum())
 
 
-def _can_link(n: np.ndarray, m: np.ndarray, missing_n: np.ndarray, missing_m: np.ndarray, threshold: int) -> np.ndarray:
-    """Whether an overlap of at most min(n - missing_n, m - missing_m) can reach the threshold."""
-    most = np.minimum(n - missing_n, m - missing_m)
-    return 100 * most >= threshold * (n + m - most)
+def _can_link(n, m, apart, threshold: int):
+    """Whether sets of sizes n and m that differ in `apart` shingles at least can reach the threshold: their overlap is (n + m - apart) / 2 at most."""
+    return 100 * (n + m - apart) >= threshold * (n + m + apart)
 
 
 def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFrame:
@@ -148,8 +167,7 @@ def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFra
             a, b = (batch.column(x).to_pylist() for x in ("bits_a", "bits_b"))
             keep = []
             for n, m, x, y in zip(batch.column("n_a").to_pylist(), batch.column("n_b").to_pylist(), a, b, strict=True):
-                p, q = _fold([x, y])
-                keep.append(bool(_can_link(n, m, int(np.bitwise_count(p & ~q).sum()), int(np.bitwise_count(q & ~p).sum()), threshold)))
+                keep.append(_can_link(n, m, _apart(x, y), threshold))
             return batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
         return f
@@ -158,35 +176,52 @@ def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFra
     return arrow_map(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), make, f"a {kind}, b {kind}")
 
 
-def _tile_pairs(rows: DataFrame, threshold: int, kind: str) -> DataFrame:
-    """Of rows (tile, side, id, component, n, bits): pairs of the two sides, or within side 0 if there is one, that are in
-    different components and that size and bitmap let link. A row meets only its band of sizes."""
-
-    def compare(key, tile: pa.Table):
-        tile = tile.combine_chunks()
-        n = tile.column("n").to_numpy()
-        order = np.argsort(n, kind="stable")
-        n = n[order]
-        side, comp, ids = (tile.column(x).to_numpy()[order] for x in ("side", "component", "id"))
-        words = _fold([tile.column("bits")[int(i)].as_py() for i in order])
-        single = not side.any()
-        left, right = [], []
-        for i in range(len(n)):
-            high = int(np.searchsorted(n, 100 * n[i] // threshold, "right"))
-            band = slice(i + 1, high)
-            ok = comp[band] != comp[i]
-            if not single:
-                ok &= side[band] != side[i]
-            at = np.flatnonzero(ok) + i + 1
-            if len(at):
-                out_i = np.bitwise_count(words[i] & ~words[at]).sum(axis=1, dtype=np.int64)
-                out_at = np.bitwise_count(words[at] & ~words[i]).sum(axis=1, dtype=np.int64)
-                at = at[_can_link(n[i], n[at], out_i, out_at, threshold)]
-                left += [ids[i]] * len(at)
-                right += ids[at].tolist()
-        return pa.table({"a": pa.array(left, pa.int64()), "b": pa.array(right, pa.int64())})
-
-    return rows.groupBy("shingle", "salt", "t0", "t1").applyInArrow(lambda key, tile: compare(key, tile), f"a {kind}, b {kind}")
+def _meet(tiles: pa.Table, threshold: int) -> pa.Table:
+    """Pairs of rows of the same tile (rows stand by tile, then size), in different components, that sizes and bitmaps let link."""
+    n, comp, ids, tile = (tiles.column(x).to_numpy() for x in ("n", "component", "id", "tile"))
+    words = np.frombuffer(b"".join(tiles.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+    left, right = [], []
+    live = np.arange(len(n) - 1)
+    step = 1
+    while len(live):
+        live = live[live + step < len(n)]
+        other = live + step
+        # Sizes rise within a tile: a row that has left its band, or its tile, is done.
+        on = (tile[other] == tile[live]) & (threshold * n[other] <= 100 * n[live])
+        live, other = live[on], other[on]
+        cross = comp[live] != comp[other]
+        a, b = live[cross], other[cross]
+        if len(a):
+            apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
+            ok = _can_link(n[a], n[b], apart, threshold)
+            left.append(ids[a[ok]])
+            right.append(ids[b[ok]])
+        step += 1
+    none = [np.zeros(0, dtype=np.int64)]
+    return pa.table({"a": np.concatenate(none + left), "b": np.concatenate(none + right)})
+
+
+def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    """_meet() over rows (tile, id, component, n, narrow), whole tiles at a time; small tiles share a call."""
+    ship_package(rows.sparkSession)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows < 4096:
+                continue
+            tile = held.column("tile").to_numpy()
+            ended = np.flatnonzero(tile != tile[-1])
+            if len(ended):
+                whole = int(ended[-1]) + 1
+                yield from _meet(held.slice(0, whole).combine_chunks(), threshold).to_batches()
+                held = held.slice(whole)
+        if held is not None and held.num_rows:
+            yield from _meet(held.combine_chunks(), threshold).to_batches()
+
+    return rows.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(run, "a long, b long")
 
 
 def _id_bits(ids: DataFrame, spark):
@@ -268,7 +303,7 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     counts = shingle_sketch(docs, words)
-    levels = spark.sparkContext.broadcast(np.minimum(255, np.log2(counts.astype(np.float64) + 1) * 4).astype(np.uint8))
+    levels = spark.sparkContext.broadcast(np.minimum(255, np.log2(counts.astype(np.float64) + 1) * STEPS).astype(np.uint8))
     sigs = cut(signatures(docs, levels, threshold, words), "signatures")
     keys = ["n", "k1", "k2"]
     tops = cut(sigs.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "copies")
@@ -281,22 +316,33 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     met = cut(rows.withColumn("hub", F.min("doc_id").over(by)).withColumn("held", F.count("*").over(by)).where("held > 1 or salts > 1"), "met")
     hubs = met.where("salts > 1").groupBy("shingle", "salt").agg(F.min("hub").alias("hub"))
     tied = hubs.join(hubs.groupBy("shingle").agg(F.min("hub").alias("top")), "shingle").select(F.col("top").alias("a"), F.col("hub").alias("b"))
-    pairs = met.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(tied).where("a <> b").distinct()
+    # Each set's most frequent hub, the smallest of several.
+    often = met.where("hub <> doc_id").groupBy("doc_id", "hub").agg(F.count("*").alias("times"))
+    best = often.groupBy("doc_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"))
+    pairs = best.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(tied.where("a <> b")).distinct()
     bits = sigs.select("doc_id", "n", "bits")
     links = cut(exact_links(docs, cut(_bounded_pairs(pairs, bits, threshold), "pairs"), threshold, words), "links")
     found = components(links)
 
     # What is still apart and shares a shingle: every such pair meets in a tile.
     comp = met.join(found, F.col("doc_id") == F.col("id"), "left").select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    apart = comp.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("rows")).where("low <> high")
-    blocks = F.ceil(F.col("rows") / F.lit(TILE)).cast("int")
-    left = comp.join(apart.select("shingle", blocks.alias("blocks")), "shingle").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    tiles = left.join(bits, "doc_id").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
-        "shingle", F.lit(0).alias("salt"), F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"),
-        (F.col("block") > F.col("other")).cast("int").alias("side"), F.col("doc_id").alias("id"), "component", "n", "bits",
-    )
-    more = _tile_pairs(tiles, threshold, "long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(more, "pairs")
+    sizes = comp.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
+    apart = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("major_rows"), F.sum("rows").alias("all_rows")).where("all_rows > major_rows")
+    blocks = lambda rows: F.ceil(rows / F.lit(TILE)).cast("int")
+    apart = apart.select("shingle", "major", blocks(F.col("major_rows")).alias("majors"), blocks(F.col("all_rows") - F.col("major_rows")).alias("minors"))
+    left = comp.join(apart, "shingle")
+    is_major = F.col("component") == F.col("major")
+    # A tile is a block of the others with a block of the largest component, or with one of the others.
+    block = F.pmod(F.xxhash64("doc_id"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("minors") - 1)
+    own = F.transform(others, lambda i: F.struct(F.least(F.col("block"), i).alias("t0"), F.greatest(F.col("block"), i).alias("t1")))
+    major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.col("block").alias("t0"), (-1 - j).alias("t1")))
+    places = F.when(is_major, F.transform(others, lambda i: F.struct(i.alias("t0"), (-1 - F.col("block")).alias("t1")))).otherwise(F.concat(own, major))
+    placed = left.withColumn("block", block).select("shingle", "doc_id", "component", F.explode(places).alias("t"))
+    # Tiles of different shingles that fall on one number only compare more than they must.
+    tiles = placed.join(sigs.select("doc_id", "n", "narrow"), "doc_id").select(F.xxhash64("shingle", "t.t0", "t.t1").alias("tile"), F.col("doc_id").alias("id"), "component", "n", "narrow")
+    more = _tile_pairs(tiles, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    more = cut(_bounded_pairs(more, bits, threshold), "pairs")
     if more.limit(1).count():
         found = components(links.unionByName(exact_links(docs, more, threshold, words)))
     drop_cut(met)
