@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import cut, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 4096
@@ -74,7 +74,8 @@ def mix(
     """
     size = word_count(F.col(text_col))
     sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.char_length(text_col).alias("n"))
-    return mix_sized(sized, share, most, weights, seed)
+    # Four numbers a row from here on: the texts are read once.
+    return mix_sized(cut(sized, "sizes"), share, most, weights, seed)
 
 
 def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, ...], seed: int) -> DataFrame:
