@@ -71,7 +71,8 @@ def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
     """A row for each edit and live window (5m, 1h, 24h): counts, metrics, score and severity over what the page has had since.
 
     edits: wiki, page_id, rev_id, ts, user_text, user_is_bot; reverts: wiki, page_id, rev_id, ts, reverter_user, reverted_user.
-    Counts are range frames; edges meet edits by the hour they fall into, so that the interval join stays an equi-join."""
+    Counts are range frames, those of edges, too: an edit asks for each edge that its page had of late, so that rows are edits by live edges and
+    no edit ever meets single reverts."""
     out = None
     parts = edits.select(*PAGE, "rev_id", "ts", "user_text", "user_is_bot").withColumn("at", F.unix_micros("ts"))
     mine = reverts.select(*PAGE, "rev_id", F.lit(True).alias("reverts"))
@@ -85,13 +86,16 @@ def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
             F.max(F.when(human, F.col("at"))).over(over).alias("last_human"),
         )
         step = max(3600, seconds)
-        events = reverts.select(*PAGE, F.unix_micros("ts").alias("r_at"), "reverter_user", "reverted_user")
-        slot = F.floor(F.col("r_at") / F.lit(step * 1_000_000))
-        near = events.withColumn("slot", F.explode(F.array(slot, slot + 1)))
-        met = rows.select(*PAGE, "rev_id", "at", F.floor(F.col("at") / F.lit(step * 1_000_000)).alias("slot")).join(near, [*PAGE, "slot"])
-        met = met.where((F.col("r_at") <= F.col("at")) & (F.col("r_at") >= F.col("at") - seconds * 1_000_000))
-        keys = [*PAGE, "rev_id"]
-        counts = met.groupBy(*keys, "reverter_user", "reverted_user").agg(F.count("*").alias("n"))
+        # Each edit asks for the edges that its day and the one before have; running sums over (page, edge) answer.
+        users = [F.coalesce(c, F.lit("")).alias(c) for c in ("reverter_user", "reverted_user")]
+        events = reverts.select(*PAGE, F.unix_micros("ts").alias("at"), *users)
+        slot = F.floor(F.col("at") / F.lit(step * 1_000_000))
+        near = events.withColumn("slot", F.explode(F.array(slot, slot + 1))).select(*PAGE, "slot", "reverter_user", "reverted_user").distinct()
+        keys, edge = [*PAGE, "rev_id"], [*PAGE, "reverter_user", "reverted_user"]
+        asked = rows.select(*keys, "at", slot.alias("slot")).join(near, [*PAGE, "slot"]).select(*edge, "at", "rev_id", F.lit(0).alias("w"))
+        both = asked.unionByName(events.select(*edge, "at", F.lit(None).cast("long").alias("rev_id"), F.lit(1).alias("w")))
+        seen = Window.partitionBy(*edge).orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
+        counts = both.withColumn("n", F.sum("w").over(seen)).where("rev_id IS NOT NULL AND n > 0").select(*keys, "reverter_user", "reverted_user", "n")
         tops = counts.groupBy(*keys, "reverter_user").agg(F.sum("n").alias("n")).groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("top_share"))
         pair = counts.where("reverter_user <> '' AND reverted_user <> '' AND reverter_user <> reverted_user").withColumns({"p": F.least("reverter_user", "reverted_user"), "q": F.greatest("reverter_user", "reverted_user")})
         pair = pair.groupBy(*keys, "p", "q").agg(F.sum(F.when(F.col("reverter_user") == F.col("p"), F.col("n")).otherwise(0)).alias("ab"), F.sum(F.when(F.col("reverter_user") == F.col("q"), F.col("n")).otherwise(0)).alias("ba"))

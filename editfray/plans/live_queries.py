@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -249,7 +250,9 @@ def changed_segments(spark, sf: str) -> DataFrame:
 
 
 def _stats(spark, sf: str) -> DataFrame:
-    return ev.segment_stats(ev.pair_segments(revisions(spark, sf), ["page_id"], ("ts", "rev_id")), ["page_id"], ("ts", "rev_id"))
+    # Three aggregates read the changes: texts are aligned once.
+    found = ev.pair_segments(revisions(spark, sf), ["page_id"], ("ts", "rev_id")).persist(StorageLevel.DISK_ONLY)
+    return ev.segment_stats(found, ["page_id"], ("ts", "rev_id"))
 
 
 @query("battles")
