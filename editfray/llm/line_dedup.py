@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower
+from .common import BLANKS, ascii_lower, cut
 
 
 def line_key(line: Column) -> Column:
@@ -53,6 +53,8 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
+    # Written, it is a plain side of the join: where a hot key skews the other, Spark splits that.
+    common = cut(common, "common-lines")
     gone = (
         held.join(common, ["h1", "h2"])
         .where(~F.col("__id").eqNullSafe(F.col("keeper")))
