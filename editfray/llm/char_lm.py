@@ -3,8 +3,9 @@
 A gram is up to four code points packed into 64 bits (16 each), so that suffixes and
 histories are shifts and masks. Tasks count the highest grams of all training texts; Spark sums
 them; lower orders are counts of distinct left neighbours, as Kneser-Ney has it. The
-models of all languages share one sorted array of grams an order, with a row of
-log-probabilities: one look-up serves all languages.
+model is a set of Spark tables that grow with the texts, without a bound. Tasks hold the
+losses of the most frequent grams, a row of all languages a gram; the grams of a text
+that aren't among them are joined to the tables.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,6 +23,8 @@ from .common import arrow_map, cut, drop_cut, fold_column, slices, table
 
 ORDER = 4
 SPACE = 32
+#: Losses (grams times languages) that each task holds; a matter of speed, results don't depend on it.
+CELLS = 4_000_000
 
 
 def _letters() -> np.ndarray:
@@ -118,48 +122,34 @@ def count_grams(docs: DataFrame) -> DataFrame:
 
 
 @dataclass
-class Model:
-    """langs; for each order from 1: sorted grams and, a column a language, minus log2 of their probabilities; sorted histories and
-    minus log2 of the weight that each leaves to the next lower order.
-
-    floor: the same for a letter never seen; level: bits a letter above which a text is held to be in none of the
-    languages, a number a language."""
+class Hot:
+    """What each task holds of a model: the grams met most often, sorted, and a column a language, minus log2 of their probabilities."""
 
-    langs: list[str]
-    grams: list[np.ndarray]
-    losses: list[np.ndarray]
-    histories: list[np.ndarray]
-    weights: list[np.ndarray]
-    floor: np.ndarray
-    level: np.ndarray
+    grams: np.ndarray
+    losses: np.ndarray
 
-    def look_up(self, keys: np.ndarray) -> np.ndarray:
-        """Minus log2 of each key's probability by each language; a gram that no model holds goes by its suffix, and by what its history leaves to it."""
-        out = np.zeros((len(keys), len(self.langs)), dtype=np.float32)
-        todo = np.arange(len(keys))
-        for order in range(len(self.grams), 0, -1):
-            short = _suffix(keys[todo], order)
-            at, hit = _places(self.grams[order - 1], short)
-            out[todo[hit]] += self.losses[order - 1][at[hit]]
-            todo, short = todo[~hit], short[~hit]
-            at, hit = _places(self.histories[order - 1], short >> np.uint64(16))
-            out[todo[hit]] += self.weights[order - 1][at[hit]]
-        out[todo] += self.floor
-        return out
-
-    def entropy(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """Of each text: bits a letter by each language, and the number of letters and blanks that it counts."""
+    def sums(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of each text: the bits of its held grams by each language, how many grams it has, and whether it has a letter; and the
+        grams that aren't held: text, gram and times."""
         codes, starts = letter_codes(texts)
         keys, begin = grams(codes, starts)
         letters = np.add.reduceat(np.concatenate((codes != SPACE, [False])), starts[:-1]) if len(texts) else np.zeros(0)
         sizes = np.diff(begin)
-        sums = np.zeros((len(texts), len(self.langs)))
+        sums = np.zeros((len(texts), self.losses.shape[1]))
+        lost = (np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64))
         if len(keys):
             unique, at = np.unique(keys, return_inverse=True)
-            losses = self.look_up(unique)[at]
+            place, hit = _places(self.grams, unique)
             some = sizes > 0
-            sums[some] = np.add.reduceat(losses, begin[:-1][some], axis=0, dtype=np.float64)
-        return sums / np.maximum(sizes, 1)[:, None], np.where(letters > 0, sizes, 0)
+            for k in range(sums.shape[1]):  # one language at a time, so that memory doesn't grow with their number
+                own = self.losses[place, k] if len(self.grams) else np.zeros(len(unique), dtype=np.float32)
+                sums[some, k] = np.add.reduceat(np.where(hit, own, 0)[at], begin[:-1][some], dtype=np.float64)
+            missed = np.flatnonzero(~hit[at])
+            if len(missed):
+                text = np.searchsorted(begin, missed, side="right") - 1
+                pairs, times = np.unique(text * len(unique) + at[missed], return_counts=True)
+                lost = (pairs // len(unique), unique[pairs % len(unique)], times)
+        return sums, sizes, letters > 0, lost
 
 
 def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -170,78 +160,184 @@ def _places(known: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return at, known[at] == keys
 
 
-def _suffix(keys: np.ndarray, order: int) -> np.ndarray:
-    return keys if order >= 4 else keys & np.uint64((1 << (16 * order)) - 1)
+def _packed(rows: np.ndarray) -> pa.Array:
+    """Each row of numbers as bytes."""
+    return pa.array([x.tobytes() for x in rows], pa.binary())
+
+
+def _unpacked(column, kind, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=kind).reshape(len(column), n)
+
+
+def _listed(column) -> tuple[np.ndarray, pa.Array]:
+    """The row of each entry of a column of lists, and the entries."""
+    sizes = pc.fill_null(pc.list_value_length(column), 0).to_numpy(zero_copy_only=False)
+    return np.repeat(np.arange(len(column)), sizes), column.flatten()
+
+
+@dataclass
+class Model:
+    """langs; for each order from 1 two tables in Spark, without a bound on their rows: gram with its counts by language, and history
+    with totals and kinds by language. hot: what tasks hold of them, for speed alone.
+
+    floor: the probability of a letter never seen; level: bits a letter above which a text is held to be in none of the
+    languages, a number a language."""
+
+    langs: list[str]
+    counts: list[DataFrame]
+    histories: list[DataFrame]
+    discount: float
+    floor: float
+    level: np.ndarray
+    hot: Hot | None = None
+
+    def probabilities(self, keys: DataFrame, order: int = ORDER) -> DataFrame:
+        """gram and p, its probabilities by each language as packed doubles, for keys (distinct gram): a language that lacks a gram
+        goes by its suffix, and by what its history leaves to it."""
+        n, discount = len(self.langs), self.discount
+        if not order:
+            return keys.withColumn("p", F.lit(np.full(n, self.floor).tobytes()))
+        rows = keys.withColumn("history", F.shiftrightunsigned("gram", 16)).withColumn("suffix", F.col("gram").bitwiseAND((1 << (16 * (order - 1))) - 1))
+        rows = rows.join(self.counts[order - 1], "gram", "left").join(self.histories[order - 1], "history", "left")
+        if order > 1:
+            lower = self.probabilities(rows.select(F.col("suffix").alias("gram")).distinct(), order - 1)
+            rows = rows.join(lower.withColumnRenamed("gram", "suffix"), "suffix")
+        else:
+            rows = rows.withColumn("p", F.lit(np.full(n, self.floor).tobytes()))
+
+        def run(batches):
+            step = max(1, 1_000_000 // n)
+            for whole in batches:
+                for i in range(0, whole.num_rows, step):
+                    b = whole.slice(i, step)
+                    lower = _unpacked(b.column("p"), np.float64, n)
+                    weights, totals = np.ones(lower.shape), np.ones(lower.shape)
+                    at, of = _listed(b.column("given"))
+                    k, total, kinds = (of.field(x).to_numpy() for x in range(3))
+                    weights[at, k], totals[at, k] = discount * kinds / total, total
+                    p = weights * lower
+                    at, of = _listed(b.column("own"))
+                    k, c = (of.field(x).to_numpy() for x in range(2))
+                    p[at, k] += np.maximum(c - discount, 0) / totals[at, k]
+                    yield pa.RecordBatch.from_arrays([b.column("gram"), _packed(p)], ["gram", "p"])
+
+        ship_package(keys.sparkSession)
+        return rows.select("gram", "own", "given", "p").mapInArrow(run, "gram long, p binary")
+
+    def look_up(self, keys: np.ndarray) -> np.ndarray:
+        """Minus log2 of each key's probability by each language."""
+        spark = self.counts[0].sparkSession
+        unique, at = np.unique(keys, return_inverse=True)
+        asked = spark.createDataFrame([(x,) for x in unique.view(np.int64).tolist()], "gram long")
+        known, losses = _gathered(self.probabilities(asked), len(self.langs))
+        return losses[_places(known, unique)[0]][at]
+
+
+def _gathered(found: DataFrame, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted grams, and their losses, of a few rows of probabilities."""
+    rows = found.toArrow().combine_chunks()
+    keys = rows.column("gram").to_numpy().view(np.uint64)
+    losses = np.concatenate([-np.log2(_unpacked(c, np.float64, n)).astype(np.float32) for c in rows.column("p").chunks] or [np.zeros((0, n), dtype=np.float32)])
+    order = np.argsort(keys)
+    return keys[order], losses[order]
 
 
-def train(docs: DataFrame, most: int = 150_000, cells: int = 16_000_000, discount: float = 0.75) -> Model | None:
+def train(docs: DataFrame, discount: float = 0.75) -> Model | None:
     """Fit on all rows of docs (lang, text); None without any.
 
-    Counts and sums are of all texts, and stay in Spark. The model that reaches the driver and the tasks holds,
-    of each language and order, the grams of the highest counts: at most `most` and, with many languages,
-    `cells` over their number squared, so that its arrays stay under 4 * cells bytes an order."""
+    Counts and sums are of all texts and all grams, and stay in Spark, as written tables."""
     counted = cut(count_grams(docs), "grams")
     langs = [r["lang"] for r in counted.select("lang").distinct().orderBy("lang").collect()]
     if not langs:
         return None
-    most = max(64, min(most, cells // len(langs) ** 2))
-    by_order: list[dict] = [{}] * ORDER
-    level = counted
+    places = docs.sparkSession.createDataFrame(list(enumerate(langs)), "k int, lang string")
+    level = cut(counted.join(places, "lang").select("k", "gram", "n"), "grams")
+    drop_cut(counted)
+    counts, histories, top = [], [], level
     for order in range(ORDER, 0, -1):
-        history = F.shiftrightunsigned("gram", 16)
-        tops = level.groupBy("lang", history.alias("history")).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
-        rows = level.withColumn("history", history).join(tops, ["lang", "history"])
-        # The least count that keeps a language within `most`, from a histogram of counts.
-        steps = level.groupBy("lang", F.least("n", F.lit(4096)).alias("n")).agg(F.count("*").alias("grams")).toPandas()
-        least = {}
-        for lang, own in steps.groupby("lang"):
-            own = own.sort_values("n", ascending=False)
-            fits = own[own["grams"].cumsum() <= most]
-            least[lang] = int(fits["n"].min()) if len(fits) else 4096
-        bound = F.create_map(*[F.lit(x) for pair in least.items() for x in pair])
-        kept = rows.where(F.col("n") >= bound[F.col("lang")])
-        found = kept.select("lang", "gram", "n", "total", "kinds").toPandas()
-        if len(found) > most * len(langs):  # more than fit share the highest counts
-            found = found.sort_values(["n", "gram"], ascending=[False, True]).groupby("lang").head(most)
-        by_order[order - 1] = {lang: own for lang, own in found.groupby("lang")}
+        history = F.shiftrightunsigned("gram", 16).alias("history")
+        sums = level.groupBy("k", history).agg(F.sum("n").alias("total"), F.count("*").alias("kinds"))
+        counts.append(cut(level.groupBy("gram").agg(F.collect_list(F.struct("k", "n")).alias("own")), "counts"))
+        histories.append(cut(sums.groupBy("history").agg(F.collect_list(F.struct("k", "total", "kinds")).alias("given")), "histories"))
         if order > 1:
-            level = level.groupBy("lang", F.col("gram").bitwiseAND((1 << (16 * (order - 1))) - 1).alias("gram")).agg(F.count("*").alias("n"))
-    drop_cut(counted)
-    return _fit(langs, by_order, discount)
-
-
-def _fit(langs: list[str], by_order: list[dict], discount: float) -> Model:
-    n = len(langs)
-    kinds = max(2, len({int(x) for own in by_order[0].values() for x in own["gram"]}) + 1)
-    model = Model(langs, [], [], [], [], np.full(n, np.log2(kinds), dtype=np.float32), np.full(n, np.inf))
-    for order in range(1, ORDER + 1):
-        rows = by_order[order - 1]
-        union = np.unique(np.concatenate([own["gram"].to_numpy(np.int64).view(np.uint64) for own in rows.values()]))
-        # Where a language has no count of a gram, its history's weight goes to the suffix; without the history all does.
-        lower = np.exp2(-model.look_up(_suffix(union, order - 1)).astype(np.float64))
-        histories = np.unique(union >> np.uint64(16))
-        weights = np.ones((len(histories), n))
-        for k, lang in enumerate(langs):
-            if lang in rows:
-                keys, total, types = rows[lang]["gram"].to_numpy(np.int64).view(np.uint64), *(rows[lang][x].to_numpy(np.float64) for x in ("total", "kinds"))
-                weights[np.searchsorted(histories, keys >> np.uint64(16)), k] = discount * types / total
-        p = weights[np.searchsorted(histories, union >> np.uint64(16))] * lower
-        for k, lang in enumerate(langs):
-            if lang in rows:
-                keys, c, total = rows[lang]["gram"].to_numpy(np.int64).view(np.uint64), *(rows[lang][x].to_numpy(np.float64) for x in ("n", "total"))
-                p[np.searchsorted(union, keys), k] += np.maximum(c - discount, 0) / total
-        model.grams.append(union)
-        model.losses.append(-np.log2(np.maximum(p, 1e-12)).astype(np.float32))
-        model.histories.append(histories)
-        model.weights.append(-np.log2(weights).astype(np.float32))
+            level = cut(level.groupBy("k", F.col("gram").bitwiseAND((1 << (16 * (order - 1))) - 1).alias("gram")).agg(F.count("*").alias("n")), "grams")
+    counts, histories = counts[::-1], histories[::-1]
+    model = Model(langs, counts, histories, discount, 1 / max(2, counts[0].count() + 1), np.full(len(langs), np.inf))
+    # The most frequent grams that fit, by steps of their counts: held by tasks, so that few grams of a text must be joined.
+    sums = top.groupBy("gram").agg(F.sum("n").alias("n")).withColumn("step", F.floor(F.log2("n") * 8))
+    steps = sums.groupBy("step").agg(F.count("*").alias("grams")).toPandas().sort_values("step", ascending=False)
+    fits = steps[steps["grams"].cumsum() <= max(1, CELLS // len(langs))]
+    chosen = sums.where(F.col("step") >= int(fits["step"].min())) if len(fits) else sums.where("false")
+    model.hot = Hot(*_gathered(model.probabilities(chosen.select("gram")), len(langs)))
     return model
 
 
-def calibrate(model: Model, docs: DataFrame, sample: int = 4000, spread: float = 4.0) -> None:
-    """Set the model's levels: mean and `spread` deviations of the bits a letter over at most about `sample` rows of docs, taken by hash."""
-    step = max(1, -(-docs.count() // sample))
-    own = docs.where(F.col("lang").isNotNull() & (F.pmod(F.xxhash64("doc_id"), F.lit(step)) == 0))
-    bits = identify(own, model).groupBy("lang").agg(F.avg("bits_own").alias("mean"), F.stddev_pop("bits_own").alias("deviation")).collect()
+def entropies(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, lang, size (grams), some (letters at all) and sums, bits by each language as packed doubles, for each row of docs (doc_id, lang, text).
+
+    Grams that tasks don't hold are looked up in the model's tables by a join, each once, and added to their rows."""
+    n = len(model.langs)
+    shared = docs.sparkSession.sparkContext.broadcast(model.hot)
+
+    def make():
+        hot = shared.value
+
+        def f(batch):
+            sums, sizes, some, (text, gram, times) = hot.sums(batch.column("text").to_pylist())
+            begin = np.searchsorted(text, np.arange(batch.num_rows + 1)).astype(np.int32)
+            entries = pa.StructArray.from_arrays([pa.array(gram.view(np.int64)), pa.array(times.astype(np.int64))], ["gram", "n"])
+            lost = pa.ListArray.from_arrays(pa.array(begin), entries)
+            return pa.RecordBatch.from_arrays([batch.column("row"), batch.column("doc_id"), batch.column("lang"), pa.array(sizes.astype(np.int64)), pa.array(some), _packed(sums), lost], ["row", "doc_id", "lang", "size", "some", "sums", "lost"])
+
+        return f
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", "lang", "text")
+    out = f"doc_id {kind}, lang string, size long, some boolean, sums binary"
+    first = cut(arrow_map(rows, make, f"row long, {out}, lost array<struct<gram: long, n: long>>", "text"), "sums")
+    lost = first.select("row", F.explode("lost").alias("x")).select("row", "x.gram", "x.n")
+    if not lost.limit(1).count():
+        return first.drop("row", "lost")
+    known = cut(model.probabilities(cut(lost.select("gram").distinct(), "asked")), "found")
+
+    def add(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            row = b.column("row").to_numpy()
+            bits = b.column("n").to_numpy()[:, None] * -np.log2(_unpacked(b.column("p"), np.float64, n))
+            begin = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            keys, sums = row[begin], np.add.reduceat(bits, begin, axis=0)
+            if held is not None:
+                if held[0] == keys[0]:
+                    sums[0] += held[1]
+                else:
+                    keys, sums = np.concatenate(([held[0]], keys)), np.concatenate((held[1][None], sums))
+            held = (keys[-1], sums[-1])
+            if len(keys) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(keys[:-1]), _packed(sums[:-1])], ["row", "more"])
+        if held is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([int(held[0])], pa.int64()), _packed(held[1][None])], ["row", "more"])
+
+    more = lost.join(known, "gram").repartition("row").sortWithinPartitions("row").mapInArrow(add, "row long, more binary")
+
+    def both():
+        def f(b):
+            sums = _unpacked(b.column("sums"), np.float64, n).copy()
+            at = np.flatnonzero(b.column("more").is_valid().to_numpy(zero_copy_only=False))
+            if len(at):
+                sums[at] += _unpacked(b.column("more").drop_null(), np.float64, n)
+            return pa.RecordBatch.from_arrays([*(b.column(x) for x in ("doc_id", "lang", "size", "some")), _packed(sums)], ["doc_id", "lang", "size", "some", "sums"])
+
+        return f
+
+    return cut(arrow_map(first.drop("lost").join(more, "row", "left").drop("row"), both, out), "sums")
+
+
+def calibrate(model: Model, summed: DataFrame, spread: float = 4.0) -> None:
+    """Set the model's levels: mean and `spread` deviations of the bits a letter of all rows of summed, by their own lang."""
+    bits = decide(summed, model).where("lang IS NOT NULL").groupBy("lang").agg(F.avg("bits_own").alias("mean"), F.stddev_pop("bits_own").alias("deviation")).collect()
     for row in bits:
         if row["lang"] in model.langs and row["mean"] is not None:
             model.level[model.langs.index(row["lang"])] = row["mean"] + spread * (row["deviation"] or 0) + 0.25
@@ -254,46 +350,53 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     text, one without a letter, and without a model. score, 0 to 1, is the share of the best language's likelihood over eight letters
     of average cost. bits_own are those of the row's own lang, null if unknown, for calibration alone. rejected: bits are over the language's level, as
     of text in none of the languages; und is rejected, too. Repeated rows stay; an empty table gives an empty one. lang may be missing."""
-    spark = docs.sparkSession
     given = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
     kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), given.alias("lang"))
-    shared = spark.sparkContext.broadcast(model)
+    if model is None:
+        none = F.lit(None).cast("double")
+        return kept.select("doc_id", "lang", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("bits"), none.alias("bits_own"), F.lit(True).alias("rejected"))
+    return decide(entropies(kept, model), model)
+
+
+def decide(summed: DataFrame, model: Model) -> DataFrame:
+    """The columns of identify() for each row of entropies()."""
+    langs, level = model.langs, model.level.copy()
 
     def make():
-        m = shared.value
-        place = {x: i for i, x in enumerate(m.langs)} if m else {}
+        place = {x: i for i, x in enumerate(langs)}
 
         def f(batch):
             rows = batch.num_rows
-            if m is None:
-                pred, score, best, own, out = ["und"] * rows, np.zeros(rows), [None] * rows, [None] * rows, np.ones(rows, dtype=bool)
-            else:
-                bits, sizes = m.entropy(batch.column("text").to_pylist())
-                k = bits.argmin(axis=1)
-                best = bits[np.arange(rows), k]
-                share = np.exp2(-8 * (bits - best[:, None]))
-                some = sizes > 0
-                score = np.where(some, 1 / share.sum(axis=1), 0.0)
-                out = ~some | (best > m.level[k])
-                pred = [m.langs[i] if s else "und" for i, s in zip(k, some, strict=True)]
-                own = [float(bits[i, place[x]]) if x in place and some[i] else None for i, x in enumerate(batch.column("lang").to_pylist())]
+            bits = _unpacked(batch.column("sums"), np.float64, len(langs)) / np.maximum(batch.column("size").to_numpy(), 1)[:, None]
+            some = batch.column("some").to_numpy(zero_copy_only=False) & (batch.column("size").to_numpy() > 0)
+            k = bits.argmin(axis=1)
+            best = bits[np.arange(rows), k]
+            share = np.exp2(-8 * (bits - best[:, None]))
+            score = np.where(some, 1 / share.sum(axis=1), 0.0)
+            out = ~some | (best > level[k])
+            pred = [langs[i] if s else "und" for i, s in zip(k, some, strict=True)]
+            own = [float(bits[i, place[x]]) if x in place and some[i] else None for i, x in enumerate(batch.column("lang").to_pylist())]
             columns = [batch.column("doc_id"), batch.column("lang"), pa.array(pred, pa.string()), pa.array(score, pa.float64()), pa.array(best, pa.float64()), pa.array(own, pa.float64()), pa.array(out, pa.bool_())]
             return pa.RecordBatch.from_arrays(columns, ["doc_id", "lang", "lang_pred", "score", "bits", "bits_own", "rejected"])
 
         return f
 
-    kind = kept.schema["doc_id"].dataType.simpleString()
-    return arrow_map(kept, make, f"doc_id {kind}, lang string, lang_pred string, score double, bits double, bits_own double, rejected boolean", "text")
+    kind = summed.schema["doc_id"].dataType.simpleString()
+    return arrow_map(summed, make, f"doc_id {kind}, lang string, lang_pred string, score double, bits double, bits_own double, rejected boolean")
 
 
 def language_id(docs: DataFrame) -> DataFrame:
     """Train on the rows outside fold 0 of crc32 of the id, and predict every row: see identify()."""
-    learned = docs.select("doc_id", "lang", "text").where(fold_column(F.col("doc_id")) != 0)
-    model = train(learned)
+    held = fold_column(F.col("doc_id")) == 0
+    model = train(docs.where(~held).select("lang", "text"))
+    rows = docs.select("doc_id", "lang", "text")
     if model:
-        calibrate(model, learned)
-    out = identify(docs.select("doc_id", "text"), model)
-    return out.select("doc_id", (fold_column(F.col("doc_id")) == 0).alias("held_out"), "lang_pred", "score", "rejected")
+        summed = entropies(rows, model)
+        calibrate(model, summed.where(~held))
+        out = decide(summed, model)
+    else:
+        out = identify(rows, None)
+    return out.select("doc_id", held.alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -298,6 +298,35 @@ def test_models_are_distributions(spark):
     assert 0.7 < total <= 1.01
 
 
+def test_a_model_does_not_depend_on_other_labels(spark):
+    rng = random.Random(21)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = ["".join(rng.choice(letters + " ") for _ in range(3000)) for _ in range(2)] + [letters]
+    rows = [("x", texts[0]), ("y", texts[1]), ("z", texts[2])]
+    few = char_lm.train(spark.createDataFrame(rows, "lang string, text string"))
+    many = char_lm.train(spark.createDataFrame(rows + [(f"zz{i}", "abc") for i in range(300)], "lang string, text string"))
+    keys = char_lm.grams(*char_lm.letter_codes([texts[0][:500], texts[1][:500], "qzx never"]))[0]
+    assert np.allclose(few.look_up(keys)[:, :2], many.look_up(keys)[:, :2], atol=1e-5)
+    # A gram that was seen once is cheaper than by its suffix alone.
+    once = few.look_up(keys[:500])[:, :2]
+    assert np.mean(once[:, 0] < once[:, 1]) > 0.9
+
+
+def test_grams_that_tasks_do_not_hold_are_joined(spark, monkeypatch):
+    rng = random.Random(22)
+    texts = [" ".join(rng.choice("river house morning fluss haus \u00fcber".split()) for _ in range(9)) for _ in range(60)] + ["new words, zyx", None, ""]
+    d = docs(spark, texts, ["en" if i % 2 else "de" for i in range(len(texts))])
+    whole = {r["doc_id"]: r for r in char_lm.identify(d, char_lm.train(d)).collect()}
+    for cells in (0, 100):
+        monkeypatch.setattr(char_lm, "CELLS", cells)
+        model = char_lm.train(d)
+        assert len(model.hot.grams) <= max(1, cells // 2)
+        got = {r["doc_id"]: r for r in char_lm.identify(d, model).collect()}
+        assert set(got) == set(whole)
+        for i, r in got.items():
+            assert (r["lang_pred"], r["rejected"]) == (whole[i]["lang_pred"], whole[i]["rejected"]) and r["bits"] == pytest.approx(whole[i]["bits"], rel=1e-5)
+
+
 # 9. Toxicity
 
 
