@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_map, cut, fold_column, slices, table
+from .common import arrow_map, ascii_lower, cut, fold_column, slices, table
 
 #: Digits and signs often written for letters, and the letters.
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -152,7 +152,7 @@ class Automaton:
 
     def run(self, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Which words match: their places, the lexicon's words, and the edits."""
-        at = np.flatnonzero((words.size <= self.longest) & (words.size > 1))
+        at = np.flatnonzero(words.size <= self.longest)
         state = np.ones(len(at), dtype=np.int32)
         for k in range(self.longest):
             live = words.size[at] > k
@@ -197,12 +197,12 @@ def _features(model_automaton: Automaton | None, texts: list[str | None]) -> np.
     return np.minimum(out, CAP)
 
 
-def learn_lexicon(labelled: DataFrame, most: int = 300, least_docs: int = 5, times: float = 20.0) -> list[str]:
-    """At most `most` words of 4 letters or more (a bound of the lexicon): those that toxic texts hold `times` as often as others,
-    and at least least_docs of them; the highest log-odds come first.
+def learn_lexicon(labelled: DataFrame, least_docs: int = 5, times: float = 20.0) -> list[str]:
+    """The words that toxic texts hold `times` as often as others, and at least least_docs of them, of any length and
+    number; the highest log-odds come first.
 
-    labelled: text, toxic. Each distinct word of each text counts once. Of texts that share the least and the greatest
-    of their words' hashes, as copies do, one counts: else the words of one text copied often would look like a habit."""
+    labelled: text, toxic. Each distinct word of each text counts once. Of texts that are the same but for A-Z and white
+    space one counts: else the words of one text copied often would look like a habit."""
     ship_package(labelled.sparkSession)
 
     def run(batches):
@@ -211,9 +211,8 @@ def learn_lexicon(labelled: DataFrame, most: int = 300, least_docs: int = 5, tim
                 texts = s.column("text").to_pylist()
                 toxic = s.column("toxic").to_pylist()
                 words = words_of(texts)
-                keep = np.flatnonzero((words.size >= 4) & (words.size <= 24))
                 held: list[set] = [set() for _ in texts]
-                for i in keep:
+                for i in range(len(words.size)):
                     a = words.start[i]
                     held[words.text[i]].add(words.letters[a : a + words.size[i]].tobytes())
                 counts: dict[bytes, list[int]] = {}
@@ -224,16 +223,15 @@ def learn_lexicon(labelled: DataFrame, most: int = 300, least_docs: int = 5, tim
                     [pa.array([w.decode("utf-16-le", "replace") for w in counts]), pa.array([x[1] for x in counts.values()], pa.int64()), pa.array([x[0] for x in counts.values()], pa.int64())], ["word", "toxic", "other"]
                 )
 
-    once = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").withColumn("h", F.transform(F.split("text", " "), lambda w: F.xxhash64(w)))
-    once = once.groupBy(F.array_min("h").alias("low"), F.array_max("h").alias("high"), "toxic").agg(F.min("text").alias("text"))
+    plain = ascii_lower(F.btrim(F.regexp_replace("text", r"[\x20\x09-\x0D]+", " ")))
+    once = labelled.where("text IS NOT NULL AND toxic IS NOT NULL").groupBy(F.sha2(plain, 256).alias("copies"), "toxic").agg(F.min("text").alias("text"))
     counted = once.select("text", "toxic").mapInArrow(run, "word string, toxic long, other long").groupBy("word").agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
     sums = once.agg(F.count_if(F.col("toxic") > 0).alias("t"), F.count_if(F.col("toxic") == 0).alias("o")).first()
     t, o = sums["t"], sums["o"]
     if not t or not o:
         return []
     odds = F.log((F.col("toxic") + 0.5) / (t + 1.0)) - F.log((F.col("other") + 1.0) / (o + 1.0))
-    # A word must be in five toxic texts of a thousand, too.
-    found = counted.where((F.col("toxic") >= max(least_docs, t / 200)) & (odds >= float(np.log(times)))).orderBy(odds.desc(), "word").limit(most).collect()
+    found = counted.where((F.col("toxic") >= least_docs) & (odds >= float(np.log(times)))).orderBy(odds.desc(), "word").collect()
     return [r["word"] for r in found]
 
 

@@ -382,6 +382,20 @@ def test_toxicity_learns_and_catches(spark):
     assert toxicity.toxicity(docs(spark, texts[:3]), labels.limit(0)).count() == 3
 
 
+def test_the_lexicon_follows_the_labels(spark):
+    # Long texts of one vocabulary share their extreme words, but aren't copies; exact copies count once.
+    rng = random.Random(14)
+    plain = [f"w{chr(97 + i % 26)}{chr(97 + i // 26)}lo" for i in range(60)]
+    bad = ["zq", "q" * 30, *(f"bad{chr(97 + i % 26)}{chr(97 + i // 26)}x" for i in range(400))]
+    rows = [(" ".join(rng.sample(plain + (bad if i % 4 == 0 else []), 60 + (len(bad) if i % 4 == 0 else 0))), int(i % 4 == 0)) for i in range(160)]
+    rows += [("One copied rarity", 1), ("one  copied\nrarity ", 1)] * 10
+    assert set(toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, toxic int"))) == set(bad)
+    # A rare term counts by its texts, whatever their share of all toxic ones.
+    many = [(f"{'scoundrel' if i < 6 else 'dolt'} {i % 7 * 'a'} {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}mm", 1) for i in range(1300)]
+    many += [(f"fine {chr(97 + i % 26)}{chr(97 + i // 26 % 26)}{chr(97 + i // 676)}nn", 0) for i in range(6000)]
+    assert {"scoundrel", "dolt"} <= set(toxicity.learn_lexicon(spark.createDataFrame(many, "text string, toxic int")))
+
+
 # 10. Top-k
 
 
