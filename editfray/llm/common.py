@@ -53,6 +53,23 @@ def drop_cut(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered_nulls(docs: DataFrame, id_col: str) -> DataFrame | None:
+    """The rows of docs without an id, written, with __row, their number from 0 on; None if there are none."""
+    nulls = docs.where(F.col(id_col).isNull())
+    if not nulls.limit(1).count():
+        return None
+    nulls = cut(nulls.withColumn("__m", F.monotonically_increasing_id()), "nulls")
+    part = F.shiftright("__m", 33)
+    # One row a partition of the writer reaches the driver.
+    starts, at = [], 0
+    for r in sorted(nulls.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["part"], at))
+        at += r["n"]
+    starts = docs.sparkSession.createDataFrame(starts, "__part long, __start long")
+    numbered = nulls.withColumn("__part", part).join(starts, "__part")
+    return numbered.withColumn("__row", F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__part", "__start")
+
+
 def ascii_lower(c):
     """Lower-case A-Z alone. lower() is the same on pure ASCII, and much faster."""
     return F.when(F.octet_length(c) == F.char_length(c), F.lower(c)).otherwise(F.translate(c, UPPER, LOWER))

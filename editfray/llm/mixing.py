@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, numbered_nulls, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 4096
@@ -61,7 +61,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
 def mix(
     docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source",
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: tuple[str, ...] = (),
 ) -> DataFrame:
     """id, size, source_size, target and taken (words, repeats counted) for each row of docs.
 
@@ -70,15 +70,15 @@ def mix(
     own. Keys hang on the id, so rows that repeat an id with one size follow each
     other, and every run agrees. Ties in the key fall to the id, then to the
     size. An empty table gives an empty one. Only the named columns are read,
-    whatever the others are called.
+    whatever the others are called; those of `also` pass through.
     """
     size = word_count(F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.char_length(text_col).alias("n"))
+    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.char_length(text_col).alias("n"), *also)
     # Four numbers a row from here on: the texts are read once.
-    return mix_sized(cut(sized, "sizes"), share, most, weights, seed)
+    return mix_sized(cut(sized, "sizes"), share, most, weights, seed, also)
 
 
-def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, ...], seed: int) -> DataFrame:
+def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, ...], seed: int, also: tuple[str, ...] = ()) -> DataFrame:
     targets = source_targets(sized, share, float(most), weights).select(
         F.col("source").alias("s"), "source_size", "target",
         F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long").alias("epochs"),
@@ -95,20 +95,30 @@ def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, .
         F.col("source").eqNullSafe(F.col("c_s")) & (F.col("cell") == F.col("c_cell")),
     )
     ends_here = (F.col("start") < F.col("budget")) & (F.col("start") + F.col("cell_size") > F.col("budget"))
-    out = ["doc_id", "size", "source_size", "target"]
+    out = [*also, "doc_id", "size", "source_size", "target"]
     taken = lambda more: (F.col("size") * (F.col("epochs") + more.cast("long"))).alias("taken")
     whole = placed.where(~ends_here).select(*out, taken(F.col("start") + F.col("cell_size") <= F.col("budget")))
-    order = Window.partitionBy("source").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    order = Window.partitionBy("source").orderBy("key", "doc_id", "size", *also).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     # The one cell of each source in which the budget ends.
     edge = placed.where(ends_here).withColumn("upto", F.col("start") + F.sum("size").over(order))
     edge = edge.select(*out, taken(F.col("upto") - F.col("size") / 2 <= F.col("budget")))
     return whole.unionByName(edge)
 
 
-def mixed_rows(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs, with their columns, as often as the mix takes them; rows that share an id as often as the most of them."""
-    taken = mix(docs, **how).where("taken > 0").groupBy(F.col("doc_id").alias("__id")).agg(F.max(F.col("taken") / F.col("size")).cast("int").alias("__times"))
-    rows = docs.join(taken, F.col(how.get("id_col", "doc_id")) == F.col("__id"))
+def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs, with their columns, as often as the mix takes them; rows that share an id as often as the most of them,
+    those with a null id each on its own."""
+    nulls = numbered_nulls(docs, id_col)
+    rows, key = docs, ["doc_id"]
+    if nulls is not None:
+        rows = docs.where(F.col(id_col).isNotNull()).withColumn("__row", F.lit(None).cast("long")).unionByName(nulls)
+        key = ["doc_id", "__row"]
+    times = F.max(F.col("taken") / F.col("size")).cast("int").alias("__times")
+    taken = mix(rows, id_col=id_col, also=tuple(key[1:]), **how).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), *(F.col(x).alias("__at") for x in key[1:])).agg(times)
+    same = F.col(id_col) == F.col("__id")
+    if nulls is not None:
+        same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__row").eqNullSafe(F.col("__at"))
+    rows = rows.join(taken, same)
     return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_map, cut, drop_cut, slices, table
+from .common import arrow_map, cut, drop_cut, numbered_nulls, slices, table
 from .components import components
 from .shingles import mix, shingle_hashes, shingle_sets
 
@@ -350,10 +350,22 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
 
 
-def one_of_each(docs: DataFrame, **how) -> DataFrame:
-    """The rows of docs whose id is their component's, columns as they are."""
-    kept = ngram_join(docs, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, F.col("doc_id") == F.col("__id"), "left_semi")
+def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
+    """The rows of docs whose id is their component's, columns as they are.
+
+    A row with a null id is a document of its own: it stays if it has no copy, and so does one of each group of copies without ids."""
+    nulls = numbered_nulls(docs, id_col)
+    if nulls is None:
+        kept = ngram_join(docs, id_col=id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
+        return docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi")
+    # They are numbered after the greatest id, so that a copy with an id goes first (before the least, if there is no room).
+    ids = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
+    n = nulls.count()
+    start = 0 if ids[1] is None else ids[1] + 1 if ids[1] + n < 1 << 63 else ids[0] - n
+    given = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
+    rows = given.unionByName(nulls.withColumn("__id", F.col("__row") + F.lit(start)).drop("__row"))
+    kept = ngram_join(rows, id_col="__id", **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
+    return rows.join(kept, F.col("__id") == F.col("__kept"), "left_semi").select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -227,6 +227,31 @@ def test_ngram_join_by_brute_force(spark, monkeypatch, hot):
         assert (got[i]["n_shingles"], got[i]["component_id"]) == (sizes[k], low[k]), texts[k]
 
 
+@pytest.mark.parametrize("top", [9, (1 << 63) - 1])
+def test_one_of_each_keeps_rows_without_ids(spark, top):
+    copy, pair, alone = "a b c d e f", "one two three four five six seven", "nothing else is like this one"
+    ids = [5, None, 5, top, None, None, None, None, None, None]
+    texts = [copy, copy, copy, copy, pair, pair, alone, None, None, "a b x"]
+    got = sorted(((r["doc_id"] or -1, r["text"] or "") for r in ngram_join.one_of_each(docs(spark, texts, ids=ids)).collect()), key=str)
+    if top == 9:
+        assert got == sorted([(5, copy), (5, copy), (-1, pair), (-1, alone), (-1, ""), (-1, ""), (-1, "a b x")], key=str)
+    else:
+        assert {t for _, t in got} == {copy, pair, alone, "", "a b x"} and [t for _, t in got].count(pair) == 1
+    none = ngram_join.one_of_each(docs(spark, [pair, pair, alone], ids=[None] * 3)).collect()
+    assert sorted(r["text"] for r in none) == sorted([pair, alone])
+
+
+def test_mixed_rows_keep_rows_without_ids(spark):
+    texts = [f"{'word ' * (i % 7 + 1)}" for i in range(200)] + [None]
+    d = docs(spark, texts, sources=["a" if i % 3 else None for i in range(len(texts))], ids=[None if i % 2 else i for i in range(len(texts))])
+    taken = mixing.mix(d).collect()
+    got = mixing.mixed_rows(d)
+    assert got.columns == d.columns
+    rows = got.collect()
+    for null in (False, True):
+        assert sum(len(words(r["text"])) for r in rows if (r["doc_id"] is None) == null) == sum(r["taken"] for r in taken if (r["doc_id"] is None) == null) > 0
+
+
 def test_ngram_join_of_nothing(spark):
     assert ngram_join.ngram_join(docs(spark, ["x"]).limit(0)).count() == 0
     assert [(r["n_shingles"], r["component_id"]) for r in ngram_join.ngram_join(docs(spark, ["a b c d e f"] * 3, ids=[5, 5, 9])).collect()] == [(2, 5)] * 3
