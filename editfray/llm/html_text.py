@@ -189,22 +189,37 @@ def extract(page: str | None) -> str:
     shown = [x for x in found if not x[0].hard]
     # A name that stands on a frame around the heading and most of the text says nothing about them ("has-sidebar").
     held: dict[int, list] = {}
+    bare: dict[int | None, int] = {}  # text by the innermost marked element around it
     for e, text, _ in shown:
         for x in e.soft:
-            h = held.setdefault(id(x), [0, False])
+            h = held.setdefault(id(x), [0, False, False, x])
             h[0] += len(text)
-            h[1] |= e.tag == "h1" or e.article
-    total = sum(len(text) for _, text, _ in shown)
-    frames = {k for k, (n, head) in held.items() if head and n > 0.6 * total}
-    plain = [x for x in shown if all(id(y) in frames for y in x[0].soft)]
+            h[1] |= e.tag == "h1"
+            h[2] |= e.article
+        own = id(e.soft[-1]) if e.soft else None
+        bare[own] = bare.get(own, 0) + len(text)
+    total = sum(bare.values())
+    frames = set()
+    for k, (n, h1, head, x) in held.items():
+        # What other marked elements hold, comments for one, says nothing about a frame with the heading.
+        of = n + bare.get(None, 0) + sum(bare.get(id(y), 0) for y in x.soft[:-1]) if h1 else total
+        beside = any(h[1] for h in held.values()) and not any(held[id(y)][1] for y in x.soft)
+        if (h1 or head) and not beside and n > 0.6 * of:
+            frames.add(k)
+
+    def outside(forgiven: set) -> list:
+        return [x for x in shown if all(id(y) in forgiven for y in x[0].soft)]
+
+    plain = outside(frames)
     marked = [x for x in plain if x[0].article]
-    if not marked and re.search(r"<(?:article|main)\b", page or "", re.I):
+    if not marked and any(x[0].article for x in shown):
+        # All of the article's text is marked: frames with its heading stand, whatever their share, or else all of it.
+        marked = [x for x in outside({k for k, h in held.items() if h[1]}) if x[0].article] or [x for x in shown if x[0].article]
+    elif not marked and any(x[0].article for x in found):
         # An article without text of its own, as far as its tags go.
-        marked = []
-        if any(x[0].article for x in found):
-            return ""
-    plain = marked or plain
-    # Lists of links are menus, whatever their names.
+        return ""
+    plain = marked or plain or outside({k for k, h in held.items() if h[1]})
+    # Lists of links are menus, whatever their names, but for those inside the container that is chosen below.
     lists: dict[int, list] = {}
     for e, text, links in plain:
         x = e
@@ -223,7 +238,7 @@ def extract(page: str | None) -> str:
             e = e.parent
         return False
 
-    plain = [x for x in plain if not in_menu(x[0])]
+    whole, plain = plain, [x for x in plain if not in_menu(x[0])]
     if not plain:
         return ""
     weight: dict[int, int] = {}
@@ -253,7 +268,9 @@ def extract(page: str | None) -> str:
             e = e.parent
         return False
 
-    return "\n".join(text for e, text, _ in plain if top is None or inside(e))
+    # The page's root is no choice: a list of links is as well beside the article there.
+    chosen = top is not None and nodes[top].tag not in ("#", "html", "body")
+    return "\n".join(text for e, text, _ in (whole if chosen else plain) if top is None or inside(e))
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

@@ -151,6 +151,17 @@ def test_html_article():
     assert html_text.extract("<p>" + "word, " * 100000) == ("word, " * 100000).strip()
 
 
+def test_html_frames_and_sources():
+    body, said = "<h1>Head</h1><p>Text of the page, and more of it.</p>", "<section id=comments><p>" + "Great, thanks for this. " * 20 + "</p></section>"
+    want = "Head\nText of the page, and more of it."
+    assert html_text.extract(f"<main><div class=has-sidebar>{body}</div></main>{said}") == want
+    assert html_text.extract(f"<div class=has-sidebar>{body}</div>{said}") == want
+    assert html_text.extract(f"<main><div class=has-sidebar>{body}</div>{said}</main>") == want
+    assert html_text.extract(f"<main><div class=has-sidebar><p>Text, no heading.</p></div></main>{said}") == "Text, no heading."
+    links = "<ul><li><a href=/1>First source</a><li><a href=/2>Second source</a></ul>"
+    assert html_text.extract(f"<ul><li><a href=/>Home</a></ul><article>{body}{links}</article>") == want + "\nFirst source\nSecond source"
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A b.</p></article>"), (1, "u", "<article><p>A b.</p></article>"), (None, None, None)], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.html_text(pages).collect())
