@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_map, cut, drop_cut, fold_column, slices, table
+from .common import arrow_map, cut, drop_cut, fold_column, quoted, slices, table
 
 ORDER = 4
 SPACE = 32
@@ -351,7 +351,7 @@ def identify(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_
     of average cost. bits_own are those of the row's own lang, null if unknown, for calibration alone. rejected: bits are over the language's level, as
     of text in none of the languages; und is rejected, too. Repeated rows stay; an empty table gives an empty one. lang may be missing."""
     given = F.col("lang") if "lang" in docs.columns else F.lit(None).cast("string")
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), given.alias("lang"))
+    kept = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), given.alias("lang"))
     if model is None:
         none = F.lit(None).cast("double")
         return kept.select("doc_id", "lang", F.lit("und").alias("lang_pred"), F.lit(0.0).alias("score"), none.alias("bits"), none.alias("bits_own"), F.lit(True).alias("rejected"))

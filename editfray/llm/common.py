@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
@@ -22,11 +23,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, else one set here."""
+    """The folder that driver and executors share: spark.checkpoint.dir, else, where one machine is all there is, one set here."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not re.match(r"local($|\[)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="editfray-"))
         found = spark.sparkContext.getCheckpointDir()
     return found.rstrip("/")
@@ -53,21 +56,21 @@ def drop_cut(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def numbered_nulls(docs: DataFrame, id_col: str) -> DataFrame | None:
-    """The rows of docs without an id, written, with __row, their number from 0 on; None if there are none."""
-    nulls = docs.where(F.col(id_col).isNull())
+def numbered_nulls(docs: DataFrame, id_col: str, row: str) -> DataFrame | None:
+    """The rows of docs without an id, written, with their number from 0 on in the column `row`; None if there are none."""
+    nulls = docs.where(quoted(id_col).isNull())
     if not nulls.limit(1).count():
         return None
-    nulls = cut(nulls.withColumn("__m", F.monotonically_increasing_id()), "nulls")
-    part = F.shiftright("__m", 33)
+    at, part, start = free(docs, "at", "part", "start")
+    nulls = cut(nulls.withColumn(at, F.monotonically_increasing_id()), "nulls")
     # One row a partition of the writer reaches the driver.
-    starts, at = [], 0
-    for r in sorted(nulls.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):
-        starts.append((r["part"], at))
-        at += r["n"]
-    starts = docs.sparkSession.createDataFrame(starts, "__part long, __start long")
-    numbered = nulls.withColumn("__part", part).join(starts, "__part")
-    return numbered.withColumn("__row", F.col("__start") + F.col("__m").bitwiseAND((1 << 33) - 1)).drop("__m", "__part", "__start")
+    starts, begin = [], 0
+    for r in sorted(nulls.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["part"], begin))
+        begin += r["n"]
+    starts = docs.sparkSession.createDataFrame(starts, f"{part} long, {start} long")
+    numbered = nulls.withColumn(part, F.shiftright(at, 33)).join(starts, part)
+    return numbered.select(*named(docs), (F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(row))
 
 
 def ascii_lower(c):
@@ -99,6 +102,33 @@ def slices(batch, column: str, limit: int = 1 << 20) -> Iterator:
         yield batch.slice(start)
 
 
+def release() -> None:
+    """Give memory that Arrow holds for later back: Python workers live on between tasks."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+
+
+def quoted(name: str) -> Column:
+    """The column of this name, whatever signs are in it."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def named(df: DataFrame, *but: str) -> list[Column]:
+    """The columns of df except those of `but`."""
+    return [quoted(c) for c in df.columns if c not in but]
+
+
+def free(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of df has, in any case of its letters."""
+    used, out = {c.lower() for c in df.columns}, []
+    for name in stems:
+        while name in used:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def arrow_map(df: DataFrame, make: Callable[[], Callable], schema, text: str | None = None) -> DataFrame:
     """mapInArrow with a function that make() builds once in each task; with `text`, on slices of bounded text."""
 
@@ -110,5 +140,6 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable], schema, text: str | N
             for s in slices(b, text) if text else (b,):
                 if s.num_rows:
                     yield f(s)
+        release()
 
     return df.mapInArrow(run, schema)

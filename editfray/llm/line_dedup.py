@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import BLANKS, ascii_lower, cut
+from .common import BLANKS, ascii_lower, cut, free, quoted
 
 
 def line_key(line: Column) -> Column:
@@ -26,8 +26,8 @@ def _code(pos: Column, h1: Column, h2: Column) -> Column:
     return F.shiftleft(pos.cast("long"), 32).bitwiseOR(h1.bitwiseXOR(h2).bitwiseAND(0xFFFFFFFF))
 
 
-def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with `text_col` rewritten, plus n_lines (before) and n_dropped.
+def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col: str = "doc_id", text_col: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")) -> DataFrame:
+    """All columns of docs with `text_col` rewritten, plus the `counts`: n_lines (before) and n_dropped.
 
     A key (line stripped of blanks, A-Z lower-cased) of at least min_chars code
     points that min_docs distinct ids hold loses its lines in all documents but
@@ -36,42 +36,41 @@ def line_dedup(docs: DataFrame, min_docs: int = 3, min_chars: int = 20, id_col:
     empty text. Rows that repeat an id are one document for the count, and each
     is rewritten; rows with a null id add nothing to a count and lose such lines.
     An empty table gives an empty one. Other columns pass through as they are,
-    but for n_lines and n_dropped, which are replaced.
+    but for those of the names in `counts`, which are replaced.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    text = F.coalesce(quoted(text_col), F.lit(""))
     # A line of n code points has n bytes at least: most short lines go before their key is made.
     keys = F.filter(
         F.transform(F.split(text, "\n", -1), lambda line, i: F.struct(i.alias("pos"), F.when(F.octet_length(line) >= min_chars, line_key(line)).alias("key"))),
         lambda k: F.char_length(k["key"]) >= min_chars,
     )
     h1, h2 = _hashes(F.col("k.key"))
-    held = docs.select(F.col(id_col).alias("__id"), F.explode(keys).alias("k")).select("__id", F.col("k.pos").alias("pos"), h1.alias("h1"), h2.alias("h2"))
+    held = docs.select(quoted(id_col).alias("id"), F.explode(keys).alias("k")).select("id", F.col("k.pos").alias("pos"), h1.alias("h1"), h2.alias("h2"))
     # One row for a document and key goes to the count, however hot the key is.
     common = (
-        held.groupBy("h1", "h2", "__id").agg(F.lit(1).alias("one"))
-        .groupBy("h1", "h2").agg(F.count("__id").alias("n"), F.max("__id").alias("keeper"))
+        held.groupBy("h1", "h2", "id").agg(F.lit(1).alias("one"))
+        .groupBy("h1", "h2").agg(F.count("id").alias("n"), F.max("id").alias("keeper"))
         .where(F.col("n") >= min_docs)
         .select("h1", "h2", "keeper")
     )
     # Written, it is a plain side of the join: where a hot key skews the other, Spark splits that.
     common = cut(common, "common-lines")
-    gone = (
+    own_id, gone, lines, kept = free(docs, "own_id", "gone", "lines", "kept")
+    dropped = (
         held.join(common, ["h1", "h2"])
-        .where(~F.col("__id").eqNullSafe(F.col("keeper")))
-        .groupBy("__id").agg(F.collect_set(_code(F.col("pos"), F.col("h1"), F.col("h2"))).alias("__gone"))
+        .where(~F.col("id").eqNullSafe(F.col("keeper")))
+        .groupBy(F.col("id").alias(own_id)).agg(F.collect_set(_code(F.col("pos"), F.col("h1"), F.col("h2"))).alias(gone))
     )
-    others = [c for c in docs.columns if c not in ("n_lines", "n_dropped")]
-    joined = docs.select(*others).join(gone, F.col(id_col).eqNullSafe(F.col("__id")), "left")
-    lines = F.col("__lines")
-    codes = F.transform(lines, lambda line, i: _code(i, *_hashes(line_key(line))))
+    others = [c for c in docs.columns if c.lower() not in map(str.lower, counts)]
+    joined = docs.select(*map(quoted, others)).join(dropped, quoted(id_col).eqNullSafe(F.col(own_id)), "left")
+    codes = F.transform(F.col(lines), lambda line, i: _code(i, *_hashes(line_key(line))))
     # array_except() hashes longs, and codes of one text differ: it keeps repeats and order.
-    split = joined.withColumn("__lines", F.split(text, "\n", -1)).withColumn(
-        "__kept", F.when(F.col("__gone").isNull(), lines).otherwise(F.transform(F.array_except(codes, F.col("__gone")), lambda c: F.get(lines, F.shiftright(c, 32).cast("int"))))
-    )
+    left = F.transform(F.array_except(codes, F.col(gone)), lambda c: F.get(F.col(lines), F.shiftright(c, 32).cast("int")))
+    split = joined.withColumn(lines, F.split(text, "\n", -1)).withColumn(kept, F.when(F.col(gone).isNull(), F.col(lines)).otherwise(left))
     return split.select(
-        *[F.when(F.col("__gone").isNull(), text).otherwise(F.array_join("__kept", "\n")).alias(c) if c == text_col else F.col(c) for c in others],
-        F.size(lines).cast("long").alias("n_lines"),
-        (F.size(lines) - F.size("__kept")).cast("long").alias("n_dropped"),
+        *[F.when(F.col(gone).isNull(), text).otherwise(F.array_join(kept, "\n")).alias(c) if c == text_col else quoted(c) for c in others],
+        F.size(lines).cast("long").alias(counts[0]),
+        (F.size(lines) - F.size(kept)).cast("long").alias(counts[1]),
     )
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, numbered_nulls, table
+from .common import cut, free, named, numbered_nulls, quoted, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 4096
@@ -61,7 +61,7 @@ def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weig
 
 def mix(
     docs: DataFrame, share: float = 1.5, most: int = 2, weights: tuple[float, ...] = WEIGHTS, seed: int = 17,
-    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: tuple[str, ...] = (),
+    id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", also: tuple[Column, ...] = (),
 ) -> DataFrame:
     """id, size, source_size, target and taken (words, repeats counted) for each row of docs.
 
@@ -72,10 +72,11 @@ def mix(
     size. An empty table gives an empty one. Only the named columns are read,
     whatever the others are called; those of `also` pass through.
     """
-    size = word_count(F.col(text_col))
-    sized = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), size.alias("size"), F.char_length(text_col).alias("n"), *also)
+    text = quoted(text_col)
+    sized = docs.select(quoted(id_col).alias("doc_id"), quoted(source_col).alias("source"), word_count(text).alias("size"), F.char_length(text).alias("n"), *also)
     # Four numbers a row from here on: the texts are read once.
-    return mix_sized(cut(sized, "sizes"), share, most, weights, seed, also)
+    sized = cut(sized, "sizes")
+    return mix_sized(sized, share, most, weights, seed, tuple(sized.columns[4:]))
 
 
 def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, ...], seed: int, also: tuple[str, ...] = ()) -> DataFrame:
@@ -108,18 +109,20 @@ def mix_sized(sized: DataFrame, share: float, most: int, weights: tuple[float, .
 def mixed_rows(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs, with their columns, as often as the mix takes them; rows that share an id as often as the most of them,
     those with a null id each on its own."""
-    nulls = numbered_nulls(docs, id_col)
-    rows, key = docs, ["doc_id"]
+    row, own_id, at, often, i = free(docs, "row", "own_id", "at", "often", "i")
+    nulls = numbered_nulls(docs, id_col, row)
+    rows, also = docs, ()
     if nulls is not None:
-        rows = docs.where(F.col(id_col).isNotNull()).withColumn("__row", F.lit(None).cast("long")).unionByName(nulls)
-        key = ["doc_id", "__row"]
-    times = F.max(F.col("taken") / F.col("size")).cast("int").alias("__times")
-    taken = mix(rows, id_col=id_col, also=tuple(key[1:]), **how).where("taken > 0").groupBy(F.col("doc_id").alias("__id"), *(F.col(x).alias("__at") for x in key[1:])).agg(times)
-    same = F.col(id_col) == F.col("__id")
+        rows, also = docs.where(quoted(id_col).isNotNull()).withColumn(row, F.lit(None).cast("long")).unionByName(nulls), (F.col(row).alias("row"),)
+    times = F.max(F.col("taken") / F.col("size")).cast("int").alias(often)
+    taken = mix(rows, id_col=id_col, also=also, **how).where("taken > 0")
+    same = quoted(id_col) == F.col(own_id)
     if nulls is not None:
-        same = F.col(id_col).eqNullSafe(F.col("__id")) & F.col("__row").eqNullSafe(F.col("__at"))
-    rows = rows.join(taken, same)
-    return rows.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*docs.columns)
+        taken = taken.groupBy(F.col("doc_id").alias(own_id), F.col("row").alias(at)).agg(times)
+        same = quoted(id_col).eqNullSafe(F.col(own_id)) & F.col(row).eqNullSafe(F.col(at))
+    else:
+        taken = taken.groupBy(F.col("doc_id").alias(own_id)).agg(times)
+    return rows.join(taken, same).withColumn(i, F.explode(F.sequence(F.lit(1), F.col(often)))).select(*named(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

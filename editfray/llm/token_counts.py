@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import CUT, Codec, codec, default_vocabulary
-from .common import arrow_map, table
+from .common import arrow_map, free, quoted, table
 
 RUN = 512
 
@@ -118,15 +118,18 @@ class CountTree:
         return "".join(self._leaves)
 
 
-def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """docs and their edits (id, seq, pos, drop, ins) in one column, in the order of seq."""
-    lists = edits.groupBy(F.col(id_col).alias("__id")).agg(F.sort_array(F.collect_list(F.struct("seq", "pos", "drop", "ins"))).alias("__edits"))
-    rows = docs.drop("edits").join(lists, F.col(id_col) == F.col("__id"), "left").drop("__id")
-    return rows.withColumnRenamed("__edits", "edits").withColumn("edits", F.transform("edits", lambda e: F.struct(e["pos"].alias("pos"), e["drop"].alias("drop"), e["ins"].alias("ins"))))
+def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", to: str = "edits") -> DataFrame:
+    """docs and their edits (id, seq, pos, drop, ins) in one column `to`, in the order of seq; a column of that name is an error."""
+    if to.lower() in map(str.lower, docs.columns):
+        raise ValueError(f"docs have a column {to} of their own: choose another name for the edits")
+    (own_id,) = free(docs, "own_id")
+    lists = edits.groupBy(quoted(id_col).alias(own_id)).agg(F.sort_array(F.collect_list(F.struct("seq", "pos", "drop", "ins"))).alias(to))
+    rows = docs.join(lists, quoted(id_col) == F.col(own_id), "left").drop(own_id)
+    return rows.withColumn(to, F.transform(quoted(to), lambda e: F.struct(e["pos"].alias("pos"), e["drop"].alias("drop"), e["ins"].alias("ins"))))
 
 
-def edited_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_text: bool = False) -> DataFrame:
-    """Token counts before and after the edits of each row's column edits (array of pos, drop, ins).
+def edited_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", with_text: bool = False) -> DataFrame:
+    """Token counts before and after the edits of each row's column `edits_col` (array of pos, drop, ins).
 
     Returns id, n_edits, n_tokens, n_tokens_after, n_chars_after, n_encoded (characters
     encoded for the edits; the first count is not in it) and, if asked for, text_after. Edits apply in
@@ -135,7 +138,7 @@ def edited_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str =
     empty; null edits are none. Rows that repeat stay. An empty table gives an empty one. Only
     the named columns and edits are read."""
     vocabulary = vocabulary or default_vocabulary()
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), "edits")
+    kept = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(edits_col).alias("edits"))
     names = ["n_edits", "n_tokens", "n_tokens_after", "n_chars_after", "n_encoded"]
 
     def make():
