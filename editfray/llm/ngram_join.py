@@ -11,7 +11,8 @@
 4. Where sets that share a shingle are still in several components, those rows alone go
    into tiles of bounded size with their bitmaps, in the order of size, so that each row
    meets only the band of sizes it can link with, and only rows of other components. Rows of a
-   shingle's largest component meet the others, not each other. Survivors are settled exactly.
+   shingle's largest component meet the others, not each other. A first round settles each row's nearest
+   one alone, so that few components are left; the second settles all that is apart.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_map, cut, drop_cut, numbered_nulls, slices, table
+from .common import arrow_map, cut, drop_cut, free, named, numbered_nulls, quoted, release, slices, table
 from .components import components
 from .shingles import mix, shingle_hashes, shingle_sets
 
@@ -32,8 +33,10 @@ SKETCH_BITS = 22
 _CHUNKS = 1024
 #: Levels for each doubling of a count.
 STEPS = 8
-#: Documents that meet in one group, by the sketch, and links of one hub in one group.
+#: Documents that meet in one group, by the sketch.
 HOT = 4096
+#: Texts held against one hub's in one group.
+LINKS = 128
 #: Rows on each side of a tile.
 TILE = 1024
 #: Bits of a bitmap: about two for each shingle. Tiles take bitmaps folded to the least; a pair that passes is held against the full ones.
@@ -73,19 +76,13 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        counts, seen, part = np.zeros(1 << SKETCH_BITS, dtype=np.int64), False, 0
-        held = []
+        counts, seen, part = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), False, 0
         for b in batches:
             for s in slices(b, "text"):
                 hashes, _ = shingle_hashes(s.column("text"), words)
                 if len(hashes):
                     seen, part = True, int(hashes[0] & np.uint64(0x7FFFFFFF))
-                    held.append((hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32))
-                if sum(map(len, held)) > 1 << 20:
-                    counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
-                    held = []
-        if held:
-            counts += np.bincount(np.concatenate(held), minlength=1 << SKETCH_BITS)
+                    np.add.at(counts, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), np.uint32(1))
         if seen:
             rows = [_pack(x) for x in counts.reshape(_CHUNKS, -1)]
             yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"])
@@ -176,11 +173,12 @@ def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFra
     return arrow_map(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), make, f"a {kind}, b {kind}")
 
 
-def _meet(tiles: pa.Table, threshold: int) -> pa.Table:
-    """Pairs of rows of the same tile (rows stand by tile, then size), in different components, that sizes and bitmaps let link."""
+def _meet(tiles: pa.Table, threshold: int, nearest: bool) -> pa.Table:
+    """Pairs of rows of the same tile (rows stand by tile, then size), in different components, that sizes and bitmaps let link;
+    with nearest, of each row only the pair of which they promise most."""
     n, comp, ids, tile = (tiles.column(x).to_numpy() for x in ("n", "component", "id", "tile"))
     words = np.frombuffer(b"".join(tiles.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
-    left, right = [], []
+    left, right, far = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     live = np.arange(len(n) - 1)
     step = 1
     while len(live):
@@ -194,14 +192,23 @@ def _meet(tiles: pa.Table, threshold: int) -> pa.Table:
         if len(a):
             apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
             ok = _can_link(n[a], n[b], apart, threshold)
-            left.append(ids[a[ok]])
-            right.append(ids[b[ok]])
+            left.append(a[ok])
+            right.append(b[ok])
+            far.append(apart[ok] / (n[a[ok]] + n[b[ok]]))
         step += 1
-    none = [np.zeros(0, dtype=np.int64)]
-    return pa.table({"a": np.concatenate(none + left), "b": np.concatenate(none + right)})
-
-
-def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
+    left, right, far = map(np.concatenate, (left, right, far))
+    if nearest and len(far):
+        least = np.full(len(n), np.inf)
+        np.minimum.at(least, left, far)
+        np.minimum.at(least, right, far)
+        both = np.concatenate((np.flatnonzero(far == least[left]), np.flatnonzero(far == least[right])))
+        row = np.concatenate((left, right))[np.concatenate((np.flatnonzero(far == least[left]), len(far) + np.flatnonzero(far == least[right])))]
+        keep = both[np.unique(row, return_index=True)[1]]
+        left, right = left[keep], right[keep]
+    return pa.table({"a": ids[left], "b": ids[right]})
+
+
+def _tile_pairs(rows: DataFrame, threshold: int, nearest: bool) -> DataFrame:
     """_meet() over rows (tile, id, component, n, narrow), whole tiles at a time; small tiles share a call."""
     ship_package(rows.sparkSession)
 
@@ -216,45 +223,51 @@ def _tile_pairs(rows: DataFrame, threshold: int) -> DataFrame:
             ended = np.flatnonzero(tile != tile[-1])
             if len(ended):
                 whole = int(ended[-1]) + 1
-                yield from _meet(held.slice(0, whole).combine_chunks(), threshold).to_batches()
+                yield from _meet(held.slice(0, whole).combine_chunks(), threshold, nearest).to_batches()
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from _meet(held.combine_chunks(), threshold).to_batches()
+            yield from _meet(held.combine_chunks(), threshold, nearest).to_batches()
 
     return rows.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(run, "a long, b long")
 
 
+def _spots(ids) -> np.ndarray:
+    """The bits of ids in a bitmap of _id_bits()."""
+    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(8 << SKETCH_BITS)).astype(np.int64)
+
+
 def _id_bits(ids: DataFrame, spark):
-    """A broadcast bitmap of 2^SKETCH_BITS * 8 bits (1 MB) with the hashes of ids: all of them, and few others."""
-    size = 8 << SKETCH_BITS
+    """A broadcast bitmap of 2^SKETCH_BITS * 8 bits (4 MB) with the hashes of ids: all of them, and few others."""
+    wide = (8 << SKETCH_BITS) // _CHUNKS
 
     def run(batches):
-        at = np.zeros(size, dtype=bool)
+        at = np.zeros(_CHUNKS * wide // 8, dtype=np.uint8)
         for b in batches:
-            at[(mix(b.column("id").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(size)).astype(np.int64)] = True
-        rows = np.packbits(at).reshape(_CHUNKS, -1)
-        for k in np.flatnonzero(rows.any(axis=1)):
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([rows[k].tobytes()], pa.binary())], ["chunk", "bits"])
+            spots = _spots(b.column("id"))
+            np.bitwise_or.at(at, spots >> 3, np.left_shift(1, spots & 7).astype(np.uint8))
+        rows = at.reshape(_CHUNKS, -1)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
 
     def merge(key, rows):
         total = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in rows.column("bits").to_pylist()])
         return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
 
-    out = np.zeros((_CHUNKS, (size >> 3) // _CHUNKS), dtype=np.uint8)
+    out = np.zeros((_CHUNKS, wide // 8), dtype=np.uint8)
     for row in ids.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInArrow(lambda key, rows: merge(key, rows), "chunk int, bits binary").collect():
         out[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return spark.sparkContext.broadcast(np.unpackbits(out.reshape(-1)).astype(bool))
+    return spark.sparkContext.broadcast(out.reshape(-1))
 
 
 def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -> DataFrame:
-    """Of distinct pairs (a, b), those with 100 * intersection >= threshold * union of their shingle sets.
+    """Of distinct pairs (a, b), those with 100 * intersection >= threshold * union of their shingle sets; written.
 
-    Each text is sent to the groups of a that need it, at most HOT of them in one; a group streams past with a's text first."""
+    Each text is sent to the groups of a that need it, about LINKS of them in one; a group streams past with a's text first."""
     spark = docs.sparkSession
     ship_package(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
     counted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("links")), "a")
-    salted = counted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / F.lit(HOT))).alias("salt"))
+    salted = counted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / F.lit(LINKS))).alias("salt"))
     members = salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
         salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
     )
@@ -264,9 +277,8 @@ def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -
         at = wanted.value
         for b in batches:
             if b.num_rows:
-                ids = b.column("doc_id")
-                h = mix(pc.fill_null(ids, 0).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(len(at))
-                yield b.filter(pc.and_(pa.array(at[h.astype(np.int64)]), pc.is_valid(ids)))
+                spots = _spots(pc.fill_null(b.column("doc_id"), 0))
+                yield b.filter(pc.and_(pa.array((at[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)), pc.is_valid(b.column("doc_id"))))
 
     texts = docs.select("doc_id", "text").mapInArrow(only_wanted, docs.select("doc_id", "text").schema)
     sent = members.join(texts, F.col("id") == F.col("doc_id")).select("a", "salt", "role", "id", "text")
@@ -287,8 +299,31 @@ def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -
                             left.append(a)
                             right.append(i)
                 yield pa.RecordBatch.from_arrays([pa.array(left, s.schema.field("a").type), pa.array(right, s.schema.field("a").type)], ["a", "b"])
+        release()
+
+    found = cut(grouped.mapInArrow(run, f"a {kind}, b {kind}"), "links")
+    wanted.destroy()
+    return found
 
-    return grouped.mapInArrow(run, f"a {kind}, b {kind}")
+
+def _tiles(met: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
+    """tile, id, component, n, narrow: the rows of shingles whose sets are in several components, in tiles of bounded size."""
+    comp = met.join(found, F.col("doc_id") == F.col("id"), "left").select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    sizes = comp.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
+    apart = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("major_rows"), F.sum("rows").alias("all_rows")).where("all_rows > major_rows")
+    blocks = lambda rows: F.ceil(rows / F.lit(TILE)).cast("int")
+    apart = apart.select("shingle", "major", blocks(F.col("major_rows")).alias("majors"), blocks(F.col("all_rows") - F.col("major_rows")).alias("minors"))
+    left = comp.join(apart, "shingle")
+    is_major = F.col("component") == F.col("major")
+    # A tile is a block of the others with a block of the largest component, or with one of the others.
+    block = F.pmod(F.xxhash64("doc_id"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
+    others = F.sequence(F.lit(0), F.col("minors") - 1)
+    own = F.transform(others, lambda i: F.struct(F.least(F.col("block"), i).alias("t0"), F.greatest(F.col("block"), i).alias("t1")))
+    major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.col("block").alias("t0"), (-1 - j).alias("t1")))
+    places = F.when(is_major, F.transform(others, lambda i: F.struct(i.alias("t0"), (-1 - F.col("block")).alias("t1")))).otherwise(F.concat(own, major))
+    placed = left.withColumn("block", block).select("shingle", "doc_id", "component", F.explode(places).alias("t"))
+    # Tiles of different shingles that fall on one number only compare more than they must.
+    return placed.join(sigs.select("doc_id", "n", "narrow"), "doc_id").select(F.xxhash64("shingle", "t.t0", "t.t1").alias("tile"), F.col("doc_id").alias("id"), "component", "n", "narrow")
 
 
 def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -301,10 +336,11 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     with a null id carry the component of their copies, null if alone. Ids are integers. An empty table gives an empty one. Only the
     two named columns are read."""
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    docs = docs.select(quoted(id_col).cast("long").alias("doc_id"), quoted(text_col).alias("text"))
     counts = shingle_sketch(docs, words)
     levels = spark.sparkContext.broadcast(np.minimum(255, np.log2(counts.astype(np.float64) + 1) * STEPS).astype(np.uint8))
     sigs = cut(signatures(docs, levels, threshold, words), "signatures")
+    levels.destroy()
     keys = ["n", "k1", "k2"]
     tops = cut(sigs.where("n > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), "copies")
     reps = sigs.join(tops.select(F.col("rep").alias("doc_id"), *keys), ["doc_id", *keys], "left_semi").dropDuplicates(["doc_id", *keys])
@@ -321,30 +357,21 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     best = often.groupBy("doc_id").agg(F.min_by("hub", F.struct(-F.col("times"), F.col("hub"))).alias("hub"))
     pairs = best.select(F.col("hub").alias("a"), F.col("doc_id").alias("b")).unionByName(tied.where("a <> b")).distinct()
     bits = sigs.select("doc_id", "n", "bits")
-    links = cut(exact_links(docs, cut(_bounded_pairs(pairs, bits, threshold), "pairs"), threshold, words), "links")
+    bounded = cut(_bounded_pairs(pairs, bits, threshold), "pairs")
+    links = exact_links(docs, bounded, threshold, words)
+    drop_cut(bounded)
     found = components(links)
 
-    # What is still apart and shares a shingle: every such pair meets in a tile.
-    comp = met.join(found, F.col("doc_id") == F.col("id"), "left").select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    sizes = comp.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
-    apart = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("major_rows"), F.sum("rows").alias("all_rows")).where("all_rows > major_rows")
-    blocks = lambda rows: F.ceil(rows / F.lit(TILE)).cast("int")
-    apart = apart.select("shingle", "major", blocks(F.col("major_rows")).alias("majors"), blocks(F.col("all_rows") - F.col("major_rows")).alias("minors"))
-    left = comp.join(apart, "shingle")
-    is_major = F.col("component") == F.col("major")
-    # A tile is a block of the others with a block of the largest component, or with one of the others.
-    block = F.pmod(F.xxhash64("doc_id"), F.when(is_major, F.col("majors")).otherwise(F.col("minors"))).cast("int")
-    others = F.sequence(F.lit(0), F.col("minors") - 1)
-    own = F.transform(others, lambda i: F.struct(F.least(F.col("block"), i).alias("t0"), F.greatest(F.col("block"), i).alias("t1")))
-    major = F.transform(F.sequence(F.lit(0), F.col("majors") - 1), lambda j: F.struct(F.col("block").alias("t0"), (-1 - j).alias("t1")))
-    places = F.when(is_major, F.transform(others, lambda i: F.struct(i.alias("t0"), (-1 - F.col("block")).alias("t1")))).otherwise(F.concat(own, major))
-    placed = left.withColumn("block", block).select("shingle", "doc_id", "component", F.explode(places).alias("t"))
-    # Tiles of different shingles that fall on one number only compare more than they must.
-    tiles = placed.join(sigs.select("doc_id", "n", "narrow"), "doc_id").select(F.xxhash64("shingle", "t.t0", "t.t1").alias("tile"), F.col("doc_id").alias("id"), "component", "n", "narrow")
-    more = _tile_pairs(tiles, threshold).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    more = cut(_bounded_pairs(more, bits, threshold), "pairs")
-    if more.limit(1).count():
-        found = components(links.unionByName(exact_links(docs, more, threshold, words)))
+    # What is still apart and shares a shingle meets in tiles. First each set takes the nearest one of each tile, which joins most
+    # components; then every pair that is apart still is settled.
+    for nearest in (True, False):
+        more = _tile_pairs(_tiles(met, found, sigs), threshold, nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        more = cut(_bounded_pairs(more, bits, threshold), "pairs")
+        if not more.limit(1).count():
+            break
+        links = links.unionByName(exact_links(docs, more, threshold, words))
+        found = components(links)
+        drop_cut(more)
     drop_cut(met)
     final = sigs.select("doc_id", "n", "k1", "k2").join(tops, keys, "left").join(found, F.col("rep") == F.col("id"), "left")
     return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
@@ -354,18 +381,21 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", **how) -> DataFrame:
     """The rows of docs whose id is their component's, columns as they are.
 
     A row with a null id is a document of its own: it stays if it has no copy, and so does one of each group of copies without ids."""
-    nulls = numbered_nulls(docs, id_col)
+    number, row, kept = free(docs, "number", "row", "kept")
+    nulls = numbered_nulls(docs, id_col, row)
+
+    def tops(rows, own):
+        return ngram_join(rows, id_col=own, **how).where("doc_id = component_id").select(F.col("doc_id").alias(kept)).distinct()
+
     if nulls is None:
-        kept = ngram_join(docs, id_col=id_col, **how).where("doc_id = component_id").select(F.col("doc_id").alias("__id")).distinct()
-        return docs.join(kept, F.col(id_col) == F.col("__id"), "left_semi")
+        return docs.join(tops(docs, id_col), quoted(id_col) == F.col(kept), "left_semi")
     # They are numbered after the greatest id, so that a copy with an id goes first (before the least, if there is no room).
-    ids = docs.agg(F.min(F.col(id_col).cast("long")), F.max(F.col(id_col).cast("long"))).first()
+    ids = docs.agg(F.min(quoted(id_col).cast("long")), F.max(quoted(id_col).cast("long"))).first()
     n = nulls.count()
     start = 0 if ids[1] is None else ids[1] + 1 if ids[1] + n < 1 << 63 else ids[0] - n
-    given = docs.where(F.col(id_col).isNotNull()).withColumn("__id", F.col(id_col).cast("long"))
-    rows = given.unionByName(nulls.withColumn("__id", F.col("__row") + F.lit(start)).drop("__row"))
-    kept = ngram_join(rows, id_col="__id", **how).where("doc_id = component_id").select(F.col("doc_id").alias("__kept")).distinct()
-    return rows.join(kept, F.col("__id") == F.col("__kept"), "left_semi").select(*docs.columns)
+    given = docs.where(quoted(id_col).isNotNull()).withColumn(number, quoted(id_col).cast("long"))
+    rows = given.unionByName(nulls.withColumn(number, F.col(row) + F.lit(start)).drop(row))
+    return rows.join(tops(rows, number), F.col(number) == F.col(kept), "left_semi").select(*named(docs))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
