@@ -4,7 +4,7 @@ The lexicon is learned: words that labelled toxic documents hold far more often
 others. Its trie and the Levenshtein automata of its words are intersected into one
 deterministic automaton, which runs over all words of an Arrow batch at once, letter by
 letter. Matches count by whether they are exact and whether their window reads like a
-quotation; a logistic curve over those counts gives the score.
+quotation; a logistic curve over their logarithms gives the score.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
-from .common import arrow_map, ascii_lower, cut, fold_column, slices, table
+from .common import arrow_map, ascii_lower, cut, fold_column, quoted, slices, table
 
 #: Digits and signs often written for letters, and the letters.
 DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
@@ -25,7 +25,6 @@ DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a
 QUOTES = "\"“”„«»‹›‘`"
 REPORTS = ("quote", "quoted", "quotes", "said", "says", "wrote", "writes", "called", "term", "word", "zitat", "sagte", "dit", "citation", "dijo", "cita")
 WINDOW = 4
-CAP = 6
 
 
 def _tables() -> tuple[np.ndarray, np.ndarray]:
@@ -178,7 +177,7 @@ class Model:
 
 
 def _features(model_automaton: Automaton | None, texts: list[str | None]) -> np.ndarray:
-    """Of each text: exact and misspelled terms in plain speech, and in quotations; each up to CAP."""
+    """Of each text: exact and misspelled terms in plain speech, and in quotations."""
     out = np.zeros((len(texts), 4), dtype=np.int64)
     if model_automaton is None or not texts:
         return out
@@ -194,7 +193,12 @@ def _features(model_automaton: Automaton | None, texts: list[str | None]) -> np.
             near = (words.letters[words.start[j] : words.start[j] + words.size[j]] for j in range(low, i))
             quoted = any("".join(map(chr, x)) in REPORTS for x in near if len(x) <= 9)
         out[t, (2 if quoted else 0) + (1 if e else 0)] += 1
-    return np.minimum(out, CAP)
+    return out
+
+
+def _evidence(counts) -> np.ndarray:
+    """What so many terms weigh: the second says less than the first, and none says nothing."""
+    return np.log2(1.0 + np.asarray(counts, dtype=np.float64))
 
 
 def learn_lexicon(labelled: DataFrame, least_docs: int = 5, times: float = 20.0) -> list[str]:
@@ -240,7 +244,7 @@ def _fit(rows: list, rounds: int = 50, ridge: float = 1.0) -> np.ndarray:
 
     Exact terms are fitted first; where little was seen of the other ways, they stay near them: misspelled at
     four fifths, quoted at two fifths."""
-    x = np.array([[*r[:4], 1.0] for r in rows], dtype=np.float64)
+    x = np.concatenate((_evidence([r[:4] for r in rows]), np.ones((len(rows), 1))), axis=1)
     y, n = (np.array([r[k] for r in rows], dtype=np.float64) for k in (4, 5))
     w = prior = np.array([2.0, 1.6, 0.8, 0.6, 0.0])
     for pull in (np.array([ridge, 1e6, 1e6, 1e6, 1e-3]), np.array([ridge] * 4 + [1e-3])):
@@ -272,6 +276,7 @@ def _too_common(automaton: Automaton, labelled: DataFrame, share: float = 0.001)
     clean = labelled.where("toxic = 0").select("text")
     n = clean.count()
     rows = arrow_map(clean, make, "word long", "text").groupBy("word").agg(F.count("*").alias("n")).collect()
+    shared.destroy()
     return frozenset(automaton.lexicon[r["word"]] for r in rows if r["n"] > max(1, share * n))
 
 
@@ -293,6 +298,7 @@ def train(labelled: DataFrame) -> Model:
         return f
 
     rows = arrow_map(labelled, make, "a long, b long, c long, d long, toxic int", "text").groupBy("a", "b", "c", "d", "toxic").agg(F.count("*").alias("n")).collect()
+    shared.destroy()
     n = sum(r["n"] for r in rows)
     prior = sum(r["n"] for r in rows if r["toxic"]) / n if n else 0.0
     weights = _fit([tuple(r) for r in rows]) if automaton and n else np.array([0, 0, 0, 0, np.log((prior + 1e-4) / (1 - prior + 1e-4))])
@@ -305,7 +311,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     Null and empty texts have no terms, and the score of that. Repeated rows stay; an empty table gives an
     empty one. Only the named columns are read."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
     names = ["exact", "misspelled", "exact_quoted", "misspelled_quoted"]
 
     def make():
@@ -313,7 +319,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
         def f(batch):
             x = _features(m.automaton, batch.column("text").to_pylist())
-            p = 1 / (1 + np.exp(-np.clip(x @ m.weights[:4] + m.weights[4], -30, 30)))
+            p = 1 / (1 + np.exp(-np.clip(_evidence(x) @ m.weights[:4] + m.weights[4], -30, 30)))
             return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(p), pa.array((p >= 0.5).astype(np.int32)), *(pa.array(x[:, k]) for k in range(4))], ["doc_id", "score", "predicted", *names])
 
         return f
@@ -331,7 +337,7 @@ def clean_rows(docs: DataFrame, model: Model, text_col: str = "text") -> DataFra
 
         def f(batch):
             x = _features(m.automaton, batch.column(text_col).to_pylist())
-            return batch.filter(pa.array(x @ m.weights[:4] + m.weights[4] < 0))
+            return batch.filter(pa.array(_evidence(x) @ m.weights[:4] + m.weights[4] < 0))
 
         return f
 
