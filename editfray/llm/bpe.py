@@ -2,30 +2,36 @@
 
 A text is halved until its parts are small; parts are encoded alone, and two
 neighbours are joined by re-encoding a window around their boundary. The window
-grows until each of its ends is a cut that no longer text can undo: a position
-after an ASCII letter and before an ASCII character that is none. There every
-match of the pattern ends (no match goes on from a letter to a non-letter), and a
-match depends only on what stands right of its start; so tokens outside the
+grows until each of its ends is a cut that no longer text can undo: a place where the
+class of characters (letters, numbers, others) ends and no match of the pattern goes
+on over the change. A match depends only on what stands right of its start; so tokens outside the
 window are final. Where no such cut exists, the window is the whole of both parts.
+Decoding concatenates up the tree.
 """
 
 from __future__ import annotations
 
 import base64
 import re
-from functools import lru_cache
+from array import array
+from functools import cached_property, lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, quoted, table
 
-LEAF = 4096
-#: A cut lies between the two characters that this matches.
-CUT = re.compile(r"[A-Za-z](?=[\x00-@\[-`{-\x7f])")
-_BLANK_RUN = re.compile(r"\s{2048,}")
+#: Characters of a part that is encoded alone, and tokens of one that is decoded alone.
+LEAF = 256
+# Characters that every version of Unicode has in the same class: what is in none of these makes no cut.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ſΑ-ΡΣ-Ωα-ωА-яぁ-ゖァ-ヺ一-龥가-힣"
+_BLANKS = "\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
+_OTHERS = "!-&(-/:-@\\[-`{-~«»‐-…、。！，：；？\U0001f600-\U0001f64f"
+#: A cut lies behind the character that this matches. An apostrophe goes on to letters (as in 'll), no other sign does.
+CUT = re.compile(f"[{_LETTERS}](?=[0-9'{_BLANKS}{_OTHERS}])|[0-9](?=['{_LETTERS}{_BLANKS}{_OTHERS}])|[{_OTHERS}](?=[0-9{_LETTERS}{_BLANKS}])|'(?=[0-9{_BLANKS}])")
+_BLANK_RUN = re.compile(f"[{_BLANKS}]{{2048,}}")
 
 
 def default_vocabulary() -> str:
@@ -35,19 +41,20 @@ def default_vocabulary() -> str:
 
 
 class Codec:
-    """Encoder and decoder of one rank file."""
+    """Encoder and decoder of one rank file. Decoding needs the list of tokens alone."""
 
     def __init__(self, vocabulary: str):
+        with open(vocabulary, "rb") as lines:
+            ranks = {int(rank): base64.b64decode(token) for token, rank in map(bytes.split, lines)}
+        self._bytes = [ranks.get(i, b"") for i in range(max(ranks) + 1)]
+
+    @cached_property
+    def _bpe(self):
         import public_tokenizers
         import tiktoken
 
-        with open(vocabulary, "rb") as lines:
-            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-        self._bpe = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
-        self._bytes = [b""] * (max(ranks.values()) + 1)
-        for token, rank in ranks.items():
-            self._bytes[rank] = token
-        self._lengths = np.array([len(x) for x in self._bytes], dtype=np.int64)
+        ranks = {token: rank for rank, token in enumerate(self._bytes) if token}
+        return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
     def plain(self, text: str) -> list[int]:
         """Encode one part by itself. Very long runs of blanks are cut from the rest as the pattern cuts them,
@@ -57,26 +64,24 @@ class Codec:
         a, b = run.span()
         if b < len(text):  # the last blank goes with, or stands before, what follows
             b -= 1
-        # The run is one match: BPE alone, without the pattern.
-        return self._bpe.encode_ordinary(text[:a]) + self._bpe._encode_single_piece(text[a:b]) + self.plain(text[b:])
+        return self._bpe.encode_ordinary(text[:a]) + self._bpe.encode_ordinary(text[a:b]) + self.plain(text[b:])
 
     def encode(self, text: str) -> np.ndarray:
-        return self._encode(text, 0, len(text))
+        return np.frombuffer(self._encode(text, 0, len(text)), dtype=np.uint32).astype("<u4", copy=False)
 
-    def _encode(self, text: str, start: int, end: int) -> np.ndarray:
+    def _encode(self, text: str, start: int, end: int) -> array:
         if end - start <= LEAF:
-            return np.array(self.plain(text[start:end]), dtype="<u4")
+            return array("I", self.plain(text[start:end]))
         middle = (start + end) // 2
         return self.join(text, start, middle, end, self._encode(text, start, middle), self._encode(text, middle, end))
 
-    def join(self, text: str, start: int, middle: int, end: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    def join(self, text: str, start: int, middle: int, end: int, left: array, right: array) -> array:
         """Tokens of text[start:end] from those of its parts before and from middle."""
         a, b = self.window(text, start, middle, end)
         if a == b == middle:
-            return np.concatenate((left, right))
-        n_left = len(left) - self._last(left, len(text[a:middle].encode()))
-        n_right = self._first(right, len(text[middle:b].encode()))
-        return np.concatenate((left[:n_left], np.array(self.plain(text[a:b]), dtype="<u4"), right[n_right:]))
+            return left + right
+        n_left, n_right = self._held(reversed(left), text[a:middle]), self._held(right, text[middle:b])
+        return left[: len(left) - n_left] + array("I", self.plain(text[a:b])) + right[n_right:]
 
     @staticmethod
     def window(text: str, start: int, middle: int, end: int) -> tuple[int, int]:
@@ -96,21 +101,15 @@ class Codec:
             width *= 4
         return a, b
 
-    def _last(self, ids: np.ndarray, n_bytes: int) -> int:
-        """How many tokens at the end make n_bytes."""
-        return self._first(ids[::-1], n_bytes)
-
-    def _first(self, ids: np.ndarray, n_bytes: int) -> int:
-        taken = held = 0
-        while held < n_bytes:
-            sizes = np.cumsum(self._lengths[ids[taken : taken + 64]])
-            k = int(np.searchsorted(sizes, n_bytes - held))
-            if k < len(sizes):
-                if held + sizes[k] != n_bytes:
-                    raise AssertionError("a window must begin and end between tokens")
-                return taken + k + 1
-            held += int(sizes[-1])
-            taken += len(sizes)
+    def _held(self, ids, text: str) -> int:
+        """How many of the ids, from the first on, make the text."""
+        left, taken = len(text.encode()), 0
+        ids = iter(ids)
+        while left > 0:
+            left -= len(self._bytes[next(ids)])
+            taken += 1
+        if left:
+            raise AssertionError("a window must begin and end between tokens")
         return taken
 
     def decode(self, ids: np.ndarray) -> bytes:
@@ -126,25 +125,35 @@ def codec(vocabulary: str) -> Codec:
     return Codec(vocabulary)
 
 
-def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens long, ids binary (packed little-endian unsigned 32-bit) for each row of docs.
+def _encoded(c: Codec, texts: list) -> tuple[list, list]:
+    ids = [c.encode(x or "") for x in texts]
+    return ids, [pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())]
+
+
+def encode(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", and_decode: bool = False) -> DataFrame:
+    """id, n_tokens long, ids binary (packed little-endian unsigned 32-bit) for each row of docs; with and_decode
+    also decoded binary, what decode() makes of the ids, by the same tasks.
 
     Null text is encoded as empty: no ids. Rows stay as they are, repeated or with
     a null id; an empty table gives an empty one. Only the two named columns are
     read. A text is held whole by one task, so its length bounds the memory."""
     vocabulary = vocabulary or default_vocabulary()
-    kept = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))
+    kept = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"))
+    names = ["doc_id", "n_tokens", "ids", *["decoded"] * and_decode]
 
     def make():
         c = codec(vocabulary)
 
         def f(batch):
-            ids = [c.encode(x or "") for x in batch.column("text").to_pylist()]
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([len(x) for x in ids], pa.int64()), pa.array([x.tobytes() for x in ids], pa.binary())], ["doc_id", "n_tokens", "ids"])
+            ids, columns = _encoded(c, batch.column("text").to_pylist())
+            if and_decode:
+                columns.append(pa.array(map(c.decode, ids), pa.binary()))
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], names)
 
         return f
 
-    return arrow_map(kept, make, f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, n_tokens long, ids binary", "text")
+    kind = kept.schema["doc_id"].dataType.simpleString()
+    return arrow_map(kept, make, f"doc_id {kind}, n_tokens long, ids binary" + ", decoded binary" * and_decode, "text")
 
 
 def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
@@ -165,7 +174,7 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
 
 
 def digests(docs: DataFrame, **how) -> DataFrame:
-    out = decode(encode(docs, **how), how.get("vocabulary"))
+    out = encode(docs, and_decode=True, **how)
     return out.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
