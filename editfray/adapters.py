@@ -21,12 +21,14 @@ COMMENTS = (
 
 
 def edits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edits from events: 5 pages, 3 users, one edit an event; error and purchase events revert."""
+    """Edits from events, one an event: half of them on 5 busy pages of few users, the rest on pages whose number grows with the
+    table; error and purchase events revert."""
     e = read(spark, sf_dir, "events")
-    page = (F.col("event_id") * 7919) % 5
+    half = F.floor(F.col("event_id") / 2)
+    page = F.when(F.col("event_id") % 2 == 0, half * 7919 % 5).otherwise(5 + F.floor(half / 200) * 2 + half * 7919 % 3)
     return e.select(
-        F.lit("enwiki").alias("wiki"), page.alias("page_id"), F.element_at(F.array(*map(F.lit, TITLES)), (page + 1).cast("int")).alias("page_title"),
-        F.col("event_id").alias("rev_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), (F.col("user_id") % 3).cast("string")).alias("user_text"),
+        F.lit("enwiki").alias("wiki"), page.alias("page_id"), F.element_at(F.array(*map(F.lit, TITLES)), (page % 5 + 1).cast("int")).alias("page_title"),
+        F.col("event_id").alias("rev_id"), F.col("ts").cast("timestamp").alias("ts"), F.concat(F.lit("U"), (F.col("user_id") % (2 + page % 3)).cast("string")).alias("user_text"),
         F.element_at(F.array(*map(F.lit, COMMENTS)), (F.col("event_id") % len(COMMENTS) + 1).cast("int")).alias("comment"),
         F.col("event_type").isin("error", "purchase").alias("is_revert"), (F.col("event_id") % 11 == 0).alias("user_is_bot"), (F.col("event_id") % 5000).alias("text_bytes"),
         F.date_format("ts", "yyyy-MM").alias("month"),
@@ -54,14 +56,14 @@ def history(edits_: DataFrame) -> DataFrame:
 # The same views for the oracle.
 SQL_EDITS = """
 d_edits AS (
-  SELECT 'enwiki' AS wiki, (event_id * 7919) % 5 AS page_id,
-         list_extract(['Example page', 'List of episodes', '1998 cup season', 'Results and statistics', 'Talkative place'], ((event_id * 7919) % 5 + 1)::INT) AS page_title,
-         event_id AS rev_id, ts, 'U' || (user_id % 3)::VARCHAR AS user_text, event_type IN ('error', 'purchase') AS is_revert,
+  SELECT 'enwiki' AS wiki, page_id,
+         list_extract(['Example page', 'List of episodes', '1998 cup season', 'Results and statistics', 'Talkative place'], (page_id % 5 + 1)::INT) AS page_title,
+         event_id AS rev_id, ts, 'U' || (user_id % (2 + page_id % 3))::VARCHAR AS user_text, event_type IN ('error', 'purchase') AS is_revert,
          list_extract(['Copyedit of the lead', 'Reverted edits by [[Special:Contributions/U1|U1]] to last revision', 'undid revision 4711 by U2 (talk)',
            'rvv obvious nonsense', 'see the RfC on page protection', 'arbitration enforcement notice', 'restored sourced wording, please discuss first',
            'added a reliable source for the birth place'], (event_id % 8 + 1)::INT) AS comment,
          event_id % 11 = 0 AS user_is_bot, event_id % 5000 AS text_bytes, strftime(ts, '%Y-%m') AS month
-  FROM events
+  FROM (SELECT *, CASE WHEN event_id % 2 = 0 THEN (event_id // 2) * 7919 % 5 ELSE 5 + (event_id // 2 // 200) * 2 + (event_id // 2) * 7919 % 3 END AS page_id FROM events)
 )"""
 SQL_REVERTS = """
 d_reverts AS (

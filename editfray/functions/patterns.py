@@ -39,6 +39,7 @@ TALK_RESTRICTION = (
     _I + r"\b(page protection|protected|semi-protected|fully protected|full protection|extended[- ]confirmed|extendedconfirmed|ecp|pending changes|"
     r"edit restriction|editing restriction|topic ban|1rr|0rr|500/30|move protected|protection request|requested protection)\b"
 )
+ROUTINE_TALK = r"^(reverted edits by|undid revision|rollback|automated)"
 STRONG_DEBATE = _I + r"\b(consensus|discuss(?:ion)?|debate|dispute|edit war|npov|pov|neutral|undue|rfc|requested comment|wording|bias|controvers)\b"
 SOURCE_DEBATE = _I + r"\b(reliable source|source|citation|lead)\b"
 REVERT_TAGS = (("mw-rollback", 0.95), ("mw-undo", 0.9), ("mw-manual-revert", 0.85))

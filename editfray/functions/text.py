@@ -42,6 +42,19 @@ def talk_flags(comment: Column) -> dict[str, Column]:
     return {name: _found(comment, p).cast("int") for name, p in (("rfc", P.TALK_RFC), ("arb", P.TALK_ARBITRATION), ("restriction", P.TALK_RESTRICTION))}
 
 
+def substantive_talk(comment: Column) -> Column:
+    """A comment of three characters at least that doesn't open like a routine action."""
+    said = F.lower(F.trim(_or_empty(comment)))
+    return (F.char_length(said) >= 3) & ~said.rlike(P.ROUTINE_TALK)
+
+
+def talk_sentences(text: Column) -> Column:
+    """The sentences of a text that may be part of a debate: of 20 to 280 characters, and no list of archives."""
+    split = F.split(_or_empty(text), r"(?<=[.!?])(?U)\s+")
+    archives = lambda s: F.size(F.split(normal(s), "archive")) - 1
+    return F.transform(F.filter(split, lambda s: F.char_length(s).between(20, 280) & ~F.startswith(normal(s), F.lit("archives talk")) & (archives(s) < 3)), F.btrim)
+
+
 def history_title(title: Column) -> Column:
     return F.regexp_replace(F.replace(_or_empty(title), F.lit(" "), F.lit("_")), "^Talk:", "")
 
@@ -123,3 +136,27 @@ def period_bounds(period: Column) -> Column:
 def snapshot_id(period: Column) -> Column:
     """The snapshot of a period as YYYYMM01."""
     return F.concat(F.replace(F.regexp_extract(period, r"^history(?:-year)?:(\d{4}-\d{2}):", 1), F.lit("-"), F.lit("")), F.lit("01"))
+
+
+def repeats(text: Column) -> Column:
+    """Whether 82 of 100 characters and more repeat a unit of up to 24 from the text's start."""
+    signs, n = F.split(text, ""), F.char_length(text)
+    units = F.sequence(F.lit(1), F.least(F.lit(24), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))))
+    same = lambda u: F.size(F.filter(signs, lambda c, i: c == F.get(signs, (i % u).cast("int"))))
+    return (n > 0) & (F.array_max(F.transform(units, same)) / n >= 0.82)
+
+
+def is_graffiti(text: Column) -> Column:
+    """Forty letters and more that repeat one unit, as a whole or as a word, or eight words and more of which seven tenths are one."""
+    letters = F.lower(F.regexp_replace(_or_empty(text), "[^A-Za-z0-9]+", ""))
+    words = F.transform(F.regexp_extract_all(_or_empty(text), F.lit(f"({P.WORD})"), 1), F.lower)
+    # Words in order: the most frequent is the longest run.
+    start = F.struct(F.lit("").alias("w"), F.lit(0).alias("n"), F.lit(0).alias("most"))
+
+    def step(a, w):
+        n = F.when(a["w"] == w, a["n"] + 1).otherwise(F.lit(1))
+        return F.struct(w.alias("w"), n.alias("n"), F.greatest(a["most"], n).alias("most"))
+
+    most = F.aggregate(F.sort_array(words), start, step)["most"]
+    whole = (F.char_length(letters) >= 40) & ~letters.rlike("[0-9]") & repeats(letters)
+    return whole | ((F.size(words) >= 8) & (most >= 0.7 * F.size(words))) | F.exists(words, lambda w: (F.char_length(w) >= 40) & repeats(w))

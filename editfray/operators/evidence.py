@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import html
+
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.diff import added_sentences, changed_segments, debated, is_graffiti, normal, plain_text, talk_sentences
+from ..functions import patterns as P
+from ..functions.diff import added, changed_segments
 from ..functions.scores import battle_score
-from ..functions.text import clean_comment, first_sentence, first_shot, is_cleanup, is_revert_like
+from ..functions.text import clean_comment, clean_wikitext, first_sentence, first_shot, is_cleanup, is_graffiti, is_revert_like, normal, talk_sentences
 from ..shipping import ship_package
 from .evidence_rows import chosen
 from .lookups import adjacent
@@ -68,10 +71,8 @@ def battles(stats: DataFrame, keys: list[str], limit: int = 3) -> DataFrame:
 
 
 def usable(found: DataFrame) -> DataFrame:
-    ship_package(found.sparkSession)
-    graffiti = F.pandas_udf(lambda s: pd.Series([is_graffiti(x) for x in s]), "boolean")
     text = F.when(F.coalesce("changed_text", F.lit("")) != "", F.col("changed_text")).otherwise(F.col("segment"))
-    return found.where("editors >= 2 AND (reverts >= 3 OR changes >= 3)").where(~graffiti(text))
+    return found.where("editors >= 2 AND (reverts >= 3 OR changes >= 3)").where(~is_graffiti(text))
 
 
 def terms(found: DataFrame, keys: list[str]) -> DataFrame:
@@ -84,43 +85,67 @@ def terms(found: DataFrame, keys: list[str]) -> DataFrame:
     return lists.select(*keys, F.slice(good, 1, 18).alias("terms"))
 
 
+def disputes(sentences: Column, comment: Column, own: Column) -> Column:
+    """array of struct(sentence, matched, key): of sentences said under a comment, those of a dispute: by its words, or by those of sources with a term of the page."""
+    said = lambda x: normal(F.concat_ws(" ", comment, x))
+    matched = lambda x: F.filter(F.coalesce(own, F.array().cast("array<string>")), lambda t: (t != "") & F.contains(said(x), t))
+    every = F.transform(F.filter(sentences, lambda x: x != ""), lambda x: F.struct(x.alias("sentence"), F.slice(matched(x), 1, 5).alias("matched"), normal(x).alias("key"), said(x).alias("said")))
+    return F.filter(every, lambda d: d["said"].rlike(P.STRONG_DEBATE) | (d["said"].rlike(P.SOURCE_DEBATE) & (F.size(d["matched"]) > 0)))
+
+
+def first_unseen(hits: DataFrame, keys: list[str], order: tuple[str, ...], most: int = 5) -> DataFrame:
+    """keys, x (user, sentence, matched), place: revision after revision the first disputed sentence that none before it gave, `most` of a page.
+
+    hits: keys, order, user, pos, key, sentence, matched. What a page's choice can look at is bounded before it meets: the revision after which `most` have brought
+    a sentence of their own is the last that counts, and no sentence counts more than `most` times."""
+    by_key, by_page = Window.partitionBy(*keys, "key").orderBy(*order, "pos"), Window.partitionBy(*keys).orderBy(*order)
+    once = hits.dropDuplicates([*keys, *order, "key"])
+    rows = once.withColumn("again", F.row_number().over(by_key)).where(F.col("again") <= most)
+    fresh = rows.where("again = 1").select(*keys, *order).distinct().withColumn("n", F.row_number().over(by_page)).where(F.col("n") <= most)
+    upto = fresh.where(F.col("n") == most).select(*keys, F.struct(*order).alias("upto"))
+    near = rows.join(upto, keys, "left").where(F.col("upto").isNull() | (F.struct(*order) <= F.col("upto")))
+    one = near.groupBy(*keys, *order).agg(F.min("user").alias("user"), F.sort_array(F.collect_list(F.struct("pos", "key", "sentence", "matched"))).alias("all"))
+    page = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(*order, "user", "all"))).alias("revisions"))
+    kind = "array<struct<user: string, sentence: string, matched: array<string>, key: string>>"
+
+    def take(chosen, r):
+        new = F.filter(r["all"], lambda x: ~F.array_contains(F.transform(chosen, lambda c: c["key"]), x["key"]))
+        given = F.transform(F.slice(new, 1, 1), lambda x: F.struct(F.coalesce(r["user"], F.lit("")).alias("user"), x["sentence"].alias("sentence"), x["matched"].alias("matched"), x["key"].alias("key")))
+        return F.when(F.size(chosen) < most, F.concat(chosen, given)).otherwise(chosen)
+
+    chosen = F.aggregate("revisions", F.array().cast(kind), take)
+    return page.select(*keys, F.posexplode(chosen).alias("p", "x")).select(*keys, (F.col("p") + 1).alias("place"), "x")
+
+
 def talk_evidence(talk: DataFrame, page_terms: DataFrame, keys: list[str], order: tuple[str, ...] = ("ts", "rev_id")) -> DataFrame:
-    """Up to five disputes of a talk page, one a revision at most; of pages without, up to three from the last text.
+    """keys, place, user, sentence, matched: up to five disputes of a talk page, one a revision at most; of pages without, up to three from the last text.
 
-    Sentences added are found for each adjacent pair in Arrow batches; the choice by page sees disputed sentences alone."""
+    Python decodes entities and aligns lists of sentences, in Arrow batches; texts are cut into sentences once, and
+    only sentences meet those of the revision before."""
     ship_package(talk.sparkSession)
 
-    @F.pandas_udf("struct<sentence: string, matched: array<string>, key: string>")
-    def dispute(before: pd.Series, after: pd.Series, comment: pd.Series, spare: pd.Series, own: pd.Series) -> pd.DataFrame:
-        rows = []
-        for a, b, c, s, t in zip(before, after, comment, spare, own, strict=True):
-            t = [] if t is None else list(t)
-            found = added_sentences(plain_text(a), plain_text(b)) or ([s] if c and s else [])
-            hit = next(((x, m[:5], normal(x)) for x in found if x for ok, m in [debated(normal(f"{c} {x}"), t)] if ok), (None, None, None))
-            rows.append(hit)
-        return pd.DataFrame(rows, columns=["sentence", "matched", "key"])
-
-    @F.pandas_udf("array<struct<sentence: string, matched: array<string>>>")
-    def last_words(text: pd.Series, own: pd.Series) -> pd.Series:
-        out = []
-        for b, t in zip(text, own, strict=True):
-            seen, got = set(), []
-            for s in talk_sentences(plain_text(b)):
-                ok, m = debated(normal(s), [] if t is None else list(t))
-                if ok and normal(s) not in seen and len(got) < 3:
-                    seen.add(normal(s))
-                    got.append((s, m[:5]))
-            out.append(got)
-        return pd.Series(out)
+    @F.pandas_udf("string")
+    def decoded(text: pd.Series) -> pd.Series:
+        return text.map(html.unescape, na_action="ignore")
+
+    @F.pandas_udf("array<int>")
+    def places(before: pd.Series, after: pd.Series) -> pd.Series:
+        return pd.Series([added(list(a), list(b)) for a, b in zip(before, after, strict=True)])
 
     by = Window.partitionBy(*keys).orderBy(*order)
-    rows = talk.withColumn("before", F.coalesce(F.lag("content").over(by), F.lit(""))).withColumn("is_last", F.lead("rev_id").over(by).isNull()).join(page_terms, keys, "left")
     c = clean_comment(F.col("comment"))
-    rows = rows.withColumn("d", dispute(F.col("before"), F.coalesce("content", F.lit("")), c, first_sentence(F.col("comment")), F.col("terms")))
-    hits = rows.where("d.sentence IS NOT NULL").withColumn("again", F.row_number().over(Window.partitionBy(*keys, "d.key").orderBy(*order))).where("again = 1")
-    hits = hits.withColumn("place", F.row_number().over(by)).where("place <= 5").select(*keys, "place", F.col("user_text").alias("user"), F.col("d.sentence").alias("sentence"), F.col("d.matched").alias("matched"))
-    rest = rows.where("is_last").join(hits.select(*keys).distinct(), keys, "left_anti").select(*keys, F.posexplode(last_words(F.coalesce("content", F.lit("")), F.col("terms"))).alias("p", "x"))
-    return hits.unionByName(rest.select(*keys, (F.col("p") + 1).alias("place"), F.lit("").alias("user"), F.col("x.sentence").alias("sentence"), F.col("x.matched").alias("matched")))
+    rows = talk.select(*keys, *[x for x in order if x not in keys], "user_text", c.alias("said"), first_sentence(F.col("comment")).alias("spare"), talk_sentences(clean_wikitext(decoded("content"))).alias("sentences"))
+    rows = rows.withColumn("before", F.coalesce(F.lag("sentences").over(by), F.array().cast("array<string>"))).withColumn("is_last", F.lead(order[-1]).over(by).isNull()).join(page_terms, keys, "left")
+    new = F.transform(places(F.transform("before", normal), F.transform("sentences", normal)), lambda i: F.get("sentences", i))
+    rows = rows.withColumn("new", new).withColumn("new", F.when((F.size("new") == 0) & (F.col("said") != ""), F.array("spare")).otherwise(F.col("new")))
+    found = rows.withColumn("d", disputes(F.col("new"), F.col("said"), F.col("terms"))).where(F.size("d") > 0)
+    hits = found.select(*keys, *[x for x in order if x not in keys], F.col("user_text").alias("user"), F.posexplode("d").alias("pos", "d")).select("*", "d.key", "d.sentence", "d.matched").drop("d")
+    chosen = first_unseen(hits, keys, order).select(*keys, "place", "x.user", "x.sentence", "x.matched")
+    rest = rows.where("is_last").join(found.select(*keys).distinct(), keys, "left_anti").withColumn("d", disputes(F.col("sentences"), F.lit(None).cast("string"), F.col("terms")))
+    # The first of each repeat, three at most.
+    once = F.filter("d", lambda x, i: F.array_position(F.transform("d", lambda y: y["key"]), x["key"]) == i + 1)
+    rest = rest.select(*keys, F.posexplode(F.slice(once, 1, 3)).alias("p", "x"))
+    return chosen.unionByName(rest.select(*keys, (F.col("p") + 1).alias("place"), F.lit("").alias("user"), "x.sentence", "x.matched"))
 
 
 def talk_scores(evidence: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,3 +171,23 @@ def controversy(pages: DataFrame, found: DataFrame, talk: DataFrame, keys: list[
     some = F.col("battles") > 0
     out = {"score": score, "battle_score": battle, "metadata_score": meta, "cleanup_penalty": penalty}
     return rows.select(*keys, "battles", "talk_evidence", "talk_score", *[F.when(some, F.round(F.greatest(F.lit(0.0), x), 2)).otherwise(0.0).alias(name) for name, x in out.items()])
+
+
+def positive(rows: DataFrame, score: str = "controversy_score") -> DataFrame:
+    return rows.where(F.coalesce(score, F.lit(0.0)) > 0)
+
+
+def rerank(rows: DataFrame, found: DataFrame, keys: list[str], limit: int) -> DataFrame:
+    """The first `limit` rows (keys, peak_score) that have a controversy, ranked by it; found: controversy()."""
+    order = [F.desc(c) for c in ("controversy_score", "battle_count", "talk_evidence_count", "peak_score")] + [F.col(k) for k in keys]
+    fields = found.select(*keys, F.col("score").alias("controversy_score"), F.col("battles").alias("battle_count"), F.col("talk_evidence").alias("talk_evidence_count"))
+    first = positive(rows.join(fields, keys)).orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order)))
+
+
+def payload(pages: DataFrame, found: DataFrame, talk: DataFrame, scores: DataFrame, keys: list[str]) -> DataFrame:
+    """A row a page with its evidence as a dashboard takes it: pages (keys, page_title, period), its usable battles and disputes as lists, and its scores."""
+    segments = found.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "segment", "change_type", "score", "changes", "reverts", "editors"))).alias("segments"))
+    said = talk.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("place", "user", "sentence", "matched"))).alias("talk"))
+    rows = pages.join(segments, keys, "left").join(said, keys, "left").join(scores.select(*keys, F.struct("score", "battle_score", "talk_score", "metadata_score", "cleanup_penalty", "battles", "talk_evidence").alias("controversy")), keys, "left")
+    return rows.withColumns({c: F.coalesce(c, F.array()) for c in ("segments", "talk")})

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import lookup_title
+
 START_ACTIONS = ("protect", "modify", "move_prot")
 
 
@@ -37,3 +39,11 @@ def protected_time(events: DataFrame, keys: list[str], open_until, order: tuple[
         F.sum("n").alias("protection_events"), F.round(F.coalesce(F.sum(F.when(stop > F.col("start"), stop - F.col("start"))), F.lit(0)) / 86400, 2).alias("protection_days"),
         F.min("first").alias("first_protection_at"), F.max("last").alias("last_protection_at"),
     )
+
+
+def with_signals(rows: DataFrame, admin: DataFrame, titles: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the restrictions of their page (by keys) and the protection of their title, in its one form for look-ups; no row is lost or doubled.
+
+    titles: page_title in that form, and its signals, a row a title."""
+    known = titles.withColumnRenamed("page_title", "__title")
+    return rows.join(admin, keys, "left").join(known, lookup_title(F.col("page_title")) == F.col("__title"), "left").drop("__title")

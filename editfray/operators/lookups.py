@@ -7,9 +7,18 @@ from pyspark.sql import functions as F
 
 
 def shards_of(ids: DataFrame, shards: DataFrame, id_col: str = "page_id") -> DataFrame:
-    """id and the first shard (by file name) whose range start_id..end_id holds it. shards is a listing of files: small, and sent to all tasks by Spark's own check of its size."""
-    met = ids.where(F.col(id_col) > 0).join(shards, (F.col(id_col) >= F.col("start_id")) & (F.col(id_col) <= F.col("end_id")))
-    return met.groupBy(id_col).agg(F.min_by("filename", F.struct("start_id", "filename")).alias("filename"))
+    """id and the first shard (by start, then file name) whose range start_id..end_id holds it. shards is a listing of files.
+
+    Of overlapping shards the first keeps the ids; then ranges are disjoint, and are dealt to slots of their mean
+    width: an equi-join, in which a range has two slots on average."""
+    by_start = Window.orderBy("start_id", "filename").rowsBetween(Window.unboundedPreceding, -1)
+    # A row a file: this window holds the listing, not ids.
+    own = shards.withColumn("start_id", F.greatest("start_id", F.coalesce(F.max("end_id").over(by_start) + 1, F.col("start_id")))).where("start_id <= end_id")
+    width = own.agg(F.ceil(F.avg(F.col("end_id") - F.col("start_id") + 1)).cast("long").alias("w")).first()["w"] or 1
+    slot = lambda c: F.floor(F.col(c) / F.lit(width)).cast("long")
+    dealt = own.select("filename", "start_id", "end_id", F.explode(F.sequence(slot("start_id"), slot("end_id"))).alias("slot"))
+    met = ids.where(F.col(id_col) > 0).withColumn("slot", slot(id_col)).join(dealt, "slot")
+    return met.where(F.col(id_col).between(F.col("start_id"), F.col("end_id"))).select(id_col, "filename").distinct()
 
 
 def match_candidates(pages: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -32,10 +32,15 @@ def trailing(df: DataFrame, keys: list[str], hours: int = WINDOW_HOURS) -> DataF
 
 
 def day_scores(edits: DataFrame, edges: DataFrame, keys: list[str] = PAGE, least: int = EFFECTIVE_EDGE) -> DataFrame:
+    """bucket_scores() of single edits and reverts."""
+    return bucket_scores(hour_edits(edits, keys), hour_edges(edges, keys), keys, least)
+
+
+def bucket_scores(hours: DataFrame, by_hour: DataFrame, keys: list[str] = PAGE, least: int = EFFECTIVE_EDGE) -> DataFrame:
     """keys, bucket, edit_count, users, reverts, pairs, current and score: of each hour with edits, the trailing day.
 
-    Edges count once they reach `least` within the day in both directions. The join is on (page, hour): an hour's edges go to the 24 hours they are part of."""
-    hours, by_hour = hour_edits(edits, keys), hour_edges(edges, keys)
+    hours: keys, bucket, edit_count, editors; by_hour: keys, bucket, src, dst, n. Edges count once they reach `least`
+    within the day in both directions. The join is on (page, hour): an hour's edges go to the 24 hours they are part of."""
     there = hours.select(*keys, F.col("bucket").alias("b"))
     spread = trailing(hours, keys).join(there, [*keys, "b"])
     activity = spread.groupBy(*keys, "b").agg(F.sum("edit_count").alias("edit_count"), F.size(F.array_distinct(F.flatten(F.collect_list("editors")))).cast("long").alias("users"))
@@ -67,45 +72,89 @@ def episodes(scored: DataFrame, keys: list[str] = PAGE) -> DataFrame:
     )
 
 
-def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
+_US = 1_000_000
+_STEP = 86_400 * _US
+
+
+def running(rows: DataFrame, keys: list[str], sums: list[str], last: list[str] = (), at: str = "at") -> DataFrame:
+    """rows with, in place of each column of `sums`, its sum over all rows of the key up to the same time, and of `last` its largest value.
+
+    A key's rows are dealt by day; what the days before hold comes from a row a day. So a hot key is no single task, and no
+    frame slides: each row is added once."""
+    day = Window.partitionBy(*keys, "__day").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("__day").rowsBetween(Window.unboundedPreceding, -1)
+    dealt = rows.withColumn("__day", F.floor(F.col(at) / F.lit(_STEP)))
+    days = dealt.groupBy(*keys, "__day").agg(*[F.sum(c).alias(f"__{c}") for c in sums], *[F.max(c).alias(f"__{c}") for c in last])
+    days = days.select(*keys, "__day", *[F.sum(f"__{c}").over(before).alias(f"__{c}") for c in sums], *[F.max(f"__{c}").over(before).alias(f"__{c}") for c in last])
+    within = dealt.withColumns({c: F.sum(c).over(day) for c in sums} | {c: F.max(c).over(day) for c in last})
+    joined = within.join(days, [*keys, "__day"])
+    new = {c: F.col(c) + F.coalesce(f"__{c}", F.lit(0)) for c in sums} | {c: F.greatest(c, f"__{c}") for c in last}
+    return joined.withColumns(new).select(*rows.columns)
+
+
+def trailing_sums(rows: DataFrame, keys: list[str], seconds: int, sums: list[str], last: list[str] = ()) -> DataFrame:
+    """rows (at in microseconds) with each column of `sums` summed over the key's last `seconds`, both ends included: what
+    comes in is added, and taken out again when its time is over. `last` as in running(). A row marked `__mine` = 0 is not returned."""
+    rows = rows if "__mine" in rows.columns else rows.withColumn("__mine", F.lit(1))
+    over = rows.where(" OR ".join(f"{c} <> 0" for c in sums)).withColumns(
+        {"at": F.col("at") + (seconds * _US + 1), "__mine": F.lit(0)} | {c: -F.col(c) for c in sums} | {c: F.lit(None).cast(rows.schema[c].dataType) for c in last}
+    )
+    return running(rows.unionByName(over), keys, sums, list(last)).where("__mine = 1").drop("__mine")
+
+
+def _arrivals(parts: DataFrame, seconds: int) -> DataFrame:
+    """1 for an edit before which its user was away from the page for longer than the window, and the times at which users leave: rows
+    (page, at, users) of which a sum up to a time counts the users of its window."""
+    humans = parts.where("NOT user_is_bot AND user_text <> ''").select(*PAGE, "user_text", "at").distinct()
+    by = Window.partitionBy(*PAGE, "user_text").orderBy("at")
+    gap = F.lit(seconds * _US)
+    seen = humans.withColumn("come", F.coalesce(F.col("at") - F.lag("at").over(by) > gap, F.lit(True))).withColumn("go", F.coalesce(F.lead("at").over(by) - F.col("at") > gap, F.lit(True)))
+    come = seen.where("come").select(*PAGE, "at", F.lit(1).alias("users"))
+    return come.unionByName(seen.where("go").select(*PAGE, (F.col("at") + gap + 1).alias("at"), F.lit(-1).alias("users")))
+
+
+def live_windows(edits: DataFrame, reverts: DataFrame, names: tuple[str, ...] = tuple(LIVE_WINDOWS)) -> DataFrame:
     """A row for each edit and live window (5m, 1h, 24h): counts, metrics, score and severity over what the page has had since.
 
     edits: wiki, page_id, rev_id, ts, user_text, user_is_bot; reverts: wiki, page_id, rev_id, ts, reverter_user, reverted_user.
-    Counts are range frames, those of edges, too: an edit asks for each edge that its page had of late, so that rows are edits by live edges and
+    Counts are running sums of what comes and goes, those of edges, too: an edit asks for each edge that its page had of late, so that rows are edits by live edges and
     no edit ever meets single reverts."""
     out = None
     parts = edits.select(*PAGE, "rev_id", "ts", "user_text", "user_is_bot").withColumn("at", F.unix_micros("ts"))
-    mine = reverts.select(*PAGE, "rev_id", F.lit(True).alias("reverts"))
-    parts = parts.join(mine, [*PAGE, "rev_id"], "left").withColumn("r", F.coalesce("reverts", F.lit(False)).cast("int"))
-    for name, seconds in LIVE_WINDOWS.items():
-        over = Window.partitionBy(*PAGE).orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-        human = ~F.col("user_is_bot")
-        rows = parts.select(
-            *PAGE, "rev_id", "ts", "at", F.count("*").over(over).alias("edits"), F.sum(human.cast("int")).over(over).alias("human"),
-            F.size(F.collect_set(F.when(human & (F.col("user_text") != ""), F.col("user_text"))).over(over)).cast("long").alias("users"), F.sum("r").over(over).alias("reverts"),
-            F.max(F.when(human, F.col("at"))).over(over).alias("last_human"),
-        )
+    mine = reverts.select(*PAGE, "rev_id", F.lit(1).alias("reverts"))
+    human = ~F.col("user_is_bot")
+    parts = parts.join(mine, [*PAGE, "rev_id"], "left").fillna(0, ["reverts"])
+    counted = parts.select(
+        *PAGE, "rev_id", "at", F.lit(1).alias("edits"), human.cast("int").alias("human"), "reverts", F.lit(0).alias("users"), F.when(human, F.col("at")).alias("last_human"),
+    )
+    for name in names:
+        seconds = LIVE_WINDOWS[name]
+        # Users come and go by themselves: their rows bring no edit, and aren't taken out again.
+        people = _arrivals(parts, seconds).select(*PAGE, F.lit(None).cast("long").alias("rev_id"), "at", *[F.lit(0).alias(c) for c in ("edits", "human", "reverts")], "users", F.lit(None).cast("long").alias("last_human"), F.lit(0).alias("__mine"))
+        over = counted.withColumns({"at": F.col("at") + (seconds * _US + 1), "__mine": F.lit(0), "last_human": F.lit(None).cast("long")} | {c: -F.col(c) for c in ("edits", "human", "reverts")})
+        rows = running(counted.withColumn("__mine", F.lit(1)).unionByName(over).unionByName(people), PAGE, ["edits", "human", "reverts", "users"], ["last_human"]).where("__mine = 1").drop("__mine")
+        rows = rows.withColumn("last_human", F.when(F.col("last_human") >= F.col("at") - seconds * _US, F.col("last_human")))
         step = max(3600, seconds)
         # Each edit asks for the edges that its day and the one before have; running sums over (page, edge) answer.
         users = [F.coalesce(c, F.lit("")).alias(c) for c in ("reverter_user", "reverted_user")]
         events = reverts.select(*PAGE, F.unix_micros("ts").alias("at"), *users)
-        slot = F.floor(F.col("at") / F.lit(step * 1_000_000))
+        slot = F.floor(F.col("at") / F.lit(step * _US))
         near = events.withColumn("slot", F.explode(F.array(slot, slot + 1))).select(*PAGE, "slot", "reverter_user", "reverted_user").distinct()
         keys, edge = [*PAGE, "rev_id"], [*PAGE, "reverter_user", "reverted_user"]
-        asked = rows.select(*keys, "at", slot.alias("slot")).join(near, [*PAGE, "slot"]).select(*edge, "at", "rev_id", F.lit(0).alias("w"))
-        both = asked.unionByName(events.select(*edge, "at", F.lit(None).cast("long").alias("rev_id"), F.lit(1).alias("w")))
-        seen = Window.partitionBy(*edge).orderBy("at").rangeBetween(-seconds * 1_000_000, 0)
-        counts = both.withColumn("n", F.sum("w").over(seen)).where("rev_id IS NOT NULL AND n > 0").select(*keys, "reverter_user", "reverted_user", "n")
+        asked = rows.select(*keys, "at", slot.alias("slot")).join(near, [*PAGE, "slot"]).select(*edge, "at", "rev_id", F.lit(0).alias("n"), F.lit(1).alias("__mine"))
+        both = asked.unionByName(events.select(*edge, "at", F.lit(None).cast("long").alias("rev_id"), F.lit(1).alias("n"), F.lit(0).alias("__mine")))
+        counts = trailing_sums(both, edge, seconds, ["n"]).where("n > 0").select(*keys, "reverter_user", "reverted_user", "n")
         tops = counts.groupBy(*keys, "reverter_user").agg(F.sum("n").alias("n")).groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("top_share"))
         pair = counts.where("reverter_user <> '' AND reverted_user <> '' AND reverter_user <> reverted_user").withColumns({"p": F.least("reverter_user", "reverted_user"), "q": F.greatest("reverter_user", "reverted_user")})
         pair = pair.groupBy(*keys, "p", "q").agg(F.sum(F.when(F.col("reverter_user") == F.col("p"), F.col("n")).otherwise(0)).alias("ab"), F.sum(F.when(F.col("reverter_user") == F.col("q"), F.col("n")).otherwise(0)).alias("ba"))
         mutual = pair.where("ab > 0 AND ba > 0").groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(F.least("ab", "ba")).alias("mutual"))
         # What happened in the five minutes before the last human edit of the window.
-        frame = Window.partitionBy(*PAGE).orderBy("at").rangeBetween(-300_000_000, 0)
         if seconds <= 300:
             rows = rows.withColumn("recent", F.when(F.col("last_human").isNull(), 0).otherwise(F.col("edits") + 4 * F.col("reverts")))
         else:
-            upto = parts.select(*PAGE, "at", F.sum(1 + 4 * F.col("r")).over(frame).alias("before"), F.sum(1 + 4 * F.col("r")).over(Window.partitionBy(*PAGE).orderBy("at").rangeBetween(Window.unboundedPreceding, 0)).alias("upto")).dropDuplicates([*PAGE, "at"])
+            weighed = parts.select(*PAGE, "at", (1 + 4 * F.col("reverts")).alias("before")).withColumn("upto", F.col("before"))
+            late = weighed.withColumns({"at": F.col("at") + (300 * _US + 1), "before": -F.col("before"), "upto": F.lit(0), "__mine": F.lit(0)})
+            upto = running(weighed.withColumn("__mine", F.lit(1)).unionByName(late), PAGE, ["before", "upto"]).where("__mine = 1").dropDuplicates([*PAGE, "at"])
             last = upto.select(*PAGE, F.col("at").alias("last_human"), F.col("before").alias("l_before"), F.col("upto").alias("l_upto"))
             here = upto.select(*PAGE, "at", F.col("upto").alias("h_upto"))
             rows = rows.join(last, [*PAGE, "last_human"], "left").join(here, [*PAGE, "at"], "left")
@@ -120,6 +169,12 @@ def live_windows(edits: DataFrame, reverts: DataFrame) -> DataFrame:
     return out
 
 
+def last_days(rows: DataFrame, hours: int = 24) -> DataFrame:
+    """Of each page the rows of the `hours` up to its last one, that included: all that its latest live window reads."""
+    ends = rows.groupBy(*PAGE).agg(F.max("ts").alias("__end"))
+    return rows.join(ends, PAGE).where(F.col("ts") >= F.col("__end") - F.make_dt_interval(hours=F.lit(hours))).drop("__end")
+
+
 def live_episodes(windows: DataFrame, at: str = "ts") -> DataFrame:
     """Live episodes over 24h rows (page, ts, rev_id, score, reverts, pairs): open at 60, untouched from 40 to 60, closed under 40."""
     order = Window.partitionBy(*PAGE).orderBy(at, "rev_id")

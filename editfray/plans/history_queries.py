@@ -79,10 +79,10 @@ def page_aggregate(spark, sf: str) -> DataFrame:
 
 @query("hist_talk_aggregate", _WITH + r"""
 SELECT wiki, page_id, count(*) AS talk_edits, count(DISTINCT user_text) AS talk_users, coalesce(max(text_bytes) FILTER (WHERE NOT is_reverted), 0) AS talk_bytes,
-  count(*) FILTER (WHERE regexp_matches(comment, '\b(rfc|rfc/u|request(s|ed)? for comment|requested comment|request for comments)\b', 'i')) AS rfc,
-  count(*) FILTER (WHERE regexp_matches(comment, '\b(arbcom|arbitration|discretionary sanctions|contentious topics?)\b', 'i')) AS arb,
-  count(*) FILTER (WHERE regexp_matches(comment, '\b(page protection|protected|semi-protected|pending changes|topic ban)\b', 'i')) AS restriction
-FROM d_history GROUP BY ALL""")
+  count(*) FILTER (WHERE said AND regexp_matches(comment, '\b(rfc|rfc/u|request(s|ed)? for comment|requested comment|request for comments)\b', 'i')) AS rfc,
+  count(*) FILTER (WHERE said AND regexp_matches(comment, '\b(arbcom|arbitration|discretionary sanctions|contentious topics?)\b', 'i')) AS arb,
+  count(*) FILTER (WHERE said AND regexp_matches(comment, '\b(page protection|protected|semi-protected|pending changes|topic ban)\b', 'i')) AS restriction
+FROM (SELECT *, length(trim(comment)) >= 3 AND NOT regexp_matches(lower(trim(comment)), '^(reverted edits by|undid revision|rollback|automated)') AS said FROM d_history) GROUP BY ALL""")
 def talk_aggregate(spark, sf: str) -> DataFrame:
     return pages.talk_aggregate(A.history(A.edits(spark, sf)))
 
@@ -111,16 +111,16 @@ def mutual_edges(spark, sf: str) -> DataFrame:
 _RANKED_PAIRS = _WITH + ", p_counts AS (SELECT wiki, page_id, reverter_user AS src, reverted_user AS dst, count(*) AS n FROM d_reverts WHERE reverter_user <> reverted_user GROUP BY ALL HAVING count(*) >= 4)," + _MUTUAL.split("),\n", 1)[1] + "," + _PAIR + """
 SELECT m.wiki, m.page_id, pairs, mutual::BIGINT AS mutual, reverts::BIGINT AS reverts, round(best, 4) AS best, round(total, 4) AS total, ends,
   round(top / reverts, 4) AS top_share, round(strongest / reverts, 4) AS strongest_share, row_number() OVER (ORDER BY pairs DESC, mutual DESC, m.page_id)::INT AS rank
-FROM p_metrics m JOIN p_users u ON m.wiki = u.wiki AND m.page_id = u.page_id"""
+FROM p_metrics m JOIN p_users u ON m.wiki = u.wiki AND m.page_id = u.page_id ORDER BY rank LIMIT 100"""
 
 
 @query("mutual_pair_ranking", _RANKED_PAIRS)
 def mutual_pair_ranking(spark, sf: str) -> DataFrame:
-    """Which pages have the strongest mutual reverts in the period?"""
+    """Which hundred pages have the strongest mutual reverts in the period?"""
     from pyspark.sql import Window
 
     counts = graph.effective_edges(graph.edge_counts(A.reverts(A.edits(spark, sf)), PAGE, "reverter_user", "reverted_user"))
-    rows = graph.pair_metrics(counts, PAGE).orderBy(F.desc("pairs"), F.desc("mutual"), "page_id").limit(1000)
+    rows = graph.pair_metrics(counts, PAGE).orderBy(F.desc("pairs"), F.desc("mutual"), "page_id").limit(100)
     ranked = rows.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("pairs"), F.desc("mutual"), "page_id")))
     return ranked.withColumns({c: F.round(c, 4) for c in ("best", "total", "top_share", "strongest_share")})
 
@@ -182,8 +182,8 @@ def cleanup_rows(spark, sf: str) -> DataFrame:
 
 
 def months(spark, sf: str) -> DataFrame:
-    """Monthly page rows from orders: 20 pages."""
-    o = A.read(spark, sf, "orders").withColumns({"page_id": F.col("o_custkey") % 20, "year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
+    """Monthly page rows from orders: 400 pages."""
+    o = A.read(spark, sf, "orders").withColumns({"page_id": F.col("o_custkey") % 400, "year": F.year("o_orderdate"), "month": F.month("o_orderdate")})
     title = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("List of episodes "), F.col("page_id").cast("string"))).otherwise(F.concat(F.lit("Page "), F.col("page_id").cast("string")))
     key = F.col("o_orderkey")
     return o.groupBy("year", "month", F.lit("enwiki").alias("wiki"), "page_id").agg(
@@ -196,8 +196,8 @@ def months(spark, sf: str) -> DataFrame:
 
 _MONTHS = """
 WITH months AS (
-  SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, 'enwiki' AS wiki, o_custkey % 20 AS page_id,
-    max(CASE WHEN o_custkey % 20 % 4 = 0 THEN 'List of episodes ' ELSE 'Page ' END || (o_custkey % 20)::VARCHAR) AS page_title, count(*) AS edit_count, count(DISTINCT o_orderpriority) AS unique_editors,
+  SELECT year(o_orderdate)::INT AS year, month(o_orderdate)::INT AS month, 'enwiki' AS wiki, o_custkey % 400 AS page_id,
+    max(CASE WHEN o_custkey % 400 % 4 = 0 THEN 'List of episodes ' ELSE 'Page ' END || (o_custkey % 400)::VARCHAR) AS page_title, count(*) AS edit_count, count(DISTINCT o_orderpriority) AS unique_editors,
     count(*) FILTER (WHERE o_orderstatus = 'F') AS reverted_count, count(*) FILTER (WHERE o_orderstatus = 'P') AS reverting_count, count(*) FILTER (WHERE o_orderkey % 6 = 0) AS mutual_reverts,
     count(*) FILTER (WHERE o_orderkey % 40 = 0) AS mutual_revert_pairs, count(*) FILTER (WHERE o_orderkey % 7 = 0) AS talk_edits,
     count(DISTINCT CASE WHEN o_orderkey % 7 = 0 THEN o_orderpriority END) AS talk_users, coalesce(max(CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 20000 END), 0) AS talk_bytes,
@@ -223,24 +223,32 @@ def _year(spark, sf: str) -> DataFrame:
     return pages.year_stats(months(spark, sf).where(F.col("year") == _YEAR))
 
 
+#: Pages that a method looks at, before scores: fewer than there are here.
+PRE_RANK = 150
+
+
+def _pre_ranked(order: str) -> str:
+    return f", looked AS (SELECT * FROM years WHERE year = {_YEAR} ORDER BY {order}, wiki, page_id LIMIT {PRE_RANK})"
+
+
 _PW_PEN = _penalty(pairs="mutual_revert_pairs", users="unique_editors", edits="edit_count", peak="peak_score")
 
 
-@query("year_page_war", _MONTHS + f""", raw AS (SELECT *, reverted_count + reverting_count AS raw_activity, round(sqrt(reverted_count) * 24 + sqrt(reverting_count) * 18 + sqrt(mutual_reverts) * 16
+@query("year_page_war", _MONTHS + _pre_ranked("reverted_count + reverting_count DESC, mutual_reverts DESC, talk_bytes DESC, edit_count DESC") + f""", raw AS (SELECT *, reverted_count + reverting_count AS raw_activity, round(sqrt(reverted_count) * 24 + sqrt(reverting_count) * 18 + sqrt(mutual_reverts) * 16
    + least(42.0, mutual_revert_pairs * 8.0) + least(50.0, ln(1 + edit_count) * 6) + least(35.0, sqrt(unique_editors) * 4.2) + least(45.0, ln(1 + talk_bytes) * 3.2) + least(25.0, sqrt(talk_edits) * 4), 2) AS peak_score
-   FROM years WHERE year = {_YEAR}),
+   FROM looked),
  pen AS (SELECT *, round({_PW_PEN}, 4) AS routine_penalty FROM raw), fin AS (SELECT *, round(peak_score * (1 - routine_penalty), 2) AS candidate_score FROM pen)
  SELECT page_id, page_title, raw_activity, peak_score, routine_penalty, candidate_score, row_number() OVER (ORDER BY candidate_score DESC, raw_activity DESC, talk_bytes DESC, edit_count DESC, wiki, page_id)::INT AS rank
  FROM fin WHERE candidate_score >= 1 AND NOT ({_STRONG} AND talk_bytes < 10000 AND raw_activity < 45) ORDER BY rank LIMIT 50""")
 def year_page_war(spark, sf: str) -> DataFrame:
-    rows = ranking.page_war(ranking.pre_rank(_year(spark, sf), "page-war", 5000), 50, 1.0)
+    rows = ranking.page_war(ranking.pre_rank(_year(spark, sf), "page-war", PRE_RANK), 50, 1.0)
     return rows.select("page_id", "page_title", "raw_activity", "peak_score", "routine_penalty", "candidate_score", "rank")
 
 
-@query("year_most_discussed", _MONTHS + f""" SELECT page_id, talk_bytes, talk_edits, talk_bytes::DOUBLE AS candidate_score,
-  row_number() OVER (ORDER BY talk_bytes DESC, talk_edits DESC, reverted_count + reverting_count DESC, wiki, page_id)::INT AS rank FROM years WHERE year = {_YEAR} AND (talk_bytes > 0 OR talk_edits > 0) ORDER BY rank LIMIT 50""")
+@query("year_most_discussed", _MONTHS + _pre_ranked("talk_bytes DESC, talk_edits DESC, reverted_count + reverting_count DESC") + """ SELECT page_id, talk_bytes, talk_edits, talk_bytes::DOUBLE AS candidate_score,
+  row_number() OVER (ORDER BY talk_bytes DESC, talk_edits DESC, reverted_count + reverting_count DESC, wiki, page_id)::INT AS rank FROM looked WHERE talk_bytes > 0 OR talk_edits > 0 ORDER BY rank LIMIT 50""")
 def year_most_discussed(spark, sf: str) -> DataFrame:
-    return ranking.most_discussed(ranking.pre_rank(_year(spark, sf), "most-discussed", 5000), 50).select("page_id", "talk_bytes", "talk_edits", "candidate_score", "rank")
+    return ranking.most_discussed(ranking.pre_rank(_year(spark, sf), "most-discussed", PRE_RANK), 50).select("page_id", "talk_bytes", "talk_edits", "candidate_score", "rank")
 
 
 def _admin(spark, sf: str) -> DataFrame:
@@ -250,16 +258,16 @@ def _admin(spark, sf: str) -> DataFrame:
 
 
 def restriction_rows(spark, sf: str) -> DataFrame:
-    """Restrictions from parts: 20 pages."""
+    """Restrictions from parts: 400 pages."""
     p = A.read(spark, sf, "part")
     kind = F.element_at(F.array(F.lit("edit"), F.lit("move"), F.lit("upload")), (F.col("p_size") % 3 + 1).cast("int"))
     level = F.element_at(F.array(F.lit("autoconfirmed"), F.lit("extendedconfirmed"), F.lit("sysop")), (F.col("p_partkey") % 3 + 1).cast("int"))
     expiry = F.when(F.col("p_partkey") % 13 == 0, "infinity").otherwise(F.concat(F.lit("20"), F.lpad((F.col("p_partkey") % 90 + 10).cast("string"), 2, "0"), F.lit("0101000000")))
-    return p.where("p_size % 5 = 0").select((F.col("p_partkey") % 40).alias("page_id"), kind.alias("type"), level.alias("level"), (F.col("p_partkey") % 17 == 0).cast("int").alias("cascade"), expiry.alias("expiry"))
+    return p.where("p_size % 5 = 0").select((F.col("p_partkey") % 400).alias("page_id"), kind.alias("type"), level.alias("level"), (F.col("p_partkey") % 17 == 0).cast("int").alias("cascade"), expiry.alias("expiry"))
 
 
 _RESTRICTIONS = """restrictions AS (
-  SELECT p_partkey % 40 AS page_id, list_extract(['edit', 'move', 'upload'], (p_size % 3 + 1)::INT) AS type, list_extract(['autoconfirmed', 'extendedconfirmed', 'sysop'], (p_partkey % 3 + 1)::INT) AS level,
+  SELECT p_partkey % 400 AS page_id, list_extract(['edit', 'move', 'upload'], (p_size % 3 + 1)::INT) AS type, list_extract(['autoconfirmed', 'extendedconfirmed', 'sysop'], (p_partkey % 3 + 1)::INT) AS level,
     p_partkey % 17 = 0 AS cascade, CASE WHEN p_partkey % 13 = 0 THEN 'infinity' ELSE '20' || lpad((p_partkey % 90 + 10)::VARCHAR, 2, '0') || '0101000000' END AS expiry FROM part WHERE p_size % 5 = 0
 ), signals AS (
   SELECT page_id, count(*) AS restriction_count, array_to_string(list_sort(list(DISTINCT type)), ', ') AS restriction_types, array_to_string(list_sort(list(DISTINCT level)), ', ') AS restriction_levels,
@@ -275,11 +283,11 @@ def restrictions(spark, sf: str) -> DataFrame:
 
 def protection_rows(spark, sf: str) -> DataFrame:
     e = A.read(spark, sf, "events").where(F.col("event_type").isin("signup", "view"))
-    return e.select((F.col("user_id") % 20).alias("page_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("event_type") == "signup", "protect").otherwise("unprotect").alias("action"))
+    return e.select((F.col("user_id") % 400).alias("page_id"), F.col("ts").cast("timestamp").alias("ts"), "event_id", F.when(F.col("event_type") == "signup", "protect").otherwise("unprotect").alias("action"))
 
 
 _PROTECTION = """prot AS (
-  SELECT user_id % 20 AS page_id, ts, event_id, CASE WHEN event_type = 'signup' THEN 'protect' ELSE 'unprotect' END AS action FROM events WHERE event_type IN ('signup', 'view')
+  SELECT user_id % 400 AS page_id, ts, event_id, CASE WHEN event_type = 'signup' THEN 'protect' ELSE 'unprotect' END AS action FROM events WHERE event_type IN ('signup', 'view')
 ), isl AS (
   SELECT *, coalesce(sum((action = 'unprotect')::INT) OVER (PARTITION BY page_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS island FROM prot
 ), spans AS (
@@ -302,10 +310,10 @@ def protected_time(spark, sf: str) -> DataFrame:
 _GOV_PEN = _penalty(pairs="mutual_revert_pairs", users="unique_editors", edits="edit_count", peak="peak_score")
 
 
-@query("year_governance", _MONTHS + ", " + _RESTRICTIONS + ", " + _PROTECTION + f""", joined AS (
+@query("year_governance", _MONTHS + _pre_ranked("rfc * 18 + arb * 24 + restriction * 20 + talk_edits + reverted_count + reverting_count DESC, talk_bytes DESC, reverted_count + reverting_count DESC") + ", " + _RESTRICTIONS + ", " + _PROTECTION + f""", joined AS (
   SELECT y.*, coalesce(s.restriction_count, 0) AS restriction_count, coalesce(has_sysop, false) AS sysop, coalesce(has_extendedconfirmed, false) AS ext, coalesce(has_cascade, false) AS casc,
     coalesce(p.protection_events, 0) AS protection_events, coalesce(p.protection_days, 0) AS protection_days
-  FROM years y LEFT JOIN signals s ON y.page_id = s.page_id LEFT JOIN protected p ON y.page_id = p.page_id WHERE year = {_YEAR}
+  FROM looked y LEFT JOIN signals s ON y.page_id = s.page_id LEFT JOIN protected p ON replace(trim(y.page_title), ' ', '_') = 'Page_' || p.page_id::VARCHAR
 ), raw AS (
   SELECT *, reverted_count + reverting_count AS raw_activity, rfc + arb + restriction + restriction_count + protection_events AS evidence,
     round((rfc * 90.0 + arb * 120 + restriction * 70)::DOUBLE + least(110.0, sqrt(talk_edits) * 10) + least(95.0, ln(1 + talk_bytes) * 6) + least(45.0, sqrt(talk_users) * 4)
@@ -315,16 +323,64 @@ _GOV_PEN = _penalty(pairs="mutual_revert_pairs", users="unique_editors", edits="
 SELECT page_id, evidence, peak_score, candidate_score, row_number() OVER (ORDER BY candidate_score DESC, evidence DESC, talk_bytes DESC, raw_activity DESC, wiki, page_id)::INT AS rank FROM fin
 WHERE candidate_score >= 1 AND evidence > 0 ORDER BY rank LIMIT 50""")
 def year_governance(spark, sf: str) -> DataFrame:
-    rows = ranking.pre_rank(_year(spark, sf), "governance", 5000)
-    rows = rows.join(_admin(spark, sf), "page_id", "left").join(_protected(spark, sf), "page_id", "left")
+    rows = ranking.pre_rank(_year(spark, sf), "governance", PRE_RANK)
+    titles = _protected(spark, sf).select(F.concat(F.lit("Page_"), F.col("page_id").cast("string")).alias("page_title"), "protection_events", "protection_days")
+    rows = governance.with_signals(rows, _admin(spark, sf), titles, ["page_id"])
     return ranking.governance(rows, 50, 1.0).select("page_id", "evidence", "peak_score", "candidate_score", "rank")
 
 
-@query("year_edit_war", _BOARD + """
+#: Stored periods of the year's events: spans of ten days stand for months.
+_SPAN = "CASE WHEN day(ts) <= 10 THEN '2024-01' WHEN day(ts) <= 20 THEN '2024-02' ELSE '2024-03' END"
+_STORED = _EDGES.replace("d_edges AS", "a_edges AS") + f""",
+m_edits AS (SELECT *, {_SPAN} AS span FROM d_history), m_edges AS (SELECT *, {_SPAN} AS span FROM a_edges),
+m_counts AS (SELECT span, wiki, page_id, src, dst, count(*) AS n FROM m_edges GROUP BY ALL HAVING count(*) >= 4),
+m_mutual AS (SELECT DISTINCT e.span, e.wiki, e.page_id FROM m_counts e JOIN m_counts r ON e.span = r.span AND e.wiki = r.wiki AND e.page_id = r.page_id AND e.src = r.dst AND e.dst = r.src),
+m_kept AS (SELECT b.span, b.wiki, b.page_id FROM (SELECT span, wiki, page_id, count(*) AS n, count(DISTINCT user_text) AS users, count(*) FILTER (WHERE is_reverted) AS rd, count(*) FILTER (WHERE is_revert) AS rg FROM m_edits GROUP BY ALL) b
+  LEFT JOIN m_mutual m ON b.span = m.span AND b.wiki = m.wiki AND b.page_id = m.page_id WHERE m.span IS NOT NULL OR rd >= 3 OR rg >= 3 OR (n >= 40 AND users >= 8 AND rd + rg >= 2)),
+y_edits AS (SELECT e.* FROM m_edits e SEMI JOIN m_kept k ON e.span = k.span AND e.wiki = k.wiki AND e.page_id = k.page_id),
+d_edges AS (SELECT e.* FROM m_edges e SEMI JOIN m_kept k ON e.span = k.span AND e.wiki = k.wiki AND e.page_id = k.page_id)"""
+
+
+def _of(edits: str, sql: str) -> str:
+    """The common tables of the boards over other edits."""
+    return sql.replace("d_edits", edits).replace("d_history", edits)
+
+
+def _stored(spark, sf: str) -> DataFrame:
+    """What is kept of each page and span."""
+    span = F.when(F.dayofmonth("ts") <= 10, "2024-01").when(F.dayofmonth("ts") <= 20, "2024-02").otherwise("2024-03")
+    h = A.history(A.edits(spark, sf)).withColumn("month", span)
+    return pages.month_records(h, graph.identity_edges(h))
+
+
+_LAST_TITLE = _ROWS.replace("arg_max(page_title, rev_id)", "max(page_title)")
+
+
+@query("year_edit_war", _WITH + "," + _STORED + "," + _MUTUAL + "," + _PAIR + "," + _of("y_edits", _DAYS) + "," + _EPISODES + "," + _of("y_edits", _LAST_TITLE) + _SCORED + """
 SELECT page_id, revert_count, mutual_revert_pairs, unique_editors, peak_score, candidate_score, row_number() OVER (ORDER BY candidate_score DESC, mutual_revert_pairs DESC, revert_count DESC, peak_score DESC, wiki, page_id)::INT AS rank
 FROM scored WHERE coalesce(candidate_score, peak_score, 0) >= 1 AND NOT (revert_density >= 0.82 AND mutual_revert_pairs <= 8 AND unique_editors <= 40) ORDER BY rank LIMIT 50""")
 def year_edit_war(spark, sf: str) -> DataFrame:
-    """Buckets of all months of a year, merged, and scored again: the events are all of one year."""
-    h = A.history(A.edits(spark, sf))
-    rows = ranking.edit_war(pages.score_pages(h, graph.identity_edges(h)), 50, 1.0, drop_cleanup=True)
+    """The year's board from what is stored of its months: merged hours and edges, scored again."""
+    records = _stored(spark, sf).withColumn("year", F.substring("month", 1, 4))
+    rows = ranking.edit_war(pages.year_rollup(records), 50, 1.0, drop_cleanup=True)
     return rows.select("page_id", "revert_count", "mutual_revert_pairs", "unique_editors", "peak_score", "candidate_score", "rank")
+
+
+@query("stored_months", _WITH + "," + _STORED + """ SELECT e.span AS month, e.page_id, count(*) AS edit_count, count(DISTINCT user_text) AS unique_editors, count(DISTINCT date_trunc('hour', ts)) AS hours,
+  coalesce(any_value(x.n), 0)::BIGINT AS edges FROM y_edits e LEFT JOIN (SELECT span, wiki, page_id, count(*) AS n FROM d_edges GROUP BY ALL) x ON e.span = x.span AND e.wiki = x.wiki AND e.page_id = x.page_id GROUP BY ALL""")
+def stored_months(spark, sf: str) -> DataFrame:
+    """Pages and months that are worth keeping, and what their stored hours sum up to."""
+    n = F.aggregate(F.flatten(F.transform("buckets", lambda b: b["edges"])), F.lit(0).cast("long"), lambda a, e: a + e["n"])
+    edits = F.aggregate("buckets", F.lit(0).cast("long"), lambda a, b: a + b["edit_count"])
+    users = F.size(F.array_distinct(F.flatten(F.transform("buckets", lambda b: F.map_keys(b["editors"])))))
+    return _stored(spark, sf).select("month", "page_id", edits.alias("edit_count"), users.cast("long").alias("unique_editors"), F.size("buckets").cast("long").alias("hours"), n.alias("edges"))
+
+
+@query("rescored_months", _WITH + "," + _STORED + """, p_counts AS (SELECT span, wiki, page_id, src, dst, count(*) AS n FROM d_edges GROUP BY ALL HAVING count(*) >= 4),
+ p_pairs AS (SELECT e.span, e.wiki, e.page_id, e.n AS ab, r.n AS ba FROM p_counts e JOIN p_counts r ON e.span = r.span AND e.wiki = r.wiki AND e.page_id = r.page_id AND e.src = r.dst AND e.dst = r.src WHERE e.src < e.dst)
+ SELECT e.span AS month, e.page_id, count(*) AS edit_count, coalesce(any_value(p.pairs), 0) AS mutual_revert_pairs, coalesce(any_value(p.reverts), 0)::BIGINT AS revert_count,
+   round(coalesce(any_value(p.reverts), 0) / count(*), 4) AS revert_density
+ FROM y_edits e LEFT JOIN (SELECT span, wiki, page_id, count(*) AS pairs, sum(ab + ba) AS reverts FROM p_pairs GROUP BY ALL) p ON e.span = p.span AND e.wiki = p.wiki AND e.page_id = p.page_id GROUP BY ALL""")
+def rescored_months(spark, sf: str) -> DataFrame:
+    """Boards of stored months, computed anew from their hours."""
+    return pages.rescored(_stored(spark, sf)).select("month", "page_id", "edit_count", "mutual_revert_pairs", "revert_count", "revert_density")

@@ -59,15 +59,20 @@ def live_windows(spark, sf: str) -> DataFrame:
     return windows.live_windows(e, A.reverts(e))
 
 
-def _day_rows(spark, sf: str) -> DataFrame:
+def _day_rows(spark, sf: str, latest: bool = False) -> DataFrame:
+    """24h windows with their times; of each page's last day alone, if only the latest is asked for."""
     e = A.edits(spark, sf)
-    return windows.live_windows(e, A.reverts(e)).where(F.col("window") == "24h").join(e.select(*PAGE, "rev_id", "ts"), [*PAGE, "rev_id"])
+    r = A.reverts(e)
+    if latest:
+        e = windows.last_days(e)
+        r = r.join(e.select(*PAGE, "rev_id"), [*PAGE, "rev_id"], "left_semi")
+    return windows.live_windows(e, r, ("24h",)).join(e.select(*PAGE, "rev_id", "ts"), [*PAGE, "rev_id"])
 
 
 @query("live_latest", _LIVE + """ SELECT page_id, rev_id, score, severity, reverts FROM live WHERE "window" = '24h' QUALIFY row_number() OVER (PARTITION BY wiki, page_id ORDER BY ts DESC, rev_id DESC) = 1""")
 def live_latest(spark, sf: str) -> DataFrame:
     """The latest window of each page, as the live list shows them."""
-    return graph.first_by(_day_rows(spark, sf), PAGE, F.desc("ts"), F.desc("rev_id")).select("page_id", "rev_id", "score", "severity", "reverts")
+    return graph.first_by(_day_rows(spark, sf, latest=True), PAGE, F.desc("ts"), F.desc("rev_id")).select("page_id", "rev_id", "score", "severity", "reverts")
 
 
 @query("live_episodes", _LIVE + """, s AS (SELECT *, CASE WHEN score >= 60 THEN 'on' WHEN score < 40 THEN 'off' END AS state FROM live WHERE "window" = '24h'),

@@ -6,11 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .. import adapters as A
-from ..functions import diff, display
+from ..functions import display
 from ..functions import text as T
 from ..operators import graph, lookups, pages, ranking
 from ..operators.windows import PAGE
-from ..shipping import ship_package
 from ..sources import listings
 from . import history_queries as H
 from . import live_queries as L
@@ -146,7 +145,7 @@ def admitted_pages(spark, sf: str) -> DataFrame:
 
 @query("live_candidates", L._LIVE + """ SELECT page_id, rev_id, score FROM (SELECT * FROM live WHERE "window" = '24h' QUALIFY row_number() OVER (PARTITION BY wiki, page_id ORDER BY ts DESC, rev_id DESC) = 1) ORDER BY score DESC, reverts DESC, wiki, page_id LIMIT 3""")
 def live_candidates(spark, sf: str) -> DataFrame:
-    return serving.live_candidates(L._day_rows(spark, sf), 3).select("page_id", "rev_id", "score")
+    return serving.live_candidates(L._day_rows(spark, sf, latest=True), 3).select("page_id", "rev_id", "score")
 
 
 @query("episode_scoreboard", L.ORACLES["live_episodes"].replace("SELECT wiki, page_id, episode::BIGINT", "SELECT page_id, started_at, peak_score, reverts FROM (SELECT wiki, page_id, episode::BIGINT", 1) + ") WHERE started_at >= TIMESTAMP '2024-01-10' - INTERVAL 240 HOUR ORDER BY reverts DESC, pairs DESC, peak_score DESC, score_area DESC, wiki, page_id LIMIT 5")
@@ -157,17 +156,18 @@ def episode_scoreboard(spark, sf: str) -> DataFrame:
     return out.select("page_id", F.col("started_at").cast("timestamp_ntz").alias("started_at"), "peak_score", "reverts")
 
 
-@query("talk_sentences")
+@query("talk_sentences", r"""WITH cut AS (SELECT conv_id, turn, string_split(regexp_replace(coalesce(text, ''), '([.!?])\s+', '\1' || chr(1), 'g'), chr(1)) AS s FROM conversations),
+ good AS (SELECT conv_id, turn, list_transform(list_filter(s, lambda x: length(x) BETWEEN 20 AND 280 AND NOT starts_with(trim(regexp_replace(lower(x), '\s+', ' ', 'g')), 'archives talk')
+   AND (length(lower(x)) - length(replace(lower(x), 'archive', ''))) / 7 < 3), lambda x: trim(x)) AS s FROM cut)
+ SELECT conv_id, turn, unnest(generate_series(0, len(s) - 1))::INT AS place, unnest(s) AS sentence FROM good""")
 def talk_sentences(spark, sf: str) -> DataFrame:
     c = A.read(spark, sf, "conversations")
-    split = F.filter(F.split("text", r"(?<=[.!?])(?U)\s+"), lambda s: F.char_length(s).between(20, 280) & ~T.normal(s).startswith("archives talk"))
-    return c.select("conv_id", "turn", F.posexplode(F.transform(split, F.btrim)).alias("place", "sentence"))
+    return c.select("conv_id", "turn", F.posexplode(T.talk_sentences(F.col("text"))).alias("place", "sentence"))
 
 
-@query("graffiti_lines")
+@query("graffiti_lines", r"""WITH l AS (SELECT conv_id, turn, lower(regexp_replace(coalesce(text, ''), '[^A-Za-z0-9]+', '', 'g')) AS s, list_transform(regexp_extract_all(coalesce(text, ''), '[A-Za-z0-9][A-Za-z0-9''’\-–]*'), lambda x: lower(x)) AS w FROM conversations),
+ u AS (SELECT *, list_append(list_filter(w, lambda x: length(x) >= 40), CASE WHEN length(s) >= 40 AND NOT regexp_matches(s, '[0-9]') THEN s END) AS long FROM l)
+ SELECT conv_id, turn, (len(w) >= 8 AND list_max(list_transform(list_distinct(w), lambda x: len(list_filter(w, lambda y: y = x)))) >= 0.7 * len(w))
+   OR len(list_filter(long, lambda x: x IS NOT NULL AND list_max(list_transform(range(1, least(24, length(x) // 2) + 1), lambda k: len(list_filter(range(0, length(x)), lambda i: x[i + 1] = x[i % k + 1])))) / length(x) >= 0.82)) > 0 AS graffiti FROM u""")
 def graffiti_lines(spark, sf: str) -> DataFrame:
-    import pandas as pd
-
-    ship_package(spark)
-    graffiti = F.pandas_udf(lambda s: pd.Series([diff.is_graffiti(x) for x in s]), "boolean")
-    return A.read(spark, sf, "conversations").select("conv_id", "turn", graffiti(F.col("text")).alias("graffiti"))
+    return A.read(spark, sf, "conversations").select("conv_id", "turn", T.is_graffiti(F.col("text")).alias("graffiti"))

@@ -39,6 +39,18 @@ def scoreboard(rows: DataFrame, method: str, limit: int, min_score: float = 0.0,
     return {"page-war": ranking.page_war, "most-discussed": ranking.most_discussed, "governance": ranking.governance}[method](rows, limit, min_score)
 
 
+def latest_period(snapshots: DataFrame) -> str | None:
+    """The period of a board that is asked for without one."""
+    return snapshots.agg(F.max("period").alias("p")).first()["p"]
+
+
+def historical_board(snapshots: DataFrame, period: str | None = None, limit: int = 50) -> DataFrame:
+    """The stored rows (period, rank, ...) of a period, of the latest by default, by rank."""
+    ends = snapshots.agg(F.max("period").alias("__latest")) if period is None else None
+    rows = snapshots.where(F.col("period") == period) if period is not None else snapshots.join(ends, F.col("period") == F.col("__latest"), "left_semi")
+    return rows.orderBy("rank").limit(limit)
+
+
 def page_detail(edits: DataFrame, windows: DataFrame, wiki: str, page_id: int) -> tuple[DataFrame, DataFrame]:
     """The last 50 edits and the last 60 windows of a page."""
     one = lambda df: df.where((F.col("wiki") == wiki) & (F.col("page_id") == page_id))

@@ -18,7 +18,8 @@ def parse(lines: DataFrame, namespace: int = 0, keep: list[str] | None = None) -
     """Revisions that people created, of lines (value). Namespace 0 takes its talk pages (1) along; any other takes itself alone.
 
     Lines that are too short, without page, revision or a time that parses go; other numbers default to 0."""
-    cells = lines.withColumn("c", F.split("value", "\t", -1)).where(F.size("c") >= HISTORY_WIDTH)
+    # Generated, the cells of a line are cut once: conditions on them aren't pushed below, each with a cut of its own.
+    cells = lines.select(F.explode(F.array(F.split("value", "\t", -1))).alias("c"), *(keep or [])).where(F.size("c") >= HISTORY_WIDTH)
     c = {name: F.get("c", F.lit(i)) for name, i in HISTORY.items()}
     number = lambda name: F.coalesce(c[name].try_cast("bigint"), F.lit(0))
     true = lambda name: F.lower(c[name]) == "true"

@@ -1,17 +1,27 @@
-"""Server-sent events as a Spark data source: frames of a feed's file or URL to (stream_id, payload)."""
+"""Server-sent events as a Spark data source: frames of feeds to (stream_id, payload).
+
+A live feed never ends: `land` reads it line by line and lands its frames as files, with reconnects and back-off; the stream
+reads those files on the executors, each file as a partition. So a restart goes on from the
+files that the checkpoint has seen, and nothing reads the feed twice."""
 
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Iterator
+import os
+import time
+import uuid
+from collections.abc import Callable, Iterable, Iterator
+from itertools import chain
+from pathlib import Path
 
-from pyspark.sql.datasource import DataSource, DataSourceReader, SimpleDataSourceStreamReader
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 
 def frames(lines: Iterable[str]) -> Iterator[tuple[str | None, str]]:
-    """(id, data) of each frame whose data is JSON: a blank line ends a frame, data lines are joined by line feeds, comments are skipped."""
+    """(id, data) of each frame whose data is JSON, as soon as it ends: a blank line ends a frame, data lines are joined by line feeds, comments are skipped."""
     stream_id, data = None, []
-    for line in (*lines, ""):
+    for line in chain(lines, ("",)):
         line = line.rstrip("\r\n")
         if not line:
             payload = "\n".join(data)
@@ -24,51 +34,93 @@ def frames(lines: Iterable[str]) -> Iterator[tuple[str | None, str]]:
             stream_id, data = None, []
         elif not line.startswith(":"):
             name, _, value = line.partition(":")
-            value = value.removeprefix(" ")
             if name == "id":
-                stream_id = value
+                stream_id = value.strip()
             elif name == "data":
-                data.append(value)
+                data.append(value.strip())
 
 
-def _open(path: str):
-    if "://" in path:
-        from urllib.request import urlopen
+def connect(url: str, last_id: str | None = None, agent: str = "editfray", timeout: float = 15.0) -> Iterator[str]:
+    """Lines of a feed as they come; last_id asks for what came after it."""
+    from urllib.request import Request, urlopen
 
-        return (x.decode() for x in urlopen(path))  # noqa: S310
-    return open(path, encoding="utf-8")
+    headers = {"Accept": "text/event-stream", "User-Agent": agent} | ({"Last-Event-ID": last_id} if last_id else {})
+    with urlopen(Request(url, headers=headers), timeout=timeout) as lines:  # noqa: S310
+        for line in lines:
+            yield line.decode("utf-8", "replace")
 
 
-class _Batch(DataSourceReader):
-    def __init__(self, path: str):
-        self.path = path
+def retried(open_feed: Callable[[str | None], Iterable[str]], sleep: Callable[[float], None] = time.sleep, first: float = 1.0, most: float = 60.0, tries: int | None = None) -> Iterator[tuple[str | None, str]]:
+    """Frames of a feed that is opened again, from the last id on, whenever it ends or fails: at once after an end, after a failure with waits that double up to
+    `most` seconds and begin anew once a frame has come. `tries` failures in a row, if given, raise the last."""
+    last_id, wait, failed = None, first, 0
+    while True:
+        try:
+            for stream_id, payload in frames(open_feed(last_id)):
+                last_id, wait, failed = stream_id or last_id, first, 0
+                yield stream_id, payload
+        except OSError:
+            failed += 1
+            if tries is not None and failed >= tries:
+                raise
+            sleep(wait)
+            wait = min(2 * wait, most)
+
+
+def land(rows: Iterable[tuple[str | None, str]], folder: str, frames_per_file: int = 1000, seconds: float = 5.0, now: Callable[[], float] = time.monotonic) -> int:
+    """Write frames to files of the folder as they come, a file for each frames_per_file or `seconds`, whichever is first; returns how many
+    files, if the feed ends. A file is put in place whole, so that no reader sees a part of it. The folder is a shared one."""
+    Path(folder).mkdir(parents=True, exist_ok=True)
+    held: list[str] = []
+    began, files = now(), 0
+
+    def put():
+        nonlocal held, began, files
+        if held:
+            aside = Path(folder, f".{uuid.uuid4().hex}")
+            aside.write_text("".join(held), encoding="utf-8")
+            os.replace(aside, Path(folder, f"{time.time_ns():020d}-{files:06d}.sse"))
+            files += 1
+        held, began = [], now()
+
+    for stream_id, payload in rows:
+        data = "".join(f"data: {x}\n" for x in payload.split("\n"))
+        held.append((f"id: {stream_id}\n" if stream_id is not None else "") + data + "\n")
+        if len(held) >= frames_per_file or now() - began >= seconds:
+            put()
+    put()
+    return files
+
+
+def landed(spark: SparkSession, folder: str, stream: bool = True) -> DataFrame:
+    """stream_id, payload of landed files: a stream of them, or what is there. Executors read whole files, which land() keeps small."""
+    reader = spark.readStream.schema("value string") if stream else spark.read
+    lines = reader.option("wholetext", True).format("text").load(folder)
+    return lines.selectExpr("inline(" + _PARSE + ")")
+
+
+# A frame's lines, as SQL: its last id, and its data lines joined.
+_CUT = "regexp_replace(value, '\\r\\n?', '\\n')"
+_LINES = "filter(split(f, '\\n'), l -> l NOT LIKE ':%')"
+_PARSE = f"""filter(transform(split({_CUT}, '\\n\\n+'), f -> named_struct(
+  'stream_id', try_element_at(transform(filter({_LINES}, l -> l LIKE 'id:%'), l -> btrim(substring(l, 4))), -1),
+  'payload', array_join(transform(filter({_LINES}, l -> l LIKE 'data:%'), l -> btrim(substring(l, 6))), '\\n'))), x -> try_parse_json(x.payload) IS NOT NULL AND x.payload <> '')"""
+
+
+class _Files(DataSourceReader):
+    def __init__(self, paths: list[str]):
+        self.paths = paths
+
+    def partitions(self):
+        return [InputPartition(p) for p in self.paths]
 
     def read(self, partition):
-        yield from frames(_open(self.path))
-
-
-class _Stream(SimpleDataSourceStreamReader):
-    """Reads on from the number of frames read so far; a restart goes on from the checkpoint's number."""
-
-    def __init__(self, path: str, most: int):
-        self.path, self.most = path, most
-
-    def initialOffset(self):  # noqa: N802
-        return {"frames": 0}
-
-    def read(self, start):
-        rows = []
-        for i, row in enumerate(frames(_open(self.path))):
-            if start["frames"] <= i < start["frames"] + self.most:
-                rows.append(row)
-        return iter(rows), {"frames": start["frames"] + len(rows)}
-
-    def readBetweenOffsets(self, start, end):  # noqa: N802
-        return (row for i, row in enumerate(frames(_open(self.path))) if start["frames"] <= i < end["frames"])
+        with open(partition.value, encoding="utf-8") as lines:
+            yield from frames(lines)
 
 
 class SseSource(DataSource):
-    """spark.dataSource.register(SseSource), then read or readStream.format("sse").option("path", ...)."""
+    """spark.dataSource.register(SseSource), then read.format("sse").option("path", a file, or several with commas between): a partition each."""
 
     @classmethod
     def name(cls):
@@ -78,7 +130,4 @@ class SseSource(DataSource):
         return "stream_id string, payload string"
 
     def reader(self, schema):
-        return _Batch(self.options["path"])
-
-    def simpleStreamReader(self, schema):  # noqa: N802
-        return _Stream(self.options["path"], int(self.options.get("frames_per_batch", "10000")))
+        return _Files(self.options["path"].split(","))

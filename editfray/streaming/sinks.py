@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import json
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,9 +16,23 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
 
 
-def replace_partitions(df: DataFrame, path: str, *by: str) -> None:
-    """Write df over the partitions that it has rows of; others stay."""
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def replace_partitions(df: DataFrame, path: str, *by: str, only: dict[str, object] | None = None) -> None:
+    """Write df over the partitions that it has rows of; others stay. `only` names the partition that df is all of: it is
+    emptied if df is."""
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*by).parquet(path)
+    if only:
+        kept = df
+        for c, v in only.items():
+            kept = kept.where(F.col(c) == F.lit(v))
+        if kept.isEmpty():
+            from urllib.parse import quote
+
+            _delete(df.sparkSession, "/".join([path, *(f"{c}={quote(str(only[c]), safe=' -._')}" for c in by if c in only)]))
 
 
 def insert_new(df: DataFrame, path: str, keys: list[str], *order: str) -> None:
@@ -32,12 +49,39 @@ def upsert_partition(df: DataFrame, path: str, keys: list[str], by: str) -> None
         return replace_partitions(df, path, by)
     there = spark.read.parquet(path).join(df.select(by).distinct(), by, "left_semi").join(df.select(*keys), keys, "left_anti")
     whole = there.unionByName(df, allowMissingColumns=True)
-    aside = f"{path}.next"
-    whole.write.mode("overwrite").parquet(aside)
+    # Aside first, under a name of its own: what is read isn't overwritten, and writers don't meet there.
+    aside = f"{path}.next-{uuid.uuid4().hex}"
+    whole.write.parquet(aside)
     replace_partitions(spark.read.schema(whole.schema).parquet(aside), path, by)
+    _delete(spark, aside)
     return None
 
 
+def holds(rows: DataFrame, **keys) -> bool:
+    """Whether there is a row with these values; the first one found ends the search."""
+    for c, v in keys.items():
+        rows = rows.where(F.col(c) == F.lit(v))
+    return not rows.isEmpty()
+
+
+def files_of(listed: DataFrame, period: str) -> DataFrame:
+    """The files (name, partition) that a period is read from: of history:SNAPSHOT:YYYY-MM those of the month, of history-year:SNAPSHOT:YYYY those of the
+    year's months, and those of the year as a whole."""
+    last = period.rsplit(":", 1)[-1]
+    return listed.where((F.col("partition") == last) | F.startswith("partition", F.lit(f"{last}-")) | (F.col("partition") == last[:4]))
+
+
+def write_status(spark: SparkSession, path: str, job: str, **what) -> None:
+    """Add a line on a job to a table of its states; the latest line is its state."""
+    row = spark.createDataFrame([(job, json.dumps(what, default=str, sort_keys=True))], "job string, state string")
+    row.withColumn("at", F.current_timestamp()).coalesce(1).write.mode("append").parquet(path)
+
+
+def status(spark: SparkSession, path: str) -> DataFrame:
+    """job, state, at: the latest line of each job."""
+    return spark.read.parquet(path).groupBy("job").agg(F.max_by("state", "at").alias("state"), F.max("at").alias("at"))
+
+
 def run_pending(spark: SparkSession, listed: DataFrame, manifest: str, key: str, work) -> int:
     """Call work(rows to do) for what the manifest doesn't list, then list it: a run that was stopped goes on where it was."""
     done = spark.read.parquet(manifest) if exists(spark, manifest) else listed.select(key).limit(0)

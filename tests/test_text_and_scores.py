@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from editfray.functions import diff, scores
 from editfray.functions import text as T
+from editfray.operators import evidence
 
 
 def one(spark, **columns):
@@ -61,9 +62,17 @@ def test_graffiti():
     assert diff.is_graffiti("ha" * 30) and diff.is_graffiti("spam " * 9) and not diff.is_graffiti("an ordinary line of words")
 
 
-def test_talk_sentences():
+def test_talk_sentences(spark):
     old = "The article is about a town. It has many sources to cite here."
     new = old + " We need consensus on the wording of the lead now."
-    assert diff.added_sentences(old, new) == ["We need consensus on the wording of the lead now."]
-    assert diff.debated("we need consensus", []) == (True, [])
-    assert diff.debated("a reliable source", ["source"]) == (True, ["source"]) and diff.debated("a reliable source", [])[0] is False
+    got = one(spark, old=T.talk_sentences(F.lit(old)), new=T.talk_sentences(F.lit(new)), lists=T.talk_sentences(F.lit("Archives  talk of many years, one and all. Archive 1 and Archive 2 and archive 3 are here. Short one.")))
+    assert got["lists"] == []
+    places = diff.added([s.lower() for s in got["old"]], [s.lower() for s in got["new"]])
+    assert [got["new"][i] for i in places] == ["We need consensus on the wording of the lead now."]
+
+    def matched(sentence, *terms):
+        d = one(spark, d=evidence.disputes(F.array(F.lit(sentence)), F.lit(None).cast("string"), F.array(*map(F.lit, terms)).cast("array<string>")))["d"]
+        return [x["matched"] for x in d]
+
+    assert matched("We need consensus") == [[]]
+    assert matched("a reliable Source", "source") == [["source"]] and matched("a reliable source") == []
