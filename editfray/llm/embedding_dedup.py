@@ -3,7 +3,8 @@
 Vectors are normalised, so that cosine c is distance sqrt(2 - 2c). A hash is
 floor((a . v + b) / w) with Gaussian a; `k` of them make a bucket of a table, and there
 are as many tables as keep the chance to miss a pair right at the threshold under
-`miss`. k follows the number of vectors, so that buckets don't grow with it.
+`miss`. k follows the number of vectors of the largest label, so that buckets don't grow with it. Buckets
+stream through tasks sorted, small ones many at a time; large ones are cut into tiles.
 """
 
 from __future__ import annotations
@@ -15,12 +16,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, cut, table
+from ..shipping import ship_package
+from .common import arrow_map, cut, drop_cut, quoted, release, table
 from .components import components
 
 WIDTH = 2.0
 #: Vectors on each side of a tile: a bucket of any size is compared in tiles.
 TILE = 1024
+#: Tiles up to this size are compared together with others.
+SMALL = 48
 #: Chance neighbours that a vector may have in one bucket.
 STRANGERS = 256
 
@@ -39,8 +43,9 @@ def plan(n: int, threshold: float, miss: float) -> tuple[int, int]:
     return k, math.ceil(math.log(miss) / math.log(1 - near**k))
 
 
-def _matrix(column, dim: int) -> np.ndarray:
-    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
+def _matrix(column) -> np.ndarray:
+    """Vectors of one length as rows."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
 
 
 def _unit(x: np.ndarray) -> np.ndarray:
@@ -55,20 +60,28 @@ def usable(vector):
     return F.coalesce(vector.isNotNull() & F.forall(vector, finite) & F.exists(vector, lambda x: x != 0), F.lit(False))
 
 
-def _buckets(reps: DataFrame, dim: int, k: int, tables: int, seed: int) -> DataFrame:
+def _buckets(reps: DataFrame, k: int, tables: int, seed: int) -> DataFrame:
     """Each row of reps with codes: its bucket in every table, as 64-bit hashes of the k cells."""
 
     def make():
         rng = np.random.default_rng(seed)
-        a, b = rng.standard_normal((dim, tables * k)), rng.uniform(0, WIDTH, tables * k)
-        by = rng.integers(1, 2**62, tables * k, dtype=np.int64) | 1
+        b, by = rng.uniform(0, WIDTH, tables * k), rng.integers(1, 2**62, tables * k, dtype=np.int64) | 1
+        directions: dict[int, np.ndarray] = {}
 
-        def f(batch):
-            v = _unit(_matrix(batch.column("vector"), dim))
+        def coded(v):
+            dim = v.shape[1]
+            if dim not in directions:
+                directions[dim] = np.random.default_rng([seed, dim]).standard_normal((dim, tables * k))
             with np.errstate(over="ignore"):
-                cells = np.floor((v @ a + b) / WIDTH).astype(np.int64) * by
+                cells = np.floor((v @ directions[dim] + b) / WIDTH).astype(np.int64) * by
                 codes = cells.reshape(len(v), tables, k).sum(axis=2)
-            codes ^= codes >> 31
+            return codes ^ (codes >> 31)
+
+        def f(batch):
+            size, codes = batch.column("dim").to_numpy(), np.zeros((batch.num_rows, tables), dtype=np.int64)
+            for dim in np.unique(size):
+                at = np.flatnonzero(size == dim)
+                codes[at] = coded(_unit(_matrix(batch.column("vector").take(pa.array(at)))))
             return pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(0, codes.size + 1, tables), pa.int32()), pa.array(codes.reshape(-1)))], [*batch.schema.names, "codes"])
 
         return f
@@ -77,33 +90,90 @@ def _buckets(reps: DataFrame, dim: int, k: int, tables: int, seed: int) -> DataF
     return arrow_map(reps, make, schema + ", codes array<long>")
 
 
-def _tile(rows: pa.Table, threshold: float, dim: int) -> pa.Table:
-    """Links within one tile: for each row its number of vectors linked, and the smallest id linked to it through the tile.
-
-    A pair that meets in several tables counts in the first of them alone."""
-    rows = rows.combine_chunks()
-    t = rows.column("t")[0].as_py()
-    v = _unit(_matrix(rows.column("vector").chunk(0), dim))
-    codes = rows.column("codes").chunk(0).flatten().to_numpy().reshape(len(v), -1)
-    ids, weight, side = (rows.column(x).to_numpy() for x in ("id", "copies", "side"))
-    linked = np.clip(v @ v.T, -1, 1) >= threshold
-    np.fill_diagonal(linked, False)
-    if side.any():
-        linked &= side[:, None] != side[None, :]
-    for earlier in range(t):
-        if not linked.any():
-            break
-        linked &= codes[:, earlier][:, None] != codes[:, earlier][None, :]
-    low = ids.copy()
-    while True:  # the smallest id through links of this tile
-        near = np.where(linked, low[None, :], np.iinfo(np.int64).max).min(axis=1, initial=np.iinfo(np.int64).max)
-        new = np.minimum(low, near)
-        new = np.minimum(new, low[np.searchsorted(ids, new)]) if (np.diff(ids) > 0).all() else new
+def _linked_rows(n: int, left: np.ndarray, right: np.ndarray, ids: np.ndarray, weight: np.ndarray) -> pa.Table:
+    """Of links (pairs of places among n rows): for each row in one its number of vectors linked, and the smallest id reachable."""
+    count, low = np.zeros(n, dtype=np.int64), ids.copy()
+    np.add.at(count, left, weight[right])
+    np.add.at(count, right, weight[left])
+    while True:
+        new = low.copy()
+        np.minimum.at(new, left, low[right])
+        np.minimum.at(new, right, low[left])
         if (new == low).all():
             break
         low = new
-    some = linked.any(axis=1)
-    return pa.table({"id": ids[some], "n": (linked @ weight)[some], "low": low[some]})
+    some = np.flatnonzero(count)
+    return pa.table({"id": ids[some], "n": count[some], "low": low[some]})
+
+
+def _first_met(codes: pa.ListArray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """The places of pairs that have no earlier table in common: a pair that meets in several tables counts in the first of them alone."""
+    ends, values = codes.offsets.to_numpy(), codes.values.to_numpy()
+    keep, t = np.arange(len(left)), 0
+    done = [keep[:0]]
+    while len(keep):
+        on = ends[left[keep] + 1] - ends[left[keep]] > t
+        done.append(keep[~on])
+        keep = keep[on]
+        keep = keep[values[ends[left[keep]] + t] != values[ends[right[keep]] + t]]
+        t += 1
+    return np.concatenate(done)
+
+
+def _tiles_links(rows: pa.Table, threshold: float) -> pa.Table:
+    """Links within the tiles of rows, which stand by tile: see _linked_rows()."""
+    tile, dims = rows.column("tile").to_numpy(), rows.column("dim").to_numpy()
+    ids, weight, side = (rows.column(x).to_numpy() for x in ("id", "copies", "side"))
+    whole = rows.column("whole").to_numpy()  # a tile of a block with itself: all its pairs count, else those across its sides
+    begin = np.flatnonzero(np.concatenate(([True], (tile[1:] != tile[:-1]) | (dims[1:] != dims[:-1]))))
+    size = np.diff(np.append(begin, len(tile)))
+    vectors, sizes = rows.column("vector").combine_chunks(), np.repeat(size, size)
+    left, right = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    for dim in np.unique(dims):
+        own = np.flatnonzero((dims == dim) & (sizes <= SMALL) & (sizes > 1))
+        v, t = _unit(_matrix(vectors.take(pa.array(own)))) if len(own) else None, tile[own]
+        live, step = np.arange(len(own)), 1
+        while len(live):
+            live = live[live + step < len(own)]
+            live = live[t[live] == t[live + step]]
+            near = live[np.einsum("ij,ij->i", v[live], v[live + step]) >= threshold]
+            left.append(own[near])
+            right.append(own[near + step])
+            step += 1
+    for a, n in zip(begin[size > SMALL].tolist(), size[size > SMALL].tolist(), strict=True):
+        v = _unit(_matrix(vectors.slice(a, n)))
+        i, j = np.nonzero(np.triu(v @ v.T >= threshold, 1))
+        left.append(a + i)
+        right.append(a + j)
+    left, right = np.concatenate(left), np.concatenate(right)
+    across = np.flatnonzero(whole[left] | (side[left] != side[right]))
+    left, right = left[across], right[across]
+    first = _first_met(rows.column("earlier").combine_chunks(), left, right)
+    left, right = left[first], right[first]
+    return _linked_rows(len(ids), left, right, ids, weight)
+
+
+def _links(tiles: DataFrame, threshold: float) -> DataFrame:
+    """_tiles_links() over rows (tile, whole, side, dim, id, copies, vector, earlier), whole tiles at a time."""
+    ship_package(tiles.sparkSession)
+
+    def run(batches):
+        held = None
+        for b in batches:
+            now = pa.Table.from_batches([b])
+            held = now if held is None else pa.concat_tables([held, now])
+            if held.num_rows < 8 * TILE:
+                continue
+            tile = held.column("tile").to_numpy()
+            ended = np.flatnonzero(tile != tile[-1])
+            if len(ended):
+                yield from _tiles_links(held.slice(0, int(ended[-1]) + 1).combine_chunks(), threshold).to_batches()
+                held = held.slice(int(ended[-1]) + 1)
+        if held is not None and held.num_rows:
+            yield from _tiles_links(held.combine_chunks(), threshold).to_batches()
+        release()
+
+    return tiles.repartition("tile").sortWithinPartitions("tile").mapInArrow(run, "id long, n long, low long")
 
 
 def embedding_dedup(
@@ -112,38 +182,36 @@ def embedding_dedup(
 ) -> DataFrame:
     """id, n_links, component_id and kept for each row of vectors.
 
-    Rows of the same label that is not null (all rows, without label_col) link when their
+    Rows of the same label that is not null (all rows, without label_col) and of one length link when their
     cosine in double precision is at least the threshold; no pair below it is linked,
     and a pair right at it is missed with a chance of at most `miss`, a closer one with
-    far less. Vectors that are null, empty, zero, hold null or non-finite components or have another
-    length than most (the length is that of the smallest id's) link with nothing, nor do rows with a null id. Equal vectors are found by
-    grouping, never missed, and count as one below, with their number. Rows that repeat an id
+    far less. Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a
+    null id. Equal vectors are found by grouping, never missed, and count as one below, with their number. Rows that repeat an id
     count as so many vectors. Ids are integers. An empty table gives an empty one. Only the named columns are read."""
-    label = F.col(label_col) if label_col else F.lit(0)
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("vector"), label.alias("label"))
+    label = quoted(label_col) if label_col else F.lit(0)
+    rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("vector"), label.alias("label"))
     good = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    size = good.agg(F.count("*").alias("n"), F.min_by(F.size("vector"), "id").alias("dim")).first()
-    n, dim = size["n"], size["dim"] or 1
-    good = good.where(F.size("vector") == dim)
-    k, tables = plan(n, threshold, miss)
-    reps = good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies"))
-    reps = cut(_buckets(reps.select("id", "copies", "vector", "label"), dim, k, tables, seed), "buckets")
-    spots = reps.select("id", F.xxhash64("label").alias("l"), F.posexplode("codes").alias("t", "code"))
+    reps = cut(good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "distinct")
+    most = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
+    k, tables = plan(most, threshold, miss)
+    coded = cut(_buckets(reps.select("id", "copies", "vector", "dim", F.xxhash64("label", "dim").alias("l")), k, tables, seed), "buckets")
+    spots = coded.select("id", "l", F.posexplode("codes").alias("t", "code"))
     full = spots.groupBy("l", "t", "code").agg(F.count("*").alias("held")).where("held > 1")
     blocks = F.ceil(F.col("held") / F.lit(TILE)).cast("int")
     placed = spots.join(full, ["l", "t", "code"]).withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int"))
     placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    tiles = placed.select(
-        "id", "l", "t", "code", F.least("block", "other").alias("t0"), F.greatest("block", "other").alias("t1"),
-        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"),
-    ).join(reps.select("id", "copies", "vector", "codes"), "id")
-    kinds = "id long, n long, low long"
-    links = cut(tiles.groupBy("l", "t", "code", "t0", "t1").applyInArrow(lambda key, x: _tile(x, threshold, dim), kinds), "links")
+    # The vector goes to buckets that hold two and more alone, and with it the codes of earlier tables.
+    tiles = placed.join(coded.select("id", "copies", "vector", "dim", "codes"), "id").select(
+        F.xxhash64("l", "t", "code", F.least("block", "other"), F.greatest("block", "other")).alias("tile"), (F.col("block") == F.col("other")).alias("whole"),
+        F.when(F.col("block") > F.col("other"), 1).otherwise(0).alias("side"), "dim", "id", "copies", "vector", F.slice("codes", F.lit(1), F.col("t")).alias("earlier"),
+    )
+    links = cut(_links(tiles, threshold), "links")
     found = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
     tops = reps.select(F.col("id").alias("rep"), "copies", "vector", "label").join(counts.withColumnRenamed("id", "c_id"), F.col("rep") == F.col("c_id"), "left").join(
         found.withColumnRenamed("id", "f_id"), F.col("rep") == F.col("f_id"), "left"
     ).select("rep", "copies", "n", "component", F.col("vector").alias("r_vector"), F.col("label").alias("r_label"))
+    drop_cut(coded)
     ok = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     joined = rows.join(tops, ok & (F.col("label") == F.col("r_label")) & (F.col("vector") == F.col("r_vector")), "left")
     return joined.select(
