@@ -1,31 +1,34 @@
 """HTML extraction by tag-path ratios.
 
-A page is read as blocks, each with its path of tags from the root. Text length and
-punctuation are aggregated by path, so that one long paragraph speaks for its kin;
-the ratios are smoothed over neighbours in page order, fused, and held against their
-deviation. What passes is the core; the article is the innermost container that holds it,
-whole, but for what its tags, roles and names mark as something else.
+A page is read as blocks, each at a path: the tags, class names and ids from the root
+to it. Text length and punctuation are aggregated by path, so that one long paragraph speaks
+for its short kin; the ratios are smoothed over neighbours in page order, fused, and weighed by a
+prior: 0 for what its tag, role or name marks as something else, 1 for the rest. Paths
+at or over a threshold that follows the scores' deviation are the content. The innermost
+container around most of it completes it: headings, short lists and the like, but for what the prior excludes.
 """
 
 from __future__ import annotations
 
 import html
 import re
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, table
+from .common import arrow_map, quoted, table
 
 # Kinds of HTML elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr nobr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math object xmp noframes".split())
 CONTAINER = frozenset("html body div section article main center table tbody tr td form".split())
-CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
-STOPS = frozenset("ul ol dl table div section article main body td th".split())
+#: Elements that end the open one of their kind, and what keeps them from doing so: kind by tag, and kinds that a tag begins anew.
+ENDS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
+BEGINS = {x: (0,) for x in "div section article main body td th".split()} | {x: (0, 1, 2, 3, 4, 5) for x in "ul ol dl table select".split()} | {"tr": (4,)}
 # Elements, roles and words of class names and ids of what is no article.
 OTHER_TAGS = frozenset("head nav footer aside form button select dialog menu fieldset".split()) | RAW
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
@@ -36,69 +39,84 @@ OTHER_WORDS = frozenset(
     "comment comments commentlist disqus respond reply replies discussion share sharing social follow subscribe subscription newsletter signup login "
     "related recommended recommendations teaser trending popular search searchbox skip hidden".split()
 )
-_TOKEN = re.compile(
-    r"<!--.*?-->|<!--.*\Z|<!\[CDATA\[(?P<data>.*?)\]\]>|<[!?][^>]*>"
-    r"|</(?P<end>[a-zA-Z][^\s/>]*)[^>]*>"
-    r"|<(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^\"'>]|\"[^\"]*\"|'[^']*')*+)>|<(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)>",
-    re.S,
-)
+_TAG = re.compile(r"<(?:/(?P<end>[a-zA-Z][^\s/>]*)[^>]*|(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^\"'>]|\"[^\"]*\"|'[^']*')*+)|(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)|[!?][^>]*)>")
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
-
 HARD, SOFT = 2, 1
 
 
-def _other(tag: str, attributes: str, in_article: bool) -> int:
-    """How an element is marked as no part of an article: HARD by what it is, SOFT by its names (or as a form), 0 if not."""
-    if tag == "form":
-        return SOFT
-    if tag in OTHER_TAGS or (tag == "header" and not in_article):
-        return HARD
-    if not attributes or tag in ("html", "body"):
-        return 0
-    found = 0
-    for name, value in _NAMES.findall(attributes):
+def _named(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
+    """The label of an element in its path, and how it is marked as no part of an article: HARD by what it is, SOFT by its
+    names (or as a form), 0 if not."""
+    found = SOFT if tag == "form" else HARD if tag in OTHER_TAGS or (tag == "header" and not in_article) else 0
+    names = _NAMES.findall(attributes) if attributes else ()
+    label = [tag]
+    for name, value in names:
         name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or (name == "aria-hidden" and value == "true"):
-            return HARD
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return HARD
-        if name == "role" and value.lower() in OTHER_ROLES:
-            return HARD
-        if name in ("class", "id") and tag not in ("main", "h1"):
-            parts = {x.lower() for x in _PART.findall(value)}
-            if parts & (OTHER_WORDS if tag != "article" else {"comment", "related", "teaser", "sponsored", "ad", "promo"}):
-                found = SOFT
-    return found
-
-
-class _Element:
-    __slots__ = ("article", "hard", "parent", "path", "soft", "tag")
-
-    def __init__(self, tag: str, parent: _Element | None, other: int):
-        self.tag, self.parent = tag, parent
-        self.hard = other == HARD or (parent is not None and parent.hard)
-        #: The marked elements around it, itself included, from the outside in.
-        self.soft: tuple[_Element, ...] = (*(parent.soft if parent is not None else ()), *((self,) if other == SOFT else ()))
-        self.path = f"{parent.path}/{tag}" if parent else tag
-        self.article = tag in ("article", "main") or (parent is not None and parent.article)
-
-
-def blocks(page: str) -> list[tuple[_Element, str, int]]:
-    """Blocks in page order: their element, their text, and how much of it is links."""
-    out: list[tuple[_Element, str, int]] = []
-    here = _Element("#", None, 0)
+        if name in ("class", "id"):
+            parts = sorted({x.lower() for x in _PART.findall(value)})
+            label.append(("#" if name == "id" else ".") + "-".join(parts))
+            if not found and tag not in ("html", "body", "main", "h1"):
+                other = OTHER_WORDS if tag != "article" else {"comment", "related", "teaser", "sponsored", "ad", "promo"}
+                found = SOFT if not other.isdisjoint(parts) else 0
+        elif tag in ("html", "body", "form"):
+            continue
+        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
+            found = HARD
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            found = HARD
+        elif name == "role" and value.lower() in OTHER_ROLES:
+            found = HARD
+    return "".join(label), found
+
+
+@dataclass
+class Page:
+    """Elements in page order, each after its parent, in parallel lists; 0 is the root. blocks: element, text, and how much of it is links.
+
+    A path is a number for its parent's path and the element's own label: nothing here grows with the depth."""
+
+    tag: list[str] = field(default_factory=lambda: ["#"])
+    parent: list[int] = field(default_factory=lambda: [-1])
+    path: list[int] = field(default_factory=lambda: [0])
+    marked: list[int] = field(default_factory=lambda: [0])
+    article: list[bool] = field(default_factory=lambda: [False])
+    blocks: list[tuple[int, str, int]] = field(default_factory=list)
+
+    def up(self, of: list) -> list:
+        """Sums over what each element holds, itself included."""
+        out = list(of)
+        for i in range(len(out) - 1, 0, -1):
+            out[self.parent[i]] += out[i]
+        return out
+
+    def down(self, f) -> list:
+        """f(element, what its parent has) for each element, the root first (with None)."""
+        out = [f(0, None)]
+        for i in range(1, len(self.tag)):
+            out.append(f(i, out[self.parent[i]]))
+        return out
+
+
+def read_page(page: str) -> Page:
+    """The page in one pass: no search for an end goes over the same text twice, and no step walks up all open elements."""
+    out = Page()
+    paths: dict[tuple[int, str], int] = {}
+    stack, open_tags = [0], {"#": 1}
+    #: For each open element the level of the open one of each kind of ENDS, 0 for none; shared with its parent where nothing changes.
+    near = [(0,) * 6]
     held: list[str] = []
     links = depth = 0
+    endless: set[str] = set()  # ends that the rest of the page doesn't have
 
     def flush():
         nonlocal links
         if held:
             text = " ".join("".join(held).split())
             if text:
-                out.append((here, text, links))
+                out.blocks.append((stack[-1], text, links))
             held.clear()
         links = 0
 
@@ -110,23 +128,47 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
             if depth:
                 links += len(text.strip())
 
-    at = 0
-    while m := _TOKEN.search(page, at):
-        add(page[at : m.start()])
+    def close(level: int):
+        while len(stack) > level:
+            open_tags[out.tag[stack.pop()]] -= 1
+            near.pop()
+
+    def end_of(end: str, start: int) -> int:
+        at = -1 if end in endless else page.find(end, start)
+        if at < 0:
+            endless.add(end)
+        return at
+
+    at, last = 0, page.rfind(">")
+    while (start := page.find("<", at)) >= 0 and start < last:
+        if page.startswith("<!--", start):
+            add(page[at:start])
+            end = end_of("-->", start + 4)
+            at = end + 3 if end >= 0 else len(page)
+            continue
+        if page.startswith("<![CDATA[", start) and (end := end_of("]]>", start + 9)) >= 0:
+            add(page[at:start])
+            held.append(page[start + 9 : end])
+            at = end + 3
+            continue
+        m = _TAG.match(page, start)
+        if not m:
+            add(page[at : start + 1])
+            at = start + 1
+            continue
+        add(page[at:start])
         at = m.end()
-        if (data := m["data"]) is not None:
-            held.append(data)
-        elif tag := m["end"]:
+        if tag := m["end"]:
             tag = tag.lower()
             if tag in INLINE:
                 depth = max(0, depth - 1) if tag == "a" else depth
                 continue
             flush()
-            x = here
-            while x is not None and x.tag != tag:
-                x = x.parent
-            if x is not None and x.parent is not None:
-                here, depth = x.parent, 0
+            if open_tags.get(tag):
+                while out.tag[stack[-1]] != tag:
+                    close(len(stack) - 1)
+                close(len(stack) - 1)
+                depth = 0
         elif tag := m["tag"] or m["tag2"]:
             tag = tag.lower()
             rest = m["rest"] if m["tag"] else m["rest2"]
@@ -137,140 +179,176 @@ def blocks(page: str) -> list[tuple[_Element, str, int]]:
                 depth += tag == "a"
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}\b[^>]*>", re.I).search(page, at)
                 if not rest.rstrip().endswith("/") or tag in ("script", "style"):
-                    at = end.end() if end else len(page) if tag in ("script", "style", "textarea", "title") else at
+                    end = None if tag in endless else re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
+                    if end:
+                        at = end.end()
+                    else:
+                        endless.add(tag)
+                        at = len(page) if tag in ("script", "style", "textarea", "title") else at
                 if tag != "svg" and tag != "math":
                     flush()
                 continue
             flush()
             if tag in VOID:
                 continue
-            x = here
-            while x is not None and x.tag != "p" and x.tag not in STOPS:
-                x = x.parent
-            if x is not None and x.tag == "p":
-                here = x.parent
-            if tag in CLOSES:
-                x = here
-                while x is not None and x.tag not in CLOSES[tag] and x.tag not in ("ul", "ol", "dl", "table", "select", "#"):
-                    x = x.parent
-                if x is not None and x.tag in CLOSES[tag]:
-                    here = x.parent
-            here, depth = _Element(tag, here, _other(tag, rest, here.article)), 0
-    add(page[at:])
+            if near[-1][0]:
+                close(near[-1][0])
+            if tag in ENDS and near[-1][ENDS[tag]]:
+                close(near[-1][ENDS[tag]])
+            here = stack[-1]
+            label, marked = _named(tag, rest, out.article[here])
+            out.tag.append(tag)
+            out.parent.append(here)
+            out.marked.append(marked)
+            out.article.append(out.article[here] or tag in ("article", "main"))
+            out.path.append(paths.setdefault((out.path[here], label), len(paths) + 1))
+            kinds = near[-1]
+            if tag in BEGINS or tag in ENDS:
+                kinds = list(kinds)
+                for k in BEGINS.get(tag, ()):
+                    kinds[k] = 0
+                if tag in ENDS:
+                    kinds[ENDS[tag]] = len(stack)
+                kinds = tuple(kinds)
+            stack.append(len(out.tag) - 1)
+            near.append(kinds)
+            open_tags[tag] = open_tags.get(tag, 0) + 1
+            depth = 0
+    rest = page[at:]
+    add(rest[: rest.find("<!--")] if "<!--" in rest else rest)
     flush()
     return out
 
 
+def allowed_elements(page: Page) -> list[bool]:
+    """For each element, whether it may be part of an article, by the marks of what it stands in.
+
+    A name that stands on a frame around the heading and most of the text says nothing about them ("has-sidebar")."""
+    n = len(page.tag)
+    hard = page.down(lambda i, above: page.marked[i] == HARD or bool(above))
+    own = [0] * n
+    for e, text, _ in page.blocks:
+        own[e] += 0 if hard[e] else len(text)
+    headed = page.up([int(page.tag[i] == "h1" and own[i] > 0) for i in range(n)])
+    article = page.up([int(page.article[i] and own[i] > 0) for i in range(n)])
+    inside = page.up(own)
+    soft = page.down(lambda i, above: i if page.marked[i] == SOFT else -1 if above is None else above)  # the innermost marked one around
+    bare: dict[int, int] = {}
+    for i in range(n):
+        bare[soft[i]] = bare.get(soft[i], 0) + own[i]
+    # Text that stands bare in the marked elements around each, and whether one of them, or itself, holds the heading.
+    around = page.down(lambda i, above: 0 if above is None else above + (bare.get(page.parent[i], 0) if page.marked[page.parent[i]] == SOFT else 0))
+    with_heading = page.down(lambda i, above: bool(above) or (page.marked[i] == SOFT and headed[i] > 0))
+    marked = [i for i in range(n) if page.marked[i] == SOFT]
+    any_heading = any(headed[i] for i in marked)
+    # What other marked elements hold, comments for one, says nothing about a frame with the heading.
+    share = lambda i: inside[i] + bare.get(-1, 0) + around[i] if headed[i] else inside[0]
+    frames = {i for i in marked if (headed[i] or article[i]) and not (any_heading and not with_heading[i]) and inside[i] > 0.6 * share(i)}
+    heading = {i for i in marked if headed[i]}
+
+    def plain(forgiven) -> list[bool]:
+        return page.down(lambda i, above: above is not False and not hard[i] and (page.marked[i] != SOFT or i in forgiven))
+
+    def some(ok) -> bool:
+        return any(ok[i] and own[i] for i in range(n))
+
+    def in_article(ok) -> list[bool]:
+        return [a and b for a, b in zip(ok, page.article, strict=True)]
+
+    everything = [not x for x in hard]
+    # An article's tags exclude what stands outside; where all of its text is marked, frames with its heading stand, or else all of it.
+    if any(page.article):
+        choices = [in_article(plain(frames)), in_article(plain(heading)), in_article(everything)]
+        if not some(choices[-1]) and not any(page.article[e] for e, _, _ in page.blocks):
+            choices = [plain(frames), plain(heading)]
+    else:
+        choices = [plain(frames), plain(heading)]
+    return next((x for x in choices if some(x)), [False] * n)
+
+
+def menus(page: Page, allowed: list[bool]) -> list[bool]:
+    """For each element, whether it stands in a list or table of links, whatever its names."""
+    held = page.down(lambda i, above: i if page.tag[i] in ("ul", "ol", "table") else -1 if above is None else above)
+    sums: dict[int, list[int]] = {}
+    for e, text, links in page.blocks:
+        if allowed[e] and held[e] >= 0:
+            s = sums.setdefault(held[e], [0, 0])
+            s[0] += len(text)
+            s[1] += links
+    found = {k for k, (n, linked) in sums.items() if linked > 0.6 * n}
+    return page.down(lambda i, above: bool(above) or i in found)
+
+
+def path_sums(page: Page, prior: list[float]) -> dict[tuple[int, float], tuple[int, int, int]]:
+    """Of each path, and prior where one path has several: length of text that is no link, punctuation, and blocks."""
+    sums: dict[tuple[int, float], tuple[int, int, int]] = {}
+    for e, text, links in page.blocks:
+        key = page.path[e], prior[e]
+        a, b, c = sums.get(key, (0, 0, 0))
+        sums[key] = a + max(0, len(text) - links), b + len(_PUNCTUATION.findall(text)), c + 1
+    return sums
+
+
 def _smooth(x: np.ndarray) -> np.ndarray:
     y = np.pad(x, 1, mode="edge")
     return 0.25 * y[:-2] + 0.5 * y[1:-1] + 0.25 * y[2:]
 
 
-def core(found: list[tuple[_Element, str, int]]) -> list[int]:
-    """The places of blocks whose paths carry running text."""
-    sums: dict[str, list[int]] = {}
-    for e, text, links in found:
-        s = sums.setdefault(e.path, [0, 0, 0])
-        s[0] += max(0, len(text) - links)
-        s[1] += len(_PUNCTUATION.findall(text))
-        s[2] += 1
-    length = np.array([sums[e.path][0] / sums[e.path][2] for e, _, _ in found])
-    marks = np.array([sums[e.path][1] / sums[e.path][2] for e, _, _ in found])
-    fused = _smooth(length) * (0.5 + np.sqrt(_smooth(marks)))
-    least = min(fused.std(), fused.max() / 2)
-    return [i for i in range(len(found)) if fused[i] >= least and (fused[i] > 0 or least == 0)]
+def path_scores(page: Page, prior: list[float]) -> tuple[np.ndarray, np.ndarray]:
+    """For each block the number of its path, and the score of each path: the mean of its blocks' smoothed, fused and weighed ratios."""
+    sums = path_sums(page, prior)
+    place = {key: k for k, key in enumerate(sums)}
+    of = np.array([place[page.path[e], prior[e]] for e, _, _ in page.blocks])
+    ratios = np.array([(a / c, b / c, w) for (_, w), (a, b, c) in sums.items()])
+    if not (ratios[:, 0] * ratios[:, 2]).any():  # an article of links alone
+        ratios[:, 0] = np.bincount(of, weights=[len(text) for _, text, _ in page.blocks]) / np.bincount(of)
+    fused = _smooth(ratios[of, 0]) * (0.5 + np.sqrt(_smooth(ratios[of, 1]))) * ratios[of, 2]
+    return of, np.bincount(of, weights=fused) / np.bincount(of)
+
+
+def content_paths(scores: np.ndarray, of: np.ndarray) -> np.ndarray:
+    """Which paths are content: those at the deviation of all blocks' scores, or at half of the highest, if that is less."""
+    least = min(scores[of].std(), scores.max() / 2)
+    return (scores >= least) & (scores > 0)
 
 
 def extract(page: str | None) -> str:
     """The article's text: its blocks, joined by a line feed."""
-    found = blocks(page or "")
-    shown = [x for x in found if not x[0].hard]
-    # A name that stands on a frame around the heading and most of the text says nothing about them ("has-sidebar").
-    held: dict[int, list] = {}
-    bare: dict[int | None, int] = {}  # text by the innermost marked element around it
-    for e, text, _ in shown:
-        for x in e.soft:
-            h = held.setdefault(id(x), [0, False, False, x])
-            h[0] += len(text)
-            h[1] |= e.tag == "h1"
-            h[2] |= e.article
-        own = id(e.soft[-1]) if e.soft else None
-        bare[own] = bare.get(own, 0) + len(text)
-    total = sum(bare.values())
-    frames = set()
-    for k, (n, h1, head, x) in held.items():
-        # What other marked elements hold, comments for one, says nothing about a frame with the heading.
-        of = n + bare.get(None, 0) + sum(bare.get(id(y), 0) for y in x.soft[:-1]) if h1 else total
-        beside = any(h[1] for h in held.values()) and not any(held[id(y)][1] for y in x.soft)
-        if (h1 or head) and not beside and n > 0.6 * of:
-            frames.add(k)
-
-    def outside(forgiven: set) -> list:
-        return [x for x in shown if all(id(y) in forgiven for y in x[0].soft)]
-
-    plain = outside(frames)
-    marked = [x for x in plain if x[0].article]
-    if not marked and any(x[0].article for x in shown):
-        # All of the article's text is marked: frames with its heading stand, whatever their share, or else all of it.
-        marked = [x for x in outside({k for k, h in held.items() if h[1]}) if x[0].article] or [x for x in shown if x[0].article]
-    elif not marked and any(x[0].article for x in found):
-        # An article without text of its own, as far as its tags go.
+    tree = read_page(page or "")
+    if not tree.blocks:
         return ""
-    plain = marked or plain or outside({k for k, h in held.items() if h[1]})
-    # Lists of links are menus, whatever their names, but for those inside the container that is chosen below.
-    lists: dict[int, list] = {}
-    for e, text, links in plain:
-        x = e
-        while x is not None and x.tag not in ("ul", "ol", "table"):
-            x = x.parent
-        if x is not None:
-            s = lists.setdefault(id(x), [0, 0])
-            s[0] += len(text)
-            s[1] += links
-    menus = {k for k, (n, linked) in lists.items() if linked > 0.6 * n}
-
-    def in_menu(e: _Element) -> bool:
-        while e is not None:
-            if id(e) in menus:
-                return True
-            e = e.parent
-        return False
-
-    whole, plain = plain, [x for x in plain if not in_menu(x[0])]
-    if not plain:
+    allowed = allowed_elements(tree)
+    menu = menus(tree, allowed)
+    of, scores = path_scores(tree, [float(a and not m) for a, m in zip(allowed, menu, strict=True)])
+    chosen = content_paths(scores, of)[of]
+    if not chosen.any():
         return ""
-    weight: dict[int, int] = {}
-    nodes: dict[int, _Element] = {}
-    children: dict[int, set] = {}
-    total = 0
-    for i in core(plain):
-        x, n = plain[i][0], len(plain[i][1])
-        total += n
-        while x is not None:
-            weight[id(x)] = weight.get(id(x), 0) + n
-            nodes[id(x)] = x
-            if x.parent is not None:
-                children.setdefault(id(x.parent), set()).add(id(x))
-            x = x.parent
-    top = next((k for k, x in nodes.items() if x.parent is None), None)
-    while top is not None:
-        inner = max(children.get(top, ()), key=lambda k: weight[k], default=None)
-        if inner is None or nodes[inner].tag not in CONTAINER and nodes[inner].tag != "#" or weight[inner] < 0.7 * total:
-            break
+    # The innermost container with most of the content.
+    weight = [0] * len(tree.tag)
+    for (e, text, _), c in zip(tree.blocks, chosen, strict=True):
+        weight[e] += len(text) if c else 0
+    weight = tree.up(weight)
+    best = [0] * len(tree.tag)
+    for i in range(1, len(tree.tag)):
+        if weight[i] > (weight[best[tree.parent[i]]] if best[tree.parent[i]] else 0):
+            best[tree.parent[i]] = i
+    top = 0
+    while (inner := best[top]) and tree.tag[inner] in CONTAINER and weight[inner] >= 0.7 * weight[0]:
         top = inner
-
-    def inside(e: _Element) -> bool:
-        while e is not None:
-            if id(e) == top:
-                return True
-            e = e.parent
-        return False
-
-    # The page's root is no choice: a list of links is as well beside the article there.
-    chosen = top is not None and nodes[top].tag not in ("#", "html", "body")
-    return "\n".join(text for e, text, _ in (whole if chosen else plain) if top is None or inside(e))
+    # The whole of the article that it stands in.
+    while tree.article[top] and tree.tag[top] not in ("article", "main"):
+        top = tree.parent[top]
+    inside = tree.down(lambda i, above: bool(above) or i == top)
+    heading = [e for e, _, _ in tree.blocks if tree.tag[e] == "h1" and allowed[e]]
+    heads = set() if any(inside[e] for e in heading) else set(heading)
+    if tree.tag[top] in ("#", "html", "body"):
+        # The page's root is no choice: what stands before and after the content, or is a list of links, is as well beside the article.
+        spots = [k for k, (e, _, _) in enumerate(tree.blocks) if chosen[k] or (tree.tag[e] == "h1" and allowed[e])]
+        kept = [chosen[k] or (spots[0] <= k <= spots[-1] and allowed[e] and not menu[e]) for k, (e, _, _) in enumerate(tree.blocks)]
+    else:
+        kept = [c or (inside[e] and allowed[e]) or e in heads for (e, _, _), c in zip(tree.blocks, chosen, strict=True)]
+    return "\n".join(text for (_, text, _), k in zip(tree.blocks, kept, strict=True) if k)
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -278,8 +356,9 @@ def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
 
     Null and empty pages, and those without an article, give the empty text. Nothing in the
     article is dropped or shortened for its size. Broken markup is read on; what
-    is no tag is text. Repeated rows stay, null ids and urls as they are; an empty table gives an empty one. Only the named columns are read."""
-    kept = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
+    is no tag is text. Time and memory of a page are linear in its length, whatever its depth and whatever is never closed.
+    Repeated rows stay, null ids and urls as they are; an empty table gives an empty one. Only the named columns are read."""
+    kept = pages.select(quoted(id_col).alias("page_id"), quoted(url_col).alias("url"), quoted(html_col).alias("html"))
 
     def make():
         def f(batch):
