@@ -3,17 +3,22 @@
 Leaves are runs of whole pre-tokens, cut where no edit elsewhere can undo the cut
 (see bpe.CUT); inner nodes hold the characters and tokens below. An edit re-encodes
 the leaves it touches, with a neighbour where it touches the cut itself, and
-corrects the sums on the way up; nothing else is encoded again.
+corrects the sums on the way up; nothing else is encoded again. Trees are kept as
+two lists beside each text, the characters and tokens of its leaves: count_trees() makes them, later
+runs of edited_counts() take them up and return the new ones.
 """
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from .bpe import CUT, Codec, codec, default_vocabulary
-from .common import arrow_map, free, quoted, table
+from .common import arrow_map, free, named, quoted, table
 
 RUN = 512
 
@@ -21,10 +26,20 @@ RUN = 512
 class CountTree:
     """Token counts of one document under edits."""
 
-    def __init__(self, text: str, bpe: Codec, run: int = RUN):
+    def __init__(self, text: str, bpe: Codec, run: int = RUN, kept: tuple[list[int], list[int]] | None = None):
+        """kept: characters and tokens of the leaves, as leaves() gave them for this text; then nothing is encoded."""
         self._bpe, self._run = bpe, run
         self.encoded = 0  # characters encoded so far
-        self._build(self._cut(text))
+        if kept is None or sum(kept[0]) != len(text):
+            self._build(self._cut(text))
+        else:
+            ends = list(accumulate(kept[0]))
+            self._build([text[b - n : b] for b, n in zip(ends, kept[0], strict=True)], list(kept[1]))
+
+    def leaves(self) -> tuple[list[int], list[int]]:
+        """Characters and tokens of the leaves that hold text."""
+        held = [i for i in range(self._n, 2 * self._n) if self._chars[i]]
+        return [self._chars[i] for i in held], [self._tokens[i] for i in held]
 
     def _cut(self, text: str) -> list[str]:
         parts, start = [], 0
@@ -128,38 +143,67 @@ def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", to: st
     return rows.withColumn(to, F.transform(quoted(to), lambda e: F.struct(e["pos"].alias("pos"), e["drop"].alias("drop"), e["ins"].alias("ins"))))
 
 
-def edited_counts(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", with_text: bool = False) -> DataFrame:
+_LEAVES = ("leaf_chars", "leaf_tokens")
+
+
+def _leaf_columns(trees: list) -> list[pa.Array]:
+    return [pa.array(x, pa.list_(pa.int32())) for x in zip(*(t.leaves() for t in trees), strict=True)]
+
+
+def count_trees(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
+    """docs with the trees of their texts: leaf_chars and leaf_tokens, arrays of int; columns of these names are replaced. Null text has no leaf. An empty table gives an empty one."""
+    vocabulary = vocabulary or default_vocabulary()
+    kept = docs.select(*named(docs, *_LEAVES))
+
+    def make():
+        bpe = codec(vocabulary)
+
+        def f(batch):
+            trees = [CountTree(x or "", bpe) for x in batch.column(text_col).to_pylist()]
+            return pa.RecordBatch.from_arrays([*batch.columns, *_leaf_columns(trees)], [*batch.schema.names, *_LEAVES])
+
+        return f
+
+    schema = StructType([*kept.schema, *(StructField(c, ArrayType(IntegerType())) for c in _LEAVES)])
+    return arrow_map(kept, make, schema, text_col)
+
+
+def edited_counts(trees: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text", edits_col: str = "edits", with_text: bool = False) -> DataFrame:
     """Token counts before and after the edits of each row's column `edits_col` (array of pos, drop, ins).
 
     Returns id, n_edits, n_tokens, n_tokens_after, n_chars_after, n_encoded (characters
-    encoded for the edits; the first count is not in it) and, if asked for, text_after. Edits apply in
+    encoded for the edits) and, if asked for, text, leaf_chars and leaf_tokens as they are after the edits: trees for the next ones. Rows without leaves that fit
+    their text (of count_trees()) get a tree first. Edits apply in
     order, each to the text as it then is; positions and lengths in code points are
     held within it, null ones count as 0 and null insertions as empty. Null text is
     empty; null edits are none. Rows that repeat stay. An empty table gives an empty one. Only
-    the named columns and edits are read."""
+    the named columns and leaves are read."""
     vocabulary = vocabulary or default_vocabulary()
-    kept = docs.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(edits_col).alias("edits"))
+    leaves = [quoted(c) if c in trees.columns else F.lit(None).cast("array<int>").alias(c) for c in _LEAVES]
+    kept = trees.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(edits_col).alias("edits"), *leaves)
     names = ["n_edits", "n_tokens", "n_tokens_after", "n_chars_after", "n_encoded"]
 
     def make():
         bpe = codec(vocabulary)
 
         def f(batch):
-            rows, texts = [], []
-            for text, edits in zip(batch.column("text").to_pylist(), batch.column("edits").to_pylist(), strict=True):
-                tree = CountTree(text or "", bpe)
+            rows, after = [], []
+            for text, edits, chars, tokens in zip(*(batch.column(c).to_pylist() for c in ("text", "edits", *_LEAVES)), strict=True):
+                tree = CountTree(text or "", bpe, kept=None if chars is None or tokens is None else (chars, tokens))
                 before, done = tree.tokens, tree.encoded
                 for e in edits or ():
                     if e:
                         tree.edit(e["pos"] or 0, e["drop"] or 0, e["ins"] or "")
                 rows.append((len(edits or ()), before, tree.tokens, tree._chars[1], tree.encoded - done))
-                texts.append(tree.text if with_text else None)
-            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)] + [pa.array(texts, pa.string())] * with_text
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names, *["text_after"] * with_text])
+                after.append(tree)
+            columns = [pa.array(x, pa.int64()) for x in zip(*rows, strict=True)]
+            if with_text:
+                columns += [pa.array([t.text for t in after], pa.string()), *_leaf_columns(after)]
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *names, *("text", *_LEAVES) * with_text])
 
         return f
 
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", text_after string" * with_text
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", text string, leaf_chars array<int>, leaf_tokens array<int>" * with_text
     return arrow_map(kept, make, schema, "text")
 
 
@@ -175,4 +219,4 @@ def sample_edits(docs: DataFrame, every: int = 2000) -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return edited_counts(sample_edits(table(spark, sf_dir, "documents").select("doc_id", "text")))
+    return edited_counts(count_trees(sample_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))))

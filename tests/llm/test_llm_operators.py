@@ -1,6 +1,7 @@
 """The training-data operators against brute force, on small tables with nulls, ties, repeats and long texts."""
 
 import hashlib
+import math
 import random
 import re
 
@@ -48,6 +49,48 @@ def test_embedding_dedup_by_brute_force(spark):
     for i in (900, 901, 902, 903, 904, 905, 907):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").limit(0)).count() == 0
+    # One vector of another length, under the smallest id, takes nothing from the others; two such link.
+    more = [*rows, (-3, [1.0, 2.0, 3.0], 0), (-2, [1.0, 2.0, 3.01], 0), (-1, [5.0], None)]
+    again = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(more, "vec_id long, embedding array<float>, label int")).collect()}
+    assert {i: again[i] for i in got} == got and [again[i]["n_links"] for i in (-3, -2, -1)] == [1, 1, 0] and again[-2]["component_id"] == -3
+
+
+@pytest.mark.parametrize("n", [10**6, 10**8])
+def test_recall_of_the_plan_of_a_large_table(n):
+    # The hashes and tables of a large table, on pairs of 64 dimensions right at the threshold and over it: measured, not computed.
+    k, tables = embedding_dedup.plan(n, 0.93, 0.01)
+    assert k >= 12
+    rng = np.random.default_rng(12)
+    a, b = np.random.default_rng([5, 64]).standard_normal((64, tables * k)), rng.uniform(0, embedding_dedup.WIDTH, tables * k)
+    for cosine, least in ((0.93, 0.98), (0.96, 0.998)):
+        x = embedding_dedup._unit(rng.standard_normal((1500, 64)))
+        y = rng.standard_normal((1500, 64))
+        y = embedding_dedup._unit(y - (x * y).sum(axis=1, keepdims=True) * x)
+        y = cosine * x + math.sqrt(1 - cosine * cosine) * y
+        u, v = (np.floor((z @ a + b) / embedding_dedup.WIDTH).reshape(1500, tables, k) for z in (x, y))
+        assert (u == v).all(axis=2).any(axis=1).mean() >= least
+
+
+@pytest.mark.parametrize("small", [0, 3, 64])
+def test_tiles_of_any_size_agree(monkeypatch, small):
+    import pyarrow as pa
+
+    monkeypatch.setattr(embedding_dedup, "SMALL", small)
+    rng = np.random.default_rng(3)
+    x = rng.standard_normal((5, 6))[rng.integers(0, 5, 60)] + 0.15 * rng.standard_normal((60, 6))
+    tile, side = np.sort(rng.integers(0, 6, 60)), rng.integers(0, 2, 60)
+    whole = tile % 2 == 0
+    side[whole] = 0
+    codes = rng.integers(0, 9, (60, 2))
+    rows = pa.table({"tile": tile, "whole": whole, "side": side, "dim": [6] * 60, "id": np.arange(60), "copies": np.ones(60, dtype=np.int64), "vector": pa.array(x.tolist()), "earlier": pa.array(codes.tolist())})
+    u = x / np.linalg.norm(x, axis=1, keepdims=True)
+    link = (u @ u.T >= 0.93) & (tile[:, None] == tile[None, :]) & (whole[:, None] | (side[:, None] != side[None, :])) & ~(codes[:, None, :] == codes[None, :, :]).any(axis=2)
+    np.fill_diagonal(link, False)
+    got = {r["id"]: (r["n"], r["low"]) for r in embedding_dedup._tiles_links(rows, 0.93).to_pylist()}
+    low = np.arange(60)
+    for _ in range(60):
+        low = np.minimum(low, np.where(link, low[None, :], 99).min(axis=1))
+    assert got == {i: (int(link[i].sum()), int(low[i])) for i in range(60) if link[i].any()} and len(got) > 20
 
 
 def test_a_bucket_over_several_tiles(spark, monkeypatch):
@@ -77,7 +120,7 @@ def reference_ids(text):
     return bpe.codec(bpe.default_vocabulary())._bpe.encode_ordinary(text or "")
 
 
-@pytest.mark.parametrize("leaf", [7, 64, 4096])
+@pytest.mark.parametrize("leaf", [7, 64, 256])
 def test_bpe_round_trip(spark, monkeypatch, leaf):
     monkeypatch.setattr(bpe, "LEAF", leaf)
     c = bpe.codec(bpe.default_vocabulary())
@@ -120,8 +163,23 @@ def test_an_edit_encodes_little():
 def test_edits_from_a_table(spark):
     edits = spark.createDataFrame([(0, 2, 0, 0, ">> "), (0, 1, 4, 3, None), (9, 1, 0, 0, "x"), (1, 1, None, None, "new text")], "doc_id long, seq int, pos long, drop long, ins string")
     got = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.with_edits(docs(spark, ["abc def ghi", None, "same"]), edits), with_text=True).collect()}
-    assert [got[i]["text_after"] for i in range(3)] == [">> abc  ghi", "new text", "same"]
-    assert all(got[i]["n_tokens_after"] == len(reference_ids(got[i]["text_after"])) for i in range(3)) and got[2]["n_encoded"] == 0
+    assert [got[i]["text"] for i in range(3)] == [">> abc  ghi", "new text", "same"]
+    assert all(got[i]["n_tokens_after"] == len(reference_ids(got[i]["text"])) for i in range(3)) and got[2]["n_encoded"] == 0
+
+
+def test_kept_trees_are_taken_up(spark):
+    text = "some words of a long text, and more. " * 400
+    edits = lambda at: spark.createDataFrame([(0, 1, at, 5, "others")], "doc_id long, seq int, pos long, drop long, ins string")
+    kept = token_counts.count_trees(docs(spark, [text, None]))
+    first = token_counts.edited_counts(token_counts.with_edits(kept, edits(6000)), with_text=True)
+    again = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.with_edits(first.select("doc_id", "text", "leaf_chars", "leaf_tokens"), edits(90))).collect()}
+    want = text[:6000] + "others" + text[6005:]
+    assert again[0]["n_tokens"] == len(reference_ids(want)) and again[0]["n_tokens_after"] == len(reference_ids(want[:90] + "others" + want[95:])) and again[1]["n_tokens_after"] == 0
+    tree = token_counts.CountTree(want, bpe.codec(bpe.default_vocabulary()), kept=token_counts.CountTree(want, bpe.codec(bpe.default_vocabulary())).leaves())
+    assert tree.encoded == 0 and tree.tokens == len(reference_ids(want)) and tree.text == want
+    assert 0 < again[0]["n_encoded"] < 3000
+    # Leaves of another text aren't taken.
+    assert token_counts.CountTree("short", bpe.codec(bpe.default_vocabulary()), kept=([900], [3])).tokens == len(reference_ids("short"))
 
 
 def test_the_registered_edits_on_a_fixture(spark):
@@ -162,6 +220,79 @@ def test_html_frames_and_sources():
     assert html_text.extract(f"<ul><li><a href=/>Home</a></ul><article>{body}{links}</article>") == want + "\nFirst source\nSecond source"
 
 
+PLAIN_PAGE = """<body><div class=top><div>Start</div><div>About us</div></div><div class=box><h1>Head</h1><p>A long paragraph, with marks; and more of it, to be read.</p><p>Short.</p>
+<ul><li>one</li><li>two</li></ul><p>Another paragraph, as long as the first one, or longer still.</p></div><div class=low><div>Imprint</div><div>Terms of use</div></div></body>"""
+
+
+def test_html_paths_select_the_content(monkeypatch):
+    want = "Head\nA long paragraph, with marks; and more of it, to be read.\nShort.\none\ntwo\nAnother paragraph, as long as the first one, or longer still."
+    assert html_text.extract(PLAIN_PAGE) == want
+    marked = "<body><nav>Home, or not.</nav><article><p>Text of the article, and so on.</p><p>End.</p></article><div class=ad>Buy this, now!</div></body>"
+    assert html_text.extract(marked) == "Text of the article, and so on.\nEnd."
+    # Without the threshold everything is content, and with one that nothing reaches, nothing is.
+    monkeypatch.setattr(html_text, "content_paths", lambda scores, of: scores >= 0)
+    assert html_text.extract(PLAIN_PAGE) == "Start\nAbout us\n" + want + "\nImprint\nTerms of use"
+    assert html_text.extract(marked) == "Home, or not.\nText of the article, and so on.\nEnd.\nBuy this, now!"
+    monkeypatch.setattr(html_text, "content_paths", lambda scores, of: scores < 0)
+    assert html_text.extract(PLAIN_PAGE) == html_text.extract(marked) == ""
+
+
+def test_html_path_sums_by_brute_force():
+    rng = random.Random(31)
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag, name = rng.choice(["div", "section", "p", "ul"]), rng.choice(["", " class='b a'", " class=a id=x1"])
+            inner = rng.choice(["words, and marks. ", "<a href=/>link</a> ", "x"]) if depth == 0 or tag == "p" or rng.random() < 0.3 else tree(depth - 1)
+            out.append(f"<{tag}{name}>{inner}</{tag}>")
+        return "".join(out)
+
+    for _ in range(30):
+        page = html_text.read_page(tree(4))
+        prior = [float(rng.random() < 0.7) for _ in page.tag]
+        whole = {}
+        label = {v: k for k, v in enumerate(page.path)}  # an element of each path
+
+        def path(e):
+            return (*path(page.parent[e]), page.path[e]) if e else ()
+
+        for e, text, links in page.blocks:
+            s = whole.setdefault((path(e), prior[e]), [0, 0, 0])
+            s[0] += len(text) - links
+            s[1] += sum(text.count(x) for x in ".,;:!?")
+            s[2] += 1
+        got = {(path(label[k]), w): list(v) for (k, w), v in html_text.path_sums(page, prior).items()}
+        assert got == whole and page.blocks
+    page = html_text.read_page("<div class='b a'><p>x</p></div><div class='a b'><p>y</p></div><div class=c><p>z</p></div><div class=n12><p>u</p></div><div class=n7><p>v</p></div>")
+    of = [page.path[e] for e, _, _ in page.blocks]
+    assert of[0] == of[1] != of[2] and of[3] == of[4] != of[0]
+
+
+@pytest.mark.parametrize(
+    "page", ["<div>" * 100_000 + "x", "<div class=comment>" * 20_000 + "x", "<![CDATA[" * 30_000, "<![CDATA[>" * 30_000, "<x><y>" * 50_000 + "x", "<svg>" * 30_000, "<!--" * 50_000, "<a " * 50_000, "<p \"'>" * 30_000, "<ul><li>" * 20_000 + "x", "</div>" * 100_000]
+)
+def test_html_is_linear_in_the_page(page):
+    import time
+    import tracemalloc
+
+    began = time.process_time()
+    html_text.extract(page)
+    assert time.process_time() - began < 8
+    tracemalloc.start()
+    html_text.read_page(page)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100 << 20
+
+
+def test_html_broken_markup():
+    assert html_text.extract("<p>text &amp; more <!-- never closed") == "text & more"
+    assert html_text.extract("<p>a<![CDATA[ <b> ]]>c</p>") == "a <b> c"
+    assert html_text.extract("<table><tr><td>one, two.<td>three, four.<tr><td>five, six.</table>") == "one, two.\nthree, four.\nfive, six."
+    assert html_text.extract("<div><p>one, two.<div>three, four.</div></p>five, six.</div>") == "one, two.\nthree, four.\nfive, six."
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>A b.</p></article>"), (1, "u", "<article><p>A b.</p></article>"), (None, None, None)], "page_id long, url string, html string")
     got = sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in html_text.html_text(pages).collect())
@@ -211,9 +342,28 @@ def brute_components(texts, ids):
     return [len(s) for s in sets], low
 
 
+def test_tiles_find_every_pair_or_the_nearest():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
+    sets = [np.unique(np.concatenate((rng.choice(base, 36, replace=False), rng.integers(0, 1 << 63, rng.integers(0, 4), dtype=np.uint64)))) for _ in range(30)]
+    sets.sort(key=len)
+    rows = pa.table({"tile": [1] * 20 + [2] * 10, "id": list(range(30)), "component": [i % 7 for i in range(30)], "n": [len(x) for x in sets], "narrow": pa.array([ngram_join._bitmap(x, 1024) for x in sets], pa.binary())})
+    can = lambda i, j: ngram_join._can_link(len(sets[i]), len(sets[j]), ngram_join._apart(*(ngram_join._bitmap(sets[k], 1024) for k in (i, j))), 80)
+    want = {(i, j) for j in range(30) for i in range(j) if (i < 20) == (j < 20) and i % 7 != j % 7 and 80 * len(sets[j]) <= 100 * len(sets[i]) and can(i, j)}
+    pairs = lambda nearest: {(a, b) for a, b in zip(*(ngram_join._meet(rows, 80, nearest).column(c).to_pylist() for c in "ab"))}
+    assert pairs(False) == want and len(want) > 60
+    near = pairs(True)
+    assert near <= want and {i for p in near for i in p} == {i for p in want for i in p} and len(near) <= 30
+    truly = {(i, j) for i, j in want if 100 * len(np.intersect1d(sets[i], sets[j])) >= 80 * len(np.union1d(sets[i], sets[j]))}
+    assert truly
+
+
 @pytest.mark.parametrize("hot", [4096, 3])
 def test_ngram_join_by_brute_force(spark, monkeypatch, hot):
     monkeypatch.setattr(ngram_join, "HOT", hot)
+    monkeypatch.setattr(ngram_join, "LINKS", hot)
     monkeypatch.setattr(ngram_join, "TILE", 4)
     rng = random.Random(11)
     vocabulary = [f"w{i}" for i in range(300)]
@@ -327,11 +477,70 @@ def test_language_id(spark):
 def test_models_are_distributions(spark):
     d = docs(spark, ["abcab cab", "bca abc", "zz top"], ["x", "x", "y"]).select("lang", "text")
     m = char_lm.train(d)
-    letters = [32, *map(ord, "abczto p".replace(" ", ""))]
-    history = char_lm.grams(*char_lm.letter_codes(["ab"]))[0][-2] >> np.uint64(0)
-    keys = np.array([(int(history) << 16 | c) & (1 << 64) - 1 for c in letters], dtype=np.uint64)
-    total = np.exp2(-m.look_up(keys).astype(float))[:, m.langs.index("x")].sum()
-    assert 0.7 < total <= 1.01
+    letters = [32, *map(ord, "abczto p".replace(" ", "")), ord("q")]  # all that the texts have, and one for what they lack
+    for history in ("ab", "zz", "c", "qq", "abc"):
+        at = char_lm.grams(*char_lm.letter_codes([history]))[0][-2]
+        keys = np.array([(int(at) << 16 | c) & (1 << 64) - 1 for c in letters], dtype=np.uint64)
+        assert np.exp2(-m.look_up(keys).astype(float)).sum(axis=0) == pytest.approx([1, 1], abs=1e-5)
+
+
+def test_kneser_ney_by_brute_force(spark):
+    rng = random.Random(17)
+    texts = {"x": ["".join(rng.choice("aab cd") for _ in range(60)) for _ in range(4)], "y": ["".join(rng.choice("bcde ") for _ in range(50)) for _ in range(3)]}
+    m = char_lm.train(spark.createDataFrame([(k, t) for k, own in texts.items() for t in own], "lang string, text string"))
+
+    def strings(text):
+        one = " " + "".join(w + " " for w in text.split())
+        return ["   "[: max(0, 3 - i)] + one[max(0, i - 3) : i + 1] for i in range(1, len(one))]
+
+    counts = {}  # by language and order: a gram's count; below the highest, the kinds of letters before it
+    for k, own in texts.items():
+        top = {}
+        for t in own:
+            for g in strings(t):
+                top[g] = top.get(g, 0) + 1
+        counts[k, 4] = top
+        for n in (3, 2, 1):
+            low = {}
+            for g in counts[k, n + 1]:
+                low[g[1:]] = low.get(g[1:], 0) + 1
+            counts[k, n] = low
+    floor = 1 / (len({g for k in texts for g in counts[k, 1]}) + 1)
+
+    def p(k, g):
+        if not g:
+            return floor
+        own = counts[k, len(g)]
+        beside = [c for x, c in own.items() if x[:-1] == g[:-1]]
+        if not beside:
+            return p(k, g[1:])
+        return max(own.get(g, 0) - 0.75, 0) / sum(beside) + 0.75 * len(beside) / sum(beside) * p(k, g[1:])
+
+    asked = sorted({g for t in (*texts["x"], *texts["y"], "fab deaf") for g in strings(t)})
+    keys = np.array([sum(ord(c) << 16 * (3 - i) for i, c in enumerate(g)) for g in asked], dtype=np.uint64)
+    got = np.exp2(-m.look_up(keys).astype(float))
+    assert got == pytest.approx(np.array([[p(k, g) for k in m.langs] for g in asked]), rel=1e-5)
+
+
+def held_out(spark, query, sf="/root/testdata/sf0.01"):
+    from pathlib import Path
+
+    if not Path(sf).exists():
+        pytest.skip("needs the driver's tables")
+    return [r for r in query(spark, sf).collect() if r["held_out"]], {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}, {r["doc_id"]: r for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+
+
+def test_held_out_languages(spark):
+    rows, by_id, _ = held_out(spark, char_lm.query)
+    known = [r["lang_pred"] == by_id[r["doc_id"]]["lang"] for r in rows if by_id[r["doc_id"]]["lang"] is not None and r["lang_pred"] != "und"]
+    assert len(known) > 100 and np.mean(known) > 0.98
+
+
+def test_held_out_toxicity(spark):
+    rows, _, labels = held_out(spark, toxicity.query)
+    both = [(r["predicted"], labels[r["doc_id"]]["toxic"]) for r in rows if r["doc_id"] in labels and labels[r["doc_id"]]["toxic"] is not None]
+    toxic = [p for p, y in both if y]
+    assert len(toxic) >= 5 and np.mean(toxic) > 0.9 and np.mean([p for p, y in both if not y]) < 0.03
 
 
 def test_a_model_does_not_depend_on_other_labels(spark):
@@ -435,22 +644,113 @@ def test_the_lexicon_follows_the_labels(spark):
 # 10. Top-k
 
 
-@pytest.mark.parametrize("block", [8192, 16])
-def test_topk_by_brute_force(spark, monkeypatch, block):
-    monkeypatch.setattr(topk_search, "BLOCK", block)
-    monkeypatch.setattr(topk_search, "FIRST", 5)
+def brute_tops(rows, k=20):
+    """Lists of (id, score), by place, of each query row: every other row of its length counts."""
+    good = [(i, np.floor(64 * np.array(v, dtype=np.float64)).astype(object)) for i, v in rows if i is not None and v and all(y is not None and np.isfinite(y) for y in v)]
+    out = {}
+    for at, (i, q) in enumerate(good):
+        if i % 20 == 0:
+            best = sorted((-int(q @ v), j) for other, (j, v) in enumerate(good) if other != at and len(v) == len(q))[:k]
+            out.setdefault(i, []).append([(n, j, -s) for n, (s, j) in enumerate(best, 1)])
+    return {i: sorted(x for one in lists for x in one) for i, lists in out.items()}
+
+
+@pytest.mark.parametrize(("block", "spread"), [(16384, 1), (16, 1), (64, 0.05)])
+def test_topk_by_brute_force(spark, monkeypatch, block, spread):
+    for name, value in (("BLOCK", block), ("RUN", 4), ("BATCH", 3), ("FIRST", 2)):
+        monkeypatch.setattr(topk_search, name, value)
     rng = np.random.default_rng(4)
-    x = rng.standard_normal((130, 8)).astype(np.float32)
+    x = (rng.standard_normal((230, 8)) if spread == 1 else rng.standard_normal((6, 8))[np.arange(230) % 6] * 3 + spread * rng.standard_normal((230, 8))).astype(np.float32)
     x[50:60] = x[40]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(200, None), (220, [None] * 8), (240, [float("nan")] * 8), (3, rows_ := [float(v) for v in x[3]]), (260, [0.0] * 8)]
-    del rows_
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(300, None), (320, [None] * 8), (340, [float("nan")] * 8), (3, [float(v) for v in x[3]]), (20, [float(v) for v in x[7]]), (360, [0.0] * 8), (None, [1.0] * 8), (380, [])]
+    # Vectors of another length, under the smallest id, among them: they meet each other alone.
+    rows += [(-i * 10, [float(i), 1.0, 2.0]) for i in range(5)]
     got = {}
-    for r in topk_search.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20).collect():
+    for r in topk_search.topk_search(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), k=20, pivots=9).collect():
         got.setdefault(r["query_id"], []).append((r["rank"], r["vec_id"], r["score"]))
-    good = {i: np.floor(64 * np.array(v, dtype=np.float64)) for i, v in rows if v and all(y is not None and np.isfinite(y) for y in v)}
-    assert set(got) == {i for i in good if i % 20 == 0}
-    for q, found in got.items():
-        best = sorted(((-int(good[q] @ v), i) for i, v in good.items() if i != q))[:20]
-        assert sorted(found) == [(k, i, -s) for k, (s, i) in enumerate(best, 1)]
+    assert {i: sorted(x) for i, x in got.items()} == brute_tops(rows)
     few = spark.createDataFrame(rows[:3], "vec_id long, embedding array<float>")
     assert topk_search.topk_search(few).count() == 2 and topk_search.topk_search(few.limit(0)).count() == 0
+
+
+def test_topk_leaves_out_what_cannot_reach_the_top(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(topk_search, "FIRST", 2)
+    rng = np.random.default_rng(5)
+    centres = rng.integers(-500, 500, (40, 16))
+    x = (centres[np.arange(8000) % 40] + rng.integers(-5, 6, (8000, 16))).astype(np.int64)
+    side = pa.table({"id": np.arange(8000), "row": np.arange(8000), "v": pa.array(x.tolist()), "least": np.full(8000, -np.inf)})
+    seen = []
+    plain = topk_search._tops
+    monkeypatch.setattr(topk_search, "_tops", lambda scores, ids, k: (seen.append(scores.size), plain(scores, ids, k))[1])
+    near = list(range(0, 1600, 40))  # one cluster's
+    out = topk_search.block_tops(side.take(near), side, 5, centres.astype(np.float64))
+    assert sum(seen) < 0.2 * 40 * 8000
+    for q in near:
+        s = x @ x[q]
+        s[q] = -(1 << 62)
+        want = sorted(zip((-s).tolist(), range(8000)))[:5]
+        assert [(-s, i) for s, i in want] == [(s, i) for r, s, i in zip(*(out.column(c).to_pylist() for c in ("q_row", "score", "vec_id"))) if r == q]
+    huge = pa.table({"id": [1, 2, 3], "row": [1, 2, 3], "v": pa.array([[1 << 30, 5], [1 << 30, 6], [3, 1 << 30]]), "least": [-np.inf] * 3})
+    got = topk_search.block_tops(huge, huge, 2, np.zeros((1, 2)))
+    assert got.slice(0, 2).to_pylist() == [{"q_row": 1, "query_id": 1, "vec_id": 2, "score": (1 << 60) + 30}, {"q_row": 1, "query_id": 1, "vec_id": 3, "score": (1 << 30) * 8}]
+
+
+# Columns of any name
+
+
+ODD = ["id", "own_id", "gone", "lines", "kept", "row", "at", "often", "i", "number", "part", "start", "a.b", "with `tick`", "N_Lines", "Size", "rep", "component_id", "hub"]
+
+
+def test_columns_of_any_name_pass_through(spark):
+    from editfray.llm.common import named
+
+    line = "a line of twenty signs or more"
+    texts = [f"{line}\nown {i} words that stand in this text alone {i} {i * 7}" for i in range(4)] + [None, f"{line}\nown 0 words that stand in this text alone 0 0"]
+    rows = spark.createDataFrame([(i if i != 2 else None, t, "s", *([f"x{i}"] * len(ODD))) for i, t in enumerate(texts)], "doc_id long, text string, source string, " + ", ".join(f"`{c.replace('`', '``')}` string" for c in ODD))
+    for out, n in ((line_dedup.line_dedup(rows, counts=("lines_before", "lines_gone")), 6), (ngram_join.one_of_each(rows), 5), (mixing.mixed_rows(rows), None)):
+        got = out.select(*named(rows)).collect()
+        assert out.columns[: len(rows.columns)] == rows.columns and len(got) == n if n else got
+        for r in got:
+            assert {r[c] for c in ODD} == {r["id"]}
+    dots = rows.withColumnRenamed("doc_id", "doc.id").withColumnRenamed("text", "the.text")
+    assert line_dedup.line_dedup(dots, id_col="doc.id", text_col="the.text").count() == 6
+    assert bpe.encode(dots, id_col="doc.id", text_col="the.text").count() == 6
+    assert ngram_join.ngram_join(dots, id_col="doc.id", text_col="the.text").count() == 6
+    edits = spark.createDataFrame([(0, 1, 0, 0, "x")], "doc_id long, seq int, pos long, drop long, ins string")
+    with pytest.raises(ValueError):
+        token_counts.with_edits(rows.withColumn("edits", F.lit(1)), edits)
+    assert token_counts.edited_counts(token_counts.with_edits(rows.withColumn("edits", F.lit(1)), edits, to="changes"), edits_col="changes").where("n_edits = 1").count() == 1
+
+
+def test_a_cluster_needs_a_shared_folder(spark):
+    from editfray.llm import common
+
+    class Context:
+        master = "spark://somewhere"
+        getConf = staticmethod(lambda: type("C", (), {"get": staticmethod(lambda *a: None)}))
+        getCheckpointDir = staticmethod(lambda: None)
+
+    class Session:
+        conf = type("C", (), {"get": staticmethod(lambda *a: None)})
+        sparkContext = Context
+
+    with pytest.raises(RuntimeError):
+        common.shared_folder(Session)
+
+
+def test_bpe_cuts_are_final():
+    rng = random.Random(8)
+    c = bpe.codec(bpe.default_vocabulary())
+    signs = "aZé漢字かな한я09٣ \t\n\xa0　.,'’-!。、😀\x1csll"
+    for _ in range(3000):
+        t = "".join(rng.choice(signs) for _ in range(rng.randint(2, 40)))
+        for m in bpe.CUT.finditer(t):
+            assert c._bpe.encode_ordinary(t) == c._bpe.encode_ordinary(t[: m.end()]) + c._bpe.encode_ordinary(t[m.end() :]), (t, m.end())
+
+
+def test_toxic_terms_count_without_a_cap():
+    a = toxicity.Automaton(["scoundrel"])
+    assert toxicity._features(a, ["scoundrel " * 5000])[0].tolist() == [5000, 0, 0, 0]
+    assert toxicity._evidence([0, 1, 3, 4095]).tolist() == [0, 1, 2, 12]

@@ -1,10 +1,14 @@
 """The pipeline's stages, one after the other, against what each must do."""
 
 import hashlib
+import sys
+from pathlib import Path
 
 import numpy as np
 import pytest
 
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
 import corpus_pipeline as P
 from editfray.llm import bpe
 from editfray.llm.registry import ORACLES, QUERIES
@@ -33,6 +37,56 @@ def test_stages(spark):
     assert whole == sorted(tuple(r) for r in out[4][1])
 
 
+def test_stages_by_brute_force(spark):
+    from test_llm_operators import brute_components, words
+
+    plain = lambda rows: sorted((r["doc_id"], r["text"] or "") for r in rows)
+    given = P.table(spark, DATA, "documents").collect()
+    docs = P.cut(P.drop_toxic(spark, P.table(spark, DATA, "documents"), DATA), "stage")
+    # 1. What the operator's own scores call toxic goes, and nothing else.
+    model = P.toxicity.train(P.toxicity.labelled_rows(P.table(spark, DATA, "documents"), P.table(spark, DATA, "labels")))
+    toxic = {r["doc_id"] for r in P.toxicity.score(P.table(spark, DATA, "documents"), model).collect() if r["predicted"]}
+    assert plain(docs.collect()) == plain(r for r in given if r["doc_id"] not in toxic) and toxic
+    labels = {r["doc_id"]: r["toxic"] for r in P.table(spark, DATA, "labels").collect()}
+    assert np.mean([labels[i] == 1 for i in toxic if labels.get(i) is not None]) > 0.9
+    # 2. Lines.
+    rows, key = docs.collect(), lambda s: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in s.strip(" \t\n\x0b\f\r"))
+    held = {}
+    for r in rows:
+        for k in {key(x) for x in (r["text"] or "").split("\n")}:
+            held.setdefault(k, set()).add(r["doc_id"])
+    keep = lambda x, i: len(key(x)) < 20 or len(held[key(x)]) < 3 or max(held[key(x)]) == i
+    docs = P.cut(P.drop_lines(spark, docs, DATA), "stage")
+    assert plain(docs.collect()) == sorted((r["doc_id"], "\n".join(x for x in (r["text"] or "").split("\n") if keep(x, r["doc_id"]))) for r in rows)
+    # 3. One of each group.
+    rows = docs.collect()
+    _, low = brute_components([r["text"] for r in rows], [r["doc_id"] for r in rows])
+    docs = P.cut(P.drop_copies(spark, docs, DATA), "stage")
+    assert plain(docs.collect()) == plain(r for r, i in zip(rows, low, strict=True) if r["doc_id"] == i) and docs.count() < len(rows)
+    # 4. The mix, source by source, in whole numbers of documents.
+    rows = docs.collect()
+    size = {r["doc_id"]: len(words(r["text"])) for r in rows}
+    names = sorted({r["source"] for r in rows if r["source"] is not None}) + [None] * any(r["source"] is None for r in rows)
+    total = {s: sum(size[r["doc_id"]] for r in rows if r["source"] == s) for s in names}
+    weight = {s: (3, 1, 2)[i % 3] for i, s in enumerate(names)}
+    target, left = {}, 1.5 * sum(total.values())
+    while free := [s for s in names if s not in target]:
+        level = left / sum(weight[s] for s in free)
+        full = [s for s in free if level * weight[s] > 2 * total[s]]
+        target |= {s: 2 * total[s] for s in full} if full else {s: level * weight[s] for s in free}
+        left -= sum(2 * total[s] for s in full)
+    want = []
+    for s in names:
+        own = [r for r in rows if r["source"] == s and size[r["doc_id"]]]
+        u = lambda r: (int(hashlib.md5(f"17:{r['doc_id']}".encode()).hexdigest()[:12], 16) + 0.5) / 2**48
+        quality = lambda r: 0.5 + 0.5 / (1 + abs(len(r["text"]) / max(size[r["doc_id"]], 1) - 6))
+        epochs, upto = (int(target[s] // total[s]) if total[s] else 0), 0
+        for r in sorted(own, key=lambda r: (-np.log(u(r)) / quality(r), r["doc_id"])):
+            upto += size[r["doc_id"]]
+            want += [(r["doc_id"], r["text"])] * (epochs + (upto - size[r["doc_id"]] / 2 <= target[s] - epochs * total[s]))
+    assert plain(P.mix_sources(spark, docs, DATA).collect()) == sorted(want)
+
+
 def test_registry():
     assert sorted(int(n[2:].split("_")[0]) for n in QUERIES) == list(range(1, 11)) and set(ORACLES) <= set(QUERIES)
 
