@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from editfray.llm import bpe, line_dedup, mixing, ngram_join, toxicity
-from editfray.llm.common import cut, table
+from editfray.llm.common import cut, free, named, table
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,9 +23,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that three documents hold stay in one of them; n_chars follows the text."""
-    out = line_dedup.line_dedup(docs)
+    out = line_dedup.line_dedup(docs, counts=tuple(free(docs, "n_lines", "n_dropped")))
     length = {"n_chars": F.char_length("text").cast(docs.schema["n_chars"].dataType)} if "n_chars" in docs.columns else {}
-    return out.withColumns(length).select(*docs.columns)
+    return out.withColumns(length).select(*named(docs))
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
