@@ -140,10 +140,14 @@ def snapshot_id(period: Column) -> Column:
 
 def repeats(text: Column) -> Column:
     """Whether 82 of 100 characters and more repeat a unit of up to 24 from the text's start."""
-    signs, n = F.split(text, ""), F.char_length(text)
-    units = F.sequence(F.lit(1), F.least(F.lit(24), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))))
-    same = lambda u: F.size(F.filter(signs, lambda c, i: c == F.get(signs, (i % u).cast("int"))))
-    return (n > 0) & (F.array_max(F.transform(units, same)) / n >= 0.82)
+
+    def most(signs):
+        n = F.size(signs)
+        units = F.sequence(F.lit(1), F.least(F.lit(24), F.greatest(F.lit(1), F.floor(n / 2).cast("int"))))
+        return F.array_max(F.transform(units, lambda u: F.size(F.filter(signs, lambda c, i: c == F.get(signs, (i % u).cast("int")))))) / n
+
+    # The characters are taken apart once: as an element of an array they are a variable of the lambda.
+    return (F.char_length(text) > 0) & (F.element_at(F.transform(F.array(F.split(text, "")), most), 1) >= 0.82)
 
 
 def is_graffiti(text: Column) -> Column:

@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import adapters as A
+from ..functions import patterns as P
 from ..functions import text as T
 from ..functions.scores import severity
 from ..operators import evidence as ev
@@ -150,13 +151,29 @@ def comment_rules(spark, sf: str) -> DataFrame:
     return c.select("conv_id", "turn", T.clean_comment(F.col("text")).alias("cleaned"), T.is_cleanup(F.col("text")).alias("cleanup"))
 
 
-@query("first_shots")
+def _q(pattern: str) -> str:
+    """A pattern as the engine of the SQL reads it: its classes are those of ASCII."""
+    return "'" + pattern.replace("(?iU)", "(?i)").replace("(?U)", "").replace("'", "''") + "'"
+
+
+_GENERATED = lambda c: f"regexp_matches(regexp_replace({c}, '<[^>]+>', ' ', 'g'), {_q(P.GENERATED)})"
+_CLEANED = lambda c: f"trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace({c}, '<[^>]+>', ' ', 'g'), '/\\*.*?\\*/', ' ', 'g'), '\\[\\[[^\\]]+\\]\\]', ' ', 'g'), '\\s+', ' ', 'g'), ' -:')"
+_SUBSTANCE = lambda c: (
+    f"len(list_filter(regexp_extract_all(trim(regexp_replace({c}, {_q(P.GENERIC_ACTION)}, '')), {_q(P.WORD)}), lambda w: NOT regexp_matches(w, '^[0-9]+$') AND NOT list_contains({list(P.STOPWORDS)}, lower(w)))) >= 3"
+)
+
+
+@query("first_shots", rf"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS c FROM conversations), b AS (SELECT *, {_CLEANED("c")} AS cleaned FROM a),
+ s AS (SELECT *, CASE WHEN regexp_matches(cleaned, '.{{12,240}}?[.!?](\s|$)') THEN trim(regexp_extract(cleaned, '(.{{12,240}}?[.!?])(\s|$)', 1)) ELSE trim(substr(cleaned, 1, 240)) END AS sentence FROM b)
+ SELECT conv_id, turn, sentence, {_GENERATED("c")} OR regexp_matches(cleaned, {_q(P.GENERATED)}) AS generated, {_SUBSTANCE("c")} AS substance,
+   CASE WHEN sentence <> '' AND NOT regexp_matches(sentence, {_q(P.CLEANUP)}) AND NOT {_GENERATED("c")} AND NOT regexp_matches(cleaned, {_q(P.GENERATED)}) AND NOT {_GENERATED("sentence")} AND {_SUBSTANCE("sentence")} THEN sentence ELSE '' END AS shot FROM s""")
 def first_shots(spark, sf: str) -> DataFrame:
     c = A.read(spark, sf, "conversations")
     return c.select("conv_id", "turn", T.first_sentence(F.col("text")).alias("sentence"), T.first_shot(F.col("text")).alias("shot"), T.is_generated(F.col("text")).alias("generated"), T.has_substance(F.col("text")).alias("substance"))
 
 
-@query("plain_wikitext")
+@query("plain_wikitext", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_q(P.REF)}, ' ', 'g'),
+   {_q(P.TEMPLATE)}, ' ', 'g'), {_q(P.WIKILINK)}, '\\1', 'g'), {_q(P.SECTION)}, ' \\1. ', 'g'), '<[^>]+>', ' ', 'g'), repeat(chr(39), 3), ''), repeat(chr(39), 2), ''), 'https?://\\S+', ' ', 'g'), '[\\[\\]{{}}|=*#_:;]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
 def plain_wikitext(spark, sf: str) -> DataFrame:
     return A.read(spark, sf, "pages").select("page_id", T.clean_wikitext(F.col("html")).alias("text"))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import pages, ranking
@@ -59,3 +59,39 @@ def page_detail(edits: DataFrame, windows: DataFrame, wiki: str, page_id: int) -
 
 def month_board(history: DataFrame, edges: DataFrame, limit: int, min_score: float) -> DataFrame:
     return ranking.edit_war(pages.score_pages(history, edges), limit, min_score)
+
+
+def page_edits(edits: DataFrame, wiki: str, page_id: int, since=None) -> DataFrame:
+    """A page's rows since a time; all conditions reach the scan."""
+    one = edits.where((F.col("wiki") == wiki) & (F.col("page_id") == page_id))
+    return one if since is None else one.where(F.col("ts") >= F.lit(since).cast("timestamp"))
+
+
+def page_links(title: Column, rev_id: Column, site: str = "https://en.wikipedia.org") -> Column:
+    """struct(article, history, talk, diff): where a page is read; no diff without a revision."""
+    name = F.replace(F.coalesce(title, F.lit("")), F.lit(" "), F.lit("_"))
+    url = lambda *x: F.concat(F.lit(site), *[F.lit(y) if isinstance(y, str) else y for y in x])
+    diff = F.when(F.coalesce(rev_id, F.lit(0)) != 0, url("/w/index.php?diff=", rev_id.cast("string"))).otherwise(F.lit(""))
+    return F.struct(url("/wiki/", name).alias("article"), url("/w/index.php?title=", name, "&action=history").alias("history"), url("/wiki/Talk:", name).alias("talk"), diff.alias("diff"))
+
+
+def segments(payloads: DataFrame, states: DataFrame, wiki: str, page_id: int, period: str) -> DataFrame:
+    """The stored evidence of a page and period; without any, a row that says how far the job on the period is (states: sinks.status())."""
+    found = payloads.where((F.col("period") == period) & (F.col("wiki") == wiki) & (F.col("page_id") == page_id)).withColumn("source", F.lit("local_revision_dump"))
+    phase = F.get_json_object("state", "$.phase")
+    message = F.when(phase == "running", "Evidence for this period is still being collected.").when(phase == "complete", "Evidence for this period is complete, but has none for this page.")
+    asked = payloads.sparkSession.range(1).select(F.lit(period).alias("period"))
+    state = asked.join(states.where(F.col("job") == period).select(F.col("job").alias("period"), "state"), "period", "left")
+    none = state.select("period", F.lit(wiki).alias("wiki"), F.lit(page_id).cast("long").alias("page_id"), F.lit("local_evidence_missing").alias("source"), F.coalesce(message, F.lit("Evidence for this period hasn't been collected yet.")).alias("message"))
+    none = none.join(found.select("period"), "period", "left_anti")
+    return found.withColumn("message", F.lit("")).unionByName(none, allowMissingColumns=True)
+
+
+def push(windows: DataFrame, send, seconds: int = 5):
+    """A query on a stream of windows that calls send(rows of the current 50 candidates) for each trigger."""
+
+    def run(batch: DataFrame, number: int) -> None:
+        if not batch.isEmpty():
+            send(live_candidates(batch, 50).collect())  # fifty rows
+
+    return windows.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds")

@@ -9,8 +9,8 @@ from ..schema import HISTORY, HISTORY_WIDTH
 
 
 def read(spark: SparkSession, path: str | list[str], namespace: int = 0) -> DataFrame:
-    """All files of a path or glob, with the month of their names as `month`. bz2 is split by Spark, gz is not."""
-    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"(\d{4}-\d{2})", 1).alias("month"))
+    """All files of a path or glob, with the part of their names before .tsv as `month`: SNAPSHOT.WIKI.MONTH.tsv.bz2. bz2 is split by Spark, gz is not."""
+    lines = spark.read.text(path).select("value", F.regexp_extract(F.col("_metadata.file_name"), r"([^.]+)\.tsv", 1).alias("month"))
     return parse(lines, namespace, ["month"])
 
 

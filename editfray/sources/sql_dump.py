@@ -32,5 +32,9 @@ def rows(lines: DataFrame, table: str, columns: list[str]) -> DataFrame:
 
 def restrictions(spark: SparkSession, path: str) -> DataFrame:
     """page_id, type, level, cascade, expiry of a restrictions dump, for operators.governance.restrictions()."""
-    found = rows(spark.read.text(path), "page_restrictions", ["page_id", "type", "level", "cascade", "expiry"])
+    return restrictions_of(spark.read.text(path))
+
+
+def restrictions_of(lines: DataFrame) -> DataFrame:
+    found = rows(lines, "page_restrictions", ["page_id", "type", "level", "cascade", "expiry"])
     return found.withColumns({"page_id": F.col("page_id").try_cast("bigint"), "cascade": F.coalesce(F.col("cascade").try_cast("int"), F.lit(0))}).where("page_id > 0")

@@ -18,11 +18,16 @@ def pages(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("xml").option("rowTag", "page").schema(PAGE_SCHEMA).load(path)
 
 
-def revisions(pages_: DataFrame) -> DataFrame:
-    """A row a revision; without a contributor the user is empty, without text so is the content."""
-    rows = pages_.select(F.col("id").alias("page_id"), F.coalesce("title", F.lit("")).alias("page_title"), F.coalesce("ns", F.lit(0)).alias("namespace"), F.explode("revision").alias("r"))
+def pages_of(texts: DataFrame, column: str = "value") -> DataFrame:
+    """One row a page of texts that hold the XML of a page each, as files that are cut by pages have them."""
+    return texts.select(F.from_xml(column, PAGE_SCHEMA, {"rowTag": "page"}).alias("p")).select("p.*")
+
+
+def revisions(pages_: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """A row a revision, with the columns of its page that `keep` names; without a contributor the user is empty, without text so is the content."""
+    rows = pages_.select(F.col("id").alias("page_id"), F.coalesce("title", F.lit("")).alias("page_title"), F.coalesce("ns", F.lit(0)).alias("namespace"), *keep, F.explode("revision").alias("r"))
     return rows.select(
-        "page_id", "page_title", "namespace", F.coalesce("r.id", F.lit(0)).alias("rev_id"), F.try_to_timestamp("r.timestamp").alias("ts"), F.coalesce("r.contributor.username", "r.contributor.ip", F.lit("")).alias("user_text"),
+        *keep, "page_id", "page_title", "namespace", F.coalesce("r.id", F.lit(0)).alias("rev_id"), F.try_to_timestamp("r.timestamp").alias("ts"), F.coalesce("r.contributor.username", "r.contributor.ip", F.lit("")).alias("user_text"),
         F.coalesce("r.comment", F.lit("")).alias("comment"), F.array().cast("array<string>").alias("tags"), F.coalesce("r.text._VALUE", F.lit("")).alias("content"),
     )
 
@@ -33,13 +38,13 @@ def candidate_revisions(pages_: DataFrame, candidates: DataFrame) -> DataFrame:
     candidates: candidate, page_id, page_title, talk_page_id. An article goes by title, else by id; a talk page by its title without "Talk:", else by id."""
     from ..functions.text import lookup_title
 
-    title = lookup_title(F.regexp_replace("title", "^Talk:", ""))
+    title = lookup_title(F.when(F.col("ns") == 1, F.regexp_replace("title", "^Talk:", "")).otherwise(F.col("title")))
     rows = pages_.where(F.coalesce("ns", F.lit(0)).isin(0, 1)).withColumn("__title", title).withColumn("__talk", F.coalesce("ns", F.lit(0)) == 1)
     titles = candidates.select(lookup_title(F.col("page_title")).alias("__title"), F.col("candidate").alias("__c1")).dropDuplicates(["__title"])
     ids = candidates.select(F.lit(False).alias("__talk"), F.col("page_id").alias("id"), "candidate").unionByName(candidates.where("talk_page_id > 0").select(F.lit(True).alias("__talk"), F.col("talk_page_id").alias("id"), "candidate"))
     ids = ids.select("__talk", "id", F.col("candidate").alias("__c2")).dropDuplicates(["__talk", "id"])
     met = rows.join(titles, "__title", "left").join(ids, ["__talk", "id"], "left").withColumn("candidate", F.coalesce("__c1", "__c2")).where("candidate IS NOT NULL")
-    return revisions(met.select("id", "title", "ns", "revision")).join(met.select(F.col("id").alias("page_id"), "candidate"), "page_id")
+    return revisions(met, ("candidate",))
 
 
 def in_period(revisions_: DataFrame, start, end) -> DataFrame:
@@ -47,9 +52,19 @@ def in_period(revisions_: DataFrame, start, end) -> DataFrame:
 
 
 def protection_events(spark: SparkSession, path: str) -> DataFrame:
+    """protection_of() the log items of files."""
+    return protection_of(spark.read.format("xml").option("rowTag", "logitem").schema(LOG_SCHEMA).load(path))
+
+
+def log_items_of(texts: DataFrame, column: str = "value") -> DataFrame:
+    """Log items of texts that hold the XML of one each."""
+    return texts.select(F.from_xml(column, LOG_SCHEMA, {"rowTag": "logitem"}).alias("i")).select("i.*")
+
+
+def protection_of(items: DataFrame) -> DataFrame:
     """Log items on protection that have a time, title and action; titles are normalised, those with a colon left out."""
     from ..functions.text import history_title
 
-    rows = spark.read.format("xml").option("rowTag", "logitem").schema(LOG_SCHEMA).load(path).where("type = 'protect'")
+    rows = items.where("type = 'protect'")
     rows = rows.select(history_title(F.col("logtitle")).alias("page_title"), F.try_to_timestamp("timestamp", F.lit("yyyy-MM-dd'T'HH:mm:ss'Z'")).alias("ts"), "action", "id")
     return rows.where("page_title <> '' AND NOT contains(page_title, ':') AND ts IS NOT NULL AND action <> ''")

@@ -21,6 +21,15 @@ def _delete(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+# Signs that names of partition folders have in hexadecimal.
+_ESCAPED = frozenset("\"#%'*/:=?\\{[]^\x7f")
+
+
+def _folder(value) -> str:
+    """A partition's value as its folder has it."""
+    return "".join(f"%{ord(c):02X}" if c in _ESCAPED or c < " " else c for c in str(value))
+
+
 def replace_partitions(df: DataFrame, path: str, *by: str, only: dict[str, object] | None = None) -> None:
     """Write df over the partitions that it has rows of; others stay. `only` names the partition that df is all of: it is
     emptied if df is."""
@@ -30,9 +39,7 @@ def replace_partitions(df: DataFrame, path: str, *by: str, only: dict[str, objec
         for c, v in only.items():
             kept = kept.where(F.col(c) == F.lit(v))
         if kept.isEmpty():
-            from urllib.parse import quote
-
-            _delete(df.sparkSession, "/".join([path, *(f"{c}={quote(str(only[c]), safe=' -._')}" for c in by if c in only)]))
+            _delete(df.sparkSession, "/".join([path, *(f"{c}={_folder(only[c])}" for c in by if c in only)]))
 
 
 def insert_new(df: DataFrame, path: str, keys: list[str], *order: str) -> None:
