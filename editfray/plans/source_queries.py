@@ -147,6 +147,7 @@ def talk_scores(spark, sf: str) -> DataFrame:
     return ev.talk_scores(_talk(spark, sf), ["page_id"])
 
 
+#: Spark rounds a double by the digits it is written with, so the SQL does.
 _CONTROVERSY = _BATTLES + _TALK + """, u AS (SELECT * FROM b WHERE editors >= 2 AND (reverts >= 3 OR changes >= 3) AND NOT graffiti),
  w AS (SELECT page_id, sum(CASE place WHEN 1 THEN 1.0::DOUBLE WHEN 2 THEN 0.55 WHEN 3 THEN 0.25 ELSE 0 END * score * CASE WHEN change_type = 'swap' THEN 1.18::DOUBLE ELSE 1 END) AS battle, count(*) AS battles, sum(cleanup) / nullif(sum(cc), 0) AS share FROM u GROUP BY ALL),
  j AS (SELECT o_orderkey AS page_id, (o_orderkey % 400)::DOUBLE AS peak_score, o_orderkey % 90 AS rc, o_orderkey % 6 AS mp, coalesce(w.battle, 0) AS battle, coalesce(battles, 0) AS battles, coalesce(share, 0) AS share, coalesce(talk_score, 0) AS t, coalesce(talk_evidence, 0) AS talk_evidence
@@ -154,8 +155,8 @@ _CONTROVERSY = _BATTLES + _TALK + """, u AS (SELECT * FROM b WHERE editors >= 2
  m AS (SELECT *, least(35.0, sqrt(greatest(0, peak_score)) * 1.35) + least(15.0, sqrt(rc) * 0.75) + least(10.0, greatest(0, mp - 1) * 4.0) AS meta, CASE WHEN share >= 0.7 AND t < 20 THEN battle * 0.9 WHEN share >= 0.45 AND t < 35 THEN battle * 0.5 ELSE 0 END AS penalty FROM j),
  s1 AS (SELECT *, (battle - penalty) * (1 + least(0.75, t / 160)) + t * 2.2 + meta AS a FROM m), s2 AS (SELECT *, CASE WHEN share >= 0.7 AND t < 20 THEN least(a, 25.0) ELSE a END AS b FROM s1),
  s3 AS (SELECT *, CASE WHEN battles = 1 AND t < 20 THEN least(b, battle * 0.18 + meta) ELSE b END AS c FROM s2),
- f AS (SELECT page_id, battles, talk_evidence, t AS talk_score, peak_score, CASE WHEN battles > 0 THEN round(greatest(0, c)::DECIMAL(38, 16), 2)::DOUBLE ELSE 0 END AS score, CASE WHEN battles > 0 THEN round(greatest(0, battle)::DECIMAL(38, 16), 2)::DOUBLE ELSE 0 END AS battle_score,
-   CASE WHEN battles > 0 THEN round(greatest(0, meta)::DECIMAL(38, 16), 2)::DOUBLE ELSE 0 END AS metadata_score, CASE WHEN battles > 0 THEN round(greatest(0, penalty)::DECIMAL(38, 16), 2)::DOUBLE ELSE 0 END AS cleanup_penalty FROM s3)"""
+ f AS (SELECT page_id, battles, talk_evidence, t AS talk_score, peak_score, CASE WHEN battles > 0 THEN round(greatest(0, c)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE ELSE 0 END AS score, CASE WHEN battles > 0 THEN round(greatest(0, battle)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE ELSE 0 END AS battle_score,
+   CASE WHEN battles > 0 THEN round(greatest(0, meta)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE ELSE 0 END AS metadata_score, CASE WHEN battles > 0 THEN round(greatest(0, penalty)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE ELSE 0 END AS cleanup_penalty FROM s3)"""
 
 
 def _pages(spark, sf: str) -> DataFrame:
