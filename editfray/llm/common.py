@@ -56,21 +56,26 @@ def drop_cut(df: DataFrame | None) -> None:
         p.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def numbered(written: DataFrame, at: str, row: str) -> DataFrame:
+    """Written rows with their number from 0 on in the column `row`, in place of `at`: what monotonically_increasing_id() gave them then."""
+    part, start = free(written, "part", "start")
+    # One row a partition of the writer reaches the driver.
+    starts, begin = [], 0
+    for r in sorted(written.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).collect()):
+        starts.append((r["part"], begin))
+        begin += r["n"]
+    starts = written.sparkSession.createDataFrame(starts, f"{part} long, {start} long")
+    dealt = written.withColumn(part, F.shiftright(at, 33)).join(starts, part)
+    return dealt.select(*named(written, at), (F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(row))
+
+
 def numbered_nulls(docs: DataFrame, id_col: str, row: str) -> DataFrame | None:
     """The rows of docs without an id, written, with their number from 0 on in the column `row`; None if there are none."""
     nulls = docs.where(quoted(id_col).isNull())
     if not nulls.limit(1).count():
         return None
-    at, part, start = free(docs, "at", "part", "start")
-    nulls = cut(nulls.withColumn(at, F.monotonically_increasing_id()), "nulls")
-    # One row a partition of the writer reaches the driver.
-    starts, begin = [], 0
-    for r in sorted(nulls.groupBy(F.shiftright(at, 33).alias("part")).agg(F.count("*").alias("n")).collect()):
-        starts.append((r["part"], begin))
-        begin += r["n"]
-    starts = docs.sparkSession.createDataFrame(starts, f"{part} long, {start} long")
-    numbered = nulls.withColumn(part, F.shiftright(at, 33)).join(starts, part)
-    return numbered.select(*named(docs), (F.col(start) + F.col(at).bitwiseAND((1 << 33) - 1)).alias(row))
+    (at,) = free(docs, "at")
+    return numbered(cut(nulls.withColumn(at, F.monotonically_increasing_id()), "nulls"), at, row)
 
 
 def ascii_lower(c):

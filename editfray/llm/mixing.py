@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, free, named, numbered_nulls, quoted, table
+from .common import cut, free, named, numbered, numbered_nulls, quoted, table
 
 WEIGHTS = (3.0, 1.0, 2.0)
 CELLS = 4096
@@ -40,23 +40,22 @@ def uniform(id_col: Column, seed: int) -> Column:
 def source_targets(sized: DataFrame, share: float = 1.5, most: float = 2.0, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
     """source, source_size, target: one row a source. Weights go round the sources by code point, null last.
 
-    Water-filling: sources reach their stop, most * source_size, in the order of stop
-    over weight; the first number k of them after which the rest's level stops none settles it.
+    Water-filling: the level at which all sources share, by weight, rises as those stopped at most * source_size hand on
+    their excess; each round is two sums over the sources, until none more is stopped. Sources are sorted and numbered in parts, never in one task.
     """
-    w = F.element_at(F.array(*map(F.lit, weights)), ((F.col("place") - 1) % len(weights) + 1).cast("int"))
-    by_name = Window.orderBy(F.col("source").asc_nulls_last())
-    by_stop = Window.orderBy(F.col("stop") / F.col("w"), F.col("place")).rowsBetween(Window.unboundedPreceding, -1)
-    of_all = Window.partitionBy()
-    # One row a source from here on: these windows hold sums, not documents.
-    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).withColumn("place", F.row_number().over(by_name))
+    sums = sized.groupBy("source").agg(F.sum("size").alias("source_size")).orderBy(F.col("source").asc_nulls_last())
+    sums = numbered(cut(sums.withColumn("at", F.monotonically_increasing_id()), "sources"), "at", "place")
+    w = F.element_at(F.array(*map(F.lit, weights)), (F.col("place") % len(weights) + 1).cast("int"))
     sums = sums.withColumn("w", w).withColumn("stop", F.lit(most) * F.col("source_size"))
-    left = F.lit(share) * F.sum("source_size").over(of_all) - F.coalesce(F.sum("stop").over(by_stop), F.lit(0.0))
-    rest = F.sum("w").over(of_all) - F.coalesce(F.sum("w").over(by_stop), F.lit(0.0))
-    level = sums.withColumn("level", left / rest)
-    # Sources before the first that isn't stopped are stopped; from there on the level is shared.
-    free = F.min(F.when(F.col("level") * F.col("w") <= F.col("stop"), F.struct(F.col("stop") / F.col("w"), F.col("place"), F.col("level"))))
-    level = level.withColumn("free", free.over(of_all).getField("level"))
-    return level.select("source", "source_size", F.least(F.col("stop"), F.coalesce("free", F.lit(0.0)) * F.col("w")).alias("target"))
+    all_ = sums.agg(F.sum("source_size").alias("size"), F.sum("w").alias("w")).first()
+    level = share * all_["size"] / all_["w"] if all_["w"] else 0.0
+    while all_["w"]:
+        full = sums.where(F.lit(level) * F.col("w") > F.col("stop")).agg(F.coalesce(F.sum("stop"), F.lit(0.0)).alias("stop"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w")).first()
+        new = (share * all_["size"] - full["stop"]) / (all_["w"] - full["w"]) if full["w"] < all_["w"] else level
+        if new <= level:
+            break
+        level = new
+    return sums.select("source", "source_size", F.least(F.col("stop"), F.lit(level) * F.col("w")).alias("target"))
 
 
 def mix(
