@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, char_lm, embedding_dedup, html_text, line_dedup, merkle, mixing, ngram_join, sharding, token_counts, topk_search, toxicity
+from . import bpe, char_lm, embedding_dedup, hard_negatives, html_text, line_dedup, merkle, mixing, ngram_join, sharding, token_counts, topk_search, toxicity
 
 _MODULES = {
     "op1_embedding_dedup": embedding_dedup,
@@ -17,6 +17,7 @@ _MODULES = {
     "op10_topk_search": topk_search,
     "op11_merkle_manifest": merkle,
     "op12_sharding": sharding,
+    "op13_hard_negatives": hard_negatives,
 }
 QUERIES = {name: module.query for name, module in _MODULES.items()}
 ORACLES = {name: module.ORACLE for name, module in _MODULES.items() if hasattr(module, "ORACLE")}
