@@ -191,9 +191,9 @@ def hard_negatives(
     order = Window.partitionBy("anchor").orderBy(F.desc("score"), "id", "row")
     near = cut(near.withColumn("place", F.row_number().over(order)).where(F.col("place") <= positives).drop("place"), "positives")
     # Whole scores of a window's ends: the least and the largest n with low * p <= 100 * n <= high * p.
+    part = lambda p, share, off: F.call_function("div", p, F.lit(100)) * share + off(p % 100 * share / 100).cast("long")
     ends = near.groupBy(F.col("anchor").alias("row")).agg(F.collect_list("score").alias("p")).select(
-        "row", F.transform("p", lambda p: F.call_function("div", p * low, F.lit(100)) + F.when(p * low % 100 > 0, 1).otherwise(0)).alias("low"),
-        F.transform("p", lambda p: F.call_function("div", p * high, F.lit(100)) - F.when(p * high % 100 < 0, 1).otherwise(0)).alias("high"),
+        "row", F.transform("p", lambda p: part(p, low, F.ceil)).alias("low"), F.transform("p", lambda p: part(p, high, F.floor)).alias("high")
     )
     far = _meet(anchors.join(ends, "row"), rows, negatives, same=False)
     # The secondary sort: what the stripes kept of an anchor comes to one task, in order.

@@ -55,13 +55,13 @@ def _longs(values: Sequence[int]) -> Column:
     return F.from_json(F.lit(json.dumps(list(values))), "array<bigint>")
 
 
-def _drawn(rows: DataFrame, range_of: Column, quota: DataFrame) -> list:
-    """New splitters for the ranges of quota (range, bytes, pieces): quantiles of a sample of keys, drawn by size.
+def _drawn(rows: DataFrame, range_of: Column, sizes: Sequence, pieces: Sequence, drawn: int) -> list:
+    """New splitters for the ranges that are to be cut into pieces (None: not), of given bytes: quantiles of a sample of keys, drawn by size.
 
     A text that several quantiles fall on is large, and divided by id; any other is left whole, by a splitter before its first row."""
-    here = rows.withColumn("range", range_of).join(F.broadcast(quota), "range")
-    sample = here.where(_uniform("h", "id", "at") * F.col("bytes") < F.col("size") * F.col("pieces") * DRAWN)
-    # About DRAWN * pieces rows a range, of a bounded number of ranges: ranked range by range.
+    here = rows.withColumn("range", range_of).withColumns({"bytes": F.get(_longs(sizes), F.col("range")), "pieces": F.get(_longs(pieces), F.col("range"))}).where("pieces IS NOT NULL")
+    sample = here.where(_uniform("h", "id", "at") * F.col("bytes") < F.col("size") * F.col("pieces") * drawn)
+    # About drawn * pieces rows a range, of a bounded number of ranges: ranked range by range.
     spot = F.row_number().over(Window.partitionBy("range").orderBy("h", "id", "at"))
     ranked = sample.withColumn("spot", spot).withColumn("drawn", F.count("*").over(Window.partitionBy("range")))
     piece = F.floor(F.col("spot") * F.col("pieces") / (F.col("drawn") + 1))
@@ -75,20 +75,22 @@ def _splitters(rows: DataFrame, shards: int) -> tuple[list, list]:
     """Sorted splitters, and (bytes, rows) of the ranges between them: one row a range is all that the driver sees."""
     key = F.struct("h", "id", "at")
     split: list = []
+    drawn = DRAWN
     sums = rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("bytes"), F.count("*").alias("held")).withColumn("range", F.lit(0))
     found = {r["range"]: r for r in sums.collect()}
     fair = max(1, found[0]["bytes"] // (shards * PIECES))
     while True:
-        full = [(i, r["bytes"], -(-r["bytes"] // fair)) for i, r in found.items() if r["bytes"] > 2 * fair and r["held"] > 1]
-        if not full:
-            break
-        ranges, sizes, pieces = zip(*full, strict=True)
-        quota = rows.sparkSession.range(len(full)).select(
-            *[F.get(_longs(x), F.col("id").cast("int")).cast(t).alias(n) for x, t, n in ((ranges, "int", "range"), (sizes, "long", "bytes"), (pieces, "long", "pieces"))]
-        )
-        more = set(_drawn(rows, _range(key, split), quota)) - set(split)
-        if not more:  # nothing to divide: single records above the size of a range
+        # Ranges over twice their share are overfull.
+        sizes = [found[i]["bytes"] if i in found else 0 for i in range(len(split) + 1)]
+        pieces = [-(-sizes[i] // fair) if i in found and sizes[i] > 2 * fair and found[i]["held"] > 1 else None for i in range(len(sizes))]
+        if not any(pieces):
             break
+        more = set(_drawn(rows, _range(key, split), sizes, pieces, drawn)) - set(split)
+        if not more:
+            if all(p is None or p * drawn >= size for p, size in zip(pieces, sizes, strict=True)):
+                break  # all keys were drawn: what is left is single records above the size of a range
+            drawn *= 16
+            continue
         # Null before all: the splitter before a text's first row.
         split = sorted({*split, *more}, key=lambda s: (s["h"], s["at"] is not None, s["id"] is not None, s["id"] if s["id"] is not None else 0, s["at"] or 0))
         found = {r["range"]: r for r in rows.groupBy(_range(key, split).alias("range")).agg(F.sum("size").alias("bytes"), F.count("*").alias("held")).collect()}
