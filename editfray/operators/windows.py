@@ -102,71 +102,88 @@ def trailing_sums(rows: DataFrame, keys: list[str], seconds: int, sums: list[str
     return running(rows.unionByName(over), keys, sums, list(last)).where("__mine = 1").drop("__mine")
 
 
-def _arrivals(parts: DataFrame, seconds: int) -> DataFrame:
-    """1 for an edit before which its user was away from the page for longer than the window, and the times at which users leave: rows
-    (page, at, users) of which a sum up to a time counts the users of its window."""
-    humans = parts.where("NOT user_is_bot AND user_text <> ''").select(*PAGE, "user_text", "at").distinct()
-    by = Window.partitionBy(*PAGE, "user_text").orderBy("at")
-    gap = F.lit(seconds * _US)
-    seen = humans.withColumn("come", F.coalesce(F.col("at") - F.lag("at").over(by) > gap, F.lit(True))).withColumn("go", F.coalesce(F.lead("at").over(by) - F.col("at") > gap, F.lit(True)))
-    come = seen.where("come").select(*PAGE, "at", F.lit(1).alias("users"))
-    return come.unionByName(seen.where("go").select(*PAGE, (F.col("at") + gap + 1).alias("at"), F.lit(-1).alias("users")))
+#: What a live window counts of its page, as sums of what comes and goes.
+_LIVE_SUMS = ("edits", "human", "reverts", "users", "pairs", "mutual", "top", "edges")
+
+
+def _in_windows(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
+    """rows once for each live window, with its name and its length in microseconds."""
+    each = F.array(*[F.struct(F.lit(n).alias("window"), F.lit(LIVE_WINDOWS[n] * _US).alias("us")) for n in names])
+    return rows.withColumn("__w", F.explode(each)).select("*", "__w.*").drop("__w")
+
+
+def _arrivals(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """1 for an edit before which its user was away from the page for longer than the window, and -1 for the times at which users leave:
+    of `users` a sum up to a time counts the users of its window."""
+    humans = parts.where("NOT user_is_bot AND user_text <> ''").select(*keys, "us", "user_text", "at").distinct()
+    by = Window.partitionBy(*keys, "user_text").orderBy("at")
+    come = F.coalesce(F.col("at") - F.lag("at").over(by) > F.col("us"), F.lit(True))
+    go = F.coalesce(F.lead("at").over(by) - F.col("at") > F.col("us"), F.lit(True))
+    moves = F.array_compact(F.array(F.when(F.col("come"), F.struct("at", F.lit(1).alias("users"))), F.when(F.col("go"), F.struct((F.col("at") + F.col("us") + 1).alias("at"), F.lit(-1).alias("users")))))
+    return humans.withColumns({"come": come, "go": go}).select(*keys, F.explode(moves).alias("m")).select(*keys, "m.at", "m.users")
+
+
+def _edge_moves(events: DataFrame, keys: list[str]) -> list[DataFrame]:
+    """By how much the metrics of a window move, and when: each revert comes, and goes when its time is over.
+
+    A count changes by known amounts, so what hangs on it does: `pairs` and `mutual` on the two counts of a pair; `top`, the largest count of one reverter, on
+    how many reverters reach each level (as those who reach a level reach all below, it is the number of levels that someone reaches). Rows are linear in reverts."""
+    moves = events.withColumn("m", F.explode(F.array(F.struct("at", F.lit(1).alias("d")), F.struct((F.col("at") + F.col("us") + 1).alias("at"), F.lit(-1).alias("d"))))).select(*keys, "a", "b", "m.*")
+    p, q = F.least("a", "b"), F.greatest("a", "b")
+    pair = moves.where("a <> '' AND b <> '' AND a <> b").groupBy(*keys, p.alias("p"), q.alias("q"), "at").agg(
+        F.sum(F.when(F.col("a") == p, F.col("d")).otherwise(0)).alias("x"), F.sum(F.when(F.col("a") == q, F.col("d")).otherwise(0)).alias("y")
+    )
+    pair = running(pair.withColumns({"ab": F.col("x"), "ba": F.col("y")}), [*keys, "p", "q"], ["ab", "ba"])
+    low = F.least("ab", "ba") - F.least(F.col("ab") - F.col("x"), F.col("ba") - F.col("y"))
+    both = lambda u, v: ((u > 0) & (v > 0)).cast("int")
+    pair = pair.select(*keys, "at", (both(F.col("ab"), F.col("ba")) - both(F.col("ab") - F.col("x"), F.col("ba") - F.col("y"))).alias("pairs"), low.alias("mutual")).where("pairs <> 0 OR mutual <> 0")
+    users = moves.groupBy(*keys, "a", "at").agg(F.sum("d").alias("d")).where("d <> 0")
+    users = running(users.withColumn("n", F.col("d")), [*keys, "a"], ["n"])
+    was = F.col("n") - F.col("d")
+    levels = users.select(*keys, "at", F.signum("d").cast("int").alias("d"), F.explode(F.sequence(F.least("n", was) + 1, F.greatest("n", was))).alias("level"))
+    levels = levels.groupBy(*keys, "level", "at").agg(F.sum("d").alias("d")).where("d <> 0")
+    levels = running(levels.withColumn("n", F.col("d")), [*keys, "level"], ["n"])
+    top = levels.select(*keys, "at", ((F.col("n") > 0).cast("int") - (was > 0).cast("int")).alias("top")).where("top <> 0")
+    return [pair, top, moves.groupBy(*keys, "at").agg(F.sum("d").alias("edges"))]
 
 
 def live_windows(edits: DataFrame, reverts: DataFrame, names: tuple[str, ...] = tuple(LIVE_WINDOWS)) -> DataFrame:
     """A row for each edit and live window (5m, 1h, 24h): counts, metrics, score and severity over what the page has had since.
 
     edits: wiki, page_id, rev_id, ts, user_text, user_is_bot; reverts: wiki, page_id, rev_id, ts, reverter_user, reverted_user.
-    Counts are running sums of what comes and goes, those of edges, too: an edit asks for each edge that its page had of late, so that rows are edits by live edges and
-    no edit ever meets single reverts."""
-    out = None
-    parts = edits.select(*PAGE, "rev_id", "ts", "user_text", "user_is_bot").withColumn("at", F.unix_micros("ts"))
+    All that a window shows is a sum of what comes and what goes, pair metrics and the top reverter's count too; all windows are one pass, and its rows are
+    linear in edits and reverts: no edit ever meets an edge."""
+    keys = [*PAGE, "window"]
     mine = reverts.select(*PAGE, "rev_id", F.lit(1).alias("reverts"))
-    human = ~F.col("user_is_bot")
-    parts = parts.join(mine, [*PAGE, "rev_id"], "left").fillna(0, ["reverts"])
-    counted = parts.select(
-        *PAGE, "rev_id", "at", F.lit(1).alias("edits"), human.cast("int").alias("human"), "reverts", F.lit(0).alias("users"), F.when(human, F.col("at")).alias("last_human"),
+    parts = edits.select(*PAGE, "rev_id", "user_text", "user_is_bot", F.unix_micros("ts").alias("at")).join(mine, [*PAGE, "rev_id"], "left").fillna(0, ["reverts"])
+    human, nothing = ~F.col("user_is_bot"), F.lit(None).cast("long")
+    dealt = _in_windows(parts, names)
+    come = dealt.select(*keys, "rev_id", "at", F.lit(1).alias("__mine"), F.when(human, F.col("at")).alias("last_human"), F.lit(1).alias("edits"), human.cast("int").alias("human"), "reverts")
+    go = dealt.select(*keys, nothing.alias("rev_id"), (F.col("at") + F.col("us") + 1).alias("at"), F.lit(0).alias("__mine"), nothing.alias("last_human"), F.lit(-1).alias("edits"), (-human.cast("int")).alias("human"), (-F.col("reverts")).alias("reverts"))
+    users = [F.coalesce(c, F.lit("")).alias(n) for c, n in (("reverter_user", "a"), ("reverted_user", "b"))]
+    events = _in_windows(reverts.select(*PAGE, F.unix_micros("ts").alias("at"), *users), names)
+    line = come.unionByName(go)
+    for more in (_arrivals(dealt, keys), *_edge_moves(events, keys)):
+        line = line.unionByName(more.withColumn("__mine", F.lit(0)), allowMissingColumns=True)
+    line = line.fillna(0, list(_LIVE_SUMS))
+    rows = running(line, keys, list(_LIVE_SUMS), ["last_human"]).where("__mine = 1").drop("__mine")
+    span = F.coalesce(*[F.when(F.col("window") == n, F.lit(LIVE_WINDOWS[n] * _US)) for n in names])
+    rows = rows.withColumn("last_human", F.when(F.col("last_human") >= F.col("at") - span, F.col("last_human")))
+    # What happened in the five minutes before the last human edit of the window: by what those before it had, and what has come since.
+    weighed = parts.select(*PAGE, "at", F.lit(1).alias("__mine"), (1 + 4 * F.col("reverts")).alias("before"), (1 + 4 * F.col("reverts")).alias("upto"))
+    late = weighed.withColumns({"at": F.col("at") + (300 * _US + 1), "before": -F.col("before"), "upto": F.lit(0), "__mine": F.lit(0)})
+    upto = running(weighed.unionByName(late), PAGE, ["before", "upto"]).where("__mine = 1").dropDuplicates([*PAGE, "at"])
+    rows = rows.join(upto.select(*PAGE, F.col("at").alias("last_human"), F.col("before").alias("l_before"), F.col("upto").alias("l_upto")), [*PAGE, "last_human"], "left")
+    rows = rows.join(upto.select(*PAGE, "at", F.col("upto").alias("h_upto")), [*PAGE, "at"], "left")
+    recent = F.when(F.col("last_human").isNull(), 0).otherwise(F.least(F.col("edits") + 4 * F.col("reverts"), F.col("l_before") + F.col("h_upto") - F.col("l_upto")))
+    share = F.when(F.col("edges") > 0, F.col("top") / F.col("edges")).otherwise(0.0)
+    rows = rows.withColumns({"recent": recent, "top_share": share})
+    score = lambda n: live_score(LIVE_FACTORS[n], F.col("human"), F.col("users"), F.col("reverts"), F.col("top_share"), F.col("pairs"), F.col("mutual"), F.col("recent"))
+    rows = rows.withColumn("raw", F.coalesce(*[F.when(F.col("window") == n, score(n)) for n in names]))
+    return rows.select(
+        *PAGE, "rev_id", "window", "edits", "human", "users", "reverts", "pairs", "mutual", F.round("top_share", 4).alias("top_share"),
+        F.round(F.when(F.col("human") > 0, F.col("reverts") / F.col("human")).otherwise(0.0), 4).alias("revert_density"), F.round("raw", 2).alias("score"), severity(F.col("raw")).alias("severity"),
     )
-    for name in names:
-        seconds = LIVE_WINDOWS[name]
-        # Users come and go by themselves: their rows bring no edit, and aren't taken out again.
-        people = _arrivals(parts, seconds).select(*PAGE, F.lit(None).cast("long").alias("rev_id"), "at", *[F.lit(0).alias(c) for c in ("edits", "human", "reverts")], "users", F.lit(None).cast("long").alias("last_human"), F.lit(0).alias("__mine"))
-        over = counted.withColumns({"at": F.col("at") + (seconds * _US + 1), "__mine": F.lit(0), "last_human": F.lit(None).cast("long")} | {c: -F.col(c) for c in ("edits", "human", "reverts")})
-        rows = running(counted.withColumn("__mine", F.lit(1)).unionByName(over).unionByName(people), PAGE, ["edits", "human", "reverts", "users"], ["last_human"]).where("__mine = 1").drop("__mine")
-        rows = rows.withColumn("last_human", F.when(F.col("last_human") >= F.col("at") - seconds * _US, F.col("last_human")))
-        step = max(3600, seconds)
-        # Each edit asks for the edges that its day and the one before have; running sums over (page, edge) answer.
-        users = [F.coalesce(c, F.lit("")).alias(c) for c in ("reverter_user", "reverted_user")]
-        events = reverts.select(*PAGE, F.unix_micros("ts").alias("at"), *users)
-        slot = F.floor(F.col("at") / F.lit(step * _US))
-        near = events.withColumn("slot", F.explode(F.array(slot, slot + 1))).select(*PAGE, "slot", "reverter_user", "reverted_user").distinct()
-        keys, edge = [*PAGE, "rev_id"], [*PAGE, "reverter_user", "reverted_user"]
-        asked = rows.select(*keys, "at", slot.alias("slot")).join(near, [*PAGE, "slot"]).select(*edge, "at", "rev_id", F.lit(0).alias("n"), F.lit(1).alias("__mine"))
-        both = asked.unionByName(events.select(*edge, "at", F.lit(None).cast("long").alias("rev_id"), F.lit(1).alias("n"), F.lit(0).alias("__mine")))
-        counts = trailing_sums(both, edge, seconds, ["n"]).where("n > 0").select(*keys, "reverter_user", "reverted_user", "n")
-        tops = counts.groupBy(*keys, "reverter_user").agg(F.sum("n").alias("n")).groupBy(*keys).agg((F.max("n") / F.sum("n")).alias("top_share"))
-        pair = counts.where("reverter_user <> '' AND reverted_user <> '' AND reverter_user <> reverted_user").withColumns({"p": F.least("reverter_user", "reverted_user"), "q": F.greatest("reverter_user", "reverted_user")})
-        pair = pair.groupBy(*keys, "p", "q").agg(F.sum(F.when(F.col("reverter_user") == F.col("p"), F.col("n")).otherwise(0)).alias("ab"), F.sum(F.when(F.col("reverter_user") == F.col("q"), F.col("n")).otherwise(0)).alias("ba"))
-        mutual = pair.where("ab > 0 AND ba > 0").groupBy(*keys).agg(F.count("*").alias("pairs"), F.sum(F.least("ab", "ba")).alias("mutual"))
-        # What happened in the five minutes before the last human edit of the window.
-        if seconds <= 300:
-            rows = rows.withColumn("recent", F.when(F.col("last_human").isNull(), 0).otherwise(F.col("edits") + 4 * F.col("reverts")))
-        else:
-            weighed = parts.select(*PAGE, "at", (1 + 4 * F.col("reverts")).alias("before")).withColumn("upto", F.col("before"))
-            late = weighed.withColumns({"at": F.col("at") + (300 * _US + 1), "before": -F.col("before"), "upto": F.lit(0), "__mine": F.lit(0)})
-            upto = running(weighed.withColumn("__mine", F.lit(1)).unionByName(late), PAGE, ["before", "upto"]).where("__mine = 1").dropDuplicates([*PAGE, "at"])
-            last = upto.select(*PAGE, F.col("at").alias("last_human"), F.col("before").alias("l_before"), F.col("upto").alias("l_upto"))
-            here = upto.select(*PAGE, "at", F.col("upto").alias("h_upto"))
-            rows = rows.join(last, [*PAGE, "last_human"], "left").join(here, [*PAGE, "at"], "left")
-            rows = rows.withColumn("recent", F.when(F.col("last_human").isNull(), 0).otherwise(F.least(F.col("edits") + 4 * F.col("reverts"), F.col("l_before") + F.col("h_upto") - F.col("l_upto"))))
-        all_ = rows.join(tops, keys, "left").join(mutual, keys, "left").fillna(0, ["top_share", "pairs", "mutual"])
-        score = live_score(LIVE_FACTORS[name], F.col("human"), F.col("users"), F.col("reverts"), F.col("top_share"), F.col("pairs"), F.col("mutual"), F.col("recent"))
-        all_ = all_.withColumn("raw", score).select(
-            *PAGE, "rev_id", F.lit(name).alias("window"), "edits", "human", "users", "reverts", "pairs", "mutual", F.round("top_share", 4).alias("top_share"),
-            F.round(F.when(F.col("human") > 0, F.col("reverts") / F.col("human")).otherwise(0.0), 4).alias("revert_density"), F.round("raw", 2).alias("score"), severity(F.col("raw")).alias("severity"),
-        )
-        out = all_ if out is None else out.unionByName(all_)
-    return out
 
 
 def last_days(rows: DataFrame, hours: int = 24) -> DataFrame:

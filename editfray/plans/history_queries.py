@@ -66,7 +66,7 @@ _EPISODES = """
 e1 AS (SELECT *, coalesce(bucket - lag(bucket) OVER w > INTERVAL 24 HOUR, false) AS gap FROM days WINDOW w AS (PARTITION BY wiki, page_id ORDER BY bucket)),
 e2 AS (SELECT *, CASE WHEN score >= 60 AND current > 0 THEN 'on' WHEN score < 40 OR current = 0 OR gap THEN 'off' END AS state FROM e1),
 e3 AS (SELECT *, CASE WHEN gap THEN 'off' ELSE coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY wiki, page_id ORDER BY bucket ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'off') END AS before FROM e2),
-eps AS (SELECT wiki, page_id, round(max(score), 2) AS peak_score, count(*) FILTER (WHERE state = 'on' AND before <> 'on') AS episode_count,
+eps AS (SELECT wiki, page_id, round((max(score))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS peak_score, count(*) FILTER (WHERE state = 'on' AND before <> 'on') AS episode_count,
   60 * count(*) FILTER (WHERE state = 'on') AS war_minutes FROM e3 GROUP BY ALL)"""
 
 
@@ -109,8 +109,8 @@ def mutual_edges(spark, sf: str) -> DataFrame:
 
 
 _RANKED_PAIRS = _WITH + ", p_counts AS (SELECT wiki, page_id, reverter_user AS src, reverted_user AS dst, count(*) AS n FROM d_reverts WHERE reverter_user <> reverted_user GROUP BY ALL HAVING count(*) >= 4)," + _MUTUAL.split("),\n", 1)[1] + "," + _PAIR + """
-SELECT m.wiki, m.page_id, pairs, mutual::BIGINT AS mutual, reverts::BIGINT AS reverts, round(best, 4) AS best, round(total, 4) AS total, ends,
-  round(top / reverts, 4) AS top_share, round(strongest / reverts, 4) AS strongest_share, row_number() OVER (ORDER BY pairs DESC, mutual DESC, m.page_id)::INT AS rank
+SELECT m.wiki, m.page_id, pairs, mutual::BIGINT AS mutual, reverts::BIGINT AS reverts, round((best)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS best, round((total)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS total, ends,
+  round((top / reverts)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS top_share, round((strongest / reverts)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS strongest_share, row_number() OVER (ORDER BY pairs DESC, mutual DESC, m.page_id)::INT AS rank
 FROM p_metrics m JOIN p_users u ON m.wiki = u.wiki AND m.page_id = u.page_id ORDER BY rank LIMIT 100"""
 
 
@@ -125,7 +125,7 @@ def mutual_pair_ranking(spark, sf: str) -> DataFrame:
     return ranked.withColumns({c: F.round(c, 4) for c in ("best", "total", "top_share", "strongest_share")})
 
 
-@query("hist_day_scores", _WITH + "," + _EDGES + "," + _DAYS + " SELECT wiki, page_id, bucket, edit_count, users, reverts::BIGINT AS reverts, pairs, current::BIGINT AS current, round(score, 4) AS score FROM days")
+@query("hist_day_scores", _WITH + "," + _EDGES + "," + _DAYS + " SELECT wiki, page_id, bucket, edit_count, users, reverts::BIGINT AS reverts, pairs, current::BIGINT AS current, round((score)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS score FROM days")
 def day_scores(spark, sf: str) -> DataFrame:
     e = A.edits(spark, sf)
     return windows.day_scores(e, graph.identity_edges(A.history(e))).withColumns({"bucket": F.col("bucket").cast("timestamp_ntz"), "score": F.round("score", 4)})
@@ -158,11 +158,11 @@ _ROWS = """
 base AS (SELECT wiki, page_id, arg_max(page_title, rev_id) AS page_title, count(*) AS edit_count, count(DISTINCT user_text) AS unique_editors,
   count(*) FILTER (WHERE is_reverted) AS reverted_count, count(*) FILTER (WHERE is_revert) AS reverting_count FROM d_history GROUP BY ALL),
 page_rows AS (SELECT b.*, coalesce(m.reverts, 0)::BIGINT AS revert_count, coalesce(m.pairs, 0) AS mutual_revert_pairs, coalesce(m.mutual, 0)::BIGINT AS mutual_revert_count,
-  round(coalesce(u.top / m.reverts, 0), 4) AS top_reverter_share, round(coalesce(m.strongest / m.reverts, 0), 4) AS strongest_pair_share,
-  round(coalesce(m.reverts, 0) / b.edit_count, 4) AS revert_density, e.peak_score, e.episode_count, e.war_minutes
+  round((coalesce(u.top / m.reverts, 0))::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS top_reverter_share, round((coalesce(m.strongest / m.reverts, 0))::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS strongest_pair_share,
+  round((coalesce(m.reverts, 0) / b.edit_count)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS revert_density, e.peak_score, e.episode_count, e.war_minutes
   FROM base b LEFT JOIN p_metrics m ON b.wiki = m.wiki AND b.page_id = m.page_id LEFT JOIN p_users u ON b.wiki = u.wiki AND b.page_id = u.page_id LEFT JOIN eps e ON b.wiki = e.wiki AND b.page_id = e.page_id)"""
 _PEN = _penalty(rc="revert_count", pairs="mutual_revert_pairs", users="unique_editors", edits="edit_count", mutual="mutual_revert_count", top="top_reverter_share", strongest="strongest_pair_share", density="revert_density", peak="peak_score")
-_SCORED = f", scored AS (SELECT *, round({_PEN}, 4) AS routine_penalty, round(peak_score * (1 - {_PEN}), 2) AS candidate_score FROM page_rows)"
+_SCORED = f", scored AS (SELECT *, round(({_PEN})::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS routine_penalty, round((peak_score * (1 - {_PEN}))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS candidate_score FROM page_rows)"
 _BOARD = _WITH + "," + _EDGES + "," + _MUTUAL + "," + _PAIR + "," + _DAYS + "," + _EPISODES + "," + _ROWS + _SCORED
 
 
@@ -234,10 +234,10 @@ def _pre_ranked(order: str) -> str:
 _PW_PEN = _penalty(pairs="mutual_revert_pairs", users="unique_editors", edits="edit_count", peak="peak_score")
 
 
-@query("year_page_war", _MONTHS + _pre_ranked("reverted_count + reverting_count DESC, mutual_reverts DESC, talk_bytes DESC, edit_count DESC") + f""", raw AS (SELECT *, reverted_count + reverting_count AS raw_activity, round(sqrt(reverted_count) * 24 + sqrt(reverting_count) * 18 + sqrt(mutual_reverts) * 16
-   + least(42.0, mutual_revert_pairs * 8.0) + least(50.0, ln(1 + edit_count) * 6) + least(35.0, sqrt(unique_editors) * 4.2) + least(45.0, ln(1 + talk_bytes) * 3.2) + least(25.0, sqrt(talk_edits) * 4), 2) AS peak_score
+@query("year_page_war", _MONTHS + _pre_ranked("reverted_count + reverting_count DESC, mutual_reverts DESC, talk_bytes DESC, edit_count DESC") + f""", raw AS (SELECT *, reverted_count + reverting_count AS raw_activity, round((sqrt(reverted_count) * 24 + sqrt(reverting_count) * 18 + sqrt(mutual_reverts) * 16
+   + least(42.0, mutual_revert_pairs * 8.0) + least(50.0, ln(1 + edit_count) * 6) + least(35.0, sqrt(unique_editors) * 4.2) + least(45.0, ln(1 + talk_bytes) * 3.2) + least(25.0, sqrt(talk_edits) * 4))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS peak_score
    FROM looked),
- pen AS (SELECT *, round({_PW_PEN}, 4) AS routine_penalty FROM raw), fin AS (SELECT *, round(peak_score * (1 - routine_penalty), 2) AS candidate_score FROM pen)
+ pen AS (SELECT *, round(({_PW_PEN})::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS routine_penalty FROM raw), fin AS (SELECT *, round((peak_score * (1 - routine_penalty))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS candidate_score FROM pen)
  SELECT page_id, page_title, raw_activity, peak_score, routine_penalty, candidate_score, row_number() OVER (ORDER BY candidate_score DESC, raw_activity DESC, talk_bytes DESC, edit_count DESC, wiki, page_id)::INT AS rank
  FROM fin WHERE candidate_score >= 1 AND NOT ({_STRONG} AND talk_bytes < 10000 AND raw_activity < 45) ORDER BY rank LIMIT 50""")
 def year_page_war(spark, sf: str) -> DataFrame:
@@ -294,7 +294,7 @@ _PROTECTION = """prot AS (
   SELECT page_id, island, min(ts) FILTER (WHERE action <> 'unprotect') AS a, max(ts) FILTER (WHERE action = 'unprotect') AS b, count(*) AS n, max(ts) AS last FROM isl GROUP BY ALL
 ), protected AS (
   SELECT page_id, sum(n)::BIGINT AS protection_events,
-    round(coalesce(sum(greatest(0, floor(epoch(coalesce(b, TIMESTAMP '2024-03-01')))::BIGINT - floor(epoch(a))::BIGINT)) FILTER (WHERE a IS NOT NULL), 0) / 86400, 2) AS protection_days, min(a) AS first_protection_at, max(last) AS last_protection_at FROM spans GROUP BY ALL
+    round((coalesce(sum(greatest(0, floor(epoch(coalesce(b, TIMESTAMP '2024-03-01')))::BIGINT - floor(epoch(a))::BIGINT)) FILTER (WHERE a IS NOT NULL), 0) / 86400)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS protection_days, min(a) AS first_protection_at, max(last) AS last_protection_at FROM spans GROUP BY ALL
 )"""
 
 
@@ -316,10 +316,10 @@ _GOV_PEN = _penalty(pairs="mutual_revert_pairs", users="unique_editors", edits="
   FROM looked y LEFT JOIN signals s ON y.page_id = s.page_id LEFT JOIN protected p ON replace(trim(y.page_title), ' ', '_') = 'Page_' || p.page_id::VARCHAR
 ), raw AS (
   SELECT *, reverted_count + reverting_count AS raw_activity, rfc + arb + restriction + restriction_count + protection_events AS evidence,
-    round((rfc * 90.0 + arb * 120 + restriction * 70)::DOUBLE + least(110.0, sqrt(talk_edits) * 10) + least(95.0, ln(1 + talk_bytes) * 6) + least(45.0, sqrt(talk_users) * 4)
+    round(((rfc * 90.0 + arb * 120 + restriction * 70)::DOUBLE + least(110.0, sqrt(talk_edits) * 10) + least(95.0, ln(1 + talk_bytes) * 6) + least(45.0, sqrt(talk_users) * 4)
      + ((restriction_count * 70.0)::DOUBLE + sysop::INT * 130 + ext::INT * 100 + casc::INT * 35 + least(180.0, protection_events * 18.0)::DOUBLE + least(160.0, sqrt(protection_days) * 9))
-     + (least(180.0, sqrt(reverted_count + reverting_count) * 17) + least(90.0, sqrt(mutual_reverts) * 11) + least(80.0, mutual_revert_pairs * 12.0)::DOUBLE), 2) AS peak_score FROM joined
-), pen AS (SELECT *, round({_GOV_PEN} * CASE WHEN evidence > 0 THEN 0.35 ELSE 1.0 END, 4) AS routine_penalty FROM raw), fin AS (SELECT *, round(peak_score * (1 - routine_penalty), 2) AS candidate_score FROM pen)
+     + (least(180.0, sqrt(reverted_count + reverting_count) * 17) + least(90.0, sqrt(mutual_reverts) * 11) + least(80.0, mutual_revert_pairs * 12.0)::DOUBLE))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS peak_score FROM joined
+), pen AS (SELECT *, round(({_GOV_PEN} * CASE WHEN evidence > 0 THEN 0.35 ELSE 1.0 END)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS routine_penalty FROM raw), fin AS (SELECT *, round((peak_score * (1 - routine_penalty))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS candidate_score FROM pen)
 SELECT page_id, evidence, peak_score, candidate_score, row_number() OVER (ORDER BY candidate_score DESC, evidence DESC, talk_bytes DESC, raw_activity DESC, wiki, page_id)::INT AS rank FROM fin
 WHERE candidate_score >= 1 AND evidence > 0 ORDER BY rank LIMIT 50""")
 def year_governance(spark, sf: str) -> DataFrame:
@@ -379,7 +379,7 @@ def stored_months(spark, sf: str) -> DataFrame:
 @query("rescored_months", _WITH + "," + _STORED + """, p_counts AS (SELECT span, wiki, page_id, src, dst, count(*) AS n FROM d_edges GROUP BY ALL HAVING count(*) >= 4),
  p_pairs AS (SELECT e.span, e.wiki, e.page_id, e.n AS ab, r.n AS ba FROM p_counts e JOIN p_counts r ON e.span = r.span AND e.wiki = r.wiki AND e.page_id = r.page_id AND e.src = r.dst AND e.dst = r.src WHERE e.src < e.dst)
  SELECT e.span AS month, e.page_id, count(*) AS edit_count, coalesce(any_value(p.pairs), 0) AS mutual_revert_pairs, coalesce(any_value(p.reverts), 0)::BIGINT AS revert_count,
-   round(coalesce(any_value(p.reverts), 0) / count(*), 4) AS revert_density
+   round((coalesce(any_value(p.reverts), 0) / count(*))::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS revert_density
  FROM y_edits e LEFT JOIN (SELECT span, wiki, page_id, count(*) AS pairs, sum(ab + ba) AS reverts FROM p_pairs GROUP BY ALL) p ON e.span = p.span AND e.wiki = p.wiki AND e.page_id = p.page_id GROUP BY ALL""")
 def rescored_months(spark, sf: str) -> DataFrame:
     """Boards of stored months, computed anew from their hours."""

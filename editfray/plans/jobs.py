@@ -10,7 +10,7 @@ from ..functions import text as T
 from ..operators import evidence as ev
 from ..operators import governance, graph, lookups, pages, ranking
 from ..operators.windows import PAGE
-from ..sources import history_rows, sql_dump, wiki_xml
+from ..sources import history_rows, sql_dump, wiki_dump, wiki_xml
 from ..streaming import sinks
 
 ORDER = ("ts", "rev_id")
@@ -29,32 +29,43 @@ def talk_of(history: DataFrame) -> DataFrame:
     return titled.where("namespace = 1").drop("page_id").join(routed.select("wiki", "title", *ORDER, F.col("article_id").alias("page_id")), ["wiki", "title", *ORDER])
 
 
-def store_months(spark: SparkSession, history: DataFrame, records: str, board: str, limit: int = 100, min_score: float = 40.0) -> DataFrame:
-    """Months of a history (history_rows.read(), with period): their records and boards, written by period. Returns the periods."""
+def store_months(spark: SparkSession, history: DataFrame, records: str, board: str, limit: int = 100, min_score: float = 40.0, period: str | None = None) -> None:
+    """Months of a history (history_rows.read(), with period): their records and boards, written by period. With `period` the history is all of that
+    one: what it doesn't hold any more goes, too."""
     articles = history.where("namespace = 0")
     stored = pages.month_records(articles, graph.identity_edges(articles), talk_of(history), "period")
-    sinks.replace_partitions(stored, records, "period")
-    recompute_boards(spark, records, board, limit, min_score)
-    return history.select("period").distinct()
+    only = {"period": period} if period else None
+    sinks.replace_partitions(stored, records, "period", only=only)
+    # The boards of these months alone: those of others may be at work.
+    written = [period] if period else [r["period"] for r in history.select("period").distinct().collect()]
+    for one in sorted(p for p in written if p):
+        recompute_boards(spark, records, board, limit, min_score, one)
 
 
-def process_history(spark: SparkSession, files: DataFrame, snapshot: str, records: str, board: str, manifest: str, **how) -> int:
-    """Files (name, partition) of a snapshot that the manifest doesn't list yet, all in one job. How many there were."""
+def process_history(spark: SparkSession, files: DataFrame, snapshot: str, records: str, board: str, manifest: str, workers: int = 3, **how) -> int:
+    """Files (name, partition: YYYY-MM or YYYY) of a snapshot that the manifest doesn't list yet. How many partitions there were.
 
-    def work(todo: DataFrame) -> None:
-        names = [r["name"] for r in todo.join(files, "partition").select("name").collect()]  # names of files, not their rows
-        rows = history_rows.read(spark, names).withColumn("period", F.concat(F.lit(f"history:{snapshot}:"), "month"))
-        store_months(spark, rows, records, board, **how)
+    Several are at work at a time, each with jobs of its own; one that fails is named at the end, and leaves the others listed."""
+    names = {}
+    for r in files.select("partition", "name").collect():  # names of files, not their rows
+        names.setdefault(r["partition"], []).append(r["name"])
 
-    return sinks.run_pending(spark, files.select("partition").distinct(), manifest, "partition", work)
+    def work(partition: str) -> None:
+        rows = history_rows.read(spark, names[partition]).withColumn("period", F.concat(F.lit(f"history:{snapshot}:"), "month"))
+        store_months(spark, rows, records, board, period=f"history:{snapshot}:{partition}" if len(partition) == 7 else None, **how)
+
+    return sinks.run_pending_each(spark, files, manifest, "partition", work, workers)
 
 
 def recompute_boards(spark: SparkSession, records: str, board: str, limit: int = 100, min_score: float = 40.0, period: str | None = None) -> None:
     """Score stored months anew, all or one, and replace their boards; a board that nothing reaches any more is emptied."""
+    if period and not sinks.exists(spark, sinks.partition_path(records, period=period)):
+        return sinks.drop_partition(spark, board, period=period)
     stored = spark.read.parquet(records)
     stored = stored.where(F.col("period") == period) if period else stored
     rows = boards(pages.rescored(stored, "period"), limit, min_score)
     sinks.replace_partitions(rows, board, "period", only={"period": period} if period else None)
+    return None
 
 
 def year_board(records: DataFrame, year_period: str, limit: int, min_score: float = 0.0) -> DataFrame:
@@ -102,14 +113,20 @@ def page_evidence(rows: DataFrame, revisions: DataFrame, period: str) -> DataFra
     return ev.payload(rows.select("wiki", "page_id", "page_title", F.lit(period).alias("period")), found, said, scores, ["page_id"])
 
 
-def backfill_evidence(spark: SparkSession, board: DataFrame, dumps: list[str], period: str, table: str, status: str) -> None:
-    """Evidence for the pages of a period's board, from XML shards, into a table by period; a line on its state before and after."""
+def backfill_evidence(spark: SparkSession, board: DataFrame, dumps: list[str], period: str, table: str, status: str, work: str | None = None) -> None:
+    """Evidence for the pages of a period's board, from XML shards, into a table by period; a line on its state before and after.
+
+    What a shard gives is kept in the folder `work` with a record: a run that was stopped goes on with the shards that have none. A record holds for the
+    candidates it was made for; others read the shard anew."""
     rows = evidence_inputs(board.where(F.col("period") == period)).drop("period")
     sinks.write_status(spark, status, period, phase="running")
     wanted = rows.select(F.col("page_id").alias("candidate"), "page_title", "page_id", F.lit(0).alias("talk_page_id"))
-    revisions = merged_revisions(*[wiki_xml.candidate_revisions(wiki_xml.pages(spark, d), wanted) for d in dumps])
-    sinks.replace_partitions(page_evidence(rows, revisions, period), table, "period", only={"period": period})
-    sinks.write_status(spark, status, period, phase="complete")
+    bounds = T.period_bounds(F.lit(period))
+    since, until = spark.range(1).select(*[F.date_format(bounds[x], "yyyy-MM-dd'T'HH:mm:ss'Z'") for x in ("start", "end")]).first()
+    folder = f"{work or table + '.work'}/{period.replace(':', '_')}"
+    shards = sinks.resumed(spark, folder, sinks.fingerprint(wanted), dumps, lambda d: wiki_xml.candidate_revisions(wiki_dump.pieces(spark, d), wanted, since, until))
+    sinks.replace_partitions(page_evidence(rows, merged_revisions(*shards), period), table, "period", only={"period": period})
+    sinks.write_status(spark, status, period, phase="complete", shards=len(shards))
 
 
 def known_periods(listed: DataFrame, manifest: DataFrame) -> DataFrame:

@@ -36,7 +36,7 @@ _DELTA = {"5m": ("5 MINUTE", 5), "1h": ("1 HOUR", 2), "24h": ("24 HOUR", 1)}
 def _live(name: str) -> str:
     delta, m = _DELTA[name]
     return f"""
- SELECT w.*, round(raw, 2) AS score, CASE WHEN raw >= 90 THEN 'major' WHEN raw >= 75 THEN 'war' WHEN raw >= 60 THEN 'skirmish' WHEN raw >= 40 THEN 'watch' ELSE 'quiet' END AS severity FROM (
+ SELECT w.*, round((raw)::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS score, CASE WHEN raw >= 90 THEN 'major' WHEN raw >= 75 THEN 'war' WHEN raw >= 60 THEN 'skirmish' WHEN raw >= 40 THEN 'watch' ELSE 'quiet' END AS severity FROM (
  SELECT *, greatest(0.0, least(10.0, human * {m * 0.75}) + reverts * {m * 5.0} + least(25.0, CASE WHEN human > 0 THEN reverts / human ELSE 0 END * 100) + pairs * 12 + mutual * 4 + least(10.0, greatest(0, users - 2) * 3.0)
    + least(5.0, recent * 0.5) - CASE WHEN share >= 0.75 AND reverts >= 3 THEN 15 ELSE 0 END) AS raw FROM (
  SELECT e.wiki, e.page_id, e.rev_id, e.ts, '{name}' AS window, c.edits, c.human, c.users, c.reverts, coalesce(t.share, 0) AS share, coalesce(p.pairs, 0) AS pairs, coalesce(p.mutual, 0) AS mutual,
@@ -54,7 +54,7 @@ def _live(name: str) -> str:
 _LIVE = _WITH + ", live AS (" + " UNION ALL ".join(_live(n) for n in _DELTA) + ")"
 
 
-@query("live_windows", _LIVE + ' SELECT wiki, page_id, rev_id, "window", edits, human, users, reverts, pairs, mutual::BIGINT AS mutual, round(share, 4) AS top_share, round(CASE WHEN human > 0 THEN reverts / human ELSE 0 END, 4) AS revert_density, score, severity FROM live')
+@query("live_windows", _LIVE + ' SELECT wiki, page_id, rev_id, "window", edits, human, users, reverts, pairs, mutual::BIGINT AS mutual, round((share)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS top_share, round((CASE WHEN human > 0 THEN reverts / human ELSE 0 END)::DOUBLE::VARCHAR::DECIMAL(38, 18), 4)::DOUBLE AS revert_density, score, severity FROM live')
 def live_windows(spark, sf: str) -> DataFrame:
     e = A.edits(spark, sf)
     return windows.live_windows(e, A.reverts(e))
@@ -79,7 +79,7 @@ def live_latest(spark, sf: str) -> DataFrame:
 @query("live_episodes", _LIVE + """, s AS (SELECT *, CASE WHEN score >= 60 THEN 'on' WHEN score < 40 THEN 'off' END AS state FROM live WHERE "window" = '24h'),
  b AS (SELECT *, coalesce(last_value(state IGNORE NULLS) OVER (PARTITION BY wiki, page_id ORDER BY ts, rev_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 'off') AS before FROM s),
  i AS (SELECT *, sum((state = 'on' AND before <> 'on')::INT) OVER (PARTITION BY wiki, page_id ORDER BY ts, rev_id) AS episode FROM b)
- SELECT wiki, page_id, episode::BIGINT AS episode, min(ts) AS started_at, max(ts) AS updated_at, max(score) AS peak_score, round(sum(greatest(0.0, score - 40)), 2) AS score_area,
+ SELECT wiki, page_id, episode::BIGINT AS episode, min(ts) AS started_at, max(ts) AS updated_at, max(score) AS peak_score, round((sum(greatest(0.0, score - 40)))::DOUBLE::VARCHAR::DECIMAL(38, 18), 2)::DOUBLE AS score_area,
    arg_max(reverts, rev_id) AS reverts, arg_max(pairs, rev_id) AS pairs FROM i WHERE state = 'on' GROUP BY ALL""")
 def live_episodes(spark, sf: str) -> DataFrame:
     return windows.live_episodes(_day_rows(spark, sf)).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("started_at", "updated_at")})

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import text as T
 from ..operators import evidence as ev
-from ..sources import sql_dump, wiki_xml
+from ..sources import sql_dump, wiki_dump, wiki_xml
+from ..tables import new_path
 
 QUERIES, ORACLES = {}, {}
 
@@ -46,6 +47,13 @@ def _page_texts(spark, sf: str) -> DataFrame:
     return rows.select(F.concat(F.lit("<page>"), _tag("title", F.col("title")), _tag("ns", F.when(F.col("talk"), 1).otherwise(0)), _tag("id", F.col("id")), F.col("revisions"), F.lit("</page>")).alias("value"))
 
 
+def _dump(spark, sf: str) -> DataFrame:
+    """The pieces of those pages, written as files of XML and found again in them."""
+    path = new_path(spark, "dump")
+    _page_texts(spark, sf).write.text(path)
+    return wiki_dump.pieces(spark, path)
+
+
 _REVISIONS = """WITH r AS (SELECT o_custkey AS page_id, CASE WHEN o_custkey % 5 = 0 THEN 'Talk:' ELSE '' END || 'Page ' || o_custkey::VARCHAR AS page_title, (o_custkey % 5 = 0)::INT AS namespace, o_orderkey AS rev_id, o_orderdate::TIMESTAMP AS ts,
   CASE WHEN o_orderkey % 7 = 0 THEN '10.0.0.1' WHEN o_orderkey % 11 = 0 THEN '' ELSE 'A & B ' || o_orderstatus END AS user_text, CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority ELSE '' END AS comment,
   CASE WHEN o_orderkey % 13 <> 0 THEN 'x < ' || o_orderpriority ELSE '' END AS content FROM orders)"""
@@ -54,13 +62,13 @@ _SHOWN = ("page_id", "page_title", "namespace", "rev_id", "user_text", "comment"
 
 @query("page_revisions", _REVISIONS + " SELECT * FROM r")
 def page_revisions(spark, sf: str) -> DataFrame:
-    return wiki_xml.revisions(wiki_xml.pages_of(_page_texts(spark, sf))).select(*_SHOWN, F.col("ts").cast("timestamp_ntz").alias("ts"))
+    return wiki_xml.read_revisions(_dump(spark, sf)).select(*_SHOWN, F.col("ts").cast("timestamp_ntz").alias("ts"))
 
 
 @query("period_revisions", _REVISIONS + " SELECT page_id, rev_id FROM r WHERE ts >= TIMESTAMP '1996-03-01' AND ts < TIMESTAMP '1997-01-01' AND content <> ''")
 def period_revisions(spark, sf: str) -> DataFrame:
     b = T.period_bounds(F.lit("history:2026-05:1996-03"))
-    rows = wiki_xml.revisions(wiki_xml.pages_of(_page_texts(spark, sf)))
+    rows = wiki_xml.read_revisions(_dump(spark, sf), "1996-03-01", "1997-01-01")
     return wiki_xml.in_period(rows, b["start"], F.lit("1997-01-01").cast("timestamp")).select("page_id", "rev_id")
 
 
@@ -75,7 +83,7 @@ def candidate_revisions(spark, sf: str) -> DataFrame:
         k.alias("candidate"), F.when(k % 2 == 0, F.concat(F.lit("Page "), k.cast("string"))).otherwise(F.concat(F.lit("Else "), k.cast("string"))).alias("page_title"),
         F.when((k % 2 == 1) & (k % 5 != 0), k).otherwise(F.lit(-1)).alias("page_id"), F.when((k % 2 == 1) & (k % 5 == 0), k).otherwise(F.lit(0)).alias("talk_page_id"),
     ).distinct()
-    return wiki_xml.candidate_revisions(wiki_xml.pages_of(_page_texts(spark, sf)), wanted).select("candidate", "page_id", "rev_id")
+    return wiki_xml.candidate_revisions(_dump(spark, sf), wanted).select("candidate", "page_id", "rev_id")
 
 
 @query("log_protection", """SELECT id, ts, action, page_title FROM (SELECT event_id AS id, date_trunc('second', ts) AS ts, CASE WHEN event_id % 9 = 0 THEN '' ELSE event_type END AS action, event_id % 4 AS kind,

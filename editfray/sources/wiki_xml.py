@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import wiki_dump
+
 _TEXT = "struct<_VALUE:string,`_xml:space`:string>"
 PAGE_SCHEMA = (
     "title string, ns int, id long, revision array<struct<id:long,timestamp:string,contributor:struct<username:string,ip:string,id:long>,comment:string,"
@@ -32,19 +34,30 @@ def revisions(pages_: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     )
 
 
-def candidate_revisions(pages_: DataFrame, candidates: DataFrame) -> DataFrame:
-    """Revisions of candidates' articles and talk pages alone: pages are matched before their revisions are taken apart.
+def candidate_pages(headers: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Rows of headers (page_id, page_title, namespace and others) of candidates' articles and talk pages, with the candidate.
 
     candidates: candidate, page_id, page_title, talk_page_id. An article goes by title, else by id; a talk page by its title without "Talk:", else by id."""
     from ..functions.text import lookup_title
 
-    title = lookup_title(F.when(F.col("ns") == 1, F.regexp_replace("title", "^Talk:", "")).otherwise(F.col("title")))
-    rows = pages_.where(F.coalesce("ns", F.lit(0)).isin(0, 1)).withColumn("__title", title).withColumn("__talk", F.coalesce("ns", F.lit(0)) == 1)
+    title = lookup_title(F.when(F.col("namespace") == 1, F.regexp_replace("page_title", "^Talk:", "")).otherwise(F.col("page_title")))
+    rows = headers.where(F.col("namespace").isin(0, 1)).withColumn("__title", title).withColumn("__talk", F.col("namespace") == 1)
     titles = candidates.select(lookup_title(F.col("page_title")).alias("__title"), F.col("candidate").alias("__c1")).dropDuplicates(["__title"])
-    ids = candidates.select(F.lit(False).alias("__talk"), F.col("page_id").alias("id"), "candidate").unionByName(candidates.where("talk_page_id > 0").select(F.lit(True).alias("__talk"), F.col("talk_page_id").alias("id"), "candidate"))
-    ids = ids.select("__talk", "id", F.col("candidate").alias("__c2")).dropDuplicates(["__talk", "id"])
-    met = rows.join(titles, "__title", "left").join(ids, ["__talk", "id"], "left").withColumn("candidate", F.coalesce("__c1", "__c2")).where("candidate IS NOT NULL")
-    return revisions(met, ("candidate",))
+    ids = candidates.select(F.lit(False).alias("__talk"), "page_id", "candidate").unionByName(candidates.where("talk_page_id > 0").select(F.lit(True).alias("__talk"), F.col("talk_page_id").alias("page_id"), "candidate"))
+    ids = ids.select("__talk", "page_id", F.col("candidate").alias("__c2")).dropDuplicates(["__talk", "page_id"])
+    met = rows.join(titles, "__title", "left").join(ids, ["__talk", "page_id"], "left").withColumn("candidate", F.coalesce("__c1", "__c2")).where("candidate IS NOT NULL")
+    return met.select("candidate", *headers.columns)
+
+
+def read_revisions(chosen: DataFrame, since: str = "", until: str = "") -> DataFrame:
+    """Revisions of chosen pieces of dumps (wiki_dump.pieces()), with the columns of revisions() behind those of the pieces."""
+    rows = wiki_dump.revisions(chosen, since, until).drop("file", "start", "end").withColumn("ts", F.try_to_timestamp("timestamp")).withColumn("tags", F.array().cast("array<string>"))
+    return rows.drop("timestamp")
+
+
+def candidate_revisions(pieces: DataFrame, candidates: DataFrame, since: str = "", until: str = "") -> DataFrame:
+    """Revisions of the candidates' pages: only the bytes of these are read, and no other revision is taken apart."""
+    return read_revisions(candidate_pages(pieces, candidates), since, until)
 
 
 def in_period(revisions_: DataFrame, start, end) -> DataFrame:

@@ -8,7 +8,7 @@ from datetime import datetime, timedelta, timezone
 from pyspark.sql import functions as F
 
 from editfray.operators.governance import protected_time, restrictions
-from editfray.sources import history_rows, sql_dump, sse, wiki_xml
+from editfray.sources import history_rows, sql_dump, sse, wiki_dump, wiki_xml
 from editfray.streaming import live, sinks
 
 
@@ -45,7 +45,7 @@ def test_page_xml(spark, tmp_path):
     (tmp_path / "p.xml").write_text(XML % rev)
     pages = wiki_xml.pages(spark, str(tmp_path / "p.xml"))
     wanted = spark.createDataFrame([("c", 42, "Big man", 0)], "candidate string, page_id long, page_title string, talk_page_id long")
-    got = wiki_xml.candidate_revisions(pages, wanted)
+    got = wiki_xml.candidate_revisions(wiki_dump.pieces(spark, str(tmp_path / "p.xml")), wanted)
     assert {(r["namespace"], r["n"]) for r in got.groupBy("namespace").agg(F.count("*").alias("n")).collect()} == {(0, 7), (1, 1)}
     inside = wiki_xml.in_period(wiki_xml.revisions(pages), F.lit("2007-09-02").cast("timestamp"), F.lit("2007-09-03").cast("timestamp"))
     assert inside.count() == 7
