@@ -177,11 +177,15 @@ def live_windows(edits: DataFrame, reverts: DataFrame, names: tuple[str, ...] =
     rows = rows.join(upto.select(*PAGE, "at", F.col("upto").alias("h_upto")), [*PAGE, "at"], "left")
     recent = F.when(F.col("last_human").isNull(), 0).otherwise(F.least(F.col("edits") + 4 * F.col("reverts"), F.col("l_before") + F.col("h_upto") - F.col("l_upto")))
     share = F.when(F.col("edges") > 0, F.col("top") / F.col("edges")).otherwise(0.0)
-    rows = rows.withColumns({"recent": recent, "top_share": share})
+    return live_rows(rows.withColumns({"recent": recent, "top_share": share}), names)
+
+
+def live_rows(rows: DataFrame, names: tuple[str, ...] = tuple(LIVE_WINDOWS), also: tuple[str, ...] = ()) -> DataFrame:
+    """Rows of what live windows count (page, rev_id, window, edits, human, users, reverts, pairs, mutual, top_share, recent), scored; columns of `also` pass through."""
     score = lambda n: live_score(LIVE_FACTORS[n], F.col("human"), F.col("users"), F.col("reverts"), F.col("top_share"), F.col("pairs"), F.col("mutual"), F.col("recent"))
     rows = rows.withColumn("raw", F.coalesce(*[F.when(F.col("window") == n, score(n)) for n in names]))
     return rows.select(
-        *PAGE, "rev_id", "window", "edits", "human", "users", "reverts", "pairs", "mutual", F.round("top_share", 4).alias("top_share"),
+        *PAGE, "rev_id", *also, "window", "edits", "human", "users", "reverts", "pairs", "mutual", F.round("top_share", 4).alias("top_share"),
         F.round(F.when(F.col("human") > 0, F.col("reverts") / F.col("human")).otherwise(0.0), 4).alias("revert_density"), F.round("raw", 2).alias("score"), severity(F.col("raw")).alias("severity"),
     )
 

@@ -28,11 +28,16 @@ def edits_of(raw: DataFrame, server: str, wiki: str, namespace: int = 0, payload
     )
 
 
-def revert_signals(edits: DataFrame) -> DataFrame:
-    """Edits that revert, with detector, confidence, whom and what they revert; nobody reverts himself."""
-    rows = edits.withColumn("d", revert_detector(F.col("tags"), F.col("comment"))).where("d IS NOT NULL")
+def with_reverts(edits: DataFrame) -> DataFrame:
+    """Edits with `reverts` (whether they do), the detector and its confidence, and whom and what they revert: row by row, so that streams need no join. Nobody reverts himself."""
     who = reverted_user(F.col("comment"))
-    return rows.select(
-        "wiki", "page_id", "rev_id", "ts", F.col("user_text").alias("reverter_user"), F.when(who != F.col("user_text"), who).alias("reverted_user"),
-        reverted_revision(F.col("comment")).alias("reverted_rev_id"), F.col("d.detector").alias("detector"), F.col("d.confidence").alias("confidence"),
-    )
+    rows = edits.withColumn("d", revert_detector(F.col("tags"), F.col("comment"))).withColumns({
+        "reverts": F.col("d").isNotNull(), "detector": F.col("d.detector"), "confidence": F.col("d.confidence"),
+        "reverted_user": F.when(F.col("d").isNotNull() & (who != F.col("user_text")), who), "reverted_rev_id": F.when(F.col("d").isNotNull(), reverted_revision(F.col("comment"))),
+    })
+    return rows.drop("d")
+
+
+def revert_signals(edits: DataFrame) -> DataFrame:
+    """Edits that revert, with detector, confidence, whom and what they revert."""
+    return with_reverts(edits).where("reverts").select("wiki", "page_id", "rev_id", "ts", F.col("user_text").alias("reverter_user"), "reverted_user", "reverted_rev_id", "detector", "confidence")

@@ -1,8 +1,8 @@
 """Server-sent events as a Spark data source: frames of feeds to (stream_id, payload).
 
-A live feed never ends: `land` reads it line by line and lands its frames as files, with reconnects and back-off; the stream
-reads those files on the executors, each file as a partition. So a restart goes on from the
-files that the checkpoint has seen, and nothing reads the feed twice."""
+A feed that keeps its events is a stream with offsets: batches are spans between ids, bounded in size. Of one that doesn't, `land` reads line by line and
+lands its frames as files, with reconnects and back-off; the stream reads those files on the executors, each file as a partition. Either way a
+restart goes on from what the checkpoint has seen."""
 
 from __future__ import annotations
 
@@ -11,11 +11,11 @@ import os
 import time
 import uuid
 from collections.abc import Callable, Iterable, Iterator
-from itertools import chain
+from itertools import chain, islice
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 
 def frames(lines: Iterable[str]) -> Iterator[tuple[str | None, str]]:
@@ -119,8 +119,74 @@ class _Files(DataSourceReader):
             yield from frames(lines)
 
 
+def after(feed: str, last_id: str | None, timeout: float = 15.0) -> Iterator[tuple[str | None, str]]:
+    """Frames of a feed that come after an id: of a URL, which is asked for them, or of a file that holds a feed, which is read on from there."""
+    if feed.startswith(("http://", "https://")):
+        yield from frames(connect(feed, last_id, timeout=timeout))
+        return
+    with open(feed, encoding="utf-8") as lines:
+        rows = frames(lines)
+        if last_id:
+            next((x for x in rows if x[0] == last_id), None)
+        yield from rows
+
+
+class _Span(InputPartition):
+    def __init__(self, feed: str, start: dict, count: int) -> None:
+        self.feed, self.start, self.count = feed, start, count
+
+
+class _Feeds(DataSourceStreamReader):
+    """A place in a feed is its last id, how many frames without one came after it, and how many have come in all.
+
+    latestOffset() goes through what has come, keeping nothing but ids; tasks, one a feed, ask for the frames between two places again. So payloads never pass the driver, a batch that is
+    run again reads the same frames, and after a restart the feed is asked from the id that the checkpoint has."""
+
+    def __init__(self, options) -> None:
+        self.feeds = options["feeds"].split()
+        self.most, self.seconds, self.timeout = int(options.get("maxFrames", 1000)), float(options.get("maxSeconds", 5.0)), float(options.get("timeout", 15.0))
+        self.at: dict | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {feed: {"id": "", "after": 0, "seen": 0} for feed in self.feeds}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        start = self.at or self.initialOffset()
+        self.at = {feed: self._end(feed, start.get(feed) or {"id": "", "after": 0, "seen": 0}) for feed in self.feeds}
+        return self.at
+
+    def _end(self, feed: str, start: dict) -> dict:
+        place, until = dict(start), time.monotonic() + self.seconds
+        try:
+            for stream_id, _ in islice(after(feed, start["id"] or None, self.timeout), start["after"], start["after"] + self.most):
+                place = {"id": stream_id, "after": 0, "seen": place["seen"] + 1} if stream_id else {"id": place["id"], "after": place["after"] + 1, "seen": place["seen"] + 1}
+                if time.monotonic() >= until:
+                    break
+        except OSError:
+            pass  # what has come counts; the next batch asks again
+        return place
+
+    def partitions(self, start: dict, end: dict) -> list[_Span]:
+        # A query that starts again plans its last batch first: it goes on from there.
+        self.at = self.at or end
+        begin = {feed: start.get(feed) or {"id": "", "after": 0, "seen": 0} for feed in end}
+        return [_Span(feed, begin[feed], end[feed]["seen"] - begin[feed]["seen"]) for feed in end if end[feed]["seen"] > begin[feed]["seen"]]
+
+    def read(self, partition: _Span) -> Iterator[tuple[str | None, str]]:
+        n, start = 0, partition.start
+        for n, row in enumerate(islice(after(partition.feed, start["id"] or None, self.timeout), start["after"], start["after"] + partition.count), 1):  # noqa: B007
+            yield row
+        if n < partition.count:
+            raise OSError(f"{partition.feed} gave {n} of {partition.count} frames after {start['id']!r}")
+
+    def commit(self, end: dict) -> None:
+        """A feed keeps no account of its readers: the checkpoint does."""
+
+
 class SseSource(DataSource):
-    """spark.dataSource.register(SseSource), then read.format("sse").option("path", a file, or several with commas between): a partition each."""
+    """spark.dataSource.register(SseSource), then read.format("sse").option("path", a file, or several with commas between): a partition each.
+
+    As a stream: readStream.format("sse").option("feeds", URLs or files of feeds, with blanks between), and maxFrames and maxSeconds, which bound what a batch takes of each feed."""
 
     @classmethod
     def name(cls):
@@ -131,3 +197,6 @@ class SseSource(DataSource):
 
     def reader(self, schema):
         return _Files(self.options["path"].split(","))
+
+    def streamReader(self, schema):  # noqa: N802
+        return _Feeds(self.options)
