@@ -2,10 +2,11 @@
 
 A page is read as blocks, each at a path: the tags, class names and ids from the root
 to it. Text length and punctuation are aggregated by path, so that one long paragraph speaks
-for its short kin; the ratios are smoothed over neighbours in page order, fused, and weighed by a
-prior: 0 for what its tag, role or name marks as something else, 1 for the rest. Paths
-at or over a threshold that follows the scores' deviation are the content. The innermost
-container around most of it completes it: headings, short lists and the like, but for what the prior excludes.
+for its short kin; the ratios are smoothed over neighbours in page order, fused, and shifted by a
+prior: what its tag, role or name marks as something else counts for less. Paths
+at or over a threshold that follows the scores' deviation are the content, whatever their marks. The innermost
+container around most of it completes it with what stands there beside: headings, short lists and the like; of that, marked frames go
+that hold no content path. Page navigation and footers, by their elements, reader comments, which are as long and as well punctuated as articles, and what is hidden are left out by their marks alone.
 """
 
 from __future__ import annotations
@@ -30,45 +31,56 @@ CONTAINER = frozenset("html body div section article main center table tbody tr
 ENDS = {"p": 0, "li": 1, "dt": 2, "dd": 2, "tr": 3, "td": 4, "th": 4, "option": 5}
 BEGINS = {x: (0,) for x in "div section article main body td th".split()} | {x: (0, 1, 2, 3, 4, 5) for x in "ul ol dl table select".split()} | {"tr": (4,)}
 # Elements, roles and words of class names and ids of what is no article.
-OTHER_TAGS = frozenset("head nav footer aside form button select dialog menu fieldset".split()) | RAW
+OTHER_TAGS = frozenset("head nav footer button select dialog menu".split()) | RAW
 OTHER_ROLES = frozenset("navigation banner contentinfo complementary search alert alertdialog dialog menu menubar toolbar form".split())
 OTHER_WORDS = frozenset(
-    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted banner "
-    "nav navbar navigation menu breadcrumb breadcrumbs pagination pager sidebar sidenav rail widget widgets toolbar "
-    "header masthead topbar footer bottombar colophon copyright cookie cookies consent gdpr notice notices alert popup modal overlay "
-    "comment comments commentlist disqus respond reply replies discussion share sharing social follow subscribe subscription newsletter signup login "
-    "related recommended recommendations teaser trending popular search searchbox skip hidden".split()
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion promoted nav navbar navigation menu breadcrumb breadcrumbs pagination pager "
+    "sidebar sidenav widget widgets toolbar masthead topbar footer bottombar colophon copyright cookie cookies consent gdpr notice notices popup modal overlay "
+    "sharing subscribe newsletter signup login searchbox skip".split()
 )
+#: Words that articles use for parts of their own, too.
+DOUBTFUL_WORDS = frozenset("banner rail header alert discussion share social follow subscription related recommended recommendations teaser trending popular search hidden".split())
+COMMENT_WORDS = frozenset("comment comments commentlist disqus respond reply replies".split())
+QUOTE_WORDS = frozenset("pullquote quote".split())
+#: Elements whose names say what all of them is: a paragraph's or a heading's may be those of its subject.
+FRAMES = frozenset("div section article aside header footer ul ol dl table form fieldset main figure iframe center".split())
+CONTROLS = frozenset("input select textarea button".split())
 _TAG = re.compile(r"<(?:/(?P<end>[a-zA-Z][^\s/>]*)[^>]*|(?P<tag>[a-zA-Z][^\s/>]*)(?P<rest>(?>[^\"'>]|\"[^\"]*\"|'[^']*')*+)|(?P<tag2>[a-zA-Z][^\s/>]*)(?P<rest2>[^>]*)|[!?][^>]*)>")
 _NAMES = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)\b\s*(?:=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?", re.I)
 _PART = re.compile(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+")
 _PUNCTUATION = re.compile(r"[.,;:!?…。，、；：！？¿¡]")
 
-HARD, SOFT = 2, 1
+#: Marks, and what a score counts for under each. A page's comments and what is hidden aren't scored.
+PLAIN, DOUBTFUL, OTHER, STRUCTURE, COMMENTS, HIDDEN = range(6)
+PRIOR = (1.0, 0.5, 0.2, 0.1, 0.0, 0.0)
 
 
 def _named(tag: str, attributes: str, in_article: bool) -> tuple[str, int]:
-    """The label of an element in its path, and how it is marked as no part of an article: HARD by what it is, SOFT by its
-    names (or as a form), 0 if not."""
-    found = SOFT if tag == "form" else HARD if tag in OTHER_TAGS or (tag == "header" and not in_article) else 0
+    """The label of an element in its path, and how it is marked as no part of an article."""
+    found = STRUCTURE if tag in OTHER_TAGS or (tag in ("header", "aside") and not in_article) else OTHER if tag == "aside" else PLAIN
     names = _NAMES.findall(attributes) if attributes else ()
-    label = [tag]
+    label, whole = [tag], tag in ("html", "body", "main", "h1")
     for name, value in names:
         name, value = name.lower(), value.strip("\"'")
         if name in ("class", "id"):
             parts = sorted({x.lower() for x in _PART.findall(value)})
             label.append(("#" if name == "id" else ".") + "-".join(parts))
-            if not found and tag not in ("html", "body", "main", "h1"):
-                other = OTHER_WORDS if tag != "article" else {"comment", "related", "teaser", "sponsored", "ad", "promo"}
-                found = SOFT if not other.isdisjoint(parts) else 0
+            if whole:
+                continue
+            if tag == "aside" and not QUOTE_WORDS.isdisjoint(parts):
+                found = PLAIN
+            if tag in FRAMES and not COMMENT_WORDS.isdisjoint(parts):
+                found = max(found, COMMENTS)
+            elif not OTHER_WORDS.isdisjoint(parts):
+                found = max(found, OTHER)
+            elif tag in FRAMES and not DOUBTFUL_WORDS.isdisjoint(parts):
+                found = max(found, DOUBTFUL)
         elif tag in ("html", "body", "form"):
             continue
-        elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-            found = HARD
-        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            found = HARD
+        elif (name == "hidden" or (name == "aria-hidden" and value == "true")) or (name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I)):
+            found = HIDDEN
         elif name == "role" and value.lower() in OTHER_ROLES:
-            found = HARD
+            found = max(found, STRUCTURE)
     return "".join(label), found
 
 
@@ -83,6 +95,7 @@ class Page:
     path: list[int] = field(default_factory=lambda: [0])
     marked: list[int] = field(default_factory=lambda: [0])
     article: list[bool] = field(default_factory=lambda: [False])
+    controls: list[int] = field(default_factory=lambda: [0])
     blocks: list[tuple[int, str, int]] = field(default_factory=list)
 
     def up(self, of: list) -> list:
@@ -172,6 +185,8 @@ def read_page(page: str) -> Page:
         elif tag := m["tag"] or m["tag2"]:
             tag = tag.lower()
             rest = m["rest"] if m["tag"] else m["rest2"]
+            if tag in CONTROLS:
+                out.controls[stack[-1]] += 1
             if tag == "br":
                 held.append("\n")
                 continue
@@ -202,6 +217,7 @@ def read_page(page: str) -> Page:
             out.parent.append(here)
             out.marked.append(marked)
             out.article.append(out.article[here] or tag in ("article", "main"))
+            out.controls.append(0)
             out.path.append(paths.setdefault((out.path[here], label), len(paths) + 1))
             kinds = near[-1]
             if tag in BEGINS or tag in ENDS:
@@ -221,58 +237,33 @@ def read_page(page: str) -> Page:
     return out
 
 
-def allowed_elements(page: Page) -> list[bool]:
-    """For each element, whether it may be part of an article, by the marks of what it stands in.
+def marks(page: Page) -> list[int]:
+    """For each element the gravest mark of what it stands in, itself included.
 
-    A name that stands on a frame around the heading and most of the text says nothing about them ("has-sidebar")."""
+    A name says nothing of a frame that holds most of the page's text beside comments ("has-sidebar", or a form around all), nor does a doubtful one, or one of comments, of a frame with the
+    heading; forms and field sets are marked where they have controls."""
     n = len(page.tag)
-    hard = page.down(lambda i, above: page.marked[i] == HARD or bool(above))
-    own = [0] * n
-    for e, text, _ in page.blocks:
-        own[e] += 0 if hard[e] else len(text)
-    headed = page.up([int(page.tag[i] == "h1" and own[i] > 0) for i in range(n)])
-    article = page.up([int(page.article[i] and own[i] > 0) for i in range(n)])
-    inside = page.up(own)
-    soft = page.down(lambda i, above: i if page.marked[i] == SOFT else -1 if above is None else above)  # the innermost marked one around
-    bare: dict[int, int] = {}
-    for i in range(n):
-        bare[soft[i]] = bare.get(soft[i], 0) + own[i]
-    # Text that stands bare in the marked elements around each, and whether one of them, or itself, holds the heading.
-    around = page.down(lambda i, above: 0 if above is None else above + (bare.get(page.parent[i], 0) if page.marked[page.parent[i]] == SOFT else 0))
-    with_heading = page.down(lambda i, above: bool(above) or (page.marked[i] == SOFT and headed[i] > 0))
-    marked = [i for i in range(n) if page.marked[i] == SOFT]
-    any_heading = any(headed[i] for i in marked)
-    # What other marked elements hold, comments for one, says nothing about a frame with the heading.
-    share = lambda i: inside[i] + bare.get(-1, 0) + around[i] if headed[i] else inside[0]
-    frames = {i for i in marked if (headed[i] or article[i]) and not (any_heading and not with_heading[i]) and inside[i] > 0.6 * share(i)}
-    heading = {i for i in marked if headed[i]}
-
-    def plain(forgiven) -> list[bool]:
-        return page.down(lambda i, above: above is not False and not hard[i] and (page.marked[i] != SOFT or i in forgiven))
-
-    def some(ok) -> bool:
-        return any(ok[i] and own[i] for i in range(n))
-
-    def in_article(ok) -> list[bool]:
-        return [a and b for a, b in zip(ok, page.article, strict=True)]
-
-    everything = [not x for x in hard]
-    # An article's tags exclude what stands outside; where all of its text is marked, frames with its heading stand, or else all of it.
-    if any(page.article):
-        choices = [in_article(plain(frames)), in_article(plain(heading)), in_article(everything)]
-        if not some(choices[-1]) and not any(page.article[e] for e, _, _ in page.blocks):
-            choices = [plain(frames), plain(heading)]
-    else:
-        choices = [plain(frames), plain(heading)]
-    return next((x for x in choices if some(x)), [False] * n)
-
-
-def menus(page: Page, allowed: list[bool]) -> list[bool]:
+    headed = page.up([int(x == "h1") for x in page.tag])
+    own = [PLAIN if headed[i] and m in (COMMENTS, DOUBTFUL) else m for i, m in enumerate(page.marked)]
+    unseen = page.down(lambda i, above: bool(above) or own[i] >= COMMENTS)
+    text = [0] * n
+    for e, t, links in page.blocks:
+        text[e] += 0 if unseen[e] else max(0, len(t) - links)
+    inside, controls = page.up(text), page.up(page.controls)
+    for i in range(1, n):
+        if own[i] == PLAIN and page.tag[i] in ("form", "fieldset") and controls[i]:
+            own[i] = OTHER
+        if own[i] < STRUCTURE and 2 * inside[i] > inside[0]:
+            own[i] = PLAIN
+    return page.down(lambda i, above: max(own[i], above or PLAIN))
+
+
+def menus(page: Page) -> list[bool]:
     """For each element, whether it stands in a list or table of links, whatever its names."""
     held = page.down(lambda i, above: i if page.tag[i] in ("ul", "ol", "table") else -1 if above is None else above)
     sums: dict[int, list[int]] = {}
     for e, text, links in page.blocks:
-        if allowed[e] and held[e] >= 0:
+        if held[e] >= 0:
             s = sums.setdefault(held[e], [0, 0])
             s[0] += len(text)
             s[1] += links
@@ -313,42 +304,57 @@ def content_paths(scores: np.ndarray, of: np.ndarray) -> np.ndarray:
     return (scores >= least) & (scores > 0)
 
 
+#: A container is completed where its content is at least this share of it: what the ratios leave out is what stands beside, not the rest of a page.
+COMPLETE = 0.15
+
+
 def extract(page: str | None) -> str:
     """The article's text: its blocks, joined by a line feed."""
     tree = read_page(page or "")
     if not tree.blocks:
         return ""
-    allowed = allowed_elements(tree)
-    menu = menus(tree, allowed)
-    of, scores = path_scores(tree, [float(a and not m) for a, m in zip(allowed, menu, strict=True)])
+    mark = marks(tree)
+    of, scores = path_scores(tree, [PRIOR[m] for m in mark])
     chosen = content_paths(scores, of)[of]
-    if not chosen.any():
-        return ""
-    # The innermost container with most of the content.
-    weight = [0] * len(tree.tag)
+    return "\n".join(text for (e, text, _), k in zip(tree.blocks, selected(tree, mark, chosen), strict=True) if k and mark[e] < STRUCTURE)
+
+
+def selected(tree: Page, mark: list[int], chosen) -> list[bool]:
+    """Of each block whether it is of the article: what is chosen, and what completes it."""
+    # The innermost container with most of the content, which counts as its prior lets it.
+    weight, whole = [0.0] * len(tree.tag), [0.0] * len(tree.tag)
     for (e, text, _), c in zip(tree.blocks, chosen, strict=True):
-        weight[e] += len(text) if c else 0
-    weight = tree.up(weight)
+        weight[e] += len(text) * PRIOR[mark[e]] if c and mark[e] < STRUCTURE else 0
+        whole[e] += len(text) if c or mark[e] == PLAIN else 0
+    weight, whole = tree.up(weight), tree.up(whole)
     best = [0] * len(tree.tag)
     for i in range(1, len(tree.tag)):
         if weight[i] > (weight[best[tree.parent[i]]] if best[tree.parent[i]] else 0):
             best[tree.parent[i]] = i
     top = 0
+    if not weight[0]:
+        return [False] * len(tree.blocks)
     while (inner := best[top]) and tree.tag[inner] in CONTAINER and weight[inner] >= 0.7 * weight[0]:
         top = inner
     # The whole of the article that it stands in.
     while tree.article[top] and tree.tag[top] not in ("article", "main"):
         top = tree.parent[top]
+    if weight[top] < COMPLETE * whole[top]:
+        return [bool(c) for c in chosen]
+    # A doubtful name is none on a frame with content in it.
+    doubt = tree.down(lambda i, above: i if tree.marked[i] == DOUBTFUL else -1 if above is None else above)
+    beside = [mark[e] == PLAIN or (mark[e] == DOUBTFUL and doubt[e] >= 0 and weight[doubt[e]] > 0) for e, _, _ in tree.blocks]
     inside = tree.down(lambda i, above: bool(above) or i == top)
-    heading = [e for e, _, _ in tree.blocks if tree.tag[e] == "h1" and allowed[e]]
-    heads = set() if any(inside[e] for e in heading) else set(heading)
+    heading = [k for k, (e, _, _) in enumerate(tree.blocks) if tree.tag[e] == "h1" and beside[k]]
+    heads = set() if any(inside[tree.blocks[k][0]] for k in heading) else set(heading)
     if tree.tag[top] in ("#", "html", "body"):
         # The page's root is no choice: what stands before and after the content, or is a list of links, is as well beside the article.
-        spots = [k for k, (e, _, _) in enumerate(tree.blocks) if chosen[k] or (tree.tag[e] == "h1" and allowed[e])]
-        kept = [chosen[k] or (spots[0] <= k <= spots[-1] and allowed[e] and not menu[e]) for k, (e, _, _) in enumerate(tree.blocks)]
-    else:
-        kept = [c or (inside[e] and allowed[e]) or e in heads for (e, _, _), c in zip(tree.blocks, chosen, strict=True)]
-    return "\n".join(text for (_, text, _), k in zip(tree.blocks, kept, strict=True) if k)
+        menu, headings = menus(tree), set(heading)
+        spots = [k for k in range(len(tree.blocks)) if chosen[k] or k in headings]
+        return [bool(chosen[k]) or (spots[0] <= k <= spots[-1] and beside[k] and not menu[e]) for k, (e, _, _) in enumerate(tree.blocks)]
+    # Content outside the container stays, too, unless it is marked, or of another article.
+    other = tree.down(lambda i, above: bool(above) or (tree.tag[i] == "article" and not inside[i] and not weight[i] >= weight[top]))
+    return [(inside[e] and (bool(c) or beside[k])) or (bool(c) and beside[k] and not other[e]) or k in heads for k, ((e, _, _), c) in enumerate(zip(tree.blocks, chosen, strict=True))]
 
 
 def html_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

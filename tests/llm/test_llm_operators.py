@@ -227,16 +227,104 @@ PLAIN_PAGE = """<body><div class=top><div>Start</div><div>About us</div></div><d
 def test_html_paths_select_the_content(monkeypatch):
     want = "Head\nA long paragraph, with marks; and more of it, to be read.\nShort.\none\ntwo\nAnother paragraph, as long as the first one, or longer still."
     assert html_text.extract(PLAIN_PAGE) == want
-    marked = "<body><nav>Home, or not.</nav><article><p>Text of the article, and so on.</p><p>End.</p></article><div class=ad>Buy this, now!</div></body>"
+    marked = "<body><nav>Home, or not.</nav><article><p>Text of the article, and so on.</p><div class=ad>Buy this, now!</div><p>End.</p></article></body>"
     assert html_text.extract(marked) == "Text of the article, and so on.\nEnd."
-    # Without the threshold everything is content, and with one that nothing reaches, nothing is.
-    monkeypatch.setattr(html_text, "content_paths", lambda scores, of: scores >= 0)
+    # Without the threshold everything scored is content, also what is marked in the article; with one that nothing reaches, nothing is.
+    monkeypatch.setattr(html_text, "content_paths", lambda scores, of: scores > 0)
     assert html_text.extract(PLAIN_PAGE) == "Start\nAbout us\n" + want + "\nImprint\nTerms of use"
-    assert html_text.extract(marked) == "Home, or not.\nText of the article, and so on.\nEnd.\nBuy this, now!"
+    assert html_text.extract(marked) == "Text of the article, and so on.\nBuy this, now!\nEnd."
     monkeypatch.setattr(html_text, "content_paths", lambda scores, of: scores < 0)
     assert html_text.extract(PLAIN_PAGE) == html_text.extract(marked) == ""
 
 
+def test_html_threshold_decides_on_marked_pages(spark, monkeypatch):
+    # Turned round, the threshold takes the article away on nearly every page of the table, all of which have semantic tags.
+    pages = [r["html"] for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect()]
+    right, content_paths = [html_text.extract(p) for p in pages], html_text.content_paths
+    monkeypatch.setattr(html_text, "content_paths", lambda scores, of: ~content_paths(scores, of))
+    assert sum(html_text.extract(p) != t for p, t in zip(pages, right, strict=True)) > 0.9 * len(pages)
+
+
+def test_html_keeps_whole_articles():
+    a, b = "The committee met on Tuesday to discuss the budget, and agreed on most of its points.", "Members said, after hours of talks, that the plan would be sent to the council in May."
+    p, q = f"<p>{a}</p>", f"<p>{b}</p>"
+    cases = {
+        f"<form action=x><input name=q>{p}{q}</form>": (a, b),
+        f"<a href=#c>Skip to content</a><div class=has-sidebar>{p}{q}<div class=sidebar>Side text.</div></div>": (a, b),
+        f"<h1>Title</h1><form><input>{p}{q}</form>": ("Title", a, b),
+        f"<div id=content><h1>Title</h1>{p}{q}{p}</div><article class=card><p>Read on, now.</p></article>": ("Title", a, b, a),
+        f"<article>{p}<p id=market-share>Its share rose, to 10 per cent.</p><p class=popular>It is popular.</p>{q}</article>": (a, "Its share rose, to 10 per cent.", "It is popular.", b),
+        f"<main><section id=intro><h2>Intro</h2>{p}</section><section id=discussion><h2>Discussion</h2>{q}</section><section id=related-work><h2>Related work</h2>{p}</section></main>": ("Intro", a, "Discussion", b, "Related work", a),
+        f"<article>{p}<div class=discussion>{q}</div></article>": (a, b),
+        f"<article><div class=post-header><h1>Title</h1><p>A lead, in short.</p></div>{p}{q}</article>": ("Title", "A lead, in short.", a, b),
+        f"<article>{p}<aside class=pullquote>Most of its points, he said.</aside>{q}</article>": (a, "Most of its points, he said.", b),
+        f"<article>{p}<fieldset><legend>Facts</legend>Population: 1,000.</fieldset>{q}</article>": (a, "Facts", "Population: 1,000.", b),
+        # What is none of it, in the midst of an article.
+        f"<article><h1>Title</h1><div class=share><a href=x>Share</a> <a href=y>Post</a></div>{p}{q}<ul class=related><li><a href=z>Other one</a></ul><div class=ad>Buy, now!</div><form>Mail: <input></form></article>": ("Title", a, b),
+        f"<article>{p}{q}<section class=comments>{p}{p}{p}</section></article><div hidden>{p}</div><footer>{p}</footer>": (a, b),
+    }
+    for page, want in cases.items():
+        assert html_text.extract(f"<html><body>{page}</body></html>") == "\n".join(want)
+
+
+def html_by_brute_force(page):
+    """Scores and choice over a parsed page, each from its definition: no sums are shared, and every element looks at every block."""
+    up = [[e] for e in range(len(page.tag))]
+    for e in range(1, len(page.tag)):
+        up[e] = [e, *up[page.parent[e]]]
+    inside = lambda e, i: i in up[e]
+    H = html_text
+    headed = lambda i: any(page.tag[e] == "h1" and inside(e, i) for e in range(len(page.tag)))
+    named = [H.PLAIN if m in (H.COMMENTS, H.DOUBTFUL) and headed(i) else m for i, m in enumerate(page.marked)]
+    unseen = [any(named[i] >= H.COMMENTS for i in up[e]) for e in range(len(page.tag))]
+    plain = [(e, max(0, len(t) - links)) for e, t, links in page.blocks if not unseen[e]]
+    total = sum(n for _, n in plain)
+    for i in range(1, len(page.tag)):
+        if named[i] == H.PLAIN and page.tag[i] in ("form", "fieldset") and any(page.controls[e] and inside(e, i) for e in range(len(page.tag))):
+            named[i] = H.OTHER
+        if named[i] < H.STRUCTURE and 2 * sum(n for e, n in plain if inside(e, i)) > total:
+            named[i] = H.PLAIN
+    mark = [max(named[i] for i in up[e]) for e in range(len(page.tag))]
+    keys = [(tuple(page.path[i] for i in up[e]), H.PRIOR[mark[e]]) for e, _, _ in page.blocks]
+    same = lambda k: [j for j in range(len(keys)) if keys[j] == keys[k]]
+    text = [sum(max(0, len(page.blocks[j][1]) - page.blocks[j][2]) for j in same(k)) / len(same(k)) for k in range(len(keys))]
+    if not any(t * keys[k][1] for k, t in enumerate(text)):
+        text = [sum(len(page.blocks[j][1]) for j in same(k)) / len(same(k)) for k in range(len(keys))]
+    points = [sum(sum(page.blocks[j][1].count(c) for c in ".,;:!?") for j in same(k)) / len(same(k)) for k in range(len(keys))]
+    smooth = lambda x, k: 0.25 * x[max(0, k - 1)] + 0.5 * x[k] + 0.25 * x[min(len(x) - 1, k + 1)]
+    fused = [smooth(text, k) * (0.5 + math.sqrt(smooth(points, k))) * keys[k][1] for k in range(len(keys))]
+    score = [sum(fused[j] for j in same(k)) / len(same(k)) for k in range(len(keys))]
+    mean = sum(score) / len(score)
+    least = min(math.sqrt(sum((x - mean) ** 2 for x in score) / len(score)), max(score) / 2)
+    return mark, score, [x >= least and x > 0 for x in score]
+
+
+def test_html_scores_and_choice_by_brute_force():
+    rng, chosen_some = random.Random(17), 0
+
+    def tree(depth):
+        out = []
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(["div", "section", "p", "ul", "form", "nav", "article", "h1"])
+            name = rng.choice(["", "", " class=ad", " class=related", " id=comments", " class='main text'"])
+            inner = rng.choice(["some words, and marks. " * rng.randint(1, 9), "<a href=/>link</a> ", "x", "a<input>b "]) if depth == 0 or tag in ("p", "h1") or rng.random() < 0.3 else tree(depth - 1)
+            out.append(f"<{tag}{name}>{inner}</{tag}>")
+        return "".join(out)
+
+    for _ in range(60):
+        page = html_text.read_page(tree(3))
+        mark, score, chosen = html_by_brute_force(page)
+        of, scores = html_text.path_scores(page, [html_text.PRIOR[m] for m in html_text.marks(page)])
+        assert html_text.marks(page) == mark and np.allclose(scores[of], score, rtol=1e-12)
+        if min(abs(x - y) for x in score for y in (max(score) / 2, np.std(score))) > 1e-9:  # none stands right at the threshold
+            assert html_text.content_paths(scores, of)[of].tolist() == chosen
+            chosen_some += 0 < sum(chosen) < len(chosen)
+        kept = html_text.selected(page, mark, chosen)
+        # The result holds the content of its container, and nothing that is marked and isn't content.
+        assert all(c or mark[e] in (html_text.PLAIN, html_text.DOUBTFUL) for (e, _, _), k, c in zip(page.blocks, kept, chosen, strict=True) if k)
+    assert chosen_some > 15
+
+
 def test_html_path_sums_by_brute_force():
     rng = random.Random(31)
 
