@@ -191,7 +191,9 @@ def embedding_dedup(
     label = quoted(label_col) if label_col else F.lit(0)
     rows = vectors.select(quoted(id_col).cast("long").alias("id"), quoted(vector_col).alias("vector"), label.alias("label"))
     good = rows.where(usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull())
-    reps = cut(good.groupBy("label", "vector").agg(F.min("id").alias("id"), F.count("*").alias("copies")).withColumn("dim", F.size("vector")), "distinct")
+    # Each distinct vector has a number of its own: rows of several may share an id.
+    reps = good.groupBy("label", "vector").agg(F.min("id").alias("name"), F.count("*").alias("copies"))
+    reps = cut(reps.withColumns({"dim": F.size("vector"), "id": F.monotonically_increasing_id()}), "distinct")
     most = reps.groupBy("label", "dim").agg(F.count("*").alias("n")).agg(F.max("n").alias("n")).first()["n"] or 0
     k, tables = plan(most, threshold, miss)
     coded = cut(_buckets(reps.select("id", "copies", "vector", "dim", F.xxhash64("label", "dim").alias("l")), k, tables, seed), "buckets")
@@ -208,16 +210,20 @@ def embedding_dedup(
     links = cut(_links(tiles, threshold), "links")
     found = components(links.select(F.col("id").alias("a"), F.col("low").alias("b")).where("a <> b").distinct())
     counts = links.groupBy("id").agg(F.sum("n").alias("n"))
-    tops = reps.select(F.col("id").alias("rep"), "copies", "vector", "label").join(counts.withColumnRenamed("id", "c_id"), F.col("rep") == F.col("c_id"), "left").join(
-        found.withColumnRenamed("id", "f_id"), F.col("rep") == F.col("f_id"), "left"
-    ).select("rep", "copies", "n", "component", F.col("vector").alias("r_vector"), F.col("label").alias("r_label"))
+    # A component goes by the smallest id of its vectors.
+    members = found.join(reps.select("id", "name"), "id")
+    smallest = members.groupBy("component").agg(F.min("name").alias("smallest"))
+    members = members.join(smallest, "component").select(F.col("id").alias("f_id"), F.col("smallest").alias("component"))
+    tops = reps.select(F.col("id").alias("rep"), "name", "copies", "vector", "label").join(counts.withColumnRenamed("id", "c_id"), F.col("rep") == F.col("c_id"), "left").join(
+        members, F.col("rep") == F.col("f_id"), "left"
+    ).select("name", "copies", "n", "component", F.col("vector").alias("r_vector"), F.col("label").alias("r_label"))
     drop_cut(coded)
     ok = usable(F.col("vector")) & F.col("label").isNotNull() & F.col("id").isNotNull()
     joined = rows.join(tops, ok & (F.col("label") == F.col("r_label")) & (F.col("vector") == F.col("r_vector")), "left")
     return joined.select(
         F.col("id").alias("vec_id"),
         F.coalesce(F.col("n") + F.col("copies") - 1, F.col("copies") - 1, F.lit(0)).cast("long").alias("n_links"),
-        F.coalesce("component", "rep", "id").alias("component_id"),
+        F.coalesce("component", "name", "id").alias("component_id"),
     ).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 

@@ -4,18 +4,19 @@ Leaves are runs of whole pre-tokens, cut where no edit elsewhere can undo the cu
 (see bpe.CUT); inner nodes hold the characters and tokens below. An edit re-encodes
 the leaves it touches, with a neighbour where it touches the cut itself, and
 corrects the sums on the way up; nothing else is encoded again. Trees are kept as
-two lists beside each text, the characters and tokens of its leaves: count_trees() makes them, later
+two lists beside each text, the characters and tokens of its leaves, with a digest of the text they are of: count_trees() makes them, later
 runs of edited_counts() take them up and return the new ones.
 """
 
 from __future__ import annotations
 
+import hashlib
 from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, IntegerType, LongType, StructField, StructType
 
 from .bpe import CUT, Codec, codec, default_vocabulary
 from .common import arrow_map, free, named, quoted, table
@@ -23,23 +24,35 @@ from .common import arrow_map, free, named, quoted, table
 RUN = 512
 
 
+def digest(text: str) -> int:
+    return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def _fits(kept: tuple | None, text: str) -> bool:
+    """Whether leaves are those of this very text: lists of one length, without holes, and the text's digest."""
+    if kept is None or len(kept) != 3 or any(x is None for x in kept):
+        return False
+    chars, tokens, of = kept
+    return of == digest(text) and len(chars) == len(tokens) and None not in chars and None not in tokens and sum(chars) == len(text)
+
+
 class CountTree:
     """Token counts of one document under edits."""
 
-    def __init__(self, text: str, bpe: Codec, run: int = RUN, kept: tuple[list[int], list[int]] | None = None):
-        """kept: characters and tokens of the leaves, as leaves() gave them for this text; then nothing is encoded."""
+    def __init__(self, text: str, bpe: Codec, run: int = RUN, kept: tuple | None = None):
+        """kept: what leaves() gave for this text; then nothing is encoded. Of another text, or damaged, it is left aside."""
         self._bpe, self._run = bpe, run
         self.encoded = 0  # characters encoded so far
-        if kept is None or sum(kept[0]) != len(text):
+        if not _fits(kept, text):
             self._build(self._cut(text))
         else:
             ends = list(accumulate(kept[0]))
             self._build([text[b - n : b] for b, n in zip(ends, kept[0], strict=True)], list(kept[1]))
 
-    def leaves(self) -> tuple[list[int], list[int]]:
-        """Characters and tokens of the leaves that hold text."""
+    def leaves(self) -> tuple[list[int], list[int], int]:
+        """Characters and tokens of the leaves that hold text, and the text's digest."""
         held = [i for i in range(self._n, 2 * self._n) if self._chars[i]]
-        return [self._chars[i] for i in held], [self._tokens[i] for i in held]
+        return [self._chars[i] for i in held], [self._tokens[i] for i in held], digest(self.text)
 
     def _cut(self, text: str) -> list[str]:
         parts, start = [], 0
@@ -143,15 +156,16 @@ def with_edits(docs: DataFrame, edits: DataFrame, id_col: str = "doc_id", to: st
     return rows.withColumn(to, F.transform(quoted(to), lambda e: F.struct(e["pos"].alias("pos"), e["drop"].alias("drop"), e["ins"].alias("ins"))))
 
 
-_LEAVES = ("leaf_chars", "leaf_tokens")
+_LEAVES = ("leaf_chars", "leaf_tokens", "leaf_digest")
+_TYPES = (ArrayType(IntegerType()), ArrayType(IntegerType()), LongType())
 
 
 def _leaf_columns(trees: list) -> list[pa.Array]:
-    return [pa.array(x, pa.list_(pa.int32())) for x in zip(*(t.leaves() for t in trees), strict=True)]
+    return [pa.array(x, t) for x, t in zip(zip(*(t.leaves() for t in trees), strict=True), (pa.list_(pa.int32()), pa.list_(pa.int32()), pa.int64()), strict=True)]
 
 
 def count_trees(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text") -> DataFrame:
-    """docs with the trees of their texts: leaf_chars and leaf_tokens, arrays of int; columns of these names are replaced. Null text has no leaf. An empty table gives an empty one."""
+    """docs with the trees of their texts: leaf_chars and leaf_tokens, arrays of int, and leaf_digest, a long; columns of these names are replaced. Null text has no leaf. An empty table gives an empty one."""
     vocabulary = vocabulary or default_vocabulary()
     kept = docs.select(*named(docs, *_LEAVES))
 
@@ -164,7 +178,7 @@ def count_trees(docs: DataFrame, vocabulary: str | None = None, text_col: str =
 
         return f
 
-    schema = StructType([*kept.schema, *(StructField(c, ArrayType(IntegerType())) for c in _LEAVES)])
+    schema = StructType([*kept.schema, *(StructField(c, t) for c, t in zip(_LEAVES, _TYPES, strict=True))])
     return arrow_map(kept, make, schema, text_col)
 
 
@@ -172,14 +186,14 @@ def edited_counts(trees: DataFrame, vocabulary: str | None = None, id_col: str =
     """Token counts before and after the edits of each row's column `edits_col` (array of pos, drop, ins).
 
     Returns id, n_edits, n_tokens, n_tokens_after, n_chars_after, n_encoded (characters
-    encoded for the edits) and, if asked for, text, leaf_chars and leaf_tokens as they are after the edits: trees for the next ones. Rows without leaves that fit
-    their text (of count_trees()) get a tree first. Edits apply in
+    encoded for the edits) and, if asked for, text and leaves as they are after the edits: trees for the next ones. Rows whose leaves aren't those of their text get
+    a new tree first: where there are none, where the text has changed since (to one of the same length, too), and where they are damaged. Edits apply in
     order, each to the text as it then is; positions and lengths in code points are
     held within it, null ones count as 0 and null insertions as empty. Null text is
     empty; null edits are none. Rows that repeat stay. An empty table gives an empty one. Only
     the named columns and leaves are read."""
     vocabulary = vocabulary or default_vocabulary()
-    leaves = [quoted(c) if c in trees.columns else F.lit(None).cast("array<int>").alias(c) for c in _LEAVES]
+    leaves = [quoted(c) if c in trees.columns else F.lit(None).cast(t).alias(c) for c, t in zip(_LEAVES, _TYPES, strict=True)]
     kept = trees.select(quoted(id_col).alias("doc_id"), quoted(text_col).alias("text"), quoted(edits_col).alias("edits"), *leaves)
     names = ["n_edits", "n_tokens", "n_tokens_after", "n_chars_after", "n_encoded"]
 
@@ -188,8 +202,8 @@ def edited_counts(trees: DataFrame, vocabulary: str | None = None, id_col: str =
 
         def f(batch):
             rows, after = [], []
-            for text, edits, chars, tokens in zip(*(batch.column(c).to_pylist() for c in ("text", "edits", *_LEAVES)), strict=True):
-                tree = CountTree(text or "", bpe, kept=None if chars is None or tokens is None else (chars, tokens))
+            for text, edits, *leaves in zip(*(batch.column(c).to_pylist() for c in ("text", "edits", *_LEAVES)), strict=True):
+                tree = CountTree(text or "", bpe, kept=tuple(leaves))
                 before, done = tree.tokens, tree.encoded
                 for e in edits or ():
                     if e:
@@ -203,7 +217,7 @@ def edited_counts(trees: DataFrame, vocabulary: str | None = None, id_col: str =
 
         return f
 
-    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", text string, leaf_chars array<int>, leaf_tokens array<int>" * with_text
+    schema = f"doc_id {kept.schema['doc_id'].dataType.simpleString()}, " + ", ".join(f"{x} long" for x in names) + ", text string, leaf_chars array<int>, leaf_tokens array<int>, leaf_digest long" * with_text
     return arrow_map(kept, make, schema, "text")
 
 

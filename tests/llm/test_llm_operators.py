@@ -49,6 +49,11 @@ def test_embedding_dedup_by_brute_force(spark):
     for i in (900, 901, 902, 903, 904, 905, 907):
         assert (got[i]["n_links"], got[i]["component_id"], got[i]["kept"]) == (0, i, True)
     assert embedding_dedup.embedding_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").limit(0)).count() == 0
+    # Rows that share an id are vectors of their own: each has its own links.
+    e = lambda *v: [float(a) for a in v]
+    pairs = [(1, e(1, 0, 0), 0), (1, e(0, 1, 0), 0), (2, e(1, 0.01, 0), 0), (3, e(0.01, 1, 0), 0), (4, e(0, 0, 1), 0), (4, e(0, 0, 2), 0)]
+    found = embedding_dedup.embedding_dedup(spark.createDataFrame(pairs, "vec_id long, embedding array<double>, label int")).collect()
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in found) == [(1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 1, 4), (4, 1, 4)]
     # One vector of another length, under the smallest id, takes nothing from the others; two such link.
     more = [*rows, (-3, [1.0, 2.0, 3.0], 0), (-2, [1.0, 2.0, 3.01], 0), (-1, [5.0], None)]
     again = {r["vec_id"]: r for r in embedding_dedup.embedding_dedup(spark.createDataFrame(more, "vec_id long, embedding array<float>, label int")).collect()}
@@ -172,14 +177,19 @@ def test_kept_trees_are_taken_up(spark):
     edits = lambda at: spark.createDataFrame([(0, 1, at, 5, "others")], "doc_id long, seq int, pos long, drop long, ins string")
     kept = token_counts.count_trees(docs(spark, [text, None]))
     first = token_counts.edited_counts(token_counts.with_edits(kept, edits(6000)), with_text=True)
-    again = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.with_edits(first.select("doc_id", "text", "leaf_chars", "leaf_tokens"), edits(90))).collect()}
+    again = {r["doc_id"]: r for r in token_counts.edited_counts(token_counts.with_edits(first.select("doc_id", "text", "leaf_chars", "leaf_tokens", "leaf_digest"), edits(90))).collect()}
     want = text[:6000] + "others" + text[6005:]
     assert again[0]["n_tokens"] == len(reference_ids(want)) and again[0]["n_tokens_after"] == len(reference_ids(want[:90] + "others" + want[95:])) and again[1]["n_tokens_after"] == 0
     tree = token_counts.CountTree(want, bpe.codec(bpe.default_vocabulary()), kept=token_counts.CountTree(want, bpe.codec(bpe.default_vocabulary())).leaves())
     assert tree.encoded == 0 and tree.tokens == len(reference_ids(want)) and tree.text == want
     assert 0 < again[0]["n_encoded"] < 3000
-    # Leaves of another text aren't taken.
-    assert token_counts.CountTree("short", bpe.codec(bpe.default_vocabulary()), kept=([900], [3])).tokens == len(reference_ids("short"))
+    # Leaves of another text aren't taken, also where it is as long.
+    stale = token_counts.edited_counts(token_counts.with_edits(kept.withColumn("text", F.translate("text", "o", "7")), edits(90))).where("doc_id = 0").first()
+    assert stale["n_tokens"] == len(reference_ids(text.replace("o", "7"))) and stale["n_tokens_after"] == len(reference_ids(text.replace("o", "7")[:90] + "others" + text.replace("o", "7")[95:]))
+    own = bpe.codec(bpe.default_vocabulary())
+    whole, _, of = token_counts.CountTree("short", own).leaves()
+    for kept in (([900], [3]), ([900], [3], of), (whole, [7, 1], of), (whole, [None], of), (None, [1], of), (whole, [9], None), (whole, [9], of + 1)):
+        assert token_counts.CountTree("short", own, kept=kept).tokens == len(reference_ids("short"))
 
 
 def test_the_registered_edits_on_a_fixture(spark):
