@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
+from .entities import unescape
 
 
 def _or_empty(c: Column) -> Column:
@@ -68,8 +69,8 @@ def normal(c: Column) -> Column:
 
 
 def clean_comment(comment: Column) -> Column:
-    """Without tags, section marks and links; entities are left to the callers' Python side."""
-    out = F.regexp_replace(_or_empty(comment), P.TAG, " ")
+    """Decoded, without tags, section marks and links."""
+    out = F.regexp_replace(unescape(_or_empty(comment)), P.TAG, " ")
     out = F.regexp_replace(out, r"/\*.*?\*/", " ")
     out = F.regexp_replace(out, r"\[\[[^\]]+\]\]", " ")
     return F.btrim(F.regexp_replace(out, r"(?U)\s+", " "), F.lit(" -:"))
@@ -86,7 +87,7 @@ def is_cleanup(comment: Column) -> Column:
 
 
 def is_generated(comment: Column) -> Column:
-    return _found(F.regexp_replace(_or_empty(comment), P.TAG, " "), P.GENERATED) | _found(clean_comment(comment), P.GENERATED)
+    return _found(F.regexp_replace(unescape(_or_empty(comment)), P.TAG, " "), P.GENERATED) | _found(clean_comment(comment), P.GENERATED)
 
 
 def has_substance(comment: Column) -> Column:
@@ -104,8 +105,8 @@ def first_shot(comment: Column) -> Column:
 
 
 def clean_wikitext(text: Column) -> Column:
-    """Plain text of wikitext whose entities are decoded already."""
-    out = F.regexp_replace(_or_empty(text), P.REF, " ")
+    """Plain text of wikitext, its entities decoded."""
+    out = F.regexp_replace(unescape(_or_empty(text)), P.REF, " ")
     out = F.regexp_replace(out, P.TEMPLATE, " ")
     out = F.regexp_replace(out, P.WIKILINK, "$1")
     out = F.regexp_replace(out, P.SECTION, " $1. ")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import html
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -124,17 +123,13 @@ def talk_evidence(talk: DataFrame, page_terms: DataFrame, keys: list[str], order
     only sentences meet those of the revision before."""
     ship_package(talk.sparkSession)
 
-    @F.pandas_udf("string")
-    def decoded(text: pd.Series) -> pd.Series:
-        return text.map(html.unescape, na_action="ignore")
-
     @F.pandas_udf("array<int>")
     def places(before: pd.Series, after: pd.Series) -> pd.Series:
         return pd.Series([added(list(a), list(b)) for a, b in zip(before, after, strict=True)])
 
     by = Window.partitionBy(*keys).orderBy(*order)
     c = clean_comment(F.col("comment"))
-    rows = talk.select(*keys, *[x for x in order if x not in keys], "user_text", c.alias("said"), first_sentence(F.col("comment")).alias("spare"), talk_sentences(clean_wikitext(decoded("content"))).alias("sentences"))
+    rows = talk.select(*keys, *[x for x in order if x not in keys], "user_text", c.alias("said"), first_sentence(F.col("comment")).alias("spare"), talk_sentences(clean_wikitext(F.col("content"))).alias("sentences"))
     rows = rows.withColumn("before", F.coalesce(F.lag("sentences").over(by), F.array().cast("array<string>"))).withColumn("is_last", F.lead(order[-1]).over(by).isNull()).join(page_terms, keys, "left")
     new = F.transform(places(F.transform("before", normal), F.transform("sentences", normal)), lambda i: F.get("sentences", i))
     rows = rows.withColumn("new", new).withColumn("new", F.when((F.size("new") == 0) & (F.col("said") != ""), F.array("spare")).otherwise(F.col("new")))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from .. import adapters as A
 from ..functions import patterns as P
 from ..functions import text as T
+from ..functions.entities import unescape_sql
 from ..functions.scores import severity
 from ..operators import evidence as ev
 from ..operators import graph, lookups, windows
@@ -143,12 +144,22 @@ def revert_detection(spark, sf: str) -> DataFrame:
     return event_source.revert_signals(e).select("rev_id", "detector", "confidence", "reverted_user", F.coalesce("reverted_rev_id", F.lit(-1)).alias("reverted_rev_id"))
 
 
-@query("comment_rules", r"""
- SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '<[^>]+>', ' ', 'g'), '/\*.*?\*/', ' ', 'g'), '\[\[[^\]]+\]\]', ' ', 'g'), '\s+', ' ', 'g'), ' -:') AS cleaned,
-   regexp_matches(coalesce(text, ''), '\b(vandal(ism|s)?|rvv|graffiti|blank(ing|ed)?|test edit|nonsense|spam|hoax|unconstructive)\b', 'i') AS cleanup FROM conversations""")
+#: Texts of conversations as comments: of every second turn the points and commas are character references.
+_COMMENTS = "(SELECT conv_id, turn, CASE WHEN turn % 2 = 0 THEN replace(replace(coalesce(text, ''), '.', '&period;'), ',', '&#44') ELSE coalesce(text, '') END AS raw FROM conversations)"
+_DECODED = f"(SELECT *, {unescape_sql('raw')} AS c FROM {_COMMENTS})"
+
+
+def _comments(spark, sf: str) -> DataFrame:
+    text = F.coalesce("text", F.lit(""))
+    coded = F.replace(F.replace(text, F.lit("."), F.lit("&period;")), F.lit(","), F.lit("&#44"))
+    return A.read(spark, sf, "conversations").select("conv_id", "turn", F.when(F.col("turn") % 2 == 0, coded).otherwise(text).alias("text"))
+
+
+@query("comment_rules", rf"""
+ SELECT conv_id, turn, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(c, '<[^>]+>', ' ', 'g'), '/\*.*?\*/', ' ', 'g'), '\[\[[^\]]+\]\]', ' ', 'g'), '\s+', ' ', 'g'), ' -:') AS cleaned,
+   regexp_matches(raw, '\b(vandal(ism|s)?|rvv|graffiti|blank(ing|ed)?|test edit|nonsense|spam|hoax|unconstructive)\b', 'i') AS cleanup FROM {_DECODED}""")
 def comment_rules(spark, sf: str) -> DataFrame:
-    c = A.read(spark, sf, "conversations")
-    return c.select("conv_id", "turn", T.clean_comment(F.col("text")).alias("cleaned"), T.is_cleanup(F.col("text")).alias("cleanup"))
+    return _comments(spark, sf).select("conv_id", "turn", T.clean_comment(F.col("text")).alias("cleaned"), T.is_cleanup(F.col("text")).alias("cleanup"))
 
 
 def _q(pattern: str) -> str:
@@ -163,17 +174,17 @@ _SUBSTANCE = lambda c: (
 )
 
 
-@query("first_shots", rf"""WITH a AS (SELECT conv_id, turn, coalesce(text, '') AS c FROM conversations), b AS (SELECT *, {_CLEANED("c")} AS cleaned FROM a),
+@query("first_shots", rf"""WITH a AS {_DECODED}, b AS (SELECT *, {_CLEANED("c")} AS cleaned FROM a),
  s AS (SELECT *, CASE WHEN regexp_matches(cleaned, '.{{12,240}}?[.!?](\s|$)') THEN trim(regexp_extract(cleaned, '(.{{12,240}}?[.!?])(\s|$)', 1)) ELSE trim(substr(cleaned, 1, 240)) END AS sentence FROM b)
- SELECT conv_id, turn, sentence, {_GENERATED("c")} OR regexp_matches(cleaned, {_q(P.GENERATED)}) AS generated, {_SUBSTANCE("c")} AS substance,
+ SELECT conv_id, turn, sentence, {_GENERATED("c")} OR regexp_matches(cleaned, {_q(P.GENERATED)}) AS generated, {_SUBSTANCE("raw")} AS substance,
    CASE WHEN sentence <> '' AND NOT regexp_matches(sentence, {_q(P.CLEANUP)}) AND NOT {_GENERATED("c")} AND NOT regexp_matches(cleaned, {_q(P.GENERATED)}) AND NOT {_GENERATED("sentence")} AND {_SUBSTANCE("sentence")} THEN sentence ELSE '' END AS shot FROM s""")
 def first_shots(spark, sf: str) -> DataFrame:
-    c = A.read(spark, sf, "conversations")
+    c = _comments(spark, sf)
     return c.select("conv_id", "turn", T.first_sentence(F.col("text")).alias("sentence"), T.first_shot(F.col("text")).alias("shot"), T.is_generated(F.col("text")).alias("generated"), T.has_substance(F.col("text")).alias("substance"))
 
 
-@query("plain_wikitext", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), {_q(P.REF)}, ' ', 'g'),
-   {_q(P.TEMPLATE)}, ' ', 'g'), {_q(P.WIKILINK)}, '\\1', 'g'), {_q(P.SECTION)}, ' \\1. ', 'g'), '<[^>]+>', ' ', 'g'), repeat(chr(39), 3), ''), repeat(chr(39), 2), ''), 'https?://\\S+', ' ', 'g'), '[\\[\\]{{}}|=*#_:;]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM pages""")
+@query("plain_wikitext", f"""SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(replace(replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, {_q(P.REF)}, ' ', 'g'),
+   {_q(P.TEMPLATE)}, ' ', 'g'), {_q(P.WIKILINK)}, '\\1', 'g'), {_q(P.SECTION)}, ' \\1. ', 'g'), '<[^>]+>', ' ', 'g'), repeat(chr(39), 3), ''), repeat(chr(39), 2), ''), 'https?://\\S+', ' ', 'g'), '[\\[\\]{{}}|=*#_:;]', ' ', 'g'), '\\s+', ' ', 'g')) AS text FROM (SELECT page_id, {unescape_sql("coalesce(html, '')")} AS html FROM pages)""")
 def plain_wikitext(spark, sf: str) -> DataFrame:
     return A.read(spark, sf, "pages").select("page_id", T.clean_wikitext(F.col("html")).alias("text"))
 
