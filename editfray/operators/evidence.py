@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 
+from collections.abc import Iterator
+
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import patterns as P
-from ..functions.diff import added, changed_segments
+from ..functions.diff import Side, added, changed
 from ..functions.scores import battle_score
 from ..functions.text import clean_comment, clean_wikitext, first_sentence, first_shot, is_cleanup, is_graffiti, is_revert_like, normal, talk_sentences
 from ..shipping import ship_package
+from ..tables import cut
 from .evidence_rows import chosen
 from .lookups import adjacent
 
@@ -19,18 +25,77 @@ _TEXTS = ("segment", "changed_text", "highlight_before", "highlight_after", "con
 SEGMENT = ", ".join(f"{c}: string" for c in (*_TEXTS, "key")) + ", swap_values: array<string>, changed_word_count: long"
 
 
-def pair_segments(revisions: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
-    """revisions: keys, order, rev_id, user_text, comment, tags, content. A row for each change of each adjacent pair, with its place."""
-    ship_package(revisions.sparkSession)
+def _aligned(rows: DataFrame, by: list[str], names: list[str], ends: bool) -> DataFrame:
+    """Rows as they stand sorted, each with the changes (found) from the one before it that has the same `by`, and whose user and comment that has. A revision's words are found
+    once, for both its pairs, and one revision is held at a time.
+
+    With `ends`, the first and the last of a group keep their content, and say so in `end` (1, 2; 3 for both): what stands beside the next group. Without, only the first ones of
+    groups (end 1 and 3) are aligned, and none keeps it."""
+    kept = pa.schema([(f.name, to_arrow_type(f.dataType)) for f in rows.schema if f.name in names])
+    found_type, out_names = to_arrow_type(T.ArrayType(T._parse_datatype_string(f"struct<{SEGMENT}>"))), [*names, "prev_user", "prev_comment", "found", "content", "end"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # The row before: its key, side and texts, and the batch and place of the output it still lacks an end in.
+        key, side, user, comment = None, None, None, None
+        late: list | None = None
+
+        def batch_of(lines: list) -> pa.RecordBatch:
+            columns = list(zip(*lines, strict=True))
+            arrays = [pa.array(c, kept.field(n).type) for n, c in zip(names, columns, strict=False)]
+            arrays += [pa.array(c, t) for c, t in zip(columns[len(names) :], (pa.string(), pa.string(), found_type, pa.string(), pa.int32()), strict=True)]
+            return pa.RecordBatch.from_arrays(arrays, out_names)
+
+        def full(line: list) -> bool:
+            return bool(line[-3]) or line[-1] > 0
+
+        for batch in batches:
+            out: list[list] = []
+            columns = {n: batch.column(n).to_pylist() for n in {*names, *by, "content", *(() if ends else ("end",))}}
+            for k in range(batch.num_rows):
+                now = tuple(columns[c][k] for c in by)
+                begins, content = now != key, columns["content"][k]
+                wanted, new = not begins and (ends or columns["end"][k] in (1, 3)), content
+                if wanted:  # a text that nothing stands beside is never taken apart
+                    side, new = side if isinstance(side, Side) else Side(side), Side(content)
+                line = [*(columns[c][k] for c in names), user if wanted else None, comment if wanted else None, changed(side, new) if wanted else [], content if ends else None, int(ends and begins)]
+                if late is not None:
+                    if ends and begins:
+                        late[-1] += 2
+                    if late[-1] == 0:
+                        late[-2] = None
+                    if full(late):
+                        out.append(late)
+                key, side, user, comment, late = now, new, columns["user_text"][k], columns["comment"][k], line
+                if len(out) >= 200:
+                    yield batch_of(out)
+                    out = []
+            if out:
+                yield batch_of(out)
+        if late is not None:
+            late[-1] += 2 * ends
+            if full(late):
+                yield batch_of([late])
+
+    fields = [rows.schema[n] for n in names]
+    schema = T.StructType([*fields, *(T.StructField(c, T.StringType()) for c in ("prev_user", "prev_comment")), T.StructField("found", T.ArrayType(T._parse_datatype_string(f"struct<{SEGMENT}>"))), T.StructField("content", T.StringType()), T.StructField("end", T.IntegerType())])
+    return rows.mapInArrow(run, schema)
 
-    @F.pandas_udf(f"array<struct<{SEGMENT}>>")
-    def changes(before: pd.Series, after: pd.Series) -> pd.Series:
-        return pd.Series([changed_segments(a, b) for a, b in zip(before, after, strict=True)])
 
-    pairs = adjacent(revisions, keys, order, ["user_text", "comment", "content"])
-    rows = pairs.withColumn("found", changes(F.col("prev.content"), F.col("content"))).withColumn("is_revert", is_revert_like(F.col("tags"), F.col("comment")))
-    rows = rows.drop("content").select("*", F.posexplode("found").alias("pos", "s"))
-    return rows.select(*keys, *[c for c in order if c not in keys], "rev_id", "user_text", "comment", "is_revert", F.col("prev.user_text").alias("prev_user"), F.col("prev.comment").alias("prev_comment"), "pos", "s.*")
+def pair_segments(revisions: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:
+    """revisions: keys, order (a time first), rev_id, user_text, comment, tags, content. A row for each change of each adjacent pair, with its place.
+
+    A page's revisions stream, sorted, through a task for each of its years: each text is shuffled once, and aligned with the one before it. What stands at the ends of years
+    meets in a second pass over these rows alone."""
+    ship_package(revisions.sparkSession)
+    rest = [c for c in order if c not in keys]
+    names = [*keys, *rest, *[c for c in ("rev_id", "user_text", "comment") if c not in (*keys, *rest)], "is_revert"]
+    rows = revisions.withColumn("is_revert", is_revert_like(F.col("tags"), F.col("comment"))).select(*names, "content", F.year(order[0]).alias("__year"))
+    dealt = rows.repartition(*keys, "__year").sortWithinPartitions(*keys, "__year", *order)
+    within = cut(_aligned(dealt, [*keys, "__year"], names, ends=True), "aligned")
+    ends = within.where("end > 0").drop("found", "prev_user", "prev_comment")
+    across = _aligned(ends.repartition(*keys).sortWithinPartitions(*keys, *order), keys, names, ends=False)
+    found = within.where("size(found) > 0").unionByName(across)
+    return found.select(*keys, *rest, *[c for c in ("rev_id", "user_text", "comment") if c not in (*keys, *rest)], "is_revert", "prev_user", "prev_comment", F.posexplode("found").alias("pos", "s")).select("*", "s.*").drop("s")
 
 
 def segment_stats(found: DataFrame, keys: list[str], order: tuple[str, ...]) -> DataFrame:

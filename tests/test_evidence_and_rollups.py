@@ -83,7 +83,7 @@ def test_graffiti_in_both_forms(spark):
 
 
 def test_title_words_across_of():
-    side = diff._Side("The Great King of Northern Lands went home")
+    side = diff.Side("The Great King of Northern Lands went home")
     assert side.widened(3, 4) == (3, 4)
     w = side.words.index("of")
     assert side.widened(w + 1, w + 2) == (0, w + 2) and side.widened(w - 1, w) == (w - 1, w + 3)

@@ -1,9 +1,15 @@
 """Text rules and scores against cases worked out by hand."""
 
+import html
+import random
+import time
+from difflib import SequenceMatcher
+from html.entities import html5
+
 import pytest
 from pyspark.sql import functions as F
 
-from editfray.functions import diff, scores
+from editfray.functions import align, diff, entities, scores
 from editfray.functions import text as T
 from editfray.operators import evidence
 
@@ -76,3 +82,40 @@ def test_talk_sentences(spark):
 
     assert matched("We need consensus") == [[]]
     assert matched("a reliable Source", "source") == [["source"]] and matched("a reliable source") == []
+
+
+def test_alignment_is_that_of_longest_blocks():
+    # The same steps as the standard library's matcher, on random lists of few and many words.
+    rng = random.Random(3)
+    for _ in range(10_000):
+        words = "abcdefghij"[: rng.randint(1, 10)]
+        a = [rng.choice(words) for _ in range(rng.randrange(30))]
+        b = a[:] if rng.random() < 0.5 else [rng.choice(words) for _ in range(rng.randrange(30))]
+        for _ in range(rng.randrange(6) if b else 0):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randrange(4)] = [rng.choice(words) for _ in range(rng.randrange(3))]
+        want = [(w, x, y, z) for kind, w, x, y, z in SequenceMatcher(None, a, b, autojunk=False).get_opcodes() if kind != "equal"]
+        assert list(align.changes(a, b)) == want
+
+
+def test_alignment_of_a_rewritten_text_is_fast():
+    rng = random.Random(4)
+    a, b = ([f"w{int(rng.paretovariate(1)) % 3000}" for _ in range(20_000)] for _ in range(2))
+    began = time.process_time()
+    assert len(list(align.changes(a, b))) > 100
+    assert time.process_time() - began < 10
+
+
+def test_entities_as_the_standard_library_decodes_them(spark):
+    rng, names = random.Random(1), sorted(html5)
+
+    def piece():
+        numbers = [0, 13, 65, 128, 150, 233, 0xD800, 0x110000, 0x1F600, 0xFFFE, 0xFDD0, 1, 11, 10**12]
+        return rng.choice([
+            f"&{rng.choice(names)}", f"&{rng.choice(names)[:-1]}", f"&#{rng.choice(numbers)};", f"&#x{rng.choice(numbers):x}", "&#xZ;", "&", "&amp", "&notit;", "& amp;", "text ", "é;", "&" + "a" * 40, "&#00000000000065;", "&&lt;", "&amp;lt;",
+        ])
+
+    texts = ["".join(piece() for _ in range(rng.randrange(8))) for _ in range(3000)]
+    rows = spark.createDataFrame(list(enumerate([*texts, None])), "i int, t string")
+    got = {r["i"]: r["u"] for r in rows.select("i", entities.unescape(F.col("t")).alias("u")).collect()}
+    assert [got[i] for i in range(3000)] == [html.unescape(t) for t in texts] and got[3000] is None
