@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Sequence
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..tables import cut
+
 
 def shards_of(ids: DataFrame, shards: DataFrame, id_col: str = "page_id") -> DataFrame:
     """id and the first shard (by start, then file name) whose range start_id..end_id holds it. shards is a listing of files.
@@ -34,6 +38,20 @@ def first_hits(rows: DataFrame, wanted: DataFrame, key: str, value: str, *order:
     return rows.join(wanted.select(key).distinct(), key, "left_semi").groupBy(key).agg(F.min_by(value, F.struct(*order)).alias(value))
 
 
+def first_hits_in_waves(wanted: DataFrame, units: Sequence[str], read: Callable[[list[str]], DataFrame], key: str, value: str, *order: str, wave: int = 1) -> DataFrame:
+    """first_hits() over units that are read in their order, a few at a time, twice as many each time: what is found is no longer wanted, and when nothing is, no more is read.
+
+    A key's row comes from the first wave that has one; `order` decides in a wave, so it begins with what the units are ordered by."""
+    left, found = cut(wanted.select(key).distinct(), "wanted"), None
+    todo = list(units)
+    while todo and not left.isEmpty():
+        now, todo, wave = todo[:wave], todo[wave:], 2 * wave
+        hits = cut(first_hits(read(now), left, key, value, *order), "hits")
+        found = hits if found is None else found.unionByName(hits)
+        left = cut(left.join(hits, key, "left_anti"), "wanted")
+    return found if found is not None else left.withColumn(value, F.lit(None))
+
+
 def adjacent(revisions: DataFrame, keys: list[str], order: tuple[str, ...], columns: list[str]) -> DataFrame:
     """Each revision with `columns` of the one before it; the first has none and is left out."""
     by = Window.partitionBy(*keys).orderBy(*order)

@@ -93,6 +93,18 @@ def missing_talk(rows: DataFrame, talk: DataFrame) -> DataFrame:
     return rows.join(talk.select("page_id").distinct(), "page_id", "left_anti")
 
 
+def talk_page_ids(spark: SparkSession, files: DataFrame, wanted: DataFrame, wave: int = 1) -> DataFrame:
+    """title and talk_page_id of the wanted pages (page_title) from history files (name, partition), in the order of their partitions: those after the last one that is found aren't opened."""
+    listed = [(r["partition"], r["name"]) for r in files.orderBy("partition", "name").select("partition", "name").collect()]  # names of files, not their rows
+    titles = wanted.select(T.history_title(F.col("page_title")).alias("title"))
+
+    def read(names: list[str]) -> DataFrame:
+        rows = history_rows.read(spark, names).where("namespace = 1")
+        return rows.select(T.history_title(F.col("page_title")).alias("title"), F.col("page_id").alias("talk_page_id"), *ORDER)
+
+    return lookups.first_hits_in_waves(titles, [name for _, name in listed], read, "title", "talk_page_id", *ORDER, wave=wave)
+
+
 def merged_revisions(*lists: DataFrame) -> DataFrame:
     """Revisions of several shards as one table, each once."""
     out = lists[0]

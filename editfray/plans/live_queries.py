@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +15,7 @@ from ..operators import graph, lookups, windows
 from ..operators.windows import PAGE
 from ..sources import events as event_source
 from ..sources import history_rows
+from ..tables import cut
 
 QUERIES, ORACLES = {}, {}
 
@@ -284,7 +284,7 @@ def changed_segments(spark, sf: str) -> DataFrame:
 
 def _stats(spark, sf: str) -> DataFrame:
     # Three aggregates read the changes: texts are aligned once.
-    found = ev.pair_segments(revisions(spark, sf), ["page_id"], ("ts", "rev_id")).persist(StorageLevel.DISK_ONLY)
+    found = cut(ev.pair_segments(revisions(spark, sf), ["page_id"], ("ts", "rev_id")), "changes")
     return ev.segment_stats(found, ["page_id"], ("ts", "rev_id"))
 
 

@@ -85,13 +85,3 @@ def segments(payloads: DataFrame, states: DataFrame, wiki: str, page_id: int, pe
     none = state.select("period", F.lit(wiki).alias("wiki"), F.lit(page_id).cast("long").alias("page_id"), F.lit("local_evidence_missing").alias("source"), F.coalesce(message, F.lit("Evidence for this period hasn't been collected yet.")).alias("message"))
     none = none.join(found.select("period"), "period", "left_anti")
     return found.withColumn("message", F.lit("")).unionByName(none, allowMissingColumns=True)
-
-
-def push(windows: DataFrame, send, seconds: int = 5):
-    """A query on a stream of windows that calls send(rows of the current 50 candidates) for each trigger."""
-
-    def run(batch: DataFrame, number: int) -> None:
-        if not batch.isEmpty():
-            send(live_candidates(batch, 50).collect())  # fifty rows
-
-    return windows.writeStream.foreachBatch(run).trigger(processingTime=f"{seconds} seconds")

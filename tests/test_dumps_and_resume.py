@@ -199,3 +199,20 @@ def test_a_month_that_becomes_empty_loses_its_rows(spark, tmp_path):
     name.write_bytes(bz2.compress(line(5, 1, "E0", month=1).replace("revision", "page", 1).encode()))
     jobs.process_history(spark, files, "2024-05", records, board, str(tmp_path / "m2"), limit=10, min_score=1.0)
     assert not list((tmp_path / "records").glob("period=*")) and not list((tmp_path / "board").glob("period=*"))
+
+
+def test_files_after_the_last_hit_are_not_opened(spark, tmp_path):
+    files = []
+    for month in range(1, 8):
+        name = tmp_path / f"2024-05.enwiki.2024-0{month}.tsv.bz2"
+        rows = [line(month * 100 + k, k, "E", page=month * 10 + k, title=f"Talk:Page {k}", ns=1, month=month) for k in range(3) if k < month] + [line(month * 100 + 9, 5, "E", month=month)]
+        # From the fourth on they can't be read: whoever opens one fails.
+        whole = bz2.compress("\n".join(rows).encode())
+        name.write_bytes(whole[:60] + b"broken" + whole[66:] if month > 3 else whole)
+        files.append((str(name), f"2024-0{month}"))
+    listed = spark.createDataFrame(files, "name string, partition string")
+    wanted = spark.createDataFrame([("Page 0",), ("Page 1",), ("Page 2",)], "page_title string")
+    got = {r["title"]: r["talk_page_id"] for r in jobs.talk_page_ids(spark, listed, wanted).collect()}
+    assert got == {"Page_0": 10, "Page_1": 21, "Page_2": 32}
+    with pytest.raises(Exception):
+        jobs.talk_page_ids(spark, listed, wanted.union(spark.createDataFrame([("Nowhere",)], "t string")))

@@ -9,8 +9,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from editfray.operators import windows
+from editfray.plans import serving
 from editfray.sources import sse
-from editfray.streaming import live_state, seen
+from editfray.streaming import live_list, live_state, seen
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 EDIT = "wiki string, page_id long, rev_id long, ts timestamp, user_text string, user_is_bot boolean, reverts boolean, reverted_user string"
@@ -130,3 +131,27 @@ def test_a_revision_that_comes_again_after_days_is_dropped(spark, tmp_path, monk
     known.merge_day(spark, date(2024, 1, 1))
     run(batch([("w", 5, "y", 1), ("w", 5002, "z", 2), ("w", 10_001, "q", 3), ("w", 77_777, "t3", 4), ("w", 88_888, None, 5)]), 3)
     assert got[-1] == [5] and spark.read.parquet(str(tmp_path / "seen/keys")).where("day = '2024-01-01'").select("batch").distinct().count() == 1
+
+
+def test_the_live_list_keeps_pages_that_do_not_move(spark, state, tmp_path):
+    # Random rows of 40 pages in 8 batches, few places and little slack: after each batch the list is that of all rows so far.
+    rng, names = random.Random(12), "wiki string, page_id long, rev_id long, ts timestamp, `window` string, score double, reverts long"
+    parts = [[("w", rng.randrange(40), b * 100 + i, START + timedelta(minutes=b * 100 + i), rng.choice(["24h", "24h", "1h"]), float(rng.choice([0, 10, 50, 90, rng.randrange(100)])), rng.randrange(4)) for i in range(20 if b else 60)] for b in range(8)]
+    parts[3].append(("w", 1, 5, START, "24h", 1000.0, 9))  # late: the page has had newer rows
+    parts[2].append(("w", 1, 299, START + timedelta(minutes=299), "24h", 20.0, 1))
+    (tmp_path / "in").mkdir()
+    for i, rows in enumerate(parts):
+        path = str(tmp_path / f"p{i}")
+        spark.createDataFrame(rows, names).coalesce(1).write.parquet(path)
+        name = next(x for x in os.listdir(path) if x.endswith(".parquet"))
+        os.rename(f"{path}/{name}", tmp_path / "in" / f"{i}.parquet")
+        os.utime(tmp_path / "in" / f"{i}.parquet", (1e9 + i, 1e9 + i))
+    sent = []
+    stream = spark.readStream.schema(names).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = live_list.push(stream, sent.append, str(tmp_path / "lists"), limit=6, buckets=2, slack=2).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert len(sent) == 8
+    for i, rows in enumerate(sent):
+        so_far = spark.createDataFrame([r for p in parts[: i + 1] for r in p], names)
+        want = [(r["page_id"], r["score"], r["rev_id"]) for r in serving.live_candidates(so_far, 6).collect()]
+        assert [(r["page_id"], r["score"], r["rev_id"]) for r in rows] == want and json.loads(rows[0]["shown"])["window"] == "24h"
