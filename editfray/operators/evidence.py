@@ -131,7 +131,9 @@ def battles(stats: DataFrame, keys: list[str], limit: int = 3) -> DataFrame:
     rows = stats.withColumn("__order", F.struct(*[(-F.col(c)).alias(c) for c in ("score", "reverts", "changes", "editors")], "first_ord")).withColumn(
         "__rank", F.row_number().over(Window.partitionBy(*keys).orderBy("__order"))
     ).drop("__order", "first_ord")
-    return rows.groupBy(*keys).applyInPandas(lambda page: chosen(page, names, limit), ", ".join(f"{c} {kinds[c]}" for c in names))
+    found = rows.groupBy(*keys).applyInPandas(lambda page: chosen(page, names, limit), ", ".join(f"{c} {kinds[c]}" for c in names))
+    merged = battle_score(F.col("changes"), F.col("reverts"), F.col("editors"), F.col("changed_word_count"), F.col("change_type"))
+    return found.withColumn("score", F.when(F.col("group_size") > 1, merged).otherwise(F.col("score")))
 
 
 def usable(found: DataFrame) -> DataFrame:

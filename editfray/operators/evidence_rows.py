@@ -1,4 +1,4 @@
-"""The greedy choice of a page's phrases, over its ranked rows."""
+"""The greedy choice of a page's phrases, over its ranked rows. Counts of merged phrases are new; their score is the caller's, by the expression that all scores have."""
 
 from __future__ import annotations
 
@@ -15,14 +15,6 @@ def _together(a, b) -> bool:
     return len(x) >= FEW and len(y) >= FEW and len(x & y) >= 0.85 * len(x | y)
 
 
-def _score(changes: int, reverts: int, editors: int, words: int, kind: str) -> float:
-    if editors < 2:
-        return 0.0
-    size = next((m for most, m in ((0, 1.0), (6, 1.12), (14, 1.0), (28, 0.72), (50, 0.45)) if words <= most), 0.25)
-    base = 12.0 * reverts + 2.0 * changes + min(10.0, 3.0 * (editors - 1)) + 8.0 * (kind == "swap" and words <= 6)
-    return round(base * (0.45 if reverts < 3 else 1.0) * size, 2)
-
-
 def _merged(group: list[dict]) -> dict:
     best = dict(group[0])
     if len(group) > 1:
@@ -34,7 +26,6 @@ def _merged(group: list[dict]) -> dict:
         for c in ("comment_count", "cleanup_comment_count"):
             best[c] = sum(r[c] for r in group)
         best["first_shot_comment"] = next((r["first_shot_comment"] for r in group if r["first_shot_comment"]), "")
-        best["score"] = _score(best["changes"], best["reverts"], best["editors"], best["changed_word_count"], best["change_type"])
     return best | {"group_size": len(group)}
 
 

@@ -39,12 +39,12 @@ def dump_partitions(spark, sf: str) -> DataFrame:
     return listings.partitions(names, "2026-05", "enwiki", "1996-03", "1999-10").select("partition")
 
 
-@query("dump_shards", """SELECT 'enwiki-20260501-pages-meta-history' || (s_suppkey % 9)::VARCHAR || '.xml-p' || (s_suppkey * 100 + 1)::VARCHAR || 'p' || (s_suppkey * 100 + 100)::VARCHAR || CASE WHEN s_suppkey % 3 = 0 THEN '.7z' ELSE '.bz2' END AS filename,
+@query("dump_shards", """SELECT 'enwiki-20260501-pages-meta-history' || (s_suppkey % 9)::VARCHAR || '.xml-p' || (s_suppkey * 100 + 1)::VARCHAR || 'p' || (s_suppkey * 100 + 100)::VARCHAR || CASE WHEN s_suppkey % 5 = 0 THEN '.7z' ELSE '.bz2' END AS filename,
  s_suppkey * 100 + 1 AS start_id, s_suppkey * 100 + 100 AS end_id FROM supplier""")
 def dump_shards(spark, sf: str) -> DataFrame:
     k = F.col("s_suppkey")
     base = F.concat(F.lit("d/enwiki-20260501-pages-meta-history"), (k % 9).cast("string"), F.lit(".xml-p"), (k * 100 + 1).cast("string"), F.lit("p"), (k * 100 + 100).cast("string"))
-    ends = F.when(k % 3 == 0, F.array(F.lit(".7z"), F.lit(".bz2"))).otherwise(F.array(F.lit(".bz2")))
+    ends = F.when(k % 5 == 0, F.array(F.lit(".7z"))).when(k % 3 == 0, F.array(F.lit(".7z"), F.lit(".bz2"), F.lit(".gz"))).otherwise(F.array(F.lit(".bz2")))
     return listings.shards(A.read(spark, sf, "supplier").select(F.explode(F.transform(ends, lambda e: F.concat(base, e))).alias("name")), "20260501", "enwiki")
 
 

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import history_queries, live_queries, more_queries, source_queries
+from . import history_queries, live_queries, more_queries, served_queries, source_queries
 
-_MODULES = (history_queries, live_queries, more_queries, source_queries)
+_MODULES = (history_queries, live_queries, more_queries, source_queries, served_queries)
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
