@@ -22,6 +22,8 @@ from .common import arrow_map, cut, drop_cut, quoted, table
 PIVOTS = 64
 #: Rows of a block of queries and of candidates; of a run of candidates; queries that share the order of runs.
 BLOCK, RUN, BATCH = 16384, 64, 64
+#: Parts that pairs of blocks are bounded in.
+PARTS = 64
 #: Runs evaluated before the first look at k-th scores.
 FIRST = 16
 
@@ -246,8 +248,10 @@ def topk_search(vectors: DataFrame, k: int = 20, is_query=None, scale: float = 6
     # Bounds of all pairs of blocks, from a row a block; what can't reach the least k-th score of its queries isn't met.
     q_box = _intervals(queries.withColumnRenamed("q_block", "block"), chosen).withColumnRenamed("block", "q_block")
     q_box = q_box.join(asked.groupBy("q_block").agg(F.min("least").alias("least")), "q_block")
-    box = _intervals(candidates, chosen)
-    both = q_box.select("q_block", "dim", *[F.col(c).alias(f"q_{c}") for c in ("norm", "low", "high")], "least").join(box, "dim")
+    # A length is one key, so its blocks of queries are dealt to parts, and the rows of candidates' blocks, which are few numbers, go to each.
+    box = _intervals(candidates, chosen).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    q_box = q_box.withColumn("part", F.pmod(F.xxhash64("q_block"), F.lit(PARTS)).cast("int"))
+    both = q_box.select("q_block", "dim", "part", *[F.col(c).alias(f"q_{c}") for c in ("norm", "low", "high")], "least").join(box, ["dim", "part"])
     apart = F.array_max(F.transform(F.sequence(F.lit(0), F.size("low") - 1), lambda p: F.greatest(F.get("q_low", p) - F.get("high", p), F.get("low", p) - F.get("q_high", p), F.lit(0.0))))
     bound = F.least((F.col("q_norm") + F.col("norm") - apart * apart) / 2, F.sqrt(F.col("q_norm") * F.col("norm"))) + (F.col("q_norm") + F.col("norm")) * 1e-9 + 1e-6
     pairs = both.where(bound >= F.col("least")).select("q_block", "block").join(own, ["q_block", "block"], "left_anti")
