@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from html.entities import html5
 
 from pyspark.sql import Column
@@ -49,8 +50,17 @@ def _begun(piece: Column) -> Column:
     )
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value), with value's expression in the plan once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def unescape(text: Column) -> Column:
     """text with its character references decoded, each once; null stays null."""
+    return bound(text, _unescaped)
+
+
+def _unescaped(text: Column) -> Column:
     pieces = F.split(text, "&", -1)
     decoded = F.concat(F.get(pieces, F.lit(0)), F.array_join(F.transform(F.slice(pieces, F.lit(2), F.size(pieces)), _begun), ""))
     return F.when(F.contains(text, F.lit("&")), decoded).otherwise(text)

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from . import patterns as P
-from .entities import unescape
+from .entities import bound, unescape
 
 
 def _or_empty(c: Column) -> Column:
@@ -77,9 +77,11 @@ def clean_comment(comment: Column) -> Column:
 
 
 def first_sentence(comment: Column) -> Column:
-    cleaned = clean_comment(comment)
-    found = F.regexp_extract(cleaned, r"(.{12,240}?[.!?])(?:\s|$)", 1)
-    return F.when(found != "", F.btrim(found)).otherwise(F.btrim(F.substring(cleaned, 1, 240)))
+    def cut(cleaned: Column) -> Column:
+        found = F.regexp_extract(cleaned, r"(.{12,240}?[.!?])(?:\s|$)", 1)
+        return F.when(found != "", F.btrim(found)).otherwise(F.btrim(F.substring(cleaned, 1, 240)))
+
+    return bound(clean_comment(comment), cut)
 
 
 def is_cleanup(comment: Column) -> Column:
@@ -99,9 +101,13 @@ def has_substance(comment: Column) -> Column:
 
 def first_shot(comment: Column) -> Column:
     """The first sentence of a comment that says something; else empty."""
-    cleaned = first_sentence(comment)
-    good = (cleaned != "") & ~is_cleanup(cleaned) & ~is_generated(comment) & ~is_generated(cleaned) & has_substance(cleaned)
-    return F.when(good, cleaned).otherwise(F.lit(""))
+    generated = is_generated(comment)
+
+    def said(cleaned: Column) -> Column:
+        good = (cleaned != "") & ~is_cleanup(cleaned) & ~is_generated(cleaned) & has_substance(cleaned)
+        return F.when(good, cleaned).otherwise(F.lit(""))
+
+    return F.when(generated, F.lit("")).otherwise(bound(first_sentence(comment), said))
 
 
 def clean_wikitext(text: Column) -> Column:

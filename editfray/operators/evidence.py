@@ -14,6 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import patterns as P
 from ..functions.diff import Side, added, changed
+from ..functions.entities import bound
 from ..functions.scores import battle_score
 from ..functions.text import clean_comment, clean_wikitext, first_sentence, first_shot, is_cleanup, is_graffiti, is_revert_like, normal, talk_sentences
 from ..shipping import ship_package
@@ -196,7 +197,8 @@ def talk_evidence(talk: DataFrame, page_terms: DataFrame, keys: list[str], order
 
     by = Window.partitionBy(*keys).orderBy(*order)
     c = clean_comment(F.col("comment"))
-    rows = talk.select(*keys, *[x for x in order if x not in keys], "user_text", c.alias("said"), first_sentence(F.col("comment")).alias("spare"), talk_sentences(clean_wikitext(F.col("content"))).alias("sentences"))
+    rows = talk.select(*keys, *[x for x in order if x not in keys], "user_text", c.alias("said"), first_sentence(F.col("comment")).alias("spare"), bound(clean_wikitext(F.col("content")), talk_sentences).alias("sentences"))
+    rows = cut(rows, "talk")
     rows = rows.withColumn("before", F.coalesce(F.lag("sentences").over(by), F.array().cast("array<string>"))).withColumn("is_last", F.lead(order[-1]).over(by).isNull()).join(page_terms, keys, "left")
     new = F.transform(places(F.transform("before", normal), F.transform("sentences", normal)), lambda i: F.get("sentences", i))
     rows = rows.withColumn("new", new).withColumn("new", F.when((F.size("new") == 0) & (F.col("said") != ""), F.array("spare")).otherwise(F.col("new")))

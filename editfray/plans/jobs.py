@@ -12,6 +12,7 @@ from ..operators import governance, graph, lookups, pages, ranking
 from ..operators.windows import PAGE
 from ..sources import history_rows, sql_dump, wiki_dump, wiki_xml
 from ..streaming import sinks
+from ..tables import cut
 
 ORDER = ("ts", "rev_id")
 
@@ -119,8 +120,10 @@ def page_evidence(rows: DataFrame, revisions: DataFrame, period: str) -> DataFra
     own = revisions.withColumn("page_id", F.col("candidate"))
     bounds = T.period_bounds(F.lit(period))
     articles, talk = wiki_xml.in_period(own.where("namespace = 0"), bounds["start"], bounds["end"]), wiki_xml.in_period(own.where("namespace = 1"), bounds["start"], bounds["end"])
-    found = ev.usable(ev.battles(ev.segment_stats(ev.pair_segments(articles, ["page_id"], ORDER), ["page_id"], ORDER), ["page_id"]))
-    said = ev.talk_evidence(talk, ev.terms(found, ["page_id"]), ["page_id"])
+    # Written on the way: three aggregates read the changes, and what reads the phrases plans from a table.
+    changes = cut(ev.pair_segments(articles, ["page_id"], ORDER), "changes")
+    found = cut(ev.usable(ev.battles(cut(ev.segment_stats(changes, ["page_id"], ORDER), "stats"), ["page_id"])), "phrases")
+    said = cut(ev.talk_evidence(talk, cut(ev.terms(found, ["page_id"]), "terms"), ["page_id"]), "said")
     scores = ev.controversy(rows.select("page_id", "peak_score", "revert_count", "mutual_revert_pairs"), found, ev.talk_scores(said, ["page_id"]), ["page_id"])
     return ev.payload(rows.select("wiki", "page_id", "page_title", F.lit(period).alias("period")), found, said, scores, ["page_id"])
 
