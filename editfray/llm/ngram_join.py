@@ -11,16 +11,15 @@
 4. Where sets that share a shingle are still in several components, those rows alone go
    into tiles of bounded size with their bitmaps, in the order of size, so that each row
    meets only the band of sizes it can link with, and only rows of other components. Rows of a
-   shingle's largest component meet the others, not each other. A first round settles each row's nearest
-   one alone, so that few components are left; the second settles all that is apart.
+   shingle's largest component meet the others, not each other. If these pairs are few they are settled at once.
+   Else a first round settles each row's nearest one alone, so that few components are left; the second settles all that is apart.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..shipping import ship_package
@@ -39,6 +38,10 @@ HOT = 4096
 LINKS = 128
 #: Rows on each side of a tile.
 TILE = 1024
+#: Pairs for each row of a tile that the first round writes; of a tile with more of them, each row's nearest alone.
+FEW = 64
+#: Sets for each pair of tiles, where these pairs count as few: to ship their texts costs less than to bound them, or than a second round.
+SETS = 8
 #: Bits of a bitmap: about two for each shingle. Tiles take bitmaps folded to the least; a pair that passes is held against the full ones.
 BITS_LEAST, BITS_MOST = 1024, 1 << 16
 
@@ -54,19 +57,17 @@ def _unpack(packed: bytes) -> np.ndarray:
 
 
 def _sum_sketches(parts: DataFrame) -> np.ndarray:
-    """Sum rows of (chunk, part, counts binary) chunk by chunk, in two levels; at most 32 MB reach the driver."""
+    """Sum rows of (chunk, counts binary) chunk by chunk, as they stream past; at most 32 MB reach the driver."""
 
-    def add(rows):
-        total = np.zeros((1 << SKETCH_BITS) // _CHUNKS, dtype=np.uint64)
-        for x in rows.column("counts").to_pylist():
-            total += _unpack(x)
-        return pa.table({"chunk": rows.column("chunk").slice(0, 1), "part": rows.column("part").slice(0, 1), "counts": pa.array([_pack(total)], pa.binary())})
+    def add(batches):
+        totals: dict[int, np.ndarray] = {}
+        for b in batches:
+            for chunk, counts in zip(b.column("chunk").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                totals[chunk] = totals.get(chunk, np.uint64(0)) + _unpack(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(list(totals), pa.int32()), pa.array([_pack(x) for x in totals.values()], pa.binary())], ["chunk", "counts"])
 
-    schema = "chunk int, part int, counts binary"
-    by_part = parts.withColumn("part", F.col("part") % 16).groupBy("chunk", "part").applyInArrow(lambda key, rows: add(rows), schema)
-    found = by_part.withColumn("part", F.lit(0)).groupBy("chunk").applyInArrow(lambda key, rows: add(rows), schema).collect()
     out = np.zeros(1 << SKETCH_BITS, dtype=np.uint64).reshape(_CHUNKS, -1)
-    for row in found:
+    for row in parts.repartition("chunk").mapInArrow(add, "chunk int, counts binary").collect():
         out[row["chunk"]] = _unpack(row["counts"])
     return out.reshape(-1)
 
@@ -76,18 +77,16 @@ def shingle_sketch(docs: DataFrame, words: int) -> np.ndarray:
     ship_package(docs.sparkSession)
 
     def run(batches):
-        counts, seen, part = np.zeros(1 << SKETCH_BITS, dtype=np.uint32), False, 0
+        counts = np.zeros(1 << SKETCH_BITS, dtype=np.uint32)
         for b in batches:
             for s in slices(b, "text"):
                 hashes, _ = shingle_hashes(s.column("text"), words)
-                if len(hashes):
-                    seen, part = True, int(hashes[0] & np.uint64(0x7FFFFFFF))
-                    np.add.at(counts, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), np.uint32(1))
-        if seen:
-            rows = [_pack(x) for x in counts.reshape(_CHUNKS, -1)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(_CHUNKS), pa.int32()), pa.array([part] * _CHUNKS, pa.int32()), pa.array(rows, pa.binary())], ["chunk", "part", "counts"])
+                np.add.at(counts, (hashes >> np.uint64(64 - SKETCH_BITS)).astype(np.int32), np.uint32(1))
+        rows = counts.reshape(_CHUNKS, -1)
+        some = np.flatnonzero(rows.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([_pack(rows[k]) for k in some], pa.binary())], ["chunk", "counts"])
 
-    return _sum_sketches(docs.select("text").mapInArrow(run, "chunk int, part int, counts binary"))
+    return _sum_sketches(docs.select("text").mapInArrow(run, "chunk int, counts binary"))
 
 
 def _bitmap(own: np.ndarray, bits: int) -> bytes:
@@ -173,9 +172,10 @@ def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFra
     return arrow_map(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), make, f"a {kind}, b {kind}")
 
 
-def _meet(tiles: pa.Table, threshold: int, nearest: bool) -> pa.Table:
+def _meet(tiles: pa.Table, threshold: int, nearest: bool, few: int = 0) -> pa.Table:
     """Pairs of rows of the same tile (rows stand by tile, then size), in different components, that sizes and bitmaps let link;
-    with nearest, of each row only the pair of which they promise most."""
+    with nearest, of each row of a tile with over `few` pairs a row only the pair of which they promise most, and these say that there is more.
+    A pair is near if it is such a pair of one of its rows, and wide if both its full bitmaps are longer than those of tiles, and tell more."""
     n, comp, ids, tile = (tiles.column(x).to_numpy() for x in ("n", "component", "id", "tile"))
     words = np.frombuffer(b"".join(tiles.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
     left, right, far = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
@@ -197,19 +197,24 @@ def _meet(tiles: pa.Table, threshold: int, nearest: bool) -> pa.Table:
             far.append(apart[ok] / (n[a[ok]] + n[b[ok]]))
         step += 1
     left, right, far = map(np.concatenate, (left, right, far))
+    near, more = np.zeros((2, len(far)), dtype=bool)
     if nearest and len(far):
         least = np.full(len(n), np.inf)
         np.minimum.at(least, left, far)
         np.minimum.at(least, right, far)
         both = np.concatenate((np.flatnonzero(far == least[left]), np.flatnonzero(far == least[right])))
-        row = np.concatenate((left, right))[np.concatenate((np.flatnonzero(far == least[left]), len(far) + np.flatnonzero(far == least[right])))]
-        keep = both[np.unique(row, return_index=True)[1]]
-        left, right = left[keep], right[keep]
-    return pa.table({"a": ids[left], "b": ids[right]})
+        row = np.concatenate((left[far == least[left]], right[far == least[right]]))
+        near[both[np.unique(row, return_index=True)[1]]] = True
+        _, of = np.unique(tile, return_inverse=True)
+        more = (np.bincount(of[left], minlength=len(n)) > few * np.bincount(of, minlength=len(n)))[of[left]]
+        keep = near | ~more
+        left, right, near, more = left[keep], right[keep], near[keep], more[keep]
+    wide = np.minimum(n[left], n[right]) > BITS_LEAST // 2
+    return pa.table({"a": ids[left], "b": ids[right], "wide": wide, "near": near, "more": more})
 
 
 def _tile_pairs(rows: DataFrame, threshold: int, nearest: bool) -> DataFrame:
-    """_meet() over rows (tile, id, component, n, narrow), whole tiles at a time; small tiles share a call."""
+    """_meet() over rows (tile, id, component, n, narrow), whole tiles at a time; small tiles share a call. Each pair (a < b) once."""
     ship_package(rows.sparkSession)
 
     def run(batches):
@@ -223,40 +228,26 @@ def _tile_pairs(rows: DataFrame, threshold: int, nearest: bool) -> DataFrame:
             ended = np.flatnonzero(tile != tile[-1])
             if len(ended):
                 whole = int(ended[-1]) + 1
-                yield from _meet(held.slice(0, whole).combine_chunks(), threshold, nearest).to_batches()
+                yield from _meet(held.slice(0, whole).combine_chunks(), threshold, nearest, FEW).to_batches()
                 held = held.slice(whole)
         if held is not None and held.num_rows:
-            yield from _meet(held.combine_chunks(), threshold, nearest).to_batches()
+            yield from _meet(held.combine_chunks(), threshold, nearest, FEW).to_batches()
 
-    return rows.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(run, "a long, b long")
+    found = rows.repartition("tile").sortWithinPartitions("tile", "n").mapInArrow(run, "a long, b long, wide boolean, near boolean, more boolean")
+    return found.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(*(F.max(x).alias(x) for x in ("wide", "near", "more")))
 
 
-def _spots(ids) -> np.ndarray:
-    """The bits of ids in a bitmap of _id_bits()."""
-    return (mix(ids.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)) % np.uint64(8 << SKETCH_BITS)).astype(np.int64)
+def _spot(ids: str) -> Column:
+    """The bit of an id in the bitmap of _id_bits()."""
+    return F.pmod(F.xxhash64(ids), F.lit(8 << SKETCH_BITS)).cast("int").alias("spot")
 
 
-def _id_bits(ids: DataFrame, spark):
-    """A broadcast bitmap of 2^SKETCH_BITS * 8 bits (4 MB) with the hashes of ids: all of them, and few others."""
-    wide = (8 << SKETCH_BITS) // _CHUNKS
-
-    def run(batches):
-        at = np.zeros(_CHUNKS * wide // 8, dtype=np.uint8)
-        for b in batches:
-            spots = _spots(b.column("id"))
-            np.bitwise_or.at(at, spots >> 3, np.left_shift(1, spots & 7).astype(np.uint8))
-        rows = at.reshape(_CHUNKS, -1)
-        some = np.flatnonzero(rows.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([rows[k].tobytes() for k in some], pa.binary())], ["chunk", "bits"])
-
-    def merge(key, rows):
-        total = np.bitwise_or.reduce([np.frombuffer(x, dtype=np.uint8) for x in rows.column("bits").to_pylist()])
-        return pa.table({"chunk": pa.array([rows.column("chunk")[0].as_py()], pa.int32()), "bits": pa.array([total.tobytes()], pa.binary())})
-
-    out = np.zeros((_CHUNKS, wide // 8), dtype=np.uint8)
-    for row in ids.mapInArrow(run, "chunk int, bits binary").groupBy("chunk").applyInArrow(lambda key, rows: merge(key, rows), "chunk int, bits binary").collect():
-        out[row["chunk"]] = np.frombuffer(row["bits"], dtype=np.uint8)
-    return spark.sparkContext.broadcast(out.reshape(-1))
+def _id_bits(ids: DataFrame) -> np.ndarray:
+    """A bitmap of 2^SKETCH_BITS * 8 bits (4 MB) with the hashes of ids: all of them, and few others. At most 2^SKETCH_BITS / 8 rows reach the driver."""
+    words = ids.select(_spot("id")).groupBy(F.shiftright("spot", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, spot & 63)")).alias("bits")).toArrow()
+    out = np.zeros((1 << SKETCH_BITS) // 8, dtype=np.int64)
+    out[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    return out.view(np.uint8)
 
 
 def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -> DataFrame:
@@ -266,21 +257,19 @@ def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -
     spark = docs.sparkSession
     ship_package(spark)
     kind = docs.schema["doc_id"].dataType.simpleString()
-    counted = pairs.join(pairs.groupBy("a").agg(F.count("*").alias("links")), "a")
-    salted = counted.select("a", "b", F.pmod(F.xxhash64("b"), F.ceil(F.col("links") / F.lit(LINKS))).alias("salt"))
-    members = salted.select("a", "salt", F.col("b").alias("id"), F.lit(1).alias("role")).unionByName(
-        salted.select("a", "salt", F.col("a").alias("id"), F.lit(0).alias("role")).distinct()
-    )
-    wanted = _id_bits(members.select("id"), spark)
+    counted = pairs.groupBy("a").agg(F.ceil(F.count("*") / F.lit(LINKS)).alias("salts"))
+    tails = pairs.join(counted, "a").select("a", F.pmod(F.xxhash64("b"), F.col("salts")).alias("salt"), F.col("b").alias("id"), F.lit(1).alias("role"))
+    heads = counted.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"), F.col("a").alias("id"), F.lit(0).alias("role"))
+    members = cut(tails.unionByName(heads), "members")
+    wanted = spark.sparkContext.broadcast(_id_bits(members))
 
     def only_wanted(batches):
         at = wanted.value
         for b in batches:
-            if b.num_rows:
-                spots = _spots(pc.fill_null(b.column("doc_id"), 0))
-                yield b.filter(pc.and_(pa.array((at[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)), pc.is_valid(b.column("doc_id"))))
+            spots = b.column("spot").to_numpy()
+            yield b.select(["doc_id", "text"]).filter(pa.array((at[spots >> 3] >> (spots & 7).astype(np.uint8) & 1).astype(bool)))
 
-    texts = docs.select("doc_id", "text").mapInArrow(only_wanted, docs.select("doc_id", "text").schema)
+    texts = docs.where("doc_id is not null").select("doc_id", "text", _spot("doc_id")).mapInArrow(only_wanted, docs.select("doc_id", "text").schema)
     sent = members.join(texts, F.col("id") == F.col("doc_id")).select("a", "salt", "role", "id", "text")
     grouped = sent.repartition("a", "salt").sortWithinPartitions("a", "salt", "role", "id")
 
@@ -303,6 +292,7 @@ def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -
 
     found = cut(grouped.mapInArrow(run, f"a {kind}, b {kind}"), "links")
     wanted.destroy()
+    drop_cut(members)
     return found
 
 
@@ -362,16 +352,25 @@ def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str
     drop_cut(bounded)
     found = components(links)
 
-    # What is still apart and shares a shingle meets in tiles. First each set takes the nearest one of each tile, which joins most
-    # components; then every pair that is apart still is settled.
+    # What is still apart and shares a shingle meets in tiles. Few pairs are settled at once; of many, each set takes the nearest one of
+    # each tile first, which joins most components; then every pair that is apart still is settled.
+    few = sigs.count() // SETS
     for nearest in (True, False):
-        more = _tile_pairs(_tiles(met, found, sigs), threshold, nearest).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut(_bounded_pairs(more, bits, threshold), "pairs")
-        if not more.limit(1).count():
+        met_pairs = cut(_tile_pairs(_tiles(met, found, sigs), threshold, nearest), "tiles")
+        n, more = met_pairs.agg(F.count("*"), F.max("more")).first()
+        close = met_pairs.where("near") if nearest and n > few else met_pairs
+        if n > few:
+            # A bitmap that isn't wide has been compared in full.
+            bounded = _bounded_pairs(close.where("wide").select("a", "b"), bits, threshold)
+            close = cut(close.where("not wide").select("a", "b").unionByName(bounded), "pairs")
+        if n:
+            links = links.unionByName(exact_links(docs, close.select("a", "b"), threshold, words))
+            found = components(links)
+            if n > few:
+                drop_cut(close)
+        drop_cut(met_pairs)
+        if n <= few and not more:
             break
-        links = links.unionByName(exact_links(docs, more, threshold, words))
-        found = components(links)
-        drop_cut(more)
     drop_cut(met)
     final = sigs.select("doc_id", "n", "k1", "k2").join(tops, keys, "left").join(found, F.col("rep") == F.col("id"), "left")
     return final.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "doc_id").alias("component_id"))
