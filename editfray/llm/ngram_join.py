@@ -42,6 +42,8 @@ TILE = 1024
 FEW = 64
 #: Sets for each pair of tiles, where these pairs count as few: to ship their texts costs less than to bound them, or than a second round.
 SETS = 8
+#: Of each set's prefix, so many least shingles go with it into tiles: two sets that share some of these need not meet again in a later tile.
+LEAST = 16
 #: Bits of a bitmap: about two for each shingle. Tiles take bitmaps folded to the least; a pair that passes is held against the full ones.
 BITS_LEAST, BITS_MOST = 1024, 1 << 16
 
@@ -104,13 +106,13 @@ def _longs(values) -> pa.Array:
 
 
 def signatures(docs: DataFrame, levels, threshold: int, words: int) -> DataFrame:
-    """doc_id, n, k1, k2, bits, narrow (bits folded) and prefix (shingle, salts) of each row; levels is a broadcast of the order."""
+    """doc_id, n, k1, k2, bits, narrow (bits folded), least (shingles of the prefix) and prefix (shingle, salts) of each row; levels is a broadcast of the order."""
 
     def make():
         order = levels.value
 
         def f(batch):
-            ns, k1s, k2s, bits, narrow, shingles, salts, ends = [], [], [], [], [], [], [], [0]
+            ns, k1s, k2s, bits, narrow, lows, shingles, salts, ends = [], [], [], [], [], [], [], [], [0]
             for own in shingle_sets(batch.column("text"), words):
                 n = len(own)
                 ns.append(n)
@@ -122,19 +124,21 @@ def signatures(docs: DataFrame, levels, threshold: int, words: int) -> DataFrame
                     level = order[(own >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)]
                     first = np.argsort(level, kind="stable")[: n - (threshold * n + 99) // 100 + 1]
                     shingles.append(own[first])
+                    lows.append(np.sort(own[first].view(np.int64))[:LEAST].tobytes())
                     salts.append(np.maximum(1, np.exp2(level[first] / STEPS) / HOT).astype(np.int32))
                     ends.append(ends[-1] + len(first))
                 else:
+                    lows.append(b"")
                     ends.append(ends[-1])
             none = np.zeros(0, dtype=np.uint64)
             pairs = pa.StructArray.from_arrays([_longs(np.concatenate([none, *shingles])), pa.array(np.concatenate([none.astype(np.int32), *salts]), pa.int32())], ["shingle", "salts"])
             prefix = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pairs)
-            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), _longs(k1s), _longs(k2s), pa.array(bits, pa.binary()), pa.array(narrow, pa.binary()), prefix], ["doc_id", "n", "k1", "k2", "bits", "narrow", "prefix"])
+            return pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ns, pa.int64()), _longs(k1s), _longs(k2s), pa.array(bits, pa.binary()), pa.array(narrow, pa.binary()), pa.array(lows, pa.binary()), prefix], ["doc_id", "n", "k1", "k2", "bits", "narrow", "least", "prefix"])
 
         return f
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return arrow_map(docs, make, f"doc_id {kind}, n long, k1 long, k2 long, bits binary, narrow binary, prefix array<struct<shingle:long,salts:int>>", "text")
+    return arrow_map(docs, make, f"doc_id {kind}, n long, k1 long, k2 long, bits binary, narrow binary, least binary, prefix array<struct<shingle:long,salts:int>>", "text")
 
 
 def _apart(x: bytes, y: bytes) -> int:
@@ -172,12 +176,31 @@ def _bounded_pairs(pairs: DataFrame, bits: DataFrame, threshold: int) -> DataFra
     return arrow_map(both.select("a", "b", "n_a", "n_b", "bits_a", "bits_b"), make, f"a {kind}, b {kind}")
 
 
+def _met_before(tiles: pa.Table):
+    """A test whether rows a and b of tiles share one of their least shingles below that of this tile. They met in its tile then: as
+    their components differ, so do those of its sets."""
+    least = np.full((tiles.num_rows, LEAST), np.iinfo(np.int64).max)
+    for k, x in enumerate(tiles.column("least").to_pylist()):
+        least[k, : len(x) // 8] = np.frombuffer(x, dtype=np.int64)
+    shingle = tiles.column("shingle").to_numpy()
+
+    def test(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(a), dtype=bool)
+        for k in range(LEAST):
+            y = least[a, k]
+            out |= (y < np.minimum(shingle[a], shingle[b])) & (least[b] == y[:, None]).any(axis=1)
+        return out
+
+    return test
+
+
 def _meet(tiles: pa.Table, threshold: int, nearest: bool, few: int = 0) -> pa.Table:
     """Pairs of rows of the same tile (rows stand by tile, then size), in different components, that sizes and bitmaps let link;
     with nearest, of each row of a tile with over `few` pairs a row only the pair of which they promise most, and these say that there is more.
     A pair is near if it is such a pair of one of its rows, and wide if both its full bitmaps are longer than those of tiles, and tell more."""
     n, comp, ids, tile = (tiles.column(x).to_numpy() for x in ("n", "component", "id", "tile"))
     words = np.frombuffer(b"".join(tiles.column("narrow").to_pylist()), dtype=np.uint64).reshape(len(n), -1)
+    before = _met_before(tiles) if "least" in tiles.column_names else None
     left, right, far = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
     live = np.arange(len(n) - 1)
     step = 1
@@ -192,6 +215,8 @@ def _meet(tiles: pa.Table, threshold: int, nearest: bool, few: int = 0) -> pa.Ta
         if len(a):
             apart = np.bitwise_count(words[a] ^ words[b]).sum(axis=1, dtype=np.int64)
             ok = _can_link(n[a], n[b], apart, threshold)
+            if before and ok.any():
+                ok[ok] = ~before(a[ok], b[ok])
             left.append(a[ok])
             right.append(b[ok])
             far.append(apart[ok] / (n[a[ok]] + n[b[ok]]))
@@ -214,7 +239,7 @@ def _meet(tiles: pa.Table, threshold: int, nearest: bool, few: int = 0) -> pa.Ta
 
 
 def _tile_pairs(rows: DataFrame, threshold: int, nearest: bool) -> DataFrame:
-    """_meet() over rows (tile, id, component, n, narrow), whole tiles at a time; small tiles share a call. Each pair (a < b) once."""
+    """_meet() over rows (tile, shingle, id, component, n, narrow, least), whole tiles at a time; small tiles share a call. Each pair (a < b) once."""
     ship_package(rows.sparkSession)
 
     def run(batches):
@@ -297,7 +322,7 @@ def exact_links(docs: DataFrame, pairs: DataFrame, threshold: int, words: int) -
 
 
 def _tiles(met: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
-    """tile, id, component, n, narrow: the rows of shingles whose sets are in several components, in tiles of bounded size."""
+    """tile, shingle, id, component, n, narrow, least: the rows of shingles whose sets are in several components, in tiles of bounded size."""
     comp = met.join(found, F.col("doc_id") == F.col("id"), "left").select("shingle", "doc_id", F.coalesce("component", "doc_id").alias("component"))
     sizes = comp.groupBy("shingle", "component").agg(F.count("*").alias("rows"))
     apart = sizes.groupBy("shingle").agg(F.max_by("component", F.struct("rows", "component")).alias("major"), F.max("rows").alias("major_rows"), F.sum("rows").alias("all_rows")).where("all_rows > major_rows")
@@ -313,7 +338,7 @@ def _tiles(met: DataFrame, found: DataFrame, sigs: DataFrame) -> DataFrame:
     places = F.when(is_major, F.transform(others, lambda i: F.struct(i.alias("t0"), (-1 - F.col("block")).alias("t1")))).otherwise(F.concat(own, major))
     placed = left.withColumn("block", block).select("shingle", "doc_id", "component", F.explode(places).alias("t"))
     # Tiles of different shingles that fall on one number only compare more than they must.
-    return placed.join(sigs.select("doc_id", "n", "narrow"), "doc_id").select(F.xxhash64("shingle", "t.t0", "t.t1").alias("tile"), F.col("doc_id").alias("id"), "component", "n", "narrow")
+    return placed.join(sigs.select("doc_id", "n", "narrow", "least"), "doc_id").select(F.xxhash64("shingle", "t.t0", "t.t1").alias("tile"), "shingle", F.col("doc_id").alias("id"), "component", "n", "narrow", "least")
 
 
 def ngram_join(docs: DataFrame, threshold: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
