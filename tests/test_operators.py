@@ -110,6 +110,17 @@ def test_battle_and_controversy(spark):
     assert rows[43]["score"] == 0.0
 
 
+def test_types_as_frequent_and_as_early_go_by_name(spark):
+    # Rows that stand twice at one place of a revision: nothing but the name tells their types apart.
+    rows = [(p, START, 1, 0, f"U{i % 2}", t) for p in range(40) for i, t in enumerate(("swap", "change", "change", "swap") if p % 2 else ("change", "swap", "swap", "change"))]
+    found = spark.createDataFrame(rows, "page_id long, ts timestamp, rev_id long, pos int, user_text string, change_type string").withColumns(
+        {c: F.lit("x") for c in ("key", "segment", "changed_text")} | {c: F.lit("") for c in ("comment", "prev_comment", "prev_user", "highlight_before", "highlight_after", "context_before", "context_after")}
+        | {"is_revert": F.lit(False), "swap_values": F.array().cast("array<string>"), "changed_word_count": F.lit(1)}
+    )
+    got = evidence.segment_stats(found, ["page_id"], ("ts", "rev_id")).select("page_id", "change_type").collect()
+    assert len(got) == 40 and {r["change_type"] for r in got} == {"change"}
+
+
 def test_empty_tables(spark):
     e, g = edits(spark, 2, 2).limit(0), edges(spark, [(("A", "B"), 1)]).limit(0)
     assert pages.score_pages(e, g).count() == 0 and windows.day_scores(e, g).count() == 0
