@@ -4,7 +4,9 @@ import json
 import os
 import random
 from datetime import date, datetime, timedelta, timezone
+from types import SimpleNamespace
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -66,6 +68,40 @@ def test_a_replay_through_state_gives_the_batch_rows(spark, state, tmp_path):
     assert left < len(hours)
 
 
+def test_a_table_streams_through_state(spark, state):
+    # In no order and with repeats: rows are those of live_windows().
+    rows = fights(300, 6)
+    mixed = rows + rows[:40]
+    random.Random(3).shuffle(mixed)
+    got = live_state.live_stream(spark.createDataFrame(mixed, EDIT))
+    edits = spark.createDataFrame(rows, EDIT)
+    want = windows.live_windows(edits, edits.where("reverts").select("wiki", "page_id", "rev_id", "ts", F.col("user_text").alias("reverter_user"), "reverted_user"))
+    assert sorted(map(str, got.select(*want.columns).collect())) == sorted(map(str, want.collect()))
+
+
+def test_a_page_of_a_table_is_never_held_whole():
+    stored, taken = {}, []
+    page = live_state.LivePages(ordered=True)
+    page.handle = SimpleNamespace(registerTimer=lambda at: None)
+    page.hours = SimpleNamespace(updateValue=lambda k, v: stored.update({k: len(v[0])}))
+
+    def frames(n=60, size=1000):
+        for f in range(n):
+            taken.append(f)
+            yield pd.DataFrame({"ts": [pd.Timestamp("2024-01-01") + pd.Timedelta(minutes=f * size + i) for i in range(size)], "rev_id": range(f * size, f * size + size), "user_is_bot": False, "user_text": "A", "reverts": True, "reverted_user": "B"})
+
+    out = page.handleInputRows(("w", 1), frames(), None)
+    first = next(out)
+    # The first rows leave when a few frames have come.
+    assert len(first) == live_state._ROWS and len(taken) < 6
+    rest = pd.concat([first, *out])
+    assert len(rest) == 180_000 and sum(stored.values()) == 60_000 and len(stored) == 1000
+    assert set(rest[rest.rev_id == 59_999].edits) == {6, 61, 1441} and set(rest[rest.rev_id == 59_999].reverts) == {6, 61, 1441}
+    wrong = page.handleInputRows(("w", 1), iter([pd.concat(list(frames(1, 5)))[::-1]]), None)
+    with pytest.raises(ValueError, match="out of the order"):
+        list(wrong)
+
+
 def test_what_comes_late_is_scored_at_its_own_time(spark, state, tmp_path):
     base = [("w", 1, i, START + timedelta(minutes=10 * i), "AB"[i % 2], False, True, "BA"[i % 2]) for i in range(6)]
     got, _ = replayed(spark, tmp_path, [base[:2] + base[3:], [base[2]]], "2 hours")
