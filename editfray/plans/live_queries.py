@@ -300,7 +300,8 @@ def _talk(spark, sf: str) -> DataFrame:
 
 @query("talk_evidence")
 def talk_evidence(spark, sf: str) -> DataFrame:
-    own = ev.terms(ev.battles(_stats(spark, sf), ["page_id"]), ["page_id"])
+    # Several parts of what is said read the terms: phrases are chosen once.
+    own = cut(ev.terms(ev.battles(_stats(spark, sf), ["page_id"]), ["page_id"]), "terms")
     return ev.talk_evidence(_talk(spark, sf), own, ["page_id"])
 
 

@@ -14,6 +14,7 @@ from editfray.functions import align, diff
 from editfray.functions import text as T
 from editfray.operators import evidence, governance, graph, lookups, pages, windows
 from editfray.plans import serving
+from editfray.plans.live_queries import QUERIES
 from editfray.sources import sse
 from editfray.streaming import live, sinks
 
@@ -336,3 +337,10 @@ def test_the_latest_board(spark):
 def test_identity_edges_still_feed_the_graph(spark):
     h = spark.createDataFrame([("w", 1, i, START + timedelta(minutes=i), f"E{i % 2}", i + 1 if i < 9 else None) for i in range(10)], "wiki string, page_id long, rev_id long, ts timestamp, user_text string, first_reverting long")
     assert graph.identity_edges(h).count() == 9
+
+
+@pytest.mark.parametrize("name", ["talk_evidence"])
+def test_phrases_are_chosen_once(spark, name):
+    # What is said asks for a page's terms more than once: a written table tells them.
+    plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan and "InPandas" not in plan
