@@ -307,7 +307,7 @@ def talk_evidence(spark, sf: str) -> DataFrame:
 
 @query("controversy")
 def controversy(spark, sf: str) -> DataFrame:
-    found = ev.usable(ev.battles(_stats(spark, sf), ["page_id"]))
-    talk = ev.talk_scores(ev.talk_evidence(_talk(spark, sf), ev.terms(found, ["page_id"]), ["page_id"]), ["page_id"])
+    found = cut(ev.usable(ev.battles(_stats(spark, sf), ["page_id"])), "phrases")
+    talk = ev.talk_scores(ev.talk_evidence(_talk(spark, sf), cut(ev.terms(found, ["page_id"]), "terms"), ["page_id"]), ["page_id"])
     pages = A.read(spark, sf, "documents").select(F.col("doc_id").alias("page_id"), (F.col("n_chars") % 400).cast("double").alias("peak_score"), (F.col("n_chars") % 90).alias("revert_count"), (F.col("n_chars") % 6).alias("mutual_revert_pairs"))
     return ev.controversy(pages, found, talk, ["page_id"])

@@ -339,7 +339,7 @@ def test_identity_edges_still_feed_the_graph(spark):
     assert graph.identity_edges(h).count() == 9
 
 
-@pytest.mark.parametrize("name", ["talk_evidence"])
+@pytest.mark.parametrize("name", ["controversy", "talk_evidence"])
 def test_phrases_are_chosen_once(spark, name):
     # What is said asks for a page's terms more than once: a written table tells them.
     plan = QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
